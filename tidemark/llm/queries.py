@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, near_dup
 
 
 def table(spark, sf_dir, name):
@@ -19,6 +19,26 @@ def op5_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_jaccard_join(spark, sf_dir):
+    return near_dup.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS d, b.doc_id AS e, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT d, e FROM p JOIN n x ON x.doc_id = d JOIN n y ON y.doc_id = e WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+r(d, c) AS (SELECT doc_id, doc_id FROM w UNION SELECT l.e, r.c FROM r JOIN l ON l.d = r.d),
+k AS (SELECT d, min(c) AS class_id FROM r GROUP BY d),
+m AS (SELECT d, count(*) AS n_links FROM l GROUP BY d),
+q AS (SELECT ws, count(*) AS n_copies FROM w GROUP BY ws)
+SELECT w.doc_id, class_id, coalesce(n_links, 0) AS n_links, CASE WHEN len(w.ws) = 0 THEN 1 ELSE n_copies END AS n_copies, class_id = w.doc_id AS kept
+FROM w JOIN k ON k.d = w.doc_id LEFT JOIN m ON m.d = w.doc_id JOIN q ON q.ws = w.ws
+"""
+
 OP1_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -30,8 +50,9 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op5_mix_sources": op5_mix_sources,
+        "op7_jaccard_join": op7_jaccard_join,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op7_jaccard_join": OP7_SQL}
