@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dup
+from . import embedding_dup, exact_dedup, mixing, near_dup
 
 
 def table(spark, sf_dir, name):
@@ -23,6 +23,24 @@ def op7_jaccard_join(spark, sf_dir):
     return near_dup.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark, sf_dir):
+    return embedding_dup.embedding_dedup(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98),
+r(n, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.n),
+k AS (SELECT n, min(c) AS c FROM r GROUP BY n),
+m AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, coalesce(k.c, e.vec_id) AS component_id, coalesce(e.vec_id = coalesce(k.c, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN k ON k.n = e.vec_id LEFT JOIN m ON m.a = e.vec_id
+"""
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -49,10 +67,11 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op5_mix_sources": op5_mix_sources,
         "op7_jaccard_join": op7_jaccard_join,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL, "op7_jaccard_join": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_jaccard_join": OP7_SQL}
