@@ -60,7 +60,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     open_rows = cut(light.join(unsettled, ["n_bytes", "probe"]).select("doc_id", "text_sha256").distinct())
     texts = (
         whole.withColumn("text_sha256", F.sha2("bytes", 256)).alias("t")
-        .join(open_rows.alias("o"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.text_sha256") == F.col("o.text_sha256")))
+        .join(open_rows.hint("merge").alias("o"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.text_sha256") == F.col("o.text_sha256")))
         .select("t.doc_id", "t.text_sha256", "bytes", F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / block_bytes)).cast("int").alias("n_blocks"))
     )
     blocks = texts.select(
