@@ -166,7 +166,7 @@ def jaccard_join(
         .select("gid", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "band", "rep", "part")
     )
     groups = cut(listed.unionByName(large))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(groups.select("rep").distinct(), "rep", "left_semi").dropDuplicates(["rep"])
+    texts = docs.withColumnRenamed("doc_id", "rep").join(groups.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
     verified = cut(
         groups.join(same.select("rep", "copies", "bands"), "rep").join(texts, "rep")
         .select("gid", "bi", "bj", "band", "rep", "part", "copies", "bands", "text")
