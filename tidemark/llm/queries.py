@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dup, exact_dedup, mixing, near_dup
+from . import embedding_dup, exact_dedup, mixing, near_dup, packing, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -15,6 +15,14 @@ def op1_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_pack(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_mix_sources(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -68,7 +76,9 @@ def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
         "op3_embedding_dedup": op3_embedding_dedup,
+        "op4_pack": op4_pack,
         "op5_mix_sources": op5_mix_sources,
+        "op6_token_counts": op6_token_counts,
         "op7_jaccard_join": op7_jaccard_join,
     }
 
