@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dup, exact_dedup, mixing, near_dup, packing, token_counts
+from . import embedding_dup, exact_dedup, mixing, near_dup, packing, substring_dup, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -35,6 +35,10 @@ def op3_embedding_dedup(spark, sf_dir):
     return embedding_dup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op9_substring_dedup(spark, sf_dir):
+    return substring_dup.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
+
+
 OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -80,6 +84,7 @@ def queries():
         "op5_mix_sources": op5_mix_sources,
         "op6_token_counts": op6_token_counts,
         "op7_jaccard_join": op7_jaccard_join,
+        "op9_substring_dedup": op9_substring_dedup,
     }
 
 
