@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dup, exact_dedup, mixing, near_dup, packing, substring_dup, token_counts
+from . import embedding_dup, exact_dedup, lm_score, mixing, near_dup, packing, substring_dup, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -35,6 +35,10 @@ def op3_embedding_dedup(spark, sf_dir):
     return embedding_dup.embedding_dedup(table(spark, sf_dir, "embeddings"))
 
 
+def op2_lm_score(spark, sf_dir):
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dup.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -79,6 +83,7 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_lm_score": op2_lm_score,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_pack": op4_pack,
         "op5_mix_sources": op5_mix_sources,
