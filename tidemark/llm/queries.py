@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dup, exact_dedup, lm_score, mixing, near_dup, packing, substring_dup, token_counts
+from . import embedding_dup, exact_dedup, language_id, lm_score, mixing, near_dup, packing, quality, substring_dup, token_counts
 
 
 def table(spark, sf_dir, name):
@@ -39,6 +39,16 @@ def op2_lm_score(spark, sf_dir):
     return lm_score.lm_scores(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.train(docs, F.col("lang"), F.col("text"), key=F.col("doc_id"))
+    return language_id.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
+def op10_quality(spark, sf_dir):
+    return quality.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_substring_dedup(spark, sf_dir):
     return substring_dup.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
@@ -89,7 +99,9 @@ def queries():
         "op5_mix_sources": op5_mix_sources,
         "op6_token_counts": op6_token_counts,
         "op7_jaccard_join": op7_jaccard_join,
+        "op8_language_id": op8_language_id,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_quality": op10_quality,
     }
 
 
