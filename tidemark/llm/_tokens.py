@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
+from ._text import prefix_hash, span_hash
+
 MARK = " \x01"  # stands between words that are encoded in one string
 
 
@@ -27,7 +30,7 @@ def tokenizer(file: str):
 
 
 def ids_of(texts: list[str], file: str) -> list[list[int]]:
-    return [e.ids for e in tokenizer(file).encode_batch(texts, add_special_tokens=False)]
+    return [e.ids for e in tokenizer(file).encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class Words(dict):
@@ -72,27 +75,88 @@ class Counted(Words):
         return len(ids)
 
 
-class Encoded(Words):
-    """Little-endian unsigned 32-bit ids of words with a space before them, of a byte-level tokenizer that begins a token at such a space."""
+class Encoded:
+    """Ids of whole texts from a byte-level tokenizer that begins a token at every single space before a word.
 
-    lead = glue = " "
+    Texts are cut at spaces that a character other than white space follows; such a space always begins a token, so what lies between two
+    cuts can be encoded apart. Each different stretch is encoded once by the library and found again by its 64-bit hash.
+    """
 
-    def __init__(self, file: str):
-        super().__init__(file)
+    def __init__(self, file: str, most: int = 2_000_000):
+        self.file, self.most = file, most
         t = tokenizer(file)
         self.starts = np.zeros(t.get_vocab_size(), bool)
         self.starts[[k for token, k in t.get_vocab().items() if token.startswith("Ġ")]] = True
-
-    def joined(self, ids: list[int], n: int):
-        x = np.array(ids, "<u4")
-        at = np.flatnonzero(self.starts[x])
-        if len(at) != n or at[0]:
-            return None
-        data, at = x.tobytes(), [*(at * 4).tolist(), 4 * len(x)]
-        return [data[a:b] for a, b in zip(at[:-1], at[1:])]
-
-    def alone(self, ids: list[int]) -> bytes:
-        return np.array(ids, "<u4").tobytes()
+        self.follows = np.ones(256, bool)  # bytes after a space at which a text may be cut; those left out may begin white space
+        self.follows[[*range(0x21), 0x7F, *range(0x80, 0xC3), 0xE1, 0xE2, 0xE3]] = False
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.size, self.used = {}, np.zeros(1 << 16, np.int64), 0
+        self.at, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+
+    def keep(self, hashes: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+        n = len(hashes)
+        while self.used + n > len(self.size):
+            self.size, self.at = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.at, np.zeros_like(self.at)])
+        while self.filled + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.size[self.used : self.used + n] = sizes
+        self.at[self.used : self.used + n] = self.filled + np.cumsum(sizes) - sizes
+        self.pool[self.filled : self.filled + len(ids)] = ids
+        self.known.update(zip(hashes, range(self.used, self.used + n)))
+        self.used, self.filled = self.used + n, self.filled + len(ids)
+
+    def learn(self, hashes: list[int], stretches: list[str]) -> None:
+        joint = [(h, w) for h, w in zip(hashes, stretches) if w[0] == " "]
+        alone = [(h, w) for h, w in zip(hashes, stretches) if w[0] != " "]
+        for at in range(0, len(joint), 8192):
+            parts = [joint[k : k + 512] for k in range(at, min(len(joint), at + 8192), 512)]
+            for part, ids in zip(parts, ids_of(["".join(w for _, w in p) for p in parts], self.file)):
+                x = np.array(ids, np.uint32)
+                cuts = np.flatnonzero(self.starts[x])
+                if len(cuts) == len(part) and not cuts[0]:
+                    self.keep([h for h, _ in part], np.diff(cuts, append=len(x)), x)
+                else:
+                    alone += part
+        for at in range(0, len(alone), 1024):
+            part = alone[at : at + 1024]
+            lists = ids_of([w for _, w in part], self.file)
+            self.keep([h for h, _ in part], np.array([len(x) for x in lists]), np.concatenate([np.array(x, np.uint32) for x in lists]))
+
+    def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows, and the number of ids of each."""
+        n = len(buf)
+        if not n:
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        cut = np.zeros(n + 1, bool)
+        cut[: n - 1] = (buf[:-1] == 0x20) & self.follows[buf[1:]]
+        cut[offsets[1:] - 1] = False  # a row's last byte
+        cut[offsets] = True
+        cut[n] = False
+        start = np.flatnonzero(cut)
+        end = np.append(start[1:], n)
+        h = span_hash(prefix_hash(buf), start, end)
+        order = np.argsort(h)
+        sorted_h = h[order]
+        new = np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])
+        distinct = sorted_h[new].tolist()
+        if self.used > self.most:
+            self.forget()
+        index = np.fromiter(map(self.known.get, distinct, repeat(-1)), np.int64, len(distinct))
+        missing = np.flatnonzero(index < 0).tolist()
+        if missing:
+            one = order[new][missing]
+            data = buf.tobytes()
+            self.learn([distinct[k] for k in missing], [data[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist())])
+            index[missing] = np.fromiter(map(self.known.__getitem__, [distinct[k] for k in missing]), np.int64, len(missing))
+        which = np.empty(len(h), np.int64)
+        which[order] = index[np.cumsum(new) - 1]
+        sizes = self.size[which]
+        upto = np.cumsum(sizes)
+        ids = self.pool[np.repeat(self.at[which] - (upto - sizes), sizes) + np.arange(upto[-1])]
+        upto = np.concatenate([[0], upto])
+        return ids, np.diff(upto[np.searchsorted(start, offsets)])
 
 
 @lru_cache(maxsize=4)

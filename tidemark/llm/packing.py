@@ -14,7 +14,6 @@ keeps in constant time; powers of two below `length` are looked up. Partitions a
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._text import pieces, raw
-from ._tokens import encoded, ids_of, tokenizer
+from ._tokens import encoded, tokenizer
 
 OUT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -35,54 +34,33 @@ def sentence_ends(file: str) -> np.ndarray:
     return np.array([not set(".!?\n").isdisjoint(t.decode([k])) for k in range(t.get_vocab_size())])
 
 
-def plain(text: str) -> bool:
-    """Whether every run of white space is a single space or line end inside the text, so that its words can be encoded apart."""
-    return len(text.split()) == text.count(" ") + text.count("\n") + 1 and "<|" not in text
-
-
-def encode(texts: list[str], file: str) -> list[bytes]:
-    """Ids of each text. The tokenizer never joins what stands before a space to that space, so words with the space before them are encoded once each."""
-    cache, firsts = encoded(file), []
-    out: list = [None] * len(texts)
-    split = {k: t.split(" ") for k, t in enumerate(texts) if plain(t)}
-    for k, parts in split.items():
-        firsts.append(parts[0])
-        parts[0] = ""
-    words = set().union(*split.values())
-    words.discard("")
-    cache.learn(words)
-    get = cache.__getitem__
-    for (k, parts), first in zip(split.items(), ids_of(firsts, file)):
-        out[k] = np.array(first, "<u4").tobytes() + b"".join(map(get, parts[1:]))
-    for k, t in enumerate(texts):
-        if out[k] is None:
-            out[k] = np.array(tokenizer(file).encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-    return out
-
-
 def best_cuts(places: list[int], penalties: list[float], length: int, bare: tuple[int, ...]) -> list[int]:
     """Indexes into places (the first is the stream's start, the last its end) of the best cuts, first and last included."""
     n = len(places)
-    cost, back = [0.0] * n, [0] * n
-    at = {places[0]: 0}
-    queue = deque([(float(places[0]), 0)])  # cost + place, rising
+    cost, back, exact = [0.0] * n, [0] * n, [0] * len(bare)  # exact: the first node not further back than each power of two
+    keys, nodes, head = [float(places[0])], [0], 0  # cost + place, rising; nodes before head are out of reach
     for i in range(1, n):
         p = places[i]
         low = p - length
-        while places[queue[0][1]] < low:
-            queue.popleft()
-        value, j = queue[0]
-        best = value + length - p
-        for k in bare:
-            q = at.get(p - k)
-            if q is not None and cost[q] < best:
+        while places[nodes[head]] < low:
+            head += 1
+        j = nodes[head]
+        best = keys[head] + length - p
+        for k, size in enumerate(bare):
+            q, low = exact[k], p - size
+            while places[q] < low:
+                q += 1
+            exact[k] = q
+            if places[q] == low and cost[q] < best:
                 best, j = cost[q], q
         best += penalties[i]
-        cost[i], back[i], at[p] = best, j, i
+        cost[i], back[i] = best, j
         key = best + p
-        while queue and queue[-1][0] >= key:
-            queue.pop()
-        queue.append((key, i))
+        while len(keys) > head and keys[-1] >= key:
+            keys.pop()
+            nodes.pop()
+        keys.append(key)
+        nodes.append(i)
     path = [n - 1]
     while path[-1]:
         path.append(back[path[-1]])
@@ -90,14 +68,14 @@ def best_cuts(places: list[int], penalties: list[float], length: int, bare: tupl
 
 
 def pack_partition(batches, file: str, end_id: int, length: int, sentence: float, inside: float, stride: int, bare: tuple[int, ...], most: int, partition):
-    ends, end = sentence_ends(file), np.array([end_id], "<u4").tobytes()
+    ends = sentence_ends(file)
     serial = partition() << 32
     ids, docs, places, penalties, size = [], [], [0], [0.0], 0  # docs: [id, place in the stream, tokens before that place, tokens in all]
 
     def windows(keep_last: bool):
         """The rows of the windows found, and what is left of the stream."""
         nonlocal ids, docs, places, penalties, size, serial
-        stream = b"".join(ids)
+        stream = np.concatenate(ids)
         path = best_cuts(places, penalties, length, bare)
         if keep_last and len(path) > 2:
             path.pop()
@@ -107,13 +85,13 @@ def pack_partition(batches, file: str, end_id: int, length: int, sentence: float
             while d < len(docs) and docs[d][1] < high:
                 doc_id, place, before, total = docs[d]
                 s, e = max(low, place), min(high, place + total - before)
-                out.append((doc_id, before + s - place, e - s, zlib.crc32(stream[4 * s : 4 * e]), total, serial, s - low))
+                out.append((doc_id, before + s - place, e - s, zlib.crc32(stream[s:e]), total, serial, s - low))
                 if place + total - before > high:
                     break
                 d += 1
             serial += 1
         cut = places[path[-1]]
-        ids, docs = [stream[4 * cut :]], [[x, max(p, cut) - cut, b + max(0, cut - p), t] for x, p, b, t in docs[d:] if p + t - b > cut]
+        ids, docs = [stream[cut:]], [[x, max(p, cut) - cut, b + max(0, cut - p), t] for x, p, b, t in docs[d:] if p + t - b > cut]
         kept = path[-1]
         places, penalties, size = [0, *(p - cut for p in places[kept + 1 :])], [0.0, *penalties[kept + 1 :]], size - cut
         return out
@@ -125,39 +103,39 @@ def pack_partition(batches, file: str, end_id: int, length: int, sentence: float
     kind = None
     for batch in batches:
         kind = batch.column(0).type
-        column = batch.column(1)
-        for i, j in pieces(raw(column)[1], 1 << 20):
-            for doc_id, own in zip(batch.column(0).slice(i, j - i).to_pylist(), encode(column.slice(i, j - i).to_pylist(), file)):
-                x = np.frombuffer(own, "<u4")
-                total = len(x) + 1
-                stops = np.flatnonzero(ends[x]) + 1
-                stops = stops[stops < len(x)]
-                marks = np.concatenate([[0], stops, [total]])
-                gaps = np.diff(marks)
-                if gaps.max() > stride:  # places inside long sentences
-                    more = (gaps - 1) // stride
-                    extra = np.repeat(marks[:-1], more) + stride * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
-                    where = np.concatenate([stops, extra])
-                    cost = np.concatenate([np.full(len(stops), sentence), np.full(len(extra), inside)])
-                    order = np.argsort(where, kind="stable")
-                    where, cost = where[order], cost[order]
-                else:
-                    where, cost = stops, np.full(len(stops), sentence)
-                places += (where + size).tolist()
-                penalties += cost.tolist()
-                places.append(size + total), penalties.append(0.0)
-                docs.append([doc_id, size, 0, total])
-                ids += [own, end]
-                size += total
-                if size >= most:
-                    yield batch_of(windows(True), kind)
+        data, offsets = raw(batch.column(1))
+        for i, j in pieces(offsets, 1 << 20):
+            own, counts = encoded(file)(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            stop = np.cumsum(counts + 1)
+            x = np.full(stop[-1], end_id, np.uint32)
+            x[np.arange(len(own)) + np.repeat(np.arange(j - i), counts)] = own
+            sentences = np.flatnonzero(ends[x]) + 1
+            sentences = sentences[~np.isin(sentences, np.concatenate([stop, stop - 1]))]
+            where = np.concatenate([stop, sentences])
+            cost = np.concatenate([np.zeros(len(stop)), np.full(len(sentences), sentence)])
+            order = np.argsort(where)
+            where, cost = where[order], cost[order]
+            before = np.concatenate([[0], where[:-1]])
+            more = (where - before - 1) // stride  # places inside long sentences
+            if more.any():
+                extra = np.repeat(before, more) + stride * (np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more) + 1)
+                where, cost = np.concatenate([where, extra]), np.concatenate([cost, np.full(len(extra), inside)])
+                order = np.argsort(where)
+                where, cost = where[order], cost[order]
+            places += (where + size).tolist()
+            penalties += cost.tolist()
+            docs += [[d, size + b - n - 1, 0, n + 1] for d, b, n in zip(batch.column(0).slice(i, j - i).to_pylist(), stop.tolist(), counts.tolist())]
+            ids.append(x)
+            size += int(stop[-1])
+            if size >= most:
+                yield batch_of(windows(True), kind)
     if size:
         yield batch_of(windows(False), kind)
 
 
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str = "byte_bpe_50k.json", end_id: int = 0, length: int = 1024,
-    sentence: float = 2.0, inside: float = 12.0, stride: int = 32, bare: tuple[int, ...] = (512, 256), most: int = 1 << 19,
+    sentence: float = 2.0, inside: float = 12.0, stride: int = 40, bare: tuple[int, ...] = (512,), most: int = 1 << 19,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
