@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from tidemark.queries import frequency
+
+ALL = {**frequency.QUERIES}
+
 
 def queries():
-    return {}
+    return {name: q for name, (q, _) in ALL.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in ALL.items() if sql}
