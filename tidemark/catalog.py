@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.queries import frequency
+from tidemark.queries import frequency, samples, series
 
-ALL = {**frequency.QUERIES}
+ALL = {**frequency.QUERIES, **samples.QUERIES, **series.QUERIES}
 
 
 def queries():

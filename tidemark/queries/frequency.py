@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.hashing import PRIME, hashed_sql, text_number_sql
+from tidemark.functions.hashing import hashed_sql, text_number_sql
 from tidemark.operators.frequency import AMS, Bloom, CountMin, FlajoletMartin, hll, join_size, lossy_counts, merge_bits, merge_counters, sticky_counts
 
 from ._tables import table
@@ -92,12 +92,12 @@ SELECT coalesce(min(s), 0)::BIGINT AS join_size FROM (SELECT a.row, sum(a.cnt *
 
 
 def cm_continuous(spark, d):
-    return USERS.running(table(spark, d, "events"), "user_id", ["ts", "event_id"])
+    return USERS.running(table(spark, d, "events"), "user_id", ["ts", "event_id"]).drop("ts")
 
 
 CM_CONTINUOUS = f"""WITH spread AS ({' UNION ALL '.join(f"SELECT ts, event_id, user_id, {i} AS row, {hashed_sql('user_id', ab, USERS.width)} AS bucket FROM events" for i, ab in enumerate(USERS.hashes))}),
 run AS (SELECT *, count(*) OVER (PARTITION BY row, bucket ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cnt FROM spread)
-SELECT ts, event_id, user_id, min(cnt)::BIGINT AS estimate FROM run GROUP BY ALL"""
+SELECT event_id, user_id, min(cnt)::BIGINT AS estimate FROM run GROUP BY ALL"""
 
 
 def ams_sql(name: str, source: str, key: str) -> str:
