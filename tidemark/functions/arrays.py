@@ -15,12 +15,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def standard(x: Column) -> Column:
-    """An array centred and scaled to length one; a constant array becomes zeros."""
-    n = F.size(x)
-    mean = total(F.transform(x, lambda v: v.cast("double"))) / n
-    centred = F.transform(x, lambda v: v.cast("double") - mean)
+    """An array centred and scaled to length one; a constant array becomes zeros. Mean and length are arguments, not parts of a lambda, so each is computed once."""
+    values = F.transform(x, lambda v: v.cast("double"))
+    centred = F.zip_with(values, F.array_repeat(total(values) / F.size(x), F.size(x)), lambda v, m: v - m)
     length = F.sqrt(total(F.transform(centred, lambda v: v * v)))
-    return F.when(length > 1e-12, F.transform(centred, lambda v: v / length)).otherwise(F.transform(x, lambda v: F.lit(0.0)))
+    return F.zip_with(centred, F.array_repeat(length, F.size(x)), lambda v, n: F.when(n > 1e-12, v / n).otherwise(0.0))
 
 
 def pearson(a: Column, b: Column) -> Column:
