@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.queries import frequency, samples, series, similarity
+from tidemark.queries import engine, frequency, samples, series, similarity
 
-ALL = {**frequency.QUERIES, **samples.QUERIES, **series.QUERIES, **similarity.QUERIES}
+ALL = {**frequency.QUERIES, **samples.QUERIES, **series.QUERIES, **similarity.QUERIES, **engine.QUERIES}
 
 
 def queries():

@@ -54,22 +54,15 @@ def trajectory_sample(df: DataFrame, ship: str, order: list[str], period: float,
     """
 
     def keep(frames):
-        import math
+        from tidemark.functions.geo import far_apart
 
-        last: dict = {"ship": None}
+        at, last = None, None
         for frame in frames:
             chosen = []
-            for s, t, la, lo, c, v in zip(frame[ship], frame["t"], frame["lat"], frame["lon"], frame["course"], frame["speed"]):
-                new = last["ship"] != s
-                if not new:
-                    p = last["at"]
-                    a, b = math.radians(p[1]), math.radians(la)
-                    h = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin((math.radians(lo) - math.radians(p[2])) / 2) ** 2
-                    far = 2 * 6371008.8 * math.asin(math.sqrt(min(1.0, h)))
-                    missing = any(x is None or math.isnan(x) for x in (c, v, p[3], p[4]))
-                    new = t - p[0] > period or far > distance or missing or abs(c - p[3]) > course or abs(v - p[4]) > knots
+            for s, *now in zip(frame[ship], frame["t"], frame["lat"], frame["lon"], frame["course"], frame["speed"]):
+                new = s != at or far_apart(last, now, period, distance, knots, course)
                 if new:
-                    last = {"ship": s, "at": (t, la, lo, c, v)}
+                    at, last = s, now
                 chosen.append(new)
             yield frame[chosen]
 
