@@ -159,11 +159,11 @@ def merge_bits(*filters: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class FlajoletMartin:
-    """Distinct count from the lowest bits never set in m bitmaps (stochastic averaging)."""
+    """Distinct count from the lowest bits never set in m bitmaps (stochastic averaging). Keys of any kind are digested first, as the low
+    bits of a linear hash of consecutive numbers are too regular."""
 
     bitmaps: int = 64
     seed: int = 4
-    text: bool = False
 
     @property
     def hashes(self) -> list[tuple[int, int]]:
@@ -171,7 +171,7 @@ class FlajoletMartin:
 
     def build(self, df: DataFrame, key: str) -> DataFrame:
         """(slot, bitmap). A merge is bit_or by slot."""
-        x = number(F.col(key), self.text)
+        x = number(F.col(key), text=True)
         low = hashed(x, self.hashes[1]).bitwiseOR(F.lit(1 << 30).cast("long"))
         rows = df.filter(F.col(key).isNotNull()).select(hashed(x, self.hashes[0], self.bitmaps).alias("slot"), F.pow(F.lit(2), trailing_zeros(low)).cast("long").alias("bit"))
         return rows.groupBy("slot").agg(F.bit_or("bit").alias("bitmap"))

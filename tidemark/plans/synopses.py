@@ -87,7 +87,7 @@ class HyperLogLog(Synopsis):
 class FlajoletMartin(Synopsis):
     def __init__(self, spec):
         super().__init__(spec)
-        self.sketch = frequency.FlajoletMartin(spec.params.get("bitmaps", 64), text=True)
+        self.sketch = frequency.FlajoletMartin(spec.params.get("bitmaps", 64))
 
     def build(self, df):
         return self.sketch.build(df, self.spec.key)

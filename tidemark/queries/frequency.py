@@ -156,7 +156,7 @@ def fm_cardinality(spark, d):
     return DISTINCT.estimate(DISTINCT.build(table(spark, d, "lineitem"), "l_partkey"))
 
 
-FM = f"""WITH b AS (SELECT {hashed_sql('l_partkey', DISTINCT.hashes[0], 64)} AS slot, {hashed_sql('l_partkey', DISTINCT.hashes[1])} | (1::BIGINT << 30) AS h FROM lineitem),
+FM = f"""WITH b AS (SELECT {hashed_sql(text_number_sql('l_partkey'), DISTINCT.hashes[0], 64)} AS slot, {hashed_sql(text_number_sql('l_partkey'), DISTINCT.hashes[1])} | (1::BIGINT << 30) AS h FROM lineitem),
 m AS (SELECT slot, bit_or(h & -h) AS bitmap FROM b GROUP BY slot)
 SELECT round(64 / 0.77351 * pow(2.0, coalesce(sum(bit_count((~bitmap & -(~bitmap)) - 1)), 0) / 64), 4) AS estimate FROM m"""
 
