@@ -56,7 +56,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     light = cut(whole.select("doc_id", "n_bytes", probe.alias("probe"), F.sha2("bytes", 256).alias("text_sha256")))
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text_sha256")
 
-    unsettled = light.groupBy("n_bytes", "probe").agg(F.count("*").alias("alike")).filter("alike > 1").drop("alike")
+    unsettled = cut(light.groupBy("n_bytes", "probe").agg(F.count("*").alias("alike")).filter("alike > 1").drop("alike"))  # a table of its own, so that Spark can split the join's hot keys
     open_rows = cut(light.join(unsettled, ["n_bytes", "probe"]).select("doc_id", "text_sha256").distinct())
     texts = (
         whole.withColumn("text_sha256", F.sha2("bytes", 256)).alias("t")
@@ -80,7 +80,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     members = cut(light.withColumn("row_key", key).join(identity, "row_key", "left").select("doc_id", "text_sha256", "n_blocks", "name"))
     in_group, alone = members.filter("name IS NOT NULL"), members.filter("name IS NULL")
-    groups = in_group.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = cut(in_group.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")))
     out = ["doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"]
     return (
         in_group.join(groups, ["n_blocks", "name"]).select(*out)
