@@ -136,7 +136,7 @@ def verify(batches, threshold: float, width: int):
 
 def jaccard_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5,
-    recall: float = 0.9995, small: int = 128, block: int = 512,
+    recall: float = 0.9995, small: int = 128, block: int = 256,
 ) -> DataFrame:
     """One row per row of df: doc_id, class_id, n_links, n_copies, kept.
 
@@ -152,7 +152,7 @@ def jaccard_join(
     same = cut(signed.filter("n_words > 0").groupBy("n_words", "k1", "k2", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
 
     spread = same.select("rep", F.posexplode("bands").alias("band", "h"))
-    full = spread.groupBy("band", "h").agg(F.count("*").alias("m")).filter("m > 1")
+    full = cut(spread.groupBy("band", "h").agg(F.count("*").alias("m")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
     members = cut(spread.join(full, ["band", "h"]))
     lists = members.filter(F.col("m") <= small).groupBy("band", "h").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     lists = lists.groupBy("reps").agg(F.min("band").alias("band"))
