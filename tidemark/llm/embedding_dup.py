@@ -123,7 +123,7 @@ def embedding_dedup(
         )
         lists = cut(lists)
         blocks = F.ceil(F.col("m") / block).cast("int")
-        sizes = lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("m")).filter("m > 1")
+        sizes = cut(lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("m")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
         n_pivots = len(pivots)
         verified = cut(
             lists.join(sizes, ["label", "dim", "pivot"])
