@@ -271,7 +271,7 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         runs_.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s0", "n")).alias("one"))
         .select("h", "fp", "c", "one.*")
     )
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumn("parts", F.ceil(F.col("kinds") / shard).cast("int")).select("h", "parts")
+    anchors = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumn("parts", F.ceil(F.col("kinds") / shard).cast("int")).select("h", "parts"))  # a table of its own, so that Spark can split the join's hot keys
     wanted = kinds.join(anchors, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "fp", "parts", "s0", "n")).alias("wanted"))
     d, w = docs.alias("d"), wanted.hint("merge").alias("w")
     cut_out = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.text", "w.wanted")
