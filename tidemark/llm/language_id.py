@@ -131,7 +131,7 @@ def identify(
     top = first.agg(*sums).first()  # one row, a number for each language
     out = out.withColumn("sum_top", F.array(*[F.lit(float(x or 0.0)) for x in top]))
     for p in places:
-        out = out.join(first.groupBy(p).agg(*sums).select(p, F.array(*[f"s{k}" for k in range(n)]).alias(f"sum_{p}")), p)
+        out = out.join(cut(first.groupBy(p).agg(*sums).select(p, F.array(*[f"s{k}" for k in range(n)]).alias(f"sum_{p}"))), p)  # a table of its own, so that Spark can split the join's hot keys
     prior = F.array_repeat(F.lit(1.0 / n), n)
     for p in ["top", *places]:
         own = F.zip_with(f"sum_{p}", "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
