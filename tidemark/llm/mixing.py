@@ -109,7 +109,7 @@ def mix_sources(
         short = rounded.groupBy("skey").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).filter("abs(short) >= 1")
         movable = F.when(F.col("short") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") < 2 * F.abs("short")) & (F.col("size") > 0)
         moved = (
-            rounded.join(short, "skey").filter(movable)
+            rounded.join(cut(short), "skey").filter(movable).repartition("doc_id")  # so that a hot source's rows are spread before they are aggregated
             .groupBy("skey").agg(F.min_by(F.struct("doc_id", "short"), F.struct(F.abs(F.abs("short") - F.col("size")), "doc_id")).alias("m"))
             .select(F.col("m.doc_id").alias("doc_id"), "skey", F.signum("m.short").cast("long").alias("move"))
         )
