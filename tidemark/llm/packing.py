@@ -135,7 +135,7 @@ def pack_partition(batches, file: str, end_id: int, length: int, sentence: float
 
 def pack(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", file: str = "byte_bpe_50k.json", end_id: int = 0, length: int = 1024,
-    sentence: float = 2.0, inside: float = 12.0, stride: int = 40, bare: tuple[int, ...] = (512,), most: int = 1 << 19,
+    sentence: float = 2.0, inside: float = 12.0, stride: int = 20, bare: tuple[int, ...] = (512, 256), most: int = 1 << 19,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
