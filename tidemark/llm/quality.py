@@ -93,7 +93,10 @@ def count_patterns(batches):
 
 
 def fit_votes(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
-    """(posterior of good for every pattern, P(vote | class) as (class, heuristic, vote)) by expectation-maximisation from a majority start."""
+    """(posterior of good for every pattern, P(vote | class) as (class, heuristic, vote)) by expectation-maximisation from a majority start.
+
+    P is of votes that are given: an abstention says nothing, so that short texts, on which most heuristics abstain, aren't taken for bad ones.
+    """
     m = len(HEURISTICS)
     every = np.arange(3**m)[:, None] // 3 ** np.arange(m)[None, :] % 3
     count = np.zeros(len(every))
@@ -101,13 +104,13 @@ def fit_votes(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[n
     good, bad = (every == 1).sum(1), (every == 0).sum(1)
     post = (good + 1.0) / (good + 3 * bad + 2.0)  # one bad vote weighs as three good ones at the start
     for _ in range(rounds):
-        table = np.ones((2, m, 3))
+        table = np.ones((2, m, 2))
         for c, weight in ((0, count * (1 - post)), (1, count * post)):
-            for v in range(3):
+            for v in range(2):
                 table[c, :, v] += weight @ (every == v)
         table /= table.sum(2, keepdims=True)
         share = np.array([(count * (1 - post)).sum() + 1, (count * post).sum() + 1])
-        log = np.log(share / share.sum())[:, None] + sum(np.log(table[:, k, :])[:, every[:, k]] for k in range(m))
+        log = np.log(share / share.sum())[:, None] + sum(np.append(np.log(table[:, k, :]), [[0.0], [0.0]], 1)[:, every[:, k]] for k in range(m))
         after = 1 / (1 + np.exp(np.clip(log[0] - log[1], -500, 500)))
         moved, post = np.abs(after - post).max(), after
         if moved < 1e-9:
