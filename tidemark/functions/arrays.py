@@ -51,3 +51,13 @@ def projection(rows: int, columns: int, seed: int, signs: bool = False) -> list[
 def projected(x: Column, matrix: list[list[float]]) -> Column:
     """One number for each row of the matrix."""
     return F.array(*[dot(x, F.array(*map(F.lit, row))) for row in matrix])
+
+
+def ranks(x: Column) -> Column:
+    """Ranks from 1, the mean rank for ties."""
+    return F.transform(x, lambda v: F.size(F.filter(x, lambda y: y < v)) + (F.size(F.filter(x, lambda y: y == v)) + 1) / 2)
+
+
+def spearman(a: Column, b: Column) -> Column:
+    """Rank correlation of two short arrays, with the rule for constants of pearson."""
+    return pearson(ranks(a), ranks(b))

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.hashing import number
 from tidemark.operators.frequency import CountMin
+from tidemark.operators.merging import merged
 from tidemark.plans.engine import Engine
 from tidemark.sources.connectors import datapoints, multiplied
 
@@ -66,7 +67,20 @@ def datapoint_payload(spark, d):
 
 PAYLOAD = "SELECT 'events' AS dataset, json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS elements, round(sum(value), 2) AS total FROM events GROUP BY 2"
 
+def merged_partials(spark, d):
+    """Counts of each event type in four partitions, merged in four ways."""
+    part = table(spark, d, "events").groupBy("event_type", (F.col("user_id") % 4).alias("p")).agg(F.count("*").alias("n"), (F.max("value") > 480).alias("high"))
+    out = merged(part, ["event_type"], "n", "sum").withColumnRenamed("merged", "total")
+    for how, value in (("max", "n"), ("avg", "n"), ("or", "high")):
+        out = out.join(merged(part, ["event_type"], value, how, 4).withColumnRenamed("merged", how), "event_type")
+    return out.withColumnRenamed("max", "most").withColumnRenamed("avg", "mean").withColumnRenamed("or", "any_high")
+
+
+MERGED = """WITH p AS (SELECT event_type, user_id % 4 AS p, count(*) AS n, max(value) > 480 AS high FROM events GROUP BY 1, 2)
+SELECT event_type, sum(n)::BIGINT AS total, greatest(max(n), 0) AS most, (sum(n) // 4)::BIGINT AS mean, bool_or(high) AS any_high FROM p GROUP BY event_type"""
+
 QUERIES = {
+    "merged_partials": (merged_partials, MERGED),
     "request_lifecycle": (request_lifecycle, LIFECYCLE), "random_partitioning": (random_partitioning, RANDOM), "keyed_routing": (keyed_routing, ROUTING),
     "ingestion_multiplier": (ingestion_multiplier, "SELECT event_type, count(*) * 10 AS elements FROM events GROUP BY event_type"), "datapoint_payload": (datapoint_payload, PAYLOAD),
 }

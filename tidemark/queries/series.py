@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.arrays import spearman
 from tidemark.operators import series as S
 
 from ._tables import table
@@ -126,6 +127,20 @@ def past_dft_same_window(spark, d):
 PAST4 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.w = b.w AND a.user_id < b.user_id AND {NEAR}"
 
 
+def past_spearman(spark, d):
+    """Rank correlations of the pairs of windows with the same number."""
+    windows = past(spark, d)
+    pairs = S.correlated(S.prefixed(windows, "a"), S.prefixed(windows, "b"), "user_id", ["w"], F.col("a_user_id") != F.col("b_user_id"), PAST, COEFS)
+    strong = S.verified(pairs, PAST, LENGTH).withColumn("corr", spearman(F.col("a_vals"), F.col("b_vals")) + 0.0)
+    return ordered(strong)
+
+
+PAST_RANK = f"""WITH {PAST_SQL}, v AS (SELECT user_id, w, unnest(vals) AS v, unnest(range(len(vals))) AS i FROM r),
+k AS (SELECT user_id, w, i, (rank() OVER o + count(*) OVER (PARTITION BY user_id, w, v) / 2 - 0.5)::DOUBLE AS k FROM v WINDOW o AS (PARTITION BY user_id, w ORDER BY v)),
+p4 AS (SELECT a.user_id AS a_user_id, a.w AS a_w, b.user_id AS b_user_id, b.w AS b_w FROM n a JOIN n b ON a.w = b.w AND a.user_id < b.user_id AND {NEAR})
+SELECT a_user_id, a_w, b_user_id, b_w, round(corr(x.k, y.k), 6) + 0.0 AS corr FROM p4 JOIN k x ON x.user_id = a_user_id AND x.w = a_w JOIN k y ON y.user_id = b_user_id AND y.w = b_w AND y.i = x.i GROUP BY a_user_id, a_w, b_user_id, b_w"""
+
+
 def past_dft_latest(spark, d):
     """The latest window of given users against all windows of others within a day."""
     windows = past(spark, d)
@@ -212,7 +227,7 @@ PHASES = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (value < 100)
 
 QUERIES = {
     "dft_basic": (dft_basic, DFT_BASIC), "dft_sliding": (dft_sliding, DFT_SLIDING), "dft_corr_pairs": (dft_corr_pairs, DFT_PAIRS),
-    "past_dft_near_given": (past_dft_near_given, PAST1), "past_dft_among_given": (past_dft_among_given, PAST2), "past_dft_any_time": (past_dft_any_time, PAST3), "past_dft_same_window": (past_dft_same_window, PAST4), "past_dft_latest": (past_dft_latest, PAST5),
+    "past_dft_near_given": (past_dft_near_given, PAST1), "past_dft_among_given": (past_dft_among_given, PAST2), "past_dft_any_time": (past_dft_any_time, PAST3), "past_dft_same_window": (past_dft_same_window, PAST4), "past_dft_latest": (past_dft_latest, PAST5), "past_spearman": (past_spearman, PAST_RANK),
     "gap_fill": (gap_fill, GAP_FILL), "interpolation": (interpolation, INTERPOLATION), "returns_windows": (returns_windows, RETURNS), "finjoin_segments": (finjoin_segments, FINJOIN), "finjoin_dft": (finjoin_dft, FINJOIN_DFT),
     "counters_last": (counters_last, COUNTERS), "phase_counts": (phase_counts, PHASES),
 }

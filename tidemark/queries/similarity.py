@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import projection
+from tidemark.functions.arrays import projected, projection
 from tidemark.operators import clustering, similarity
 from tidemark.operators import series as S
 
@@ -64,6 +64,19 @@ def naive_pearson(spark, d):
 
 NAIVE = f"WITH {Z} SELECT a.vec_id AS probe, b.vec_id AS other, round(list_dot_product(a.z, b.z), 6) AS corr FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE a.vec_id % 101 = 0 AND round(list_dot_product(a.z, b.z), 6) >= {CORR}"
 
+SKETCH = 20
+
+
+def sketch_pearson(spark, d):
+    """The same on radius sketches of the vectors."""
+    rows = similarity.scaled(vectors(spark, d), "embedding").select("vec_id", projected(F.col("z"), projection(SKETCH, DIMS, 34, signs=True)).alias("sketch"))
+    return similarity.probes_against_all(rows, rows.filter("vec_id % 101 = 0"), "vec_id", "sketch", 0.5)
+
+
+SKETCH_PEARSON = f"""WITH {Z}, s AS (SELECT vec_id, {product_sql('z', projection(SKETCH, DIMS, 34, signs=True))} AS s FROM z),
+m AS (SELECT vec_id, list_transform(s, lambda x: x - list_avg(s)) AS c FROM s), n AS (SELECT vec_id, c, sqrt(list_dot_product(c, c)) AS l FROM m)
+SELECT a.vec_id AS probe, b.vec_id AS other, round(list_dot_product(a.c, b.c) / (a.l * b.l), 6) AS corr FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 101 = 0 AND round(list_dot_product(a.c, b.c) / (a.l * b.l), 6) >= 0.5"""
+
 KINDS, WIDTH, STEP, SIM_BITS, SIM = ["click", "view", "purchase"], 10, 5, 20, 0.6
 WEIGHTS = [0.5, 0.25, 0.25]
 
@@ -127,6 +140,6 @@ def coreset_kmeans(spark, d):
 
 
 QUERIES = {
-    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "naive_pearson": (naive_pearson, NAIVE),
+    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
     "wlsh_windows": (wlsh_windows, WLSH), "wlsh_nearest": (wlsh_nearest, WLSH1), "wlsh_similar": (wlsh_similar, WLSH3), "coreset_points": (coreset_points, CORESET), "coreset_kmeans": (coreset_kmeans, None),
 }
