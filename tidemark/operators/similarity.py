@@ -101,11 +101,13 @@ def simulation_pairs(windows: DataFrame, sim: str, threshold: float, bits: int,
     the angle's width apart; of these, those with the threshold's weighted correlation. Each window has a bucket of weights and copies in the one below."""
     width = angle_width(threshold, bits)
     z = windows.withColumn("z", F.transform("vals", standard)).withColumn("bucket", F.expr(f"hw div {width}"))
-    a = z.select(F.col(sim).alias("a_sim"), F.col("start").alias("a_start"), F.col("hw").alias("a_hw"), F.col("z").alias("a_z"), F.explode(F.expr("sequence(bucket - 1, bucket + 1)")).alias("bucket"))
-    b = z.select(F.col(sim).alias("b_sim"), F.col("start").alias("b_start"), F.col("hw").alias("b_hw"), F.col("z").alias("b_z"), "bucket")
+    a = z.select(F.col(sim).alias("a_sim"), F.col("start").alias("a_start"), F.col("hw").alias("a_hw"), F.explode(F.expr("sequence(bucket - 1, bucket + 1)")).alias("bucket"))
+    b = z.select(F.col(sim).alias("b_sim"), F.col("start").alias("b_start"), F.col("hw").alias("b_hw"), "bucket")
     met = a.join(b, "bucket").filter("a_sim <> b_sim").withColumn("gap", F.abs(F.col("a_hw") - F.col("b_hw"))).filter(F.col("gap") <= width)
     nearest = Window.partitionBy("a_sim", "a_start").orderBy("gap", "b_sim", "b_start")
-    best = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)
+    best = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)  # on ids alone; the values of the k chosen are joined
+    for p in "ab":
+        best = best.join(z.select(F.col(sim).alias(f"{p}_sim"), F.col("start").alias(f"{p}_start"), F.col("z").alias(f"{p}_z")), [f"{p}_sim", f"{p}_start"])
     return best.withColumn("corr", weighted_correlation(F.col("a_z"), F.col("b_z"), weights)).filter(F.col("corr") >= threshold).select("a_sim", "a_start", "b_sim", "b_start", "gap", "corr")
 
 
