@@ -40,9 +40,12 @@ def op2_lm_score(spark, sf_dir):
 
 
 def op8_language_id(spark, sf_dir):
+    """A row for each page (page_id), with all kinds of evidence, and for each document (doc_id), whose column lang is its declaration and source its host."""
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs, F.col("lang"), F.col("text"), key=F.col("doc_id"))
-    return language_id.identify_pages(table(spark, sf_dir, "pages"), model)
+    pages = language_id.identify_pages(table(spark, sf_dir, "pages"), model).withColumn("doc_id", F.lit(None).cast("long"))
+    documents = language_id.identify_documents(docs, model).drop("key").withColumns({"page_id": F.lit(None).cast("long"), "host": F.lit(None).cast("string")})
+    return documents.unionByName(pages)
 
 
 def op10_quality(spark, sf_dir):
