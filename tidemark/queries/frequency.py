@@ -64,7 +64,6 @@ def cm_bound(spark, d):
     lines = table(spark, d, "lineitem")
     true = lines.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("weight"))
     both = PARTS.estimate(PARTS.build(lines, "l_partkey", "l_quantity"), true, "l_partkey").join(true, "l_partkey")
-    every = true.agg(F.sum("weight").alias("n"))
     out = both.agg(F.count("*").alias("parts"), F.bool_and(F.col("estimate") >= F.col("weight")).alias("never_under"), F.sum("estimate").alias("estimates"), F.max(F.col("estimate") - F.col("weight")).alias("worst"), F.sum("weight").alias("weights"))
     return out.select("parts", "never_under", (F.col("worst") <= F.lit(PARTS.eps * 2) * F.col("weights")).alias("within"))
 
