@@ -28,7 +28,7 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def runs(batches, keys: list[str], most_rows: int = 4096, most_bytes: int = 8 << 20):
+def runs(batches, keys: list[str], most_rows: int = 4096, most_bytes: int = 4 << 20):
     """Tables of whole groups from record batches sorted by keys; a table holds several small groups, or one large one."""
     held, rows, size = [], 0, 0
     for batch in batches:

@@ -52,7 +52,7 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def pieces(offsets: np.ndarray, most: int = 4 << 20):
+def pieces(offsets: np.ndarray, most: int = 1 << 20):
     """Row ranges (from, to) of at most about `most` bytes; a longer row stands alone."""
     n, i = len(offsets) - 1, 0
     while i < n:

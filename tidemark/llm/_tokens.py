@@ -40,7 +40,7 @@ class Words(dict):
     `joined` gives that string's parts back or None where they can't be told apart, and such words are encoded alone.
     """
 
-    def __init__(self, file: str, most: int = 1_200_000):
+    def __init__(self, file: str, most: int = 800_000):
         super().__init__()
         self.file, self.most = file, most
 
@@ -82,7 +82,7 @@ class Encoded:
     cuts can be encoded apart. Each different stretch is encoded once by the library and found again by its 64-bit hash.
     """
 
-    def __init__(self, file: str, most: int = 2_000_000):
+    def __init__(self, file: str, most: int = 1_000_000):
         self.file, self.most = file, most
         t = tokenizer(file)
         self.starts = np.zeros(t.get_vocab_size(), bool)

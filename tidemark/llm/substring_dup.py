@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._spark import cut, runs
 from ._text import pieces, prefix_hash, raw, span_hash
 
-SEGMENT = 4 << 20
+SEGMENT = 1 << 20
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
