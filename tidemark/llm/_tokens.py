@@ -82,7 +82,7 @@ class Encoded:
     cuts can be encoded apart. Each different stretch is encoded once by the library and found again by its 64-bit hash.
     """
 
-    def __init__(self, file: str, most: int = 1_000_000):
+    def __init__(self, file: str, most: int = 400_000):
         self.file, self.most = file, most
         t = tokenizer(file)
         self.starts = np.zeros(t.get_vocab_size(), bool)
