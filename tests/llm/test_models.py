@@ -63,6 +63,13 @@ def test_lm_scores(spark, order, most_words):
     assert lm_score.lm_scores(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("order,most_nodes", [(3, 0), (6, 40)])
+def test_lm_scores_do_not_depend_on_what_tasks_get(spark, order, most_nodes):
+    df = awkward(spark).filter("text IS NULL OR length(text) < 5000")
+    got = lm_score.lm_scores(df, order=order, most_nodes=most_nodes, most_words=30).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == brute_lm([(r.doc_id, r.text) for r in df.collect()], order)
+
+
 def test_lm_without_training_rows_is_uniform(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     got = lm_score.lm_scores(spark.createDataFrame([(i, "abc") for i in held], "doc_id long, text string")).collect()

@@ -1,23 +1,27 @@
 """LM scoring by prediction by partial matching, beside a word unigram baseline.
 
 Training counts, over all documents that are not held out, every byte (or end of text) after its context of `order` bytes; places
-before the start of a text are a symbol of their own, so that counts of shorter contexts are sums over longer ones. The trie keeps the
-most frequent of its entries up to `most_nodes`; as a shorter context is never rarer, what is kept is closed under shortening. That
-bound is the size of what each task gets.
+before the start of a text are a symbol of their own, so that counts of shorter contexts are sums over longer ones. The trie is a table
+for each order and keeps every entry.
 
 A symbol's probability is that of method D: in the longest context that the trie has, (2n - 1) / 2T for a symbol seen there n times of T;
-what is left, half a count for each symbol and all counts of entries that the trie does not keep, is the escape to the context shortened
-by one, where the symbols of the longer one are excluded. Below the empty context, all symbols not yet excluded are alike. The
-probabilities of a text's symbols, its end included, are those of a proper distribution over texts.
+what is left, half a count for each symbol, is the escape to the context shortened by one, where the symbols of the longer one are
+excluded. Below the empty context, all symbols not yet excluded are alike. The probabilities of a text's symbols, its end included, are
+those of a proper distribution over texts.
+
+Each distinct place (context and symbol) is scored once: places of the training texts by their own counts, others by joins from order to
+order. The log probabilities of the most frequent places (at most `most_nodes`) are given to each task; those of all others are joined.
 
 The baseline counts words. The most frequent words are given to each task (at most `most_words`), the others are looked up by a join.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import cut
@@ -99,6 +103,7 @@ def frequent(counts: DataFrame, most: int) -> int:
 class Trie:
     """Sorted entries and contexts of each order, with what escapes cost.
 
+    The model in memory, for tries that fit; a pruned one (closed under shortening) lets what it does not keep escape.
     A context's T is the count of the entry, one order lower, whose context and symbol spell it: every symbol but the end has one after it.
     The context of a text's start has one for each text; the empty context has all.
     """
@@ -165,41 +170,74 @@ class Trie:
         return out
 
 
-def score_partition(batches, trie: tuple, common: tuple[np.ndarray, np.ndarray], order: int):
-    """doc_id, held_out, text -> doc_id, held_out, n_tokens, known, base (sum of log10(c + 0.1) over common words), rare (hashes of the others), score."""
-    keys, logs = common
-    trie = Trie(*trie)
+def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each asked key (0 where sorted `keys` lack it), and whether it is there."""
+    value, found = np.zeros(len(asked)), np.zeros(len(asked), bool)
+    if len(keys):
+        by = np.argsort(asked)
+        place = np.minimum(np.searchsorted(keys, asked[by]), len(keys) - 1)
+        found[by] = keys[place] == asked[by]
+        value[by] = values[place]
+        value[~found] = 0.0
+    return value, found
+
+
+def score_partition(batches, places: tuple[np.ndarray, np.ndarray], common: tuple[np.ndarray, np.ndarray], order: int):
+    """doc_id, held_out, text -> doc_id, held_out, n_tokens, known, base (sum of log10(c + 0.1) over common words), rare (hashes of the others),
+    score (sum of the logs of common places), open (keys of the others)."""
+
+    def lists(values, row, rows):
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32), pa.array(values.view(np.int64)))
+
     for batch in batches:
         data, offsets = raw(batch.column(2))
         for i, j in pieces(offsets, 1 << 20):
             buf, at = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
             g, sizes = grams(buf, at, order)
-            by = np.argsort(g)
-            row = np.repeat(np.arange(j - i), sizes)[by]
-            g = g[by]
-            new = np.concatenate([[True], g[1:] != g[:-1]])
-            log = trie.scores(g[new])[np.cumsum(new) - 1]
+            row = np.repeat(np.arange(j - i), sizes)
+            log, found = looked_up(*places, g)
             score = np.bincount(row, weights=log, minlength=j - i)
+            open_ = lists(g[~found], row[~found], j - i)
 
             h, first = word_hashes(buf, at)
             row = np.repeat(np.arange(j - i), np.diff(first))
-            by = np.argsort(h)
-            place = np.searchsorted(keys, h[by])
-            found = np.zeros(len(h), bool)
-            if len(keys):
-                found[by] = keys[np.minimum(place, len(keys) - 1)] == h[by]
-            value = np.zeros(len(h))
-            value[by] = logs[np.minimum(place, len(keys) - 1)] if len(keys) else 0.0
+            value, found = looked_up(*common, h)
             known = np.bincount(row[found], minlength=j - i)
-            base = np.bincount(row[found], weights=value[found], minlength=j - i).astype(np.float64)
-            rare, n_rare = h[~found], np.bincount(row[~found], minlength=j - i)
+            base = np.bincount(row, weights=value, minlength=j - i).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base),
-                 pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n_rare)]).astype(np.int32), pa.array(rare.view(np.int64))), pa.array(score)],
-                ["doc_id", "held_out", "n_tokens", "known", "base", "rare", "score"],
+                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), lists(h[~found], row[~found], j - i), pa.array(score), open_],
+                ["doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "open"],
             )
 
 
+def unseen(keys: DataFrame, levels: list[DataFrame], symbols_seen: int) -> DataFrame:
+    """(key, log) of distinct places that no training text has; levels are the trie's entries (key, n) from order 0 up.
+
+    At each order, the contexts that are asked for get T, the number of their symbols and, for the next order, what these count there;
+    a place is settled at the first order that has it. Tables of contexts of two bytes or less are small whatever the input.
+    """
+    settled = []
+    open_ = keys.select("key", F.lit(0.0).alias("log"), F.lit(None).cast("long").alias("excluded"))
+    for k in range(len(levels) - 1, -1, -1):
+        own = F.col("key").bitwiseAND((1 << 9 * (k + 1)) - 1)
+        open_ = open_.withColumn("own", own).withColumn("context", F.shiftright("own", 9))
+        entries = levels[k].select(F.col("key").alias("own"), "n")
+        inside = entries.withColumn("context", F.shiftright("own", 9)).join(open_.select("context").distinct(), "context", "left_semi")
+        counts = F.lit(None).cast("long")
+        if k:
+            inside = inside.withColumn("shorter", F.col("own").bitwiseAND((1 << 9 * k) - 1)).join(levels[k - 1].select(F.col("key").alias("shorter"), F.col("n").alias("below")), "shorter")
+            counts = F.sum(2 * F.col("below") - 1)
+        contexts = inside.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), counts.alias("next"))
+        at = open_.join(F.broadcast(contexts) if k < 3 else contexts, "context", "left").join(F.broadcast(entries) if k < 2 else entries, "own", "left")
+        left = F.log10(2 * F.col("total") - F.coalesce("excluded", F.lit(0)))
+        gain = F.when(F.col("n").isNotNull(), F.log10(2 * F.col("n") - 1) - left).when(F.col("total").isNotNull(), F.log10("kinds") - left).otherwise(0.0)
+        step = cut(at.select("key", (F.col("log") + gain).alias("log"), F.col("next").alias("excluded"), F.col("n").isNotNull().alias("hit")))
+        settled.append(step.filter("hit").select("key", "log"))
+        open_ = step.filter("NOT hit").drop("hit")
+    settled.append(open_.select("key", (F.col("log") - float(np.log10(max(SYMBOLS - symbols_seen, 1)))).alias("log")))
+    return reduce(DataFrame.unionByName, settled)
+
+
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 6, most_nodes: int = 1 << 20, most_words: int = 1 << 20) -> DataFrame:
     """One row per row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -218,24 +256,20 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
     def count_words(it):
         return count_partition(it, lambda b, o: word_hashes(b, o)[0])
 
-    level = cut(train.mapInArrow(count_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    levels = [level.withColumn("k", F.lit(order))]
+    whole = Window.partitionBy(F.shiftright("key", 9))
+    level = train.mapInArrow(count_grams, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    level = cut(level.withColumn("log", F.log10(2 * F.col("n") - 1) - F.log10(2 * F.sum("n").over(whole))))
+    seen, levels = level, [level]
     for k in range(order - 1, -1, -1):
         level = level.groupBy(F.col("key").bitwiseAND((1 << 9 * (k + 1)) - 1).alias("key")).agg(F.sum("n").alias("n"))
         level = cut(level)
-        levels.append(level.withColumn("k", F.lit(k)))
-    symbols = int(levels[-1].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    entries = levels[0]
-    for x in levels[1:]:
-        entries = entries.unionByName(x)
-    least = frequent(entries, most_nodes)
-    per_order = []
-    for x in levels[::-1]:
-        kept = x.filter(F.col("n") >= least).select("key", "n").toArrow()  # at most most_nodes rows in all
-        keys, n = kept.column("key").to_numpy().astype(np.uint64), kept.column("n").to_numpy()
-        by = np.argsort(keys)
-        per_order.append((keys[by], n[by]))
-        del kept
+        levels.insert(0, level)
+    least = frequent(seen, most_nodes)
+    kept = seen.filter(F.col("n") >= least).select("key", "log").toArrow()  # at most most_nodes rows
+    places, place_logs = kept.column("key").to_numpy().astype(np.uint64), kept.column("log").to_numpy()
+    del kept
+    by = np.argsort(places)
+    places, place_logs = places[by], place_logs[by]
 
     counts = cut(train.mapInArrow(count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -245,19 +279,24 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
     hashes, logs = top.column("key").to_numpy().astype(np.uint64), np.log10(top.column("n").to_numpy() + 0.1)
     by = np.argsort(hashes)
     sc = df.sparkSession.sparkContext
-    box, common = sc.broadcast((per_order, ends, symbols)), sc.broadcast((hashes[by], logs[by]))
+    box, common = sc.broadcast((places, place_logs)), sc.broadcast((hashes[by], logs[by]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(lambda it: score_partition(it, box.value, common.value, order), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double")
+    scored = docs.mapInArrow(lambda it: score_partition(it, box.value, common.value, order), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, open array<long>")
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = (
         scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
         .join(counts.filter(F.col("n") < least_word), "key", "left")
         .groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"))
     )
+    open_ = scored.select("row", "held_out", F.explode("open").alias("key"))
+    infrequent = seen.filter(F.col("n") < least).select("key", "log")
+    novel = cut(open_.filter("held_out").select("key").distinct().join(infrequent, "key", "left_anti"))  # training texts have none
+    logs = infrequent.unionByName(unseen(novel, levels, levels[0].count()))
+    joined = open_.select("row", "key").join(logs, "key").groupBy("row").agg(F.sum("log").alias("open_score"))
     log_whole, log_end = float(np.log10(total + 0.1 * (kinds + 1))), float(np.log10(ends + 0.1))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return scored.join(rare, "row", "left").select(
+    return scored.drop("rare", "open").join(rare, "row", "left").join(joined, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + zero("rare_known") + int(ends > 0)).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + zero("rare_base") + log_end - F.col("n_tokens") * log_whole).alias("base_score"), "score",
+        (F.col("base") + zero("rare_base") + log_end - F.col("n_tokens") * log_whole).alias("base_score"), (F.col("score") + zero("open_score")).alias("score"),
     )
