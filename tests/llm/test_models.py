@@ -131,6 +131,17 @@ def test_awkward_documents_have_a_language_row(spark, model):
     assert language_id.identify_documents(df, language_id.train(empty(spark), F.col("lang"), F.col("text"))).filter("accepted").count() == 0
 
 
+def test_text_of_no_known_language_is_not_accepted(spark, model):
+    strange = [
+        "Все люди рождаются свободными и равными в своем достоинстве и правах", "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw",
+        "qzvkx jwpfh gtrbn zxqwv kjhgf plmok ijnuh bygvt fcrdx eszwa", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08",
+    ]
+    rows = [(k, t, said, "web") for k, t in enumerate(strange) for said in (None, "en")] + [(100 + k, "the of and with from that this", "en", "web") for k in range(200)]
+    got = language_id.identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), model).collect()
+    assert all((r.lang, r.accepted) == (("en", True) if r.doc_id >= 100 else ("und", False)) for r in got)
+
+
 def test_quality_agrees_with_labels_it_has_not_seen(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality_scores(docs, most_rows=2000).join(labels, "doc_id")

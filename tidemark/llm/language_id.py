@@ -7,6 +7,10 @@ The posterior of a row's language multiplies
 - a prior for its place: everywhere, address suffix, domain, host - each level is smoothed with the one above by `kappa` pseudo-rows.
   The levels' counts are sums, by grouped aggregation over all rows, of the posterior from text and declaration alone, and a row's own
   share is taken off before its prior is formed.
+
+Beside the known languages stands an unknown one, to which every trigram is alike. Its prior is one part of n + 1 everywhere, so that
+neither a place nor the size of a table decides whether a text fits a known language. Known languages are smoothed towards it by
+`SMOOTH` of their total, whatever that is: text of none of them is less likely under each than under the unknown one.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from ._spark import cut
 from ._text import LOWER, pieces, raw
 
 BUCKETS = 1 << 16
+SMOOTH = 0.1
 
 
 def trigrams(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,14 +67,15 @@ def count_trigrams(batches):
 
 
 def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = 20_000, key: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages in order and log frequencies (language, bucket) from about `most_rows` rows, chosen by the hash of their key."""
+    """Languages in order and log frequencies (language, bucket), the unknown language's last, from about `most_rows` rows, chosen by the hash of their key."""
     named = rows.select(lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"), (F.xxhash64(key if key is not None else text) / F.lit(2.0**64) + 0.5).alias("u")).filter("lang IS NOT NULL")
     share = min(1.0, most_rows / max(1, rows.select(lang.alias("lang")).filter("lang IS NOT NULL").count()))
     found = named.filter(F.col("u") <= share).select("lang", "text").mapInArrow(count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
-    n = np.full((max(1, len(langs)), BUCKETS), 0.5)
+    n = np.zeros((len(langs), BUCKETS))
     np.add.at(n, (found["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(dtype=int), found["bucket"].to_numpy(dtype=int)), found["n"].to_numpy(dtype=float))
-    return langs, np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
+    known = (1 - SMOOTH) * n / n.sum(1, keepdims=True) + SMOOTH / BUCKETS
+    return langs, np.log(np.concatenate([known, np.full((1, BUCKETS), 1 / BUCKETS)])).astype(np.float32)
 
 
 def likelihoods(batches, model: np.ndarray, evidence: float):
@@ -107,7 +113,8 @@ def identify(
     """The columns `keep` of each row with lang, confidence, text_lang, declared and accepted.
 
     levels go from the widest (an address suffix) to the narrowest (a host). lang is und, and the row not accepted, where the text has
-    no letter or the best language has a posterior under `least`. Null texts are empty, null places are a place of their own, a null
+    no letter, or the best known language has a posterior under `least` (the unknown language has the rest). text_lang is und where the
+    text alone fits the unknown language best. Null texts are empty, null places are a place of their own, a null
     or unknown declaration is no evidence. Repeated rows are rows like any other; an empty table gives no rows.
     """
     langs, logs = model
@@ -123,8 +130,9 @@ def identify(
     names = F.array(*map(F.lit, langs))
     wrong = (1 - trust) / max(1, n - 1)
     said = [F.when(F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False)), F.when(F.col("declared") == x, math.log(trust)).otherwise(math.log(wrong))).otherwise(0.0) for x in langs]
-    scored = scored.withColumn("ll2", F.array(*[F.col("ll")[k] + said[k] for k in range(n)]))
-    first = cut(scored.withColumn("post", F.when(F.col("letters") > 0, softmax(F.col("ll2"))).otherwise(F.array_repeat(F.lit(0.0), n))))
+    said.append(F.when(F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False)), math.log(wrong)).otherwise(0.0))  # the unknown language's
+    scored = scored.withColumn("ll2", F.array(*[F.col("ll")[k] + said[k] for k in range(n + 1)]))
+    first = cut(scored.withColumn("post", F.when(F.col("letters") > 0, F.slice(softmax(F.col("ll2")), 1, n)).otherwise(F.array_repeat(F.lit(0.0), n))))
 
     sums = [F.sum(F.col("post")[k]).alias(f"s{k}") for k in range(n)]
     out = first
@@ -137,8 +145,10 @@ def identify(
         own = F.zip_with(f"sum_{p}", "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
         total = F.aggregate(own, F.lit(0.0), lambda s, y: s + y)
         out = out.withColumn("own", own).withColumn("total", total).withColumn("prior", F.zip_with("own", prior if p == "top" else F.col("prior"), lambda a, q: (a + kappa * q) / (F.col("total") + kappa)))
-    fused = softmax(F.zip_with("ll2", "prior", lambda a, q: a + F.log(q)))
-    best = lambda x: names[(F.array_position(x, F.array_max(x)) - 1).cast("int")]
+    priors = F.concat(F.transform("prior", lambda q: q * (n / (n + 1))), F.array(F.lit(1 / (n + 1))))
+    fused = F.slice(softmax(F.zip_with("ll2", priors, lambda a, q: a + F.log(q))), 1, n)
+    classes = F.array(*map(F.lit, [*langs, "und"]))
+    best = lambda x: classes[(F.array_position(x, F.array_max(x)) - 1).cast("int")]
     out = out.withColumn("fused", fused).withColumn("confidence", F.when(F.col("letters") > 0, F.round(F.array_max("fused"), 6)).otherwise(0.0))
     accepted = (F.col("letters") > 0) & (F.col("confidence") >= least)
     return out.select(*keep, F.when(accepted, best(F.col("fused"))).otherwise("und").alias("lang"), "confidence", F.when(F.col("letters") > 0, best(F.col("ll"))).otherwise("und").alias("text_lang"), "declared", accepted.alias("accepted"))
