@@ -142,6 +142,14 @@ def test_text_of_no_known_language_is_not_accepted(spark, model):
     assert all((r.lang, r.accepted) == (("en", True) if r.doc_id >= 100 else ("und", False)) for r in got)
 
 
+def test_rare_language_is_known_at_any_size(spark):
+    ids = spark.range(3000).withColumn("u", F.xxhash64("id") / F.lit(2.0**64) + 0.5)
+    last = [r.id for r in ids.orderBy(F.desc("u")).limit(3).collect()]  # the last that a flat sample takes
+    rows = ids.withColumn("lang", F.when(F.col("id").isin(last), "fi").otherwise("en")).withColumn("text", F.when(F.col("lang") == "fi", "kaikki ihmiset syntyvät vapaina").otherwise("the of and with from that this"))
+    langs, logs = language_id.train(rows, F.col("lang"), F.col("text"), most_rows=100, key=F.col("id"))
+    assert langs == ["en", "fi"] and len(logs) == 3
+
+
 def test_quality_agrees_with_labels_it_has_not_seen(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality_scores(docs, most_rows=2000).join(labels, "doc_id")

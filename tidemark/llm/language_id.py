@@ -1,8 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 The posterior of a row's language multiplies
-- the likelihood of its text: hashed byte trigrams under smoothed frequencies of each language, trained on a bounded sample of rows with
-  a known language; trigrams overlap, so a text counts as at most `evidence` independent ones,
+- the likelihood of its text: hashed byte trigrams under smoothed frequencies of each language, trained on a bounded sample of
+  each declared language's rows; trigrams overlap, so a text counts as at most `evidence` independent ones,
 - the likelihood of what it declares (a markup language attribute or a column): right with probability `trust`, if it names a known language,
 - a prior for its place: everywhere, address suffix, domain, host - each level is smoothed with the one above by `kappa` pseudo-rows.
   The levels' counts are sums, by grouped aggregation over all rows, of the posterior from text and declaration alone, and a row's own
@@ -67,10 +67,12 @@ def count_trigrams(batches):
 
 
 def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = 20_000, key: Column | None = None) -> tuple[list[str], np.ndarray]:
-    """Languages in order and log frequencies (language, bucket), the unknown language's last, from about `most_rows` rows, chosen by the hash of their key."""
+    """Languages in order and log frequencies (language, bucket), the unknown language's last, from about `most_rows` rows of each
+    language (all rows where it has fewer), chosen by the hash of their key. Known is every language that some row with a trigram has."""
     named = rows.select(lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"), (F.xxhash64(key if key is not None else text) / F.lit(2.0**64) + 0.5).alias("u")).filter("lang IS NOT NULL")
-    share = min(1.0, most_rows / max(1, rows.select(lang.alias("lang")).filter("lang IS NOT NULL").count()))
-    found = named.filter(F.col("u") <= share).select("lang", "text").mapInArrow(count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rates = rows.select(lang.alias("lang")).filter("lang IS NOT NULL").groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*")).alias("rate"))
+    named = named.join(F.broadcast(rates), "lang")  # a row for each language
+    found = named.filter(F.col("u") <= F.col("rate")).select("lang", "text").mapInArrow(count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     n = np.zeros((len(langs), BUCKETS))
     np.add.at(n, (found["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy(dtype=int), found["bucket"].to_numpy(dtype=int)), found["n"].to_numpy(dtype=float))
