@@ -83,19 +83,72 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return s, e, np.searchsorted(s, offsets)
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Running polynomial hash: one more than bytes."""
+def rolling(buf: np.ndarray) -> np.ndarray:
+    """Running polynomial modulo 2**64, one more than bytes. Cheap, but some long strings collide whatever the base: only to find candidates
+    whose bytes are compared afterwards."""
     h = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(len(buf) + 1)[0][: len(buf)], out=h[1:])
     return h
 
 
-def span_hash(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hash of the bytes from s to e, whatever stands before them; the length is part of it."""
+def rolled(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     x = (h[e] - h[s]) * powers(len(h))[1][s]
     return mixed(x + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
 
 
+STRETCH = 1 << 20  # bytes whose polynomial is summed up before it is reduced
+FIELDS = ((2147483647, 1482657193), (2147483629, 719302181))  # primes and bases of two polynomials
+
+
+@lru_cache(maxsize=8)
+def _field_powers(prime: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """base**i and base**-i modulo a prime for i up to STRETCH."""
+    out = []
+    for b in (base, pow(base, -1, prime)):
+        p = np.ones(STRETCH + 1, np.uint64)
+        have = 1
+        while have <= STRETCH:
+            more = min(have, STRETCH + 1 - have)
+            p[have : have + more] = p[:more] * np.uint64(pow(b, have, prime)) % np.uint64(prime)
+            have += more
+        out.append(p)
+    return out[0], out[1]
+
+
+def prefix_hash(buf: np.ndarray) -> list[np.ndarray]:
+    """Running polynomials modulo two primes, each one longer than the bytes."""
+    out = []
+    for prime, base in FIELDS:
+        q = np.uint64(prime)
+        up = _field_powers(prime, base)[0]
+        h, carry = np.zeros(len(buf) + 1, np.uint32), np.uint64(0)
+        for low in range(0, len(buf), STRETCH):
+            part = buf[low : low + STRETCH]
+            x = np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)]) % q
+            if low:
+                x = (x * np.uint64(pow(base, low, prime)) + carry) % q
+            h[low + 1 : low + 1 + len(part)] = x
+            carry = x[-1]
+        out.append(h)
+    return out
+
+
+def span_hash(h: list[np.ndarray], s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hash of the bytes from s to e, whatever stands before them; the length is part of it."""
+    both = None
+    for (prime, base), own in zip(FIELDS, h):
+        q = np.uint64(prime)
+        down = _field_powers(prime, base)[1]
+        x = (own[e].astype(np.uint64) + (q - own[s])) % q
+        if len(own) <= STRETCH + 1:
+            x = x * down[s] % q
+        else:
+            far = np.array([pow(base, -k * STRETCH, prime) for k in range(len(own) // STRETCH + 1)], np.uint64)
+            x = x * down[s % STRETCH] % q * far[s // STRETCH] % q
+        both = x if both is None else (both << np.uint64(32)) | x
+    return mixed(both + (e - s).astype(np.uint64) * np.uint64(0xA24BAED4963EE407))
+
+
 def shingles(word_hash: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of `width` words inside a row, and the first of each row (one more than rows).
 

@@ -8,7 +8,7 @@ from itertools import repeat
 
 import numpy as np
 
-from ._text import prefix_hash, span_hash
+from ._text import rolled, rolling
 
 MARK = " \x01"  # stands between words that are encoded in one string
 
@@ -79,7 +79,8 @@ class Encoded:
     """Ids of whole texts from a byte-level tokenizer that begins a token at every single space before a word.
 
     Texts are cut at spaces that a character other than white space follows; such a space always begins a token, so what lies between two
-    cuts can be encoded apart. Each different stretch is encoded once by the library and found again by its 64-bit hash.
+    cuts can be encoded apart. Each different stretch is encoded once by the library and found again by a 64-bit hash; its bytes are compared,
+    and where two stretches have one hash the library encodes the whole rows.
     """
 
     def __init__(self, file: str, most: int = 400_000):
@@ -94,11 +95,22 @@ class Encoded:
     def forget(self) -> None:
         self.known, self.size, self.used = {}, np.zeros(1 << 16, np.int64), 0
         self.at, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
+        self.spell_size, self.spell_at, self.spell, self.spelt = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8), 0
 
-    def keep(self, hashes: list[int], sizes: np.ndarray, ids: np.ndarray) -> None:
+    def keep(self, part: list[tuple[int, str]], sizes: np.ndarray, ids: np.ndarray) -> None:
+        hashes = [h for h, _ in part]
         n = len(hashes)
         while self.used + n > len(self.size):
-            self.size, self.at = np.concatenate([self.size, np.zeros_like(self.size)]), np.concatenate([self.at, np.zeros_like(self.at)])
+            self.size, self.at, self.spell_size, self.spell_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.at, self.spell_size, self.spell_at))
+        spelling = [w.encode() for _, w in part]
+        joined = np.frombuffer(b"".join(spelling), np.uint8)
+        while self.spelt + len(joined) > len(self.spell):
+            self.spell = np.concatenate([self.spell, np.zeros_like(self.spell)])
+        lengths = np.fromiter(map(len, spelling), np.int64, n)
+        self.spell_size[self.used : self.used + n] = lengths
+        self.spell_at[self.used : self.used + n] = self.spelt + np.cumsum(lengths) - lengths
+        self.spell[self.spelt : self.spelt + len(joined)] = joined
+        self.spelt += len(joined)
         while self.filled + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.size[self.used : self.used + n] = sizes
@@ -116,13 +128,25 @@ class Encoded:
                 x = np.array(ids, np.uint32)
                 cuts = np.flatnonzero(self.starts[x])
                 if len(cuts) == len(part) and not cuts[0]:
-                    self.keep([h for h, _ in part], np.diff(cuts, append=len(x)), x)
+                    self.keep(part, np.diff(cuts, append=len(x)), x)
                 else:
                     alone += part
         for at in range(0, len(alone), 1024):
             part = alone[at : at + 1024]
             lists = ids_of([w for _, w in part], self.file)
-            self.keep([h for h, _ in part], np.array([len(x) for x in lists]), np.concatenate([np.array(x, np.uint32) for x in lists]))
+            self.keep(part, np.array([len(x) for x in lists]), np.concatenate([np.array(x, np.uint32) for x in lists]))
+
+    def spelt_as(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: np.ndarray) -> bool:
+        """Whether the stretches, which follow one another and fill buf, have the bytes of the entries `which`."""
+        if (self.spell_size[which] != end - start).any():
+            return False
+        shift = self.spell_at[which] - start
+        for low in range(0, len(start), 1 << 16):
+            p = slice(low, low + (1 << 16))
+            a, b = start[p][0], end[p][-1]
+            if (self.spell[np.repeat(shift[p], end[p] - start[p]) + np.arange(a, b)] != buf[a:b]).any():
+                return False
+        return True
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all rows, and the number of ids of each."""
@@ -136,7 +160,7 @@ class Encoded:
         cut[n] = False
         start = np.flatnonzero(cut)
         end = np.append(start[1:], n)
-        h = span_hash(prefix_hash(buf), start, end)
+        h = rolled(rolling(buf), start, end)
         order = np.argsort(h)
         sorted_h = h[order]
         new = np.concatenate([[True], sorted_h[1:] != sorted_h[:-1]])
@@ -152,6 +176,10 @@ class Encoded:
             index[missing] = np.fromiter(map(self.known.__getitem__, [distinct[k] for k in missing]), np.int64, len(missing))
         which = np.empty(len(h), np.int64)
         which[order] = index[np.cumsum(new) - 1]
+        if not self.spelt_as(buf, start, end, which):
+            data = buf.tobytes()
+            lists = [np.array(x, np.uint32) for x in ids_of([data[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())], self.file)]
+            return np.concatenate(lists), np.array([len(x) for x in lists])
         sizes = self.size[which]
         upto = np.cumsum(sizes)
         ids = self.pool[np.repeat(self.at[which] - (upto - sizes), sizes) + np.arange(upto[-1])]
