@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from cases import awkward, empty
 from oracle import same
 
@@ -145,6 +146,27 @@ def test_substring_dedup(spark, shard):
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_spans(texts, 24)
 
 
+def test_substring_dedup_of_periodic_texts(spark):
+    import pyarrow as pa
+
+    texts = ["a" * 60_000, "ab" * 30_000 + "c", "the cat " * 4000, "a" * 500, "b" + "a" * 420 + "b", "z" * 399, "z" * 400, "y" * 401]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shard_bytes in (1 << 20, 20_000):
+        got = substring_dup.substring_dedup(df, shard_bytes=shard_bytes).orderBy("doc_id").collect()
+        assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_spans(texts, 400)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array(["a" * 200_000])], ["doc_id", "th", "text"])
+    assert sum(b.num_rows for b in substring_dup.all_runs([batch], 400, 64)) == 1
+    big = spark.createDataFrame([(1, "a" * 5_000_000), (2, "\n" * 300_000)], "doc_id long, text string")
+    assert [(r.n_removed, r.n_spans) for r in substring_dup.substring_dedup(big).orderBy("doc_id").collect()] == [(5_000_000, 1), (300_000, 1)]
+
+
+def test_substring_dedup_tells_rows_without_id_apart(spark):
+    rows = spark.range(70_000).selectExpr("CASE WHEN id < 2 THEN id END AS doc_id", "concat(sha2(string(id), 256), if(id % 7 = 0, ' and these are shared', '')) AS text")
+    got = substring_dup.substring_dedup(rows, length=12, gram=4)
+    n = got.groupBy("n_bytes").agg(F.sum((F.col("n_removed") >= 17).cast("long")).alias("some"), F.count("*").alias("rows")).collect()
+    assert {(r.n_bytes, r.some, r.rows) for r in n if r.n_bytes > 64} == {(85, 10_000, 10_000)} and all(r.some == 0 for r in n if r.n_bytes == 64)
+
+
 def test_substring_dedup_of_awkward_rows(spark):
     df = awkward(spark)
     rows = df.collect()

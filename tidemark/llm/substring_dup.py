@@ -1,10 +1,11 @@
 """Suffix-array dedup: bytes covered by a string of `length` bytes that also starts elsewhere are removed.
 
 1. Anchors. A window of `length` bytes is represented by its anchor, the `gram` bytes inside it with the least hash (the leftmost of
-   equals). Equal windows have equal anchors at equal places. Consecutive windows with one anchor make a run; the slice of a run is all
-   bytes of its windows. Each window is in one run. A run whose anchor occurs nowhere else has no repeated window and is done; runs with
-   equal slices are repeated throughout and are looked into once.
-2. Shards. The distinct slices of an anchor meet in one shard, or in several where an anchor has more than `shard` of them. A task
+   equals). Equal windows have equal anchors at equal places. Consecutive windows whose anchors have equal bytes make a run (one for each
+   place of the anchor, or one for a whole stretch of periodic text); the slice of a run is all bytes of its windows. Each window is in
+   one run. A run whose anchor has one place, and occurs nowhere else, has no repeated window and is done; runs with equal slices (by
+   the anchor's hash and a BLAKE2 digest of the slice) are repeated throughout and are looked into once.
+2. Shards. The distinct slices of an anchor meet in one shard, or in several where they are more than `shard` or large. A task
    concatenates the slices of its shards, builds the suffix array with Larsson and Sadakane's refinement (only groups that are not yet
    sorted are sorted again, by the rank twice as far on), and gets common prefixes by Kasai's recurrence in its permuted form: the common
    prefix at a place is one less than at the place before, unless the bytes before the two suffixes differ. Neighbours with `length`
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, runs
-from ._text import pieces, prefix_hash, raw, span_hash
+from ._text import pieces, prefix_hash, raw, rolled, rolling, span_hash
 
 SEGMENT = 1 << 20
 
@@ -43,16 +44,18 @@ def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def window_runs(buf: np.ndarray, first: np.ndarray, last: np.ndarray, length: int, gram: int):
-    """Runs of the windows that start from first[k] to last[k] - 1: start, number of windows, anchor, hash of the slice."""
+    """Runs of the windows that start from first[k] to last[k] - 1: start, number of windows, anchor, digest of the slice, whether the anchor has several places."""
     if len(buf) < length:
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.uint64))
-    hashed = prefix_hash(buf)
+        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.uint64, np.int64, bool))
     at = np.arange(len(buf) - gram + 1)
-    g = span_hash(hashed, at, at + gram)
+    g = rolled(rolling(buf), at, at + gram)
     least = sliding_least((g & ~np.uint64(0xFFFFFF)) | at.astype(np.uint64), length - gram + 1)
     anchor = (least & np.uint64(0xFFFFFF)).astype(np.int64)
+    moved = np.zeros(len(anchor), bool)
+    moved[1:] = anchor[1:] != anchor[:-1]
+    h = g[anchor]
     new = np.zeros(len(anchor) + 1, bool)
-    new[1:-1] = anchor[1:] != anchor[:-1]
+    new[1:-1] = h[1:] != h[:-1]
     good = np.zeros(len(anchor) + 1, np.int8)
     keep = first < last
     np.add.at(good, first[keep], 1)
@@ -63,11 +66,14 @@ def window_runs(buf: np.ndarray, first: np.ndarray, last: np.ndarray, length: in
     edges = np.flatnonzero(new)
     start = edges[good[edges]]
     end = np.append(edges, len(anchor))[np.searchsorted(edges, start, side="right")]
-    return start, end - start, g[anchor[start]], span_hash(hashed, start, end + length - 1)
+    moves = np.cumsum(moved)
+    data = memoryview(np.ascontiguousarray(buf))
+    digests = b"".join([hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in zip(start.tolist(), (end + length - 1).tolist())])
+    return start, end - start, h[start], np.frombuffer(digests, np.int64), moves[end - 1] > moves[start]
 
 
 def all_runs(batches, length: int, gram: int):
-    """doc_id, th, text -> doc_id, th, h, fp, s0, n: one row for each run."""
+    """doc_id, th, text -> doc_id, th, h, fp, s0, n, several: one row for each run."""
     for batch in batches:
         data, offsets = raw(batch.column(2))
         ids, th = batch.column(0), batch.column(1)
@@ -77,13 +83,13 @@ def all_runs(batches, length: int, gram: int):
                 part = data[base + low : base + size if j - i > 1 else min(base + size, base + low + SEGMENT + length - 1)]
                 starts = offsets[i:j] - base - low
                 ends = offsets[i + 1 : j + 1] - base - low
-                s, n, h, fp = window_runs(part, np.maximum(starts, 0), np.minimum(np.minimum(ends, len(part)) - length + 1, SEGMENT if j - i == 1 else size), length, gram)
+                s, n, h, fp, several = window_runs(part, np.maximum(starts, 0), np.minimum(np.minimum(ends, len(part)) - length + 1, SEGMENT if j - i == 1 else size), length, gram)
                 if not len(s):
                     continue
                 row = np.searchsorted(starts, s, side="right") - 1
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), th.take(take), *(pa.array(x) for x in (h.view(np.int64), fp.view(np.int64), s - starts[row] if j - i > 1 else s + low, n.astype(np.int32)))], ["doc_id", "th", "h", "fp", "s0", "n"]
+                    [ids.take(take), th.take(take), *(pa.array(x) for x in (h.view(np.int64), fp, s - starts[row] if j - i > 1 else s + low, n.astype(np.int32), several))], ["doc_id", "th", "h", "fp", "s0", "n", "several"]
                 )
 
 
@@ -95,8 +101,9 @@ def slices(batches, length: int):
         f = wanted.flatten()
         cols = {k: f.field(k).to_numpy(zero_copy_only=False) for k in ("h", "fp", "parts", "s0", "n")}
         at = np.repeat(offsets[:-1], np.diff(wanted.offsets.to_numpy())) + cols["s0"]
-        for low in range(0, len(at), 4096):
-            p = slice(low, low + 4096)
+        upto = np.concatenate([[0], np.cumsum(cols["n"].astype(np.int64) + length - 1)])
+        for low, high in pieces(upto):
+            p = slice(low, high)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(cols["h"][p]), pa.array((cols["fp"][p].view(np.uint64) % cols["parts"][p].astype(np.uint64)).astype(np.int32)), pa.array(cols["parts"][p].astype(np.int32)), pa.array(cols["fp"][p]), pa.array(cols["n"][p].astype(np.int32)),
@@ -257,7 +264,7 @@ def removals(batches, length: int):
         )
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, shard: int = 256) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, shard: int = 256, shard_bytes: int = 1 << 20) -> DataFrame:
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the spans, in bytes).
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents. A byte is removed when a string of `length` bytes that covers it
@@ -265,13 +272,15 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     `length` lose nothing. Rows with a null id are documents like any other; of repeated rows each is one, so all of it (from `length`
     bytes on) is removed. An empty table gives no rows. Other columns are not read.
     """
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.hash("text"))
-    runs_ = cut(docs.select("doc_id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(lambda it: all_runs(it, length, gram), "doc_id long, th int, h long, fp long, s0 long, n int"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    runs_ = cut(docs.select("doc_id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(lambda it: all_runs(it, length, gram), "doc_id long, th long, h long, fp long, s0 long, n int, several boolean"))
     kinds = cut(
-        runs_.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s0", "n")).alias("one"))
+        runs_.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s0", "n", "several")).alias("one"))
         .select("h", "fp", "c", "one.*")
     )
-    anchors = cut(kinds.groupBy("h").agg(F.count("*").alias("kinds")).filter("kinds > 1").withColumn("parts", F.ceil(F.col("kinds") / shard).cast("int")).select("h", "parts"))  # a table of its own, so that Spark can split the join's hot keys
+    parts = F.ceil(F.greatest(F.col("kinds") / shard, F.col("bytes") / shard_bytes)).cast("int")
+    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("n").cast("long") + (length - 1)).alias("bytes"), F.max(F.col("several") & (F.col("c") == 1)).alias("within"))
+    anchors = cut(anchors.filter("kinds > 1 OR within").select("h", parts.alias("parts")))  # a table of its own, so that Spark can split the join's hot keys
     wanted = kinds.join(anchors, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "fp", "parts", "s0", "n")).alias("wanted"))
     d, w = docs.alias("d"), wanted.hint("merge").alias("w")
     cut_out = d.join(w, F.col("d.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("d.th") == F.col("w.th"))).select("d.text", "w.wanted")
