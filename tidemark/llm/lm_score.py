@@ -91,12 +91,14 @@ def word_hashes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def frequent(counts: DataFrame, most: int) -> int:
-    """The least count that at most `most` rows reach."""
-    total = 0
-    for n, rows in counts.groupBy("n").agg(F.count("*").alias("rows")).groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.sum("rows").alias("rows")).orderBy(F.desc("n")).collect():  # at most 65,536 rows
+    """A count that at most `most` rows reach: the least, up to its first sixteen binary digits."""
+    coarse = F.expr("shiftleft(shiftright(n, greatest(length(bin(n)) - 16, 0)), greatest(length(bin(n)) - 16, 0))")
+    total, least = 0, 1 << 62
+    for n, rows in counts.groupBy("n").agg(F.count("*").alias("rows")).groupBy(coarse.alias("n")).agg(F.sum("rows").alias("rows")).orderBy(F.desc("n")).collect():  # some 2**15 for each further doubling
         total += rows
         if total > most:
-            return n + 1
+            return least
+        least = n
     return 1
 
 
