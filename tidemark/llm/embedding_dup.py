@@ -20,22 +20,23 @@ from .near_dup import local_roots
 
 
 def pivot_count(n: int) -> int:
-    """About the square root of the number of vectors, from 256 to 4096: lists then grow with the root too."""
-    return min(4096, max(256, 1 << max(1, int(n) - 1).bit_length() // 2))
+    """About the square root of the number of vectors, 256 at least: lists then grow with the root too."""
+    return max(256, 1 << max(1, int(n) - 1).bit_length() // 2)
 
 
 def choose_pivots(reps: DataFrame, count: int) -> np.ndarray:
     """Up to `count` unit vectors out of a sample of at most 4 * count (by hash of the id), none closer than cosine 0.9 to an earlier one."""
     rows = reps.select("emb", "rep").orderBy(F.xxhash64("rep"), "rep").limit(4 * count).select("emb").collect()
-    kept: list[np.ndarray] = []
     dim = max((len(r[0]) for r in rows), default=1)
+    kept, n = np.zeros((count, dim)), 0
     for r in rows:
         v = np.zeros(dim)
         v[: len(r[0])] = r[0]
         v /= np.linalg.norm(v)
-        if len(kept) < count and (not kept or (np.array(kept) @ v).max() < 0.9):
-            kept.append(v)
-    return np.array(kept).reshape(-1, dim)
+        if n < count and (kept[:n] @ v < 0.9).all():
+            kept[n] = v
+            n += 1
+    return kept[:n]
 
 
 def permutations(batches, pivots: np.ndarray, nearest: int):
@@ -43,18 +44,20 @@ def permutations(batches, pivots: np.ndarray, nearest: int):
     for batch in batches:
         embs = batch.column("emb").to_pylist()
         perm = []
-        for at in range(0, len(embs), 1024):
-            part = embs[at : at + 1024]
+        step = max(1, (1 << 21) // len(pivots))
+        for at in range(0, len(embs), step):
+            part = embs[at : at + step]
             x = np.zeros((len(part), pivots.shape[1]))
             for i, v in enumerate(part):
                 n = min(len(v), pivots.shape[1])
                 x[i, :n] = v[:n]
             cos = x @ pivots.T
-            perm += np.argsort(-cos, axis=1, kind="stable")[:, :nearest].tolist()
+            best = np.sort(np.argpartition(-cos, nearest - 1, axis=1)[:, :nearest], axis=1)
+            perm += np.take_along_axis(best, np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable"), 1).tolist()
         yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "label", "copies", "emb")), pa.array(perm, pa.list_(pa.int32()))], ["rep", "label", "copies", "emb", "perm"])
 
 
-def verify(batches, threshold: float, enough: int, n_pivots: int):
+def verify(batches, threshold: float, enough: int):
     """Groups (gid, bi, bj, pivot, rep, part, copies, emb, perm), sorted by group -> rep, links, root."""
     for t in runs(batches, ["gid", "bi", "bj"], most_rows=8192):
         gid, bi, bj, pivot, rep, part, copies = (t.column(k).to_numpy() for k in ("gid", "bi", "bj", "pivot", "rep", "part", "copies"))
@@ -67,9 +70,10 @@ def verify(batches, threshold: float, enough: int, n_pivots: int):
             m = b - a
             if m < 2:
                 continue
-            on = np.zeros((m, n_pivots), np.float32)
-            on[np.repeat(np.arange(m), np.diff(pstart[a : b + 1])), pflat[pstart[a] : pstart[b]]] = 1
-            low = on[:, : pivot[a]]
+            own, which = np.unique(pflat[pstart[a] : pstart[b]], return_inverse=True)  # the group's pivots
+            on = np.zeros((m, len(own)), np.float32)
+            on[np.repeat(np.arange(m), np.diff(pstart[a : b + 1])), which] = 1
+            low = on[:, : np.searchsorted(own, pivot[a])]
             near = (on @ on.T >= enough) & (low @ low.T == 0)
             np.fill_diagonal(near, False)
             if bi[a] != bj[a]:
@@ -124,14 +128,13 @@ def embedding_dedup(
         lists = cut(lists)
         blocks = F.ceil(F.col("m") / block).cast("int")
         sizes = cut(lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("m")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
-        n_pivots = len(pivots)
         verified = cut(
             lists.join(sizes, ["label", "dim", "pivot"])
             .select(F.xxhash64("label", "dim", "pivot").alias("gid"), "pivot", "rep", "copies", "emb", "perm", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "pivot"), blocks).cast("int").alias("part"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("gid", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "pivot", "rep", "part", "copies", "emb", "perm")
             .repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
-            .mapInArrow(lambda it: verify(it, threshold, t, n_pivots), "rep long, links long, root long")
+            .mapInArrow(lambda it: verify(it, threshold, t), "rep long, links long, root long")
         )
         joined = components(verified, "rep", "root").withColumnRenamed("node", "rep")
         classes = (
