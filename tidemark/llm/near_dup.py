@@ -4,7 +4,8 @@
 2. Each representative gets bands of MinHash values over its shingles of five words; the numbers of bands and rows follow from the
    target recall at the threshold.
 3. Representatives that share a band's hash form a bucket. A bucket with the same members as another is kept once; a bucket of more
-   than `block` members is cut into blocks, and every pair of its blocks becomes a group, so that no task ever holds a whole bucket.
+   than `block` members or `most_words` words is cut into blocks, and every pair of its blocks becomes a group, so that no task ever
+   holds a whole bucket.
 4. Each group verifies its pairs on the full sets of shingles and returns counts of links and one edge for each member to the
    smallest member it is joined to - never the pairs. A pair that shares several bands is counted in the first of them only.
 5. The edges give connected components; a document's class is the smallest id of its component.
@@ -136,7 +137,7 @@ def verify(batches, threshold: float, width: int):
 
 def jaccard_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5,
-    recall: float = 0.9995, small: int = 128, block: int = 256,
+    recall: float = 0.9995, small: int = 128, block: int = 256, most_words: int = 1 << 19,
 ) -> DataFrame:
     """One row per row of df: doc_id, class_id, n_links, n_copies, kept.
 
@@ -151,16 +152,17 @@ def jaccard_join(
     signed = cut(docs.mapInArrow(lambda it: signatures(it, n_bands, n_rows, width), "doc_id long, n_words long, k1 long, k2 long, bands array<long>"))
     same = cut(signed.filter("n_words > 0").groupBy("n_words", "k1", "k2", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
 
-    spread = same.select("rep", F.posexplode("bands").alias("band", "h"))
-    full = cut(spread.groupBy("band", "h").agg(F.count("*").alias("m")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
-    members = cut(spread.join(full, ["band", "h"]))
-    lists = members.filter(F.col("m") <= small).groupBy("band", "h").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
+    spread = same.select("rep", "n_words", F.posexplode("bands").alias("band", "h"))
+    full = cut(spread.groupBy("band", "h").agg(F.count("*").alias("m"), F.sum("n_words").alias("words")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
+    members = cut(spread.drop("n_words").join(full, ["band", "h"]))
+    few = (F.col("m") <= small) & (F.col("words") <= most_words)
+    lists = members.filter(few).groupBy("band", "h").agg(F.sort_array(F.collect_list("rep")).alias("reps"))
     lists = lists.groupBy("reps").agg(F.min("band").alias("band"))
     one = F.lit(0)
     listed = lists.select(F.xxhash64("reps").alias("gid"), "band", F.explode("reps").alias("rep")).select("gid", one.alias("bi"), one.alias("bj"), "band", "rep", one.alias("part"))
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("m") / block, F.col("words") / most_words)).cast("int")
     large = (
-        members.filter(F.col("m") > small)
+        members.filter(~few)
         .select(F.xxhash64("band", "h").alias("gid"), "band", "rep", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "band"), blocks).cast("int").alias("part"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("gid", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "band", "rep", "part")
