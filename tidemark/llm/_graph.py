@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, forget
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         root = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(root, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = cut(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
+        before, now = now, cut(small.unionByName(root.select("u", F.col("m").alias("v"))).distinct())
         last, state = state, now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.pmod(F.xxhash64("v", "u"), F.lit(1 << 30)))).first()
+        forget(before, least, large, root)
         if state == last:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select("v", "v").distinct().toDF("node", "component"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -20,12 +21,38 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to the shared folder and read back: a lost executor costs a reread, not a recomputation, and Spark knows its size."""
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df written once to the shared folder and read back: a lost executor costs a reread, not a recomputation, and Spark knows its size.
+    With keep, it outlives passing()."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_to = path
+    if _scopes and not keep:
+        _scopes[-1].append(out)
+    return out
+
+
+_scopes: list[list[DataFrame]] = []
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that cut() wrote and that nothing reads any more."""
+    for t in tables:
+        jvm = t.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(t.cut_to)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def passing():
+    """Tables cut inside are deleted at the end."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        forget(*_scopes.pop())
 
 
 def runs(batches, keys: list[str], most_rows: int = 4096, most_bytes: int = 4 << 20):

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, forget
 
 UNIT = 1 << 20  # fractional parts of rates count in these
 
@@ -27,14 +27,23 @@ def word_count(text: Column) -> Column:
 
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """Adds target to a table (skey, source_size) of sources: shares by weight in the order of skey, at most cap times the size, the excess reshared."""
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(Window.orderBy("skey")) - 1) % len(weights) + 1).cast("int"))
-    before = Window.orderBy("ratio", "skey").rowsBetween(Window.unboundedPreceding, -1)
-    t = sources.withColumn("weight", weight).withColumn("ratio", cap * F.col("source_size") / F.col("weight"))
-    t = t.withColumn("level", (F.sum("source_size").over(everything) - cap * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    # the sources at their cap are those of the least ratios; the first above its level fixes the level of all the rest
-    t = t.withColumn("level", F.min(F.when(F.col("ratio") > F.col("level"), F.struct("ratio", "level"))).over(everything)["level"])
-    return t.select("skey", "source_size", F.least((cap * F.col("source_size")).cast("double"), F.coalesce(F.col("weight") * F.col("level"), F.lit(float("inf")))).alias("target"))
+    ranged = cut(sources.repartitionByRange("skey").withColumn("piece", F.spark_partition_id()))  # sources may be hosts: no window over all of them
+    pieces = ranged.groupBy("piece").agg(F.count("*").alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("piece").orderBy("skey")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    t = cut(ranged.join(pieces.select("piece", "start"), "piece").select("skey", "source_size", weight.alias("weight")))
+    level = -1.0
+    while True:  # the level rises as sources reach their cap, until no further one does
+        capped = cap * F.col("source_size") < F.col("weight") * level
+        words, rest = t.agg(
+            F.coalesce(F.sum(F.when(capped, (1 - cap) * F.col("source_size")).otherwise(F.col("source_size"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(~capped, F.col("weight"))), F.lit(0.0)),
+        ).first()
+        after = words / rest if rest else 0.0
+        if after <= level:
+            break
+        level = after
+    return t.select("skey", "source_size", F.least((cap * F.col("source_size")).cast("double"), F.col("weight") * max(level, 0.0)).alias("target"))
 
 
 def balance(cells: DataFrame, sources: DataFrame, cap: int, rounds: int, tolerance: float) -> DataFrame:
@@ -61,13 +70,14 @@ def balance(cells: DataFrame, sources: DataFrame, cap: int, rounds: int, toleran
         # a step that leaves the bracket is replaced: by its middle where both ends are known, else by one twice as far out
         middle = F.when((F.col("lo2") > -1e6) & (F.col("hi2") < 1e6), (F.col("lo2") + F.col("hi2")) / 2).otherwise(F.when(gap < 0, F.col("lam") + 1 + F.abs("lam")).otherwise(F.col("lam") - 1 - F.abs("lam")))
         over = F.col("f").isNull() | (F.abs(gap) <= tolerance * F.col("target"))
-        state = cut(
+        before, state = state, cut(
             step.withColumns({"lo2": lo, "hi2": hi}).select(
                 "skey", "scale", "target",
                 F.when(over, F.col("lam")).when((newton > F.col("lo2")) & (newton < F.col("hi2")), newton).otherwise(middle).alias("lam"),
                 F.when(over, F.col("lo")).otherwise(F.col("lo2")).alias("lo"), F.when(over, F.col("hi")).otherwise(F.col("hi2")).alias("hi"), over.alias("done"),
             )
         )
+        forget(before)
         if not state.filter("NOT done").limit(1).count():
             break
     return state.select("skey", F.round("lam", 7).alias("lam"), "scale")
@@ -113,8 +123,9 @@ def mix_sources(
             .groupBy("skey").agg(F.min_by(F.struct("doc_id", "short"), F.struct(F.abs(F.abs("short") - F.col("size")), "doc_id")).alias("m"))
             .select(F.col("m.doc_id").alias("doc_id"), "skey", F.signum("m.short").cast("long").alias("move"))
         )
-        rounded = cut(
+        before, rounded = rounded, cut(
             rounded.join(moved, ["doc_id", "skey"], "left")
             .withColumn("copies", F.least(F.lit(cap), F.greatest(F.lit(0), F.col("copies") + F.coalesce("move", F.lit(0))))).drop("move")
         )
+        forget(before)
     return rounded.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
