@@ -70,6 +70,12 @@ def test_lm_scores_do_not_depend_on_what_tasks_get(spark, order, most_nodes):
     assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == brute_lm([(r.doc_id, r.text) for r in df.collect()], order)
 
 
+def test_frequent_never_exceeds_its_bound(spark):
+    counts = spark.createDataFrame([(70_000,)] * 50 + [(1 << 40,)] * 2 + [(3,)] * 5, "n long")
+    for most, kept in ((1, 0), (3, 2), (51, 2), (52, 52), (56, 52), (57, 57)):
+        assert counts.filter(F.col("n") >= lm_score.frequent(counts, most)).count() == kept
+
+
 def test_lm_without_training_rows_is_uniform(spark):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 10 == 0][:2]
     got = lm_score.lm_scores(spark.createDataFrame([(i, "abc") for i in held], "doc_id long, text string")).collect()
@@ -150,6 +156,86 @@ def test_rare_language_is_known_at_any_size(spark):
     assert langs == ["en", "fi"] and len(logs) == 3
 
 
+def brute_language(docs, trust=0.9, kappa=20.0, evidence=40.0, least=0.5):
+    """(id, lang, confidence) in plain Python: rows (id, text, said, place) train and are judged."""
+
+    def grams(t):
+        b = [0x20 if x <= 0x20 else x for x in lower(t)]
+        return [((b[k] << 16 | b[k + 1] << 8 | b[k + 2]) * 2654435769 % (1 << 32)) >> 16 for k in range(len(b) - 2)]
+
+    langs = sorted({said for _, t, said, _ in docs if said and grams(t)})
+    n = len(langs)
+    counts = {x: collections.Counter(g for _, t, said, _ in docs if said == x for g in grams(t)) for x in langs}
+    p = lambda x, g: 0.9 * counts[x][g] / sum(counts[x].values()) + 0.1 / 65536 if x else 1 / 65536
+    soft = lambda v: [math.exp(x - max(v)) / sum(math.exp(y - max(v)) for y in v) for x in v]
+    rows = []
+    for i, t, said, place in docs:
+        g = grams(t)
+        ll = [sum(math.log(p(x, y)) for y in g) * min(len(g), evidence) / max(1, len(g)) for x in [*langs, None]]
+        if said in langs:
+            ll = [v + math.log(trust if x == said else (1 - trust) / max(1, n - 1)) for v, x in zip(ll, [*langs, None])]
+        letters = any(97 <= x <= 122 or x >= 128 for x in lower(t))
+        rows.append((i, ll, soft(ll)[:n] if letters else [0.0] * n, letters, place or ""))
+    out = []
+    for i, ll, post, letters, place in rows:
+        prior = [1 / n] * n
+        for group in (rows, [r for r in rows if r[4] == place]):
+            own = [max(0.0, sum(r[2][k] for r in group) - post[k]) for k in range(n)]
+            prior = [(a + kappa * q) / (sum(own) + kappa) for a, q in zip(own, prior)]
+        fused = soft([a + math.log(q) for a, q in zip(ll, [*(q * n / (n + 1) for q in prior), 1 / (n + 1)])])[:n]
+        good = letters and max(fused) >= least
+        out.append((str(i), langs[fused.index(max(fused))] if good else "und", round(max(fused) if letters else 0.0, 4)))
+    return sorted(out)
+
+
+def test_language_equals_plain_python(spark):
+    sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 1500").select("doc_id", "text", "lang", "source").limit(60)
+    df = awkward(spark).filter("text IS NULL OR length(text) < 2000").select("doc_id", "text", "lang", "source").unionByName(sample)
+    df = df.unionByName(spark.createDataFrame([(900, "Все люди рождаются свободными", "en", "s1"), (901, "le la les des une", None, "s9"), (902, "ok", "zz", "s0")], df.schema))
+    docs = [tuple(r) for r in df.collect()]
+    frame = spark.createDataFrame(docs, df.schema)
+    got = language_id.identify_documents(frame, language_id.train(frame, F.col("lang"), F.col("text"), key=F.col("doc_id"))).collect()
+    want = brute_language(docs)
+    mine = sorted((str(r.doc_id), r.lang, round(r.confidence, 4)) for r in got)
+    assert [(a, b) for a, b, _ in mine] == [(a, b) for a, b, _ in want] and np.allclose([c for *_, c in mine], [c for *_, c in want], atol=2e-3)
+
+
+def plain_votes(t):
+    """The eight heuristics on one text, word by word."""
+    b = (t or "").encode()
+    ws = [w for w in re.split(rb"[\x20\x09-\x0d]+", b) if w]
+    n, some, symbols = len(ws), max(1, len(ws)), b"!#$%&*<>@^_`{|}~\\=+"
+    capitals, odd = (sum(x in s for x in b) / max(1, len(b)) for s in (bytes(range(65, 91)), symbols))
+    bars, again = sum(len(w) == 1 and w in symbols for w in ws) / some, sum(x == y for x, y in zip(ws, ws[1:])) / some
+    stops, variety, length = sum(w[-1:] in b".,;:?!" for w in ws) / some, len(set(ws)) / some, sum(map(len, ws)) / some
+    rules = [
+        (capitals > 0.3, n > 0 and capitals < 0.15), (odd > 0.04, n > 0 and odd < 0.02), (bars > 0.15, n >= 5 and bars < 0.05), (again > 0.1, n >= 5 and again < 0.04),
+        (n >= 20 and (stops < 0.02 or stops > 0.6), n >= 5 and 0.03 < stops < 0.4), (n >= 20 and variety < 0.25, n >= 20 and variety > 0.35),
+        (n > 0 and (length < 2 or length > 14), 3 <= length <= 11), (n < 2, n >= 8),
+    ]
+    return [0 if bad else 1 if good else 2 for bad, good in rules]
+
+
+def test_quality_equals_plain_python(spark):
+    """Votes rule by rule, and expectation-maximisation row by row instead of by patterns."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").unionByName(awkward(spark).select("doc_id", "text"))
+    got = sorted(((str(r.doc_id), r.votes, r.weak_label) for r in quality.quality_scores(df).collect()), key=str)
+    votes = np.array([plain_votes(r.text) for r in df.collect()])
+    good, bad = (votes == 1).sum(1), (votes == 0).sum(1)
+    post = (good + 1.0) / (good + 3 * bad + 2.0)
+    for _ in range(200):
+        said = [[[(w * (votes[:, k] == v)).sum() + 1 for v in (0, 1)] for k in range(8)] for w in (1 - post, post)]
+        share = [(1 - post).sum() + 1, post.sum() + 1]
+        likely = [np.log(share[c] / sum(share)) + sum(np.where(votes[:, k] == 2, 0.0, np.log(np.take(said[c][k], np.minimum(votes[:, k], 1)) / sum(said[c][k]))) for k in range(8)) for c in (0, 1)]
+        after = 1 / (1 + np.exp(likely[0] - likely[1]))
+        if np.abs(after - post).max() < 1e-9:
+            break
+        post = after
+    want = sorted(((str(r.doc_id), v.tolist(), p) for r, v, p in zip(df.collect(), votes, post)), key=str)
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert np.allclose(sorted(x[2] for x in got), sorted(x[2] for x in want), atol=1e-6)
+
+
 def test_quality_agrees_with_labels_it_has_not_seen(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = quality.quality_scores(docs, most_rows=2000).join(labels, "doc_id")

@@ -2,7 +2,7 @@ import re
 
 import numpy as np
 import pytest
-from cases import awkward
+from cases import awkward, empty
 from test_dedup import brute_jaccard
 from test_packing_mixing import brute_targets
 
@@ -59,6 +59,19 @@ def test_pack_holds_every_token_once(stages):
     assert (stages[5].groupby("sequence_id").length.sum() <= 1024).all() and np.isin(stages[5].doc_id, stages[4].doc_id).all()
 
 
+def test_empty_table_goes_through(spark, tmp_path):
+    empty(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_mix_takes_repeated_rows_as_often_as_planned(spark, sf):
+    rows = [(k % 3 if k < 30 else k, "w " * (k % 5 + 1), f"s{k % 2}") for k in range(60)] + [(None, "w", None), (-1, "w", "s0"), (None, "w", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    planned = corpus_pipeline.mixing.mix_sources(df).groupBy("doc_id", "source", "size").sum("copies").filter("`sum(copies)` > 0").collect()
+    got = corpus_pipeline.mix(spark, df, sf).groupBy("doc_id", "source", "text").count().collect()
+    assert {(r[0], r[1], len(r[2].split())): r[3] for r in got} == {tuple(r[:3]): r[3] for r in planned}
+
+
 def test_awkward_rows_go_through(spark, tmp_path):
     path = str(tmp_path / "documents.parquet")
     awkward(spark).write.parquet(path)

@@ -69,9 +69,9 @@ def count_trigrams(batches):
 def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = 20_000, key: Column | None = None) -> tuple[list[str], np.ndarray]:
     """Languages in order and log frequencies (language, bucket), the unknown language's last, from about `most_rows` rows of each
     language (all rows where it has fewer), chosen by the hash of their key. Known is every language that some row with a trigram has."""
-    named = rows.select(lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"), (F.xxhash64(key if key is not None else text) / F.lit(2.0**64) + 0.5).alias("u")).filter("lang IS NOT NULL")
-    rates = rows.select(lang.alias("lang")).filter("lang IS NOT NULL").groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*")).alias("rate"))
-    named = named.join(F.broadcast(rates), "lang")  # a row for each language
+    named = rows.select(lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"), (F.xxhash64(*([key] if key is not None else []), text) / F.lit(2.0**64) + 0.5).alias("u")).filter("lang IS NOT NULL")
+    rates = cut(rows.select(lang.alias("lang")).filter("lang IS NOT NULL").groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*")).alias("rate")))
+    named = named.join(rates, "lang")  # a table of its own, a row for each language, so that Spark knows its size
     found = named.filter(F.col("u") <= F.col("rate")).select("lang", "text").mapInArrow(count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     n = np.zeros((len(langs), BUCKETS))

@@ -119,15 +119,15 @@ def fit_votes(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[n
 
 
 def sampled(batches):
-    """text -> pattern, buckets and shares of the hashed features of the whole text."""
+    """u, text -> u, pattern, buckets and shares of the hashed features of the whole text."""
     for batch in batches:
         pats, idx, val = [], [], []
-        for i, j, votes, code, at, again, first in _parts(batch.column(0)):
+        for i, j, votes, code, at, again, first in _parts(batch.column(1)):
             pats += pattern(votes).tolist()
             for k in range(j - i):
                 b, c = np.unique(np.concatenate([code[at[k] : at[k + 1]], [DIMS]]), return_counts=True)
                 idx.append(np.append(b[:-1], DIMS)), val.append(np.append(c[:-1] / max(1, at[k + 1] - at[k]), again[first[k] : first[k + 1]].mean() if first[k + 1] > first[k] else 0.0))
-        yield pa.RecordBatch.from_arrays([pa.array(pats, pa.int32()), pa.array([x.astype(np.int32) for x in idx], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in val], pa.list_(pa.float32()))], ["pattern", "idx", "val"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pats, pa.int32()), pa.array([x.astype(np.int32) for x in idx], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in val], pa.list_(pa.float32()))], ["u", "pattern", "idx", "val"])
 
 
 def fit_scorer(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, rounds: int = 120, rate: float = 2.0) -> np.ndarray:
@@ -172,7 +172,8 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = docs.select("text").mapInArrow(count_patterns, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()  # at most 3**8 rows
     post, _ = fit_votes(found["pattern"].to_numpy(dtype=int), found["n"].to_numpy(dtype=float))
     share = min(1.0, most_rows / max(1, int(found["n"].sum())))
-    sample = docs.filter(F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5 <= share).select("text").mapInArrow(sampled, "pattern int, idx array<int>, val array<float>").toArrow()  # about most_rows rows
+    chosen = docs.select((F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5).alias("u"), "text").filter(F.col("u") <= share)
+    sample = chosen.mapInArrow(sampled, "u double, pattern int, idx array<int>, val array<float>").orderBy("u", "pattern").limit(2 * most_rows).toArrow()  # about most_rows rows; repeated ones are chosen together
     idx, val = (sample.column(k).combine_chunks() for k in ("idx", "val"))
     at = idx.offsets.to_numpy() if len(idx) else np.zeros(1, int)
     flat_idx, flat_val = (x.values.to_numpy() if len(x) else np.zeros(0) for x in (idx, val))
