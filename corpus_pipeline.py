@@ -6,11 +6,16 @@ docs. All stages but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, mixing, near_dup, packing
-from tidemark.llm._spark import cut
+from tidemark.llm._spark import cut, forget, passing
+
+
+def name(c: str) -> Column:
+    """A column's value as text that no null shares, for joins in which null equals null."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
 
 
 def without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
@@ -21,8 +26,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; those without letters or without a likely language go."""
     model = language_id.train(docs, F.col("lang"), F.col("text"), key=F.col("doc_id"))
     found = language_id.identify_documents(docs, model)
-    keyed = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", F.coalesce("doc_id", F.lit(-1)))
-    rejected = found.filter("NOT accepted").select("key", F.coalesce("doc_id", F.lit(-1)).alias("id"))
+    keyed = docs.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("id", name("doc_id"))
+    rejected = found.filter("NOT accepted").select("key", name("doc_id").alias("id"))
     return without(keyed, rejected, ["id", "key"]).select(*docs.columns)
 
 
@@ -43,12 +48,15 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    rounded = mixing.mix_sources(docs).select(F.coalesce("doc_id", F.lit(-1)).alias("id"), "source", "size", "copies").groupBy("id", "source", "size").agg(F.max("copies").alias("copies"))
-    keyed = docs.withColumn("id", F.coalesce("doc_id", F.lit(-1))).withColumn("size", mixing.word_count(F.col("text"))).alias("d")
-    r = rounded.hint("merge").alias("r")
-    on = (F.col("d.id") == F.col("r.id")) & F.col("d.source").eqNullSafe(F.col("r.source")) & (F.col("d.size") == F.col("r.size"))
-    return keyed.join(r, on).filter("copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"d.{c}") for c in docs.columns])
+    """Documents as often as the mix takes them; rows of one id, source and size share their copies evenly."""
+    on = ["id", "place", "size"]
+    taken = mixing.mix_sources(docs).select(name("doc_id").alias("id"), name("source").alias("place"), "size", "copies")
+    taken = cut(taken.groupBy(*on).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")))
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), name("doc_id").alias("id"), name("source").alias("place"), mixing.word_count(F.col("text")).alias("size"))
+    nth = F.row_number().over(Window.partitionBy(*on).orderBy(F.xxhash64("d.text")))
+    upto = lambda k: F.floor(F.col("copies") * k / F.col("rows"))
+    own = keyed.withColumn("nth", nth).join(taken.hint("merge"), on).withColumn("own", (upto(F.col("nth")) - upto(F.col("nth") - 1)).cast("int"))
+    return own.filter("own > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("own")))).select("d.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,6 +70,10 @@ ORACLE_SQL = None  # mixing and packing can't be expressed in SQL; tests/llm/tes
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        with passing():  # a stage's own tables go when its result is written
+            after = cut(stage(spark, docs, sf_dir), keep=True)
+        if k:
+            forget(docs)
+        docs = after
     return docs
