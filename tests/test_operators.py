@@ -13,6 +13,7 @@ from tidemark.plans.engine import Engine, routed
 from tidemark.plans.spec import SynopsisSpec
 from tidemark.plans.synopses import KINDS, Synopsis, register
 from tidemark.sources import connectors
+from tidemark.storage import running_sums
 from tidemark.streaming import continuous
 
 
@@ -70,10 +71,27 @@ def test_lossy_and_sticky_bounds(spark):
     data = [(i, random.choice([1, 1, 1, 2, 2, *range(3, 60)])) for i in range(6000)]
     df = spark.createDataFrame(data, "o int, k int")
     true = {k: sum(x == k for _, x in data) for k in range(60)}
-    for r in frequency.lossy_counts(df, "k", ["o"], 0.01, partitions=2).collect():
+    for r in frequency.lossy_counts(df, "k", ["o"], 0.01, pieces=2).collect():
         assert r.f <= true[r.key] <= r.f + r.delta and r.delta <= 0.01 * r.seen
-    got = {r.key: r.f for r in frequency.sticky_counts(df, "k", ["o"], 0.03, 0.01, 0.01, partitions=2).collect()}
+    got = {r.key: r.f for r in frequency.sticky_counts(df, "k", ["o"], 0.03, 0.01, 0.01, pieces=2).collect()}
     assert 1 in got and true[1] - 0.01 * 6000 <= got[1] <= true[1]
+    halves = [frequency.lossy_sketch(df.filter(F.col("o") % 2 == p), "k", ["o"], 0.01, pieces=3) for p in range(2)]
+    merged = {r.key: r for r in frequency.lossy_result(frequency.merge_lossy(*halves)).collect()}
+    assert all(r.f <= true[k] <= r.f + r.delta and r.delta <= 0.01 * r.seen and r.seen == 6000 for k, r in merged.items())
+    assert all(k in merged for k in true if true[k] > 0.01 * 6000)
+    big = spark.range(200_000).select("id", F.when(F.col("id") % 10 == 0, 0).otherwise(F.col("id")).alias("k"))
+    lost = {r.key: r for r in frequency.sticky_counts(big, "k", ["id"], 0.05, 0.01, 0.01, pieces=2).collect()}
+    assert 20_000 - 0.01 * 200_000 <= lost[0].f <= 20_000 and lost[0].seen == 200_000 and len(lost) < 20_000  # most keys are not sampled
+
+
+def test_running_sums_cross_ranges(spark):
+    df = spark.range(4000, numPartitions=5).select((F.col("id") * 7919 % 4000).alias("o"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"))
+    got = running_sums(df, ["g"], ["o"], F.col("o"), "s").collect()
+    total = {"a": 0, "b": 0}
+    for r in sorted(got, key=lambda r: r.o):
+        total[r.g] += r.o
+        assert r.s == total[r.g]
+    assert len(got) == 4000
 
 
 def test_quantiles_within_rank_error(spark):

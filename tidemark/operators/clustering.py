@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.storage import tasks
+
 SCHEMA = "part int, weight double, coords array<double>"
 
 
@@ -46,11 +48,12 @@ def _reducer(size: int, seed: int):
     return run
 
 
-def coreset(df: DataFrame, vector: str, order: str, size: int, parts: int = 64, fan_in: int = 8, seed: int = 1) -> DataFrame:
+def coreset(df: DataFrame, vector: str, order: str, size: int, parts: int | None = None, fan_in: int = 8, seed: int = 1) -> DataFrame:
     """(weight, coords): at most `size` representatives whose weights sum to the number of vectors. Vectors without coordinates are left out.
 
-    Each of `parts` parts of the rows is read as a stream that is merged and reduced; then `fan_in` parts at a time are, up to one.
+    Each of `parts` parts of the rows (as many as the session has shuffle partitions) is read as a stream that is merged and reduced; then `fan_in` parts at a time are, up to one.
     """
+    parts = parts or tasks(df.sparkSession)
     rows = df.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("part"), F.lit(1.0).alias("weight"), F.transform(vector, lambda v: v.cast("double")).alias("coords"), F.col(order).alias("_o"))
     level = rows.repartition("part").sortWithinPartitions("part", "_o").drop("_o").mapInPandas(_reducer(size, seed), SCHEMA)
     while parts > 1:

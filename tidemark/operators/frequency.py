@@ -10,10 +10,11 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import coefficients, hashed, number, trailing_zeros
+from tidemark.storage import running_sums, tasks
 
 
 @dataclass(frozen=True)
@@ -60,9 +61,8 @@ class CountMin:
     def running(self, df: DataFrame, key: str, order: list[str], value: str | None = None) -> DataFrame:
         """Each element with the estimate of its key right after it: running sums of each counter, the least over the rows."""
         weight = F.lit(1) if value is None else F.col(value).cast("long")
-        w = Window.partitionBy("row", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         spread = df.select(*{key, *order}, weight.cast("long").alias("w"), F.posexplode(self.buckets(F.col(key))).alias("row", "bucket"))
-        return spread.withColumn("cnt", F.sum("w").over(w)).groupBy(*{key, *order}).agg(F.min("cnt").alias("estimate"))
+        return running_sums(spread, ["row", "bucket"], order, F.col("w"), "cnt").groupBy(*{key, *order}).agg(F.min("cnt").alias("estimate"))
 
 
 def merge_counters(*sketches: DataFrame) -> DataFrame:
@@ -189,70 +189,53 @@ def hll(df: DataFrame, keys: list[str], value: str, lg: int = 12) -> DataFrame:
     return df.groupBy(*keys).agg(F.hll_sketch_agg(value, lg).alias("sketch"))
 
 
-def ordered_stream(df: DataFrame, key: str, order: list[str], partitions: int) -> DataFrame:
-    """Rows dealt by key, each partition in the stream's order."""
-    return df.repartition(partitions, key).sortWithinPartitions(*order)
+def counted_pieces(df: DataFrame, key: str, by: list[str], pieces: int | None) -> DataFrame:
+    """(piece, key, c): rows dealt to pieces by a hash of the columns `by`, and each piece's keys counted. A hot key's rows are in all pieces."""
+    piece = F.pmod(F.xxhash64(*by), F.lit(pieces or tasks(df.sparkSession))).cast("int")
+    return df.filter(F.col(key).isNotNull()).groupBy(piece.alias("piece"), F.col(key).alias("key")).agg(F.count("*").alias("c"))
 
 
-def lossy_counts(df: DataFrame, key: str, order: list[str], eps: float, partitions: int = 8) -> DataFrame:
-    """(key, f, delta, seen): lossy counting in every partition of the keys; f <= true count <= f + delta, and delta <= eps * seen.
+def lossy_sketch(df: DataFrame, key: str, by: list[str], eps: float, pieces: int | None = None) -> DataFrame:
+    """(key, f, allowed, seen): a lossy count of each piece of the stream, added up.
 
-    seen is the number of elements of the partition. A partition is read as a stream, in memory bounded by 1 / eps * log(eps * seen).
+    A piece of n rows keeps the keys that it has more than eps * n times, at most 1 / eps of them. The row with a null key says what a
+    key may have lost in all pieces (allowed) and how many rows there were (seen); a key's own `allowed` is of the pieces that keep it.
     """
-    width = math.ceil(1 / eps)
-
-    def count(frames):
-        import pandas as pd
-
-        entries: dict = {}
-        seen = 0
-        for frame in frames:
-            keys = frame[key].tolist()
-            at = 0
-            while at < len(keys):
-                take = min(len(keys) - at, width - seen % width)
-                now = seen // width
-                for k in keys[at : at + take]:
-                    e = entries.get(k)
-                    if e is None:
-                        entries[k] = [1, now]
-                    else:
-                        e[0] += 1
-                seen, at = seen + take, at + take
-                if seen % width == 0:
-                    entries = {k: e for k, e in entries.items() if e[0] + e[1] > seen // width}
-        yield pd.DataFrame([(k, f, d, seen) for k, (f, d) in entries.items()], columns=["key", "f", "delta", "seen"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return ordered_stream(df.filter(F.col(key).isNotNull()).select(key, *[c for c in order if c != key]), key, order, partitions).mapInPandas(count, f"key {kind}, f long, delta long, seen long")
-
-
-def sticky_counts(df: DataFrame, key: str, order: list[str], support: float, eps: float, failure: float, partitions: int = 8, seed: int = 7) -> DataFrame:
-    """(key, f, seen): sticky sampling in every partition of the keys. f <= true count, and a key with at least support * seen
-    elements has f >= (support - eps) * seen with probability 1 - failure."""
-    t = math.ceil(math.log(1 / (support * failure)) / eps)
+    counts = counted_pieces(df, key, by, pieces)
+    sizes = counts.groupBy("piece").agg(F.sum("c").alias("n")).withColumn("lost", F.floor(F.col("n") * eps))
+    kept = counts.join(sizes, "piece").filter("c > lost").groupBy("key").agg(F.sum("c").alias("f"), F.sum("lost").alias("allowed"), F.lit(0).cast("long").alias("seen"))
+    kind = counts.schema["key"].dataType.simpleString()
+    return kept.unionByName(sizes.agg(F.lit(None).cast(kind).alias("key"), F.lit(0).cast("long").alias("f"), F.coalesce(F.sum("lost"), F.lit(0)).alias("allowed"), F.coalesce(F.sum("n"), F.lit(0)).alias("seen")))
+
+
+def merge_lossy(*sketches: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, sketches).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("f", "allowed", "seen")])
+
+
+def lossy_result(sketch: DataFrame) -> DataFrame:
+    """(key, f, delta, seen): f <= true count <= f + delta, and delta <= eps * seen; a key that is not listed has at most eps * seen."""
+    whole = sketch.filter("key IS NULL")
+    allowed, seen = whole.agg(F.sum("allowed")).scalar(), whole.agg(F.sum("seen")).scalar()
+    return sketch.filter("key IS NOT NULL").select("key", "f", (allowed - F.col("allowed")).alias("delta"), seen.alias("seen"))
+
 
-    def count(frames):
-        import numpy as np
-        import pandas as pd
-
-        rng = np.random.default_rng(seed)
-        entries: dict = {}
-        seen, rate, limit = 0, 1, 2 * t
-        for frame in frames:
-            for k in frame[key].tolist():
-                if seen == limit:
-                    rate, limit = 2 * rate, 2 * limit
-                    for old in list(entries):  # a fair coin for each unit until a head
-                        entries[old] -= int(rng.geometric(0.5)) - 1
-                        if entries[old] <= 0:
-                            del entries[old]
-                if k in entries:
-                    entries[k] += 1
-                elif rate == 1 or rng.random() < 1 / rate:
-                    entries[k] = 1
-                seen += 1
-        yield pd.DataFrame([(k, f, seen) for k, f in entries.items()], columns=["key", "f", "seen"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return ordered_stream(df.filter(F.col(key).isNotNull()).select(key, *[c for c in order if c != key]), key, order, partitions).mapInPandas(count, f"key {kind}, f long, seen long")
+def lossy_counts(df: DataFrame, key: str, by: list[str], eps: float, pieces: int | None = None) -> DataFrame:
+    return lossy_result(lossy_sketch(df, key, by, eps, pieces))
+
+
+def sticky_counts(df: DataFrame, key: str, by: list[str], support: float, eps: float, failure: float, pieces: int | None = None, seed: int = 7) -> DataFrame:
+    """(key, f, seen): sticky sampling in every piece of the stream, added up. f <= true count, and a key with at least support * seen
+    elements has f >= (support - eps) * seen with probability 1 - failure.
+
+    A piece's rate doubles each time its length does, beyond 2 * t rows; after the doublings an entry is as if it had been sampled at the
+    last rate from the start. So an entry has its key's count without what went by before the first hit, which is geometric: one
+    draw, by a hash of piece and key, instead of one for every row.
+    """
+    t = math.ceil(math.log(1 / (support * failure)) / eps)
+    counts = counted_pieces(df, key, by, pieces)
+    sizes = counts.groupBy("piece").agg(F.sum("c").alias("n"))
+    rate = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (2 * t)))))
+    u = (F.pmod(F.xxhash64("piece", "key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    missed = F.when(F.col("rate") > 1, F.floor(F.log(u) / F.log(1 - 1 / F.col("rate")))).otherwise(0)
+    found = counts.join(sizes.withColumn("rate", rate), "piece").withColumn("left", F.col("c") - missed).filter("left > 0").groupBy("key").agg(F.sum("left").cast("long").alias("f"))
+    return found.select("key", "f", sizes.agg(F.sum("n")).scalar().alias("seen"))

@@ -46,7 +46,7 @@ def bernoulli(df: DataFrame, id_col: str, p: int, seed: int = 23) -> DataFrame:
     return df.filter(sample_hash(id_col, seed) % (1 << p) == 0)
 
 
-def trajectory_sample(df: DataFrame, ship: str, order: list[str], period: float, distance: float, knots: float, course: float, partitions: int = 8) -> DataFrame:
+def trajectory_sample(df: DataFrame, ship: str, order: list[str], period: float, distance: float, knots: float, course: float) -> DataFrame:
     """Positions worth keeping: the first of a ship, and those that differ from the last kept one by more than `period` seconds, `distance`
     metres, `course` degrees or `knots`; a missing course or speed keeps the position. Columns: ship, t, lat, lon, course, speed and others.
 
@@ -66,4 +66,4 @@ def trajectory_sample(df: DataFrame, ship: str, order: list[str], period: float,
                 chosen.append(new)
             yield frame[chosen]
 
-    return df.repartition(partitions, ship).sortWithinPartitions(ship, *order).mapInPandas(keep, df.schema)
+    return df.repartition(ship).sortWithinPartitions(ship, *order).mapInPandas(keep, df.schema)

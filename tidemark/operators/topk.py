@@ -19,40 +19,45 @@ def merge_lowest(k: int, value: str, *partials: DataFrame) -> DataFrame:
     return rows.withColumn("_bar", bar).filter(F.col("_bar").isNull() | (F.col(value) < F.col("_bar"))).drop("_bar")
 
 
-def pruned(df: DataFrame, group: str, series: str, time: str, value: str, k: int, countdown: int, partitions: int = 8) -> DataFrame:
+def pruned(df: DataFrame, group: str, series: str, time: str, value: str, k: int, countdown: int) -> DataFrame:
     """(group, series, value, pruned_at): in each group (a partition of the series) the k lowest series after the last time; a series
     above the k-th whose gap to it has grown `countdown` times running is dropped and not looked at again. Groups are read as ordered
     streams; the state is one value for each series of the group."""
 
     def watch(frames):
+        from bisect import bisect_left, insort
+
         import pandas as pd
 
         def result(g, values, gone):
             alive = sorted((v, s) for s, v in values.items() if s not in gone)[:k]
             return pd.DataFrame([(g, s, v, None) for v, s in alive] + [(g, s, values[s], t) for s, t in gone.items()], columns=["group", "series", "value", "pruned_at"])
 
-        at, values, gaps, gone = None, {}, {}, {}
+        at, values, gaps, gone, alive = None, {}, {}, {}, []  # alive: the values of the series still looked at, in order
         for frame in frames:
             for g, s, t, v in zip(frame[group], frame[series], frame[time], frame[value]):
                 if g != at:
                     if at is not None:
                         yield result(at, values, gone)
-                    at, values, gaps, gone = g, {}, {}, {}
+                    at, values, gaps, gone, alive = g, {}, {}, {}, []
                 if s in gone:
                     continue
+                if s in values:
+                    del alive[bisect_left(alive, values[s])]
                 values[s] = v
-                alive = sorted(x for y, x in values.items() if y not in gone)
+                insort(alive, v)
                 if len(alive) > k and v > alive[k - 1]:
                     gap, left = v - alive[k - 1], gaps.get(s, (0.0, countdown))
                     left = (gap, left[1] - 1 if gap > left[0] else countdown)
                     gaps[s] = left
                     if left[1] <= 0:
                         gone[s] = t
+                        del alive[bisect_left(alive, v)]
                 else:
                     gaps.pop(s, None)
         if at is not None:
             yield result(at, values, gone)
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select(*{group, series, time, value}).repartition(partitions, group).sortWithinPartitions(group, time, series)
+    rows = df.select(*{group, series, time, value}).repartition(group).sortWithinPartitions(group, time, series)
     return rows.mapInPandas(watch, f"group {types[group]}, series {types[series]}, value {types[value]}, pruned_at {types[time]}")

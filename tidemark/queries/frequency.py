@@ -189,9 +189,9 @@ LOSSY = "SELECT l_suppkey AS key, count(*) AS exact, true AS within FROM lineite
 
 
 def sticky_frequent(spark, d):
-    """Event types with a tenth of all events or more; their sticky counts lose at most eps of their partition."""
+    """Event types with a tenth of all events or more; their sticky counts lose at most eps of all."""
     events = table(spark, d, "events")
-    f = sticky_counts(events, "event_type", ["ts", "event_id"], support=0.05, eps=0.01, failure=0.01)
+    f = sticky_counts(events, "event_type", ["event_id"], support=0.05, eps=0.01, failure=0.01)
     return frequent(f, events, "event_type", 0.1, F.coalesce((F.col("f") <= F.col("exact")) & (F.col("exact") <= F.col("f") + 0.01 * F.col("seen")), F.lit(False)))
 
 
