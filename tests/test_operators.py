@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.arrays import pearson
-from tidemark.operators import clustering, frequency, quantiles, sampling, series, similarity, topk
+from tidemark.operators import blocks, clustering, frequency, quantiles, sampling, series, similarity, topk
 from tidemark.plans.engine import Engine, routed
 from tidemark.plans.spec import SynopsisSpec
 from tidemark.plans.synopses import KINDS, Synopsis, register
@@ -120,6 +120,28 @@ def test_topk_lowest_merge_and_pruning(spark):
     assert got[0] is None and got[1] is None and got[4] is not None
 
 
+def test_pruning_of_ties_and_many_series(spark):
+    rng = random.Random(8)
+    data = [(g, s, t, float(rng.randint(0, 6))) for g in range(3) for t in range(25) for s in range(12)]
+    got = {(r.group, r.series): (r.value, r.pruned_at) for r in topk.pruned(spark.createDataFrame(data, "g int, s int, t int, v double"), "g", "s", "t", "v", 3, 3).collect()}
+    for g in range(3):
+        values, gaps, gone = {}, {}, {}
+        for _, s, t, v in (r for r in data if r[0] == g):
+            if s in gone:
+                continue
+            values[s] = v
+            alive = sorted(x for y, x in values.items() if y not in gone)
+            if len(alive) > 3 and v > alive[2]:
+                gap, left = v - alive[2], gaps.get(s, (0.0, 3))
+                gaps[s] = (gap, left[1] - 1 if gap > left[0] else 3)
+                if gaps[s][1] <= 0:
+                    gone[s] = t
+            else:
+                gaps.pop(s, None)
+        best = sorted((v, s) for s, v in values.items() if s not in gone)[:3]
+        assert {k[1]: x for k, x in got.items() if k[0] == g} == {s: (v, None) for v, s in best} | {s: (values[s], t) for s, t in gone.items()}
+
+
 def series_of(spark, values, key="a"):
     return spark.createDataFrame([(key, i, float(v)) for i, v in enumerate(values)], "k string, rn long, v double")
 
@@ -171,6 +193,29 @@ def test_equal_vectors_share_every_radius_cell(spark):
     assert [tuple(r) for r in similarity.radius_vote(cells, "id", 5, 90).collect()] == [(1, 2, 5)]
 
 
+def test_lsh_finds_what_it_promises(spark, sf):
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    ids = np.array([r.vec_id for r in df.orderBy("vec_id").select("vec_id").collect()])
+    z = x - x.mean(1, keepdims=True)
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(z @ z.T >= 0.4, 1))
+    every = set(zip(ids[i].tolist(), ids[j].tolist()))
+    got = {(r.a, r.b) for r in similarity.lsh_pairs(df, "vec_id", "embedding", 64, 0.4, 0.95, 8).collect()}
+    assert got <= every and len(got) >= 0.92 * len(every)
+    codes = similarity.lsh_codes(df, "vec_id", "embedding", 64, 20, 8, 1)
+    assert {(r.a, r.b) for r in blocks.pairs(codes, 0.4, block=16).collect()} == {(r.a, r.b) for r in blocks.pairs(codes, 0.4, block=4096).collect()}
+
+
+def test_votes_by_chunks_miss_no_pair(spark):
+    rng = random.Random(6)
+    cells = [(i, g, rng.randint(0, 1), 0) for i in range(60) for g in range(6)]
+    at = {i: [c[2] for c in cells if c[0] == i] for i in range(60)}
+    want = {(a, b, v) for a in at for b in at if a < b and (v := sum(p == q for p, q in zip(at[a], at[b]))) > 3}
+    got = similarity.radius_vote(spark.createDataFrame(cells, "id long, group int, cx long, cy long"), "id", 6, 50).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_coreset_keeps_weight_and_finds_clusters(spark):
     rng = np.random.default_rng(0)
     points = [(i, (np.array([10.0 * (i % 3), 0.0]) + rng.normal(0, 0.1, 2)).tolist()) for i in range(600)]

@@ -50,7 +50,7 @@ def projection(rows: int, columns: int, seed: int, signs: bool = False) -> list[
 
 def projected(x: Column, matrix: list[list[float]]) -> Column:
     """One number for each row of the matrix."""
-    return F.array(*[dot(x, F.array(*map(F.lit, row))) for row in matrix])
+    return F.array(*[dot(x, F.expr("array(" + ", ".join(f"{v!r}D" for v in row) + ")")) for row in matrix])
 
 
 def ranks(x: Column) -> Column:

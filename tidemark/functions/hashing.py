@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,15 @@ def text_number_sql(x: str) -> str:
     return f"(cast('0x' || substr(md5(cast({x} AS VARCHAR)), 1, 15) AS BIGINT) % {PRIME})"
 
 
+def random_signs(n: int, seed: int) -> list[float]:
+    """n independent signs, from the digests of numbered texts."""
+    return [1.0 if int(hashlib.md5(f"{seed}_{k}".encode()).hexdigest()[:15], 16) % 2 else -1.0 for k in range(n)]
+
+
+def random_sign_sql(k: str, seed: int) -> str:
+    return f"CASE WHEN cast('0x' || substr(md5('{seed}_' || ({k})::VARCHAR), 1, 15) AS BIGINT) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
+
+
 def trailing_zeros(x: Column) -> Column:
     """The number of zero bits below the lowest one bit of a positive integer."""
     return F.bit_count(x.bitwiseAND(-x) - 1)

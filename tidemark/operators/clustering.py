@@ -90,6 +90,26 @@ def kmeans(points: DataFrame, k: int, runs: int = 5, rounds: int = 50, seed: int
     return points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "centre int, weight double, coords array<double>")  # a coreset has a fixed size
 
 
+def cost(points: DataFrame, vector: str, centres: DataFrame) -> DataFrame:
+    """(points, cost): the sum of squared distances to the nearest centre. Centres are few."""
+    to = F.array(*[F.array(*[F.lit(float(v)) for v in r["coords"]]) for r in centres.select("coords").collect()])
+    gap = lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    return points.select(F.array_min(F.transform(to, gap)).alias("d")).agg(F.count("*").alias("points"), F.sum("d").alias("cost"))
+
+
+def lloyd_cost(points: DataFrame, vector: str, k: int, seed: int = 1) -> float:
+    """What Spark's own k-means over all points costs."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    return KMeans(k=k, seed=seed).fit(points.select(array_to_vector(vector).alias("features"))).summary.trainingCost
+
+
+def constant_points(df: DataFrame, key: str, value: str, dims: int) -> DataFrame:
+    """(key, coords): points whose every coordinate is the row's value."""
+    return df.select(key, F.array_repeat(F.col(value).cast("double"), dims).alias("coords"))
+
+
 def joined_points(df: DataFrame, key: str, order: list[str], value: str, dims: int) -> DataFrame:
     """(key, n, coords): points of `dims` consecutive values of a series, without overlap."""
     from tidemark.operators.series import numbered

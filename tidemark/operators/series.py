@@ -56,16 +56,23 @@ def on_grid(digests: DataFrame, threshold: float) -> DataFrame:
     return digests.withColumns({"cx": F.floor(F.col("re1") / side), "cy": F.floor(F.col("im1") / side)})
 
 
-def correlated(left: DataFrame, right: DataFrame, key: str, equal: list[str], condition: Column | None, threshold: float, coefs: int, both_ways: bool = False) -> DataFrame:
+def correlated(left: DataFrame, right: DataFrame, key: str, equal: list[str], condition: Column | None, threshold: float, coefs: int, both_ways: bool = False, band: tuple[str, float] | None = None) -> DataFrame:
     """Pairs of digests (columns key, w, cx, cy, re1, ...) in the same or neighbouring cells with 1 - sum |difference|**2 >= threshold.
 
     left and right have the columns prefixed a_ and b_. With both_ways left probes every neighbour of its cell, as right has other rows; else
-    each unordered pair of one table is met once. bound is an upper bound of the correlation.
+    each unordered pair of one table is met once. With a band (a column, a width), the two differ by at most the width in that column, and
+    only cells of the same or a neighbouring stretch of it meet. bound is an upper bound of the correlation.
     """
     offsets = [(x, y) for x in (-1, 0, 1) for y in (-1, 0, 1)] if both_ways else FORWARD
     moved = left.withColumn("o", F.explode(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in offsets])))
     moved = moved.withColumns({"nx": F.col("a_cx") + F.col("o.x"), "ny": F.col("a_cy") + F.col("o.y"), "home": (F.col("o.x") == 0) & (F.col("o.y") == 0)}).drop("o")
     on = (F.col("nx") == F.col("b_cx")) & (F.col("ny") == F.col("b_cy"))
+    if band is not None:
+        column, width = band
+        stretch = lambda p: F.floor(F.col(f"{p}_{column}") / width)
+        moved = moved.withColumn("stretch", F.explode(F.sequence(stretch("a") - 1, stretch("a") + 1)))
+        right = right.withColumn("b_stretch", stretch("b"))
+        on &= (F.col("stretch") == F.col("b_stretch")) & (F.abs(F.col(f"a_{column}") - F.col(f"b_{column}")) <= width)
     for c in equal:
         on &= F.col(f"a_{c}") == F.col(f"b_{c}")
     if condition is not None:
@@ -89,10 +96,14 @@ def past_windows(df: DataFrame, key: str, value: str, time: str, order: list[str
     return on_grid(digests, threshold).join(raw_windows(rows, key, value, time, size, windows), [key, "w"])
 
 
-def verified(pairs: DataFrame, threshold: float, length: int) -> DataFrame:
-    """Candidate pairs of windows of `length` values with their exact correlation, of at least the threshold."""
+def verified(pairs: DataFrame, windows: DataFrame, key: str, threshold: float, length: int, values: bool = False) -> DataFrame:
+    """(a_key, a_w, b_key, b_w, corr) of candidate pairs of windows of `length` values whose exact correlation reaches the threshold. The candidates are
+    joined by ids alone; the windows' scaled values z (and with `values` vals) are looked up for those that the digests let through."""
+    found = pairs.select(*[f"{p}_{c}" for p in "ab" for c in (key, "w")])
+    for p in "ab":
+        found = found.join(windows.select(F.col(key).alias(f"{p}_{key}"), F.col("w").alias(f"{p}_w"), F.col("z").alias(f"{p}_z"), *([F.col("vals").alias(f"{p}_vals")] if values else [])), [f"{p}_{key}", f"{p}_w"])
     corr = sum((F.get("a_z", F.lit(i)) * F.get("b_z", F.lit(i)) for i in range(length)), F.lit(0.0))
-    return pairs.withColumn("corr", F.round(corr, 6)).filter(F.col("corr") >= threshold)
+    return found.withColumn("corr", F.round(corr, 6)).filter(F.col("corr") >= threshold)
 
 
 def gap_filled(df: DataFrame, key: str, time: str, value: str, step: int) -> DataFrame:

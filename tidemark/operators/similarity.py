@@ -4,10 +4,20 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import dot, projected, projection, standard
+from tidemark.functions.hashing import random_signs
+from tidemark.operators import blocks
+from tidemark.storage import written
+
+
+def product_sql(vector: str, matrix: list[list[float]]) -> str:
+    """SQL of a list of products of a list with the rows of a matrix."""
+    return "[" + ", ".join(f"list_dot_product({vector}, {row}::DOUBLE[])" for row in matrix) + "]"
 
 
 def scaled(df: DataFrame, vector: str) -> DataFrame:
@@ -21,14 +31,49 @@ def lsh(df: DataFrame, vector: str, dims: int, bits: int, seed: int) -> DataFram
     return scaled(df, vector).withColumn("bits", F.transform(projected(F.col("z"), projection(bits, dims, seed)), lambda x: x > 0)).withColumn("hw", F.size(F.filter("bits", lambda b: b)))
 
 
-def band_pairs(df: DataFrame, key: str, bands: int, width: int, threshold: float) -> DataFrame:
-    """(a, b, corr): vectors that agree on all bits of a band, verified by their correlation. Each pair once, in its first common band."""
-    spread = df.select(key, "z", "bits", F.explode(F.sequence(F.lit(0), F.lit(bands - 1))).alias("band"))
-    spread = spread.withColumn("code", F.array_join(F.transform(F.slice("bits", F.col("band") * width + 1, F.lit(width)), lambda b: b.cast("int").cast("string")), ""))
-    a, b = (spread.select(*[F.col(c).alias(f"{p}_{c}") for c in spread.columns]) for p in "ab")
-    met = a.join(b, (F.col("a_band") == F.col("b_band")) & (F.col("a_code") == F.col("b_code")) & (F.col(f"a_{key}") < F.col(f"b_{key}")))
-    earlier = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda k: (k < F.col("a_band")) & (F.slice("a_bits", k * width + 1, F.lit(width)) == F.slice("b_bits", k * width + 1, F.lit(width))))
-    return met.filter(~earlier).withColumn("corr", F.round(dot(F.col("a_z"), F.col("b_z")), 6)).filter(F.col("corr") >= threshold).select(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b"), "corr")
+def bands_for(threshold: float, recall: float, width: int) -> int:
+    """The fewest bands of `width` bits that find a pair whose correlation is the threshold with the recall wanted. A bit differs with probability
+    angle / pi; as random vectors share a band with probability 2**-width, width goes with the logarithm of their number."""
+    agree = 1 - math.acos(threshold) / math.pi
+    return math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
+
+
+def lsh_codes(df: DataFrame, key: str, vector: str, dims: int, bands: int, width: int, seed: int) -> DataFrame:
+    """(id, codes, x): the scaled vector and, for each band, `width` signs of random projections as one number. Vectors that are null, or of
+    another length, or have null or non-finite components, are left out."""
+    matrix = np.array(random_signs(bands * width * dims, seed)).reshape(-1, dims)
+    whole = df.filter((F.size(vector) == dims) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))))
+    rows = scaled(whole, vector).select(F.col(key).cast("long").alias("id"), "z")
+
+    def code(batches):
+        weights = np.int64(1) << np.arange(width, dtype=np.int64)
+        for b in batches:
+            z = b.column(1)
+            x = z.flatten().to_numpy(zero_copy_only=False).reshape(len(z), dims)
+            bits = (x @ matrix.T > 0).reshape(len(z), bands, width)
+            codes = (bits * weights).sum(2)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * bands, pa.array(codes.ravel())), z], ["id", "codes", "x"])
+
+    return rows.mapInArrow(code, "id long, codes array<long>, x array<double>")
+
+
+def lsh_pairs(df: DataFrame, key: str, vector: str, dims: int, threshold: float, recall: float = 0.9, width: int = 8, seed: int = 31) -> DataFrame:
+    """(a, b, corr): pairs that agree on all bits of a band, verified by their correlation; of pairs at the threshold the share `recall` at least, of
+    closer ones more. probes_against_all() is the exact way for a stated query set."""
+    rows = written(lsh_codes(df, key, vector, dims, bands_for(threshold, recall, width), width, seed))
+    return blocks.pairs(rows, threshold).withColumnRenamed("score", "corr")
+
+
+def lsh_links(df: DataFrame, key: str, vector: str, dims: int, threshold: float, recall: float = 0.9, width: int = 8, seed: int = 31) -> DataFrame:
+    """(id, n_links, best, best_corr) of every vector: how many others it has such a pair with, and the closest of them (null where it has none)."""
+    rows = written(lsh_codes(df, key, vector, dims, bands_for(threshold, recall, width), width, seed))
+    found = blocks.links(rows, threshold).withColumnRenamed("best_score", "best_corr")
+    return df.select(F.col(key).cast("long").alias("id")).join(found, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
+def lsh_windows(windows: DataFrame, keys: list[str], length: int, bits: int, seed: int) -> DataFrame:
+    """(keys, hw) of scaled windows z of a series: the Hamming weight of their signs under random projections."""
+    return windows.filter("z IS NOT NULL").select(*keys, F.size(F.filter(projected(F.col("z"), projection(bits, length, seed)), lambda v: v > 0)).alias("hw"))
 
 
 def radius_groups(df: DataFrame, key: str, vector: str, dims: int, groups: int, side: float, seed: int) -> DataFrame:
@@ -40,39 +85,58 @@ def radius_groups(df: DataFrame, key: str, vector: str, dims: int, groups: int,
     return spread.select(key, "group", cell(0).alias("cx"), cell(1).alias("cy"))
 
 
+def _vote_rows(cells: DataFrame, key: str, groups: int, percent: float) -> tuple[DataFrame, int]:
+    least = math.floor(groups * percent / 100) + 1
+    chunks = groups - least + 1  # groups that a pair may miss fall into all chunks but one
+    at = written(cells.groupBy(F.col(key).cast("long").alias("id")).agg(F.sort_array(F.collect_list(F.struct("group", "cx", "cy"))).alias("c")))
+    slices = [F.slice("c", groups * k // chunks + 1, groups * (k + 1) // chunks - groups * k // chunks) for k in range(chunks)]
+    cell = F.transform("c", lambda g: F.xxhash64(g["cx"], g["cy"]).cast("double"))
+    return written(at.select("id", F.array(*map(F.xxhash64, slices)).alias("codes"), cell.alias("x"))), least
+
+
 def radius_vote(cells: DataFrame, key: str, groups: int, percent: float) -> DataFrame:
-    """(a, b, votes): pairs that share the cell in more than `percent` of the groups."""
-    a, b = (cells.select(*[F.col(c).alias(f"{p}_{c}") for c in cells.columns]) for p in "ab")
-    same = [F.col(f"a_{c}") == F.col(f"b_{c}") for c in ("group", "cx", "cy")]
-    met = a.join(b, same[0] & same[1] & same[2] & (F.col(f"a_{key}") < F.col(f"b_{key}")))
-    return met.groupBy(F.col(f"a_{key}").alias("a"), F.col(f"b_{key}").alias("b")).agg(F.count("*").alias("votes")).filter(F.col("votes") > groups * percent / 100)
+    """(a, b, votes): pairs that share the cell in more than `percent` of the groups.
+
+    A pair that shares so many shares all groups of one of a few chunks at least, so chunks are what is joined: no pair is missed, and
+    a bucket holds those that agree in several groups at once.
+    """
+    rows, least = _vote_rows(cells, key, groups, percent)
+    return blocks.pairs(rows, least, blocks.equal_places).select("a", "b", F.col("score").cast("long").alias("votes"))
+
+
+def radius_links(cells: DataFrame, key: str, groups: int, percent: float) -> DataFrame:
+    """(id, n_links, best, votes) of the rows that have such a pair: how many, and the one with the most votes."""
+    rows, least = _vote_rows(cells, key, groups, percent)
+    return blocks.links(rows, least, blocks.equal_places).select("id", "n_links", "best", F.col("best_score").cast("long").alias("votes"))
 
 
 def probes_against_all(df: DataFrame, probes: DataFrame, key: str, vector: str, threshold: float, block: int = 256) -> DataFrame:
     """(probe, other, corr): a stated set of query rows against all rows, in blocks.
 
-    Every block of probes is dealt to all partitions of the rows by a join on the block's number, and a task multiplies one block
-    with a batch of rows; rows are copied once for each block, not for each probe.
+    Blocks of probes meet blocks of rows: a row is copied once for each block of probes, not for each probe, and a task multiplies one
+    block of each at a time. Blocks of rows have about `block` rows, however many rows there are. A constant vector correlates with none.
     """
-    rows = scaled(df, vector).select(key, "z").filter(F.col("z").isNotNull() & ~F.exists("z", lambda v: v.isNull()))
-    asked = scaled(probes, vector).select(key, "z").filter(F.col("z").isNotNull() & ~F.exists("z", lambda v: v.isNull()))
-    n_blocks = max(1, -(-asked.count() // block))
-    blocks = asked.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).cast("int").alias("b")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), "z"))).alias("probes"))
-    spread = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(4096)).alias("part")).agg(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), "z"))).alias("rows")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    good = F.col("z").isNotNull() & ~F.exists("z", lambda v: v.isNull())
+    rows, asked = (written(scaled(x, vector).select(F.col(key).cast("long").alias("id"), "z")).filter(good) for x in (df, probes))
+    return _multiplied(rows, asked, threshold, block)
 
-    def multiply(frames):
-        import numpy as np
-        import pandas as pd
 
-        for f in frames:
-            for rs, ps in zip(f["rows"], f["probes"]):
-                x, p = np.array([r["z"] for r in rs]), np.array([q["z"] for q in ps])
-                corr = np.round(p @ x.T, 6)
-                i, j = np.nonzero(corr >= threshold)
-                a, b = np.array([q["k"] for q in ps])[i], np.array([r["k"] for r in rs])[j]
-                yield pd.DataFrame({"probe": a, "other": b, "corr": corr[i, j]})[a != b]
+def _multiplied(rows: DataFrame, asked: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(probe, other, corr) of vectors (id, z) whose product reaches the threshold."""
+    n, m = (max(1, -(-x.count() // block)) for x in (asked, rows))
+    left = asked.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("p"), "id", "z").groupBy("p").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("z")).alias("zs"))
+    right = rows.select(F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("r"), "id", "z").groupBy("r").agg(F.collect_list("id").alias("others"), F.flatten(F.collect_list("z")).alias("os"))
+    met = right.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(left, "p").select("ids", "zs", "others", "os")
 
-    return spread.join(blocks, "b").select("rows", "probes").mapInPandas(multiply, "probe long, other long, corr double")
+    def multiply(batches):
+        for batch in batches:
+            for a, x, b, y in zip(*(batch.column(k) for k in range(4))):
+                a, x, b, y = (v.values.to_numpy(zero_copy_only=False) for v in (a, x, b, y))
+                corr = np.round(x.reshape(len(a), -1) @ y.reshape(len(b), -1).T, 6)
+                i, j = np.nonzero((corr >= threshold) & (a[:, None] != b[None, :]))
+                yield pa.RecordBatch.from_arrays([pa.array(a[i]), pa.array(b[j]), pa.array(corr[i, j])], ["probe", "other", "corr"])
+
+    return met.mapInArrow(multiply, "probe long, other long, corr double")
 
 
 def simulation_windows(df: DataFrame, sim: str, time: str, channels: list[str], width: int, step: int, bits: int, seed: int) -> DataFrame:
@@ -98,25 +162,35 @@ def angle_width(threshold: float, bits: int) -> int:
 
 def simulation_pairs(windows: DataFrame, sim: str, threshold: float, bits: int, weights: list[float], k: int) -> DataFrame:
     """(a_sim, a_start, b_sim, b_start, gap, corr): for each window the `k` windows of other simulations whose Hamming weights are nearest, at most
-    the angle's width apart; of these, those with the threshold's weighted correlation. Each window has a bucket of weights and copies in the one below."""
+    the angle's width apart (of equals the first by simulation and start); of these, those with the threshold's weighted correlation.
+
+    Of the windows with one weight only the first k of a simulation, and of these the first 2 * k, can be among anyone's k: that leaves
+    2 * k * (bits + 1) windows at most, whatever the input, which every window looks at.
+    """
     width = angle_width(threshold, bits)
-    z = windows.withColumn("z", F.transform("vals", standard)).withColumn("bucket", F.expr(f"hw div {width}"))
-    a = z.select(F.col(sim).alias("a_sim"), F.col("start").alias("a_start"), F.col("hw").alias("a_hw"), F.explode(F.expr("sequence(bucket - 1, bucket + 1)")).alias("bucket"))
-    b = z.select(F.col(sim).alias("b_sim"), F.col("start").alias("b_start"), F.col("hw").alias("b_hw"), "bucket")
-    met = a.join(b, "bucket").filter("a_sim <> b_sim").withColumn("gap", F.abs(F.col("a_hw") - F.col("b_hw"))).filter(F.col("gap") <= width)
+    z = written(windows.select(F.col(sim).alias("sim"), "start", "hw", F.transform("vals", standard).alias("z")))
+    own, all_ = Window.partitionBy("hw", "sim").orderBy("start"), Window.partitionBy("hw").orderBy("sim", "start")
+    few = z.select("sim", "start", "hw").withColumn("n", F.row_number().over(own)).filter(F.col("n") <= k).withColumn("n", F.row_number().over(all_)).filter(F.col("n") <= 2 * k)
+    b = few.select(F.col("sim").alias("b_sim"), F.col("start").alias("b_start"), F.col("hw").alias("near"))
+    a = z.select(F.col("sim").alias("a_sim"), F.col("start").alias("a_start"), "hw", F.explode(F.sequence(F.col("hw") - width, F.col("hw") + width)).alias("near"))
+    met = a.join(F.broadcast(b), "near").filter("a_sim <> b_sim").withColumn("gap", F.abs(F.col("hw") - F.col("near")))
     nearest = Window.partitionBy("a_sim", "a_start").orderBy("gap", "b_sim", "b_start")
     best = met.withColumn("place", F.row_number().over(nearest)).filter(F.col("place") <= k)  # on ids alone; the values of the k chosen are joined
     for p in "ab":
-        best = best.join(z.select(F.col(sim).alias(f"{p}_sim"), F.col("start").alias(f"{p}_start"), F.col("z").alias(f"{p}_z")), [f"{p}_sim", f"{p}_start"])
+        best = best.join(z.select(F.col("sim").alias(f"{p}_sim"), F.col("start").alias(f"{p}_start"), F.col("z").alias(f"{p}_z")), [f"{p}_sim", f"{p}_start"])
     return best.withColumn("corr", weighted_correlation(F.col("a_z"), F.col("b_z"), weights)).filter(F.col("corr") >= threshold).select("a_sim", "a_start", "b_sim", "b_start", "gap", "corr")
 
 
-def similar_to(windows: DataFrame, asked: DataFrame, sim: str, threshold: float, weights: list[float], k: int) -> DataFrame:
-    """For each window that is asked for (sim, start), the k most correlated windows of other simulations at the same or another start."""
-    z = windows.withColumn("z", F.transform("vals", standard))
-    a = asked.join(z, [sim, "start"]).select(F.col(sim).alias("a_sim"), F.col("start").alias("a_start"), F.col("z").alias("a_z"))
-    b = z.select(F.col(sim).alias("b_sim"), F.col("start").alias("b_start"), F.col("z").alias("b_z"))
-    met = b.join(F.broadcast(a), F.col("a_sim") != F.col("b_sim"))  # the windows asked for are a request's short list
-    ranked = met.withColumn("corr", weighted_correlation(F.col("a_z"), F.col("b_z"), weights)).filter(F.col("corr") >= threshold)
+def similar_to(windows: DataFrame, asked: DataFrame, sim: str, threshold: float, weights: list[float], k: int, before: int | None = None, block: int = 64) -> DataFrame:
+    """For each window that is asked for (sim, start), the k most correlated windows of other simulations, of those that start before `before` where given.
+
+    A window's scaled channels, each times the root of its weight, are one vector, whose products with others are the weighted correlations; so
+    the list asked for meets all windows in blocks, as any stated query set does. Windows have ids by simulation and start.
+    """
+    z = windows.withColumn("z", F.flatten(F.transform(F.zip_with(F.transform("vals", standard), F.array(*[F.lit(w**0.5) for w in weights]), lambda c, w: F.struct(c.alias("c"), w.alias("w"))), lambda s: F.transform(s["c"], lambda v: v * s["w"]))))
+    rows = written(z.select(sim, "start", "z").withColumn("id", F.xxhash64(sim, "start")))
+    found = _multiplied(rows if before is None else rows.filter(F.col("start") < before), rows.join(asked, [sim, "start"], "left_semi"), threshold, block)
+    for p, c in (("a", "probe"), ("b", "other")):
+        found = found.join(rows.select(F.col("id").alias(c), F.col(sim).alias(f"{p}_sim"), F.col("start").alias(f"{p}_start")), c)
     best = Window.partitionBy("a_sim", "a_start").orderBy(F.desc("corr"), "b_sim", "b_start")
-    return ranked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("a_sim", "a_start", "b_sim", "b_start", "corr")
+    return found.filter("a_sim <> b_sim").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).select("a_sim", "a_start", "b_sim", "b_start", "corr")

@@ -131,11 +131,24 @@ TOPK_MERGED = f"WITH {DAILY} SELECT user_id, total FROM daily WHERE day = 10 AND
 def topk_pruned(spark, d):
     """In ten groups of users, the three lowest at the end and the users that pruning dropped."""
     rows = daily(spark, d).withColumn("part", F.col("user_id") % 10)
-    return topk.pruned(rows, "part", "user_id", "day", "total", k=3, countdown=4)
+    return topk.pruned(rows, "part", "user_id", "day", "total", k=3, countdown=4).withColumn("pruned_at", F.coalesce("pruned_at", F.lit(-1)))
 
 
+#: The same row by row, with a list of what each group knows of its series.
+TOPK_PRUNED = f"""WITH RECURSIVE {DAILY}, r AS (SELECT user_id % 10 AS part, user_id AS s, day AS t, total AS v, row_number() OVER (PARTITION BY user_id % 10 ORDER BY day, user_id) AS rn FROM daily),
+k(part, rn, st) AS (
+  SELECT part, 0::BIGINT, CAST([] AS STRUCT(s BIGINT, v DOUBLE, gap DOUBLE, "left" INTEGER, gone INTEGER)[]) FROM r GROUP BY part
+  UNION ALL
+  SELECT part, rn, CASE WHEN old.gone IS NOT NULL THEN st ELSE list_append(others, {{'s': s, 'v': v, 'gap': gap, 'left': still, 'gone': CASE WHEN still <= 0 THEN t END}}) END FROM (
+    SELECT *, CASE WHEN gap IS NOT NULL THEN CASE WHEN gap > coalesce(old.gap, 0.0) THEN coalesce(old.left, 4) - 1 ELSE 4 END END AS still FROM (
+      SELECT *, CASE WHEN len(alive) > 3 AND v > alive[3] THEN v - alive[3] END AS gap FROM (
+        SELECT *, list_sort(list_append(list_transform(list_filter(others, lambda x: x.gone IS NULL), lambda x: x.v), v)) AS alive FROM (
+          SELECT r.part, r.rn, r.s, r.t, r.v, st, list_filter(st, lambda x: x.s = r.s)[1] AS old, list_filter(st, lambda x: x.s <> r.s) AS others FROM k JOIN r ON r.part = k.part AND r.rn = k.rn + 1))))),
+e AS (SELECT part, unnest(arg_max(st, rn)) AS x FROM k GROUP BY part)
+SELECT part AS "group", x.s AS series, x.v AS value, coalesce(x.gone, -1) AS pruned_at FROM e QUALIFY x.gone IS NOT NULL OR row_number() OVER (PARTITION BY part, x.gone IS NULL ORDER BY x.v, x.s) <= 3"""
+
 QUERIES = {
     "chain_sample": (chain_sample, CHAIN), "wor_sample": (wor_sample, WOR), "coordinator_sample": (coordinator_sample, WOR), "bernoulli_sample": (bernoulli_sample, BERNOULLI),
     "window_wor_sample": (window_wor_sample, WINDOW_WOR), "trajectory_sample": (trajectory_sample, TRAJECTORY), "gk_quantile": (gk_quantile, GK), "window_quantile": (window_quantile, WINDOW_Q),
-    "topk_series": (topk_series, TOPK), "topk_merged": (topk_merged, TOPK_MERGED), "topk_pruned": (topk_pruned, None),
+    "topk_series": (topk_series, TOPK), "topk_merged": (topk_merged, TOPK_MERGED), "topk_pruned": (topk_pruned, TOPK_PRUNED),
 }

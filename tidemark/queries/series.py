@@ -7,8 +7,10 @@ import math
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.arrays import spearman
+from tidemark.functions.arrays import projection, spearman
 from tidemark.operators import series as S
+from tidemark.operators import similarity
+from tidemark.storage import written
 
 from ._tables import table
 
@@ -64,8 +66,14 @@ GAP = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in NAMES)
 DFT_PAIRS = f"WITH {RN}, {SLIDING} SELECT a.user_id AS u, b.user_id AS v, a.w, round(1 - ({GAP}), 6) AS bound FROM s a JOIN s b ON a.w = b.w AND a.user_id < b.user_id WHERE round(1 - ({GAP}), 6) >= {THRESHOLD}"
 
 
-def past(spark, d):
-    return S.past_windows(events(spark, d), "user_id", "value", "ts", ORDER, BASIC, WINDOWS, COEFS, PAST).withColumn("minute", F.expr("unix_timestamp(cast(at AS timestamp)) div 60"))
+def past(spark, d, users="true"):
+    """Written once, as its digests and its values are read apart."""
+    windows = S.past_windows(events(spark, d).filter(users), "user_id", "value", "ts", ORDER, BASIC, WINDOWS, COEFS, PAST)
+    return written(windows.withColumn("minute", F.expr("unix_timestamp(cast(at AS timestamp)) div 60")))
+
+
+def half(windows, p):
+    return S.prefixed(windows.drop("vals", "z", "at", "mean", "sigma"), p)
 
 
 PAST_SQL = f"""{RN}, {SLIDING},
@@ -80,15 +88,20 @@ NEAR = f"a.user_id <> b.user_id AND round(1 - ({GAP}), 6) >= {PAST} AND {CORR} >
 GIVEN, MINUTES = [3, 17, 42, 99], 720
 
 
-def probe(a, b, condition):
-    pairs = S.correlated(S.prefixed(a, "a"), S.prefixed(b, "b"), "user_id", [], (F.col("a_user_id") != F.col("b_user_id")) & condition, PAST, COEFS, both_ways=True)
-    return S.verified(pairs, PAST, LENGTH)
+def probe(a, windows, minutes):
+    pairs = S.correlated(half(a, "a"), half(windows, "b"), "user_id", [], F.expr("a_user_id <> b_user_id"), PAST, COEFS, both_ways=True, band=("minute", minutes))
+    return S.verified(pairs, windows, "user_id", PAST, LENGTH)
+
+
+def among(windows, equal=(), band=None, values=False):
+    pairs = S.correlated(half(windows, "a"), half(windows, "b"), "user_id", list(equal), F.expr("a_user_id <> b_user_id"), PAST, COEFS, band=band)
+    return S.verified(pairs, windows, "user_id", PAST, LENGTH, values)
 
 
 def past_dft_near_given(spark, d):
     """For each window of given users, the three most correlated windows of others within half a day."""
     windows = past(spark, d)
-    found = probe(windows.filter(F.col("user_id").isin(GIVEN)), windows, F.abs(F.col("a_minute") - F.col("b_minute")) <= MINUTES)
+    found = probe(windows.filter(F.col("user_id").isin(GIVEN)), windows, MINUTES)
     best = Window.partitionBy("a_user_id", "a_w").orderBy(F.desc("corr"), "b_user_id", "b_w")
     return found.withColumn("place", F.row_number().over(best)).filter("place <= 3").select(*OUT)
 
@@ -103,25 +116,21 @@ def ordered(pairs):
 
 
 def past_dft_among_given(spark, d):
-    windows = past(spark, d).filter(F.col("user_id") <= 20)
-    on = (F.col("a_user_id") != F.col("b_user_id")) & (F.abs(F.col("a_minute") - F.col("b_minute")) <= MINUTES)
-    return ordered(S.verified(S.correlated(S.prefixed(windows, "a"), S.prefixed(windows, "b"), "user_id", [], on, PAST, COEFS), PAST, LENGTH))
+    return ordered(among(past(spark, d, "user_id <= 20"), band=("minute", MINUTES)))
 
 
 PAST2 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.user_id < b.user_id AND {NEAR} AND abs(a.minute - b.minute) <= {MINUTES} WHERE a.user_id <= 20 AND b.user_id <= 20"
 
 
 def past_dft_any_time(spark, d):
-    windows = past(spark, d)
-    return ordered(S.verified(S.correlated(S.prefixed(windows, "a"), S.prefixed(windows, "b"), "user_id", [], F.col("a_user_id") != F.col("b_user_id"), PAST, COEFS), PAST, LENGTH))
+    return ordered(among(past(spark, d)))
 
 
 PAST3 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.user_id < b.user_id AND {NEAR}"
 
 
 def past_dft_same_window(spark, d):
-    windows = past(spark, d)
-    return ordered(S.verified(S.correlated(S.prefixed(windows, "a"), S.prefixed(windows, "b"), "user_id", ["w"], F.col("a_user_id") != F.col("b_user_id"), PAST, COEFS), PAST, LENGTH))
+    return ordered(among(past(spark, d), ["w"]))
 
 
 PAST4 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.w = b.w AND a.user_id < b.user_id AND {NEAR}"
@@ -129,9 +138,7 @@ PAST4 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.w = b.w AND a.
 
 def past_spearman(spark, d):
     """Rank correlations of the pairs of windows with the same number."""
-    windows = past(spark, d)
-    pairs = S.correlated(S.prefixed(windows, "a"), S.prefixed(windows, "b"), "user_id", ["w"], F.col("a_user_id") != F.col("b_user_id"), PAST, COEFS)
-    strong = S.verified(pairs, PAST, LENGTH).withColumn("corr", spearman(F.col("a_vals"), F.col("b_vals")) + 0.0)
+    strong = among(past(spark, d), ["w"], values=True).withColumn("corr", spearman(F.col("a_vals"), F.col("b_vals")) + 0.0)
     return ordered(strong)
 
 
@@ -145,13 +152,21 @@ def past_dft_latest(spark, d):
     """The latest window of given users against all windows of others within a day."""
     windows = past(spark, d)
     latest = windows.filter(F.col("user_id").isin(GIVEN)).groupBy("user_id").agg(F.max("w").alias("w")).join(windows, ["user_id", "w"]).select(*windows.columns)
-    return probe(latest, windows, F.abs(F.col("a_minute") - F.col("b_minute")) <= 2 * MINUTES).select(*OUT)
+    return probe(latest, windows, 2 * MINUTES).select(*OUT)
 
 
 PAST5 = f"""WITH {PAST_SQL}, l AS (SELECT user_id, max(w) AS w FROM n WHERE user_id IN ({', '.join(map(str, GIVEN))}) GROUP BY user_id)
 SELECT {OUT_SQL} FROM n a JOIN l ON l.user_id = a.user_id AND l.w = a.w JOIN n b ON {NEAR} AND abs(a.minute - b.minute) <= {2 * MINUTES}"""
 
 
+def lsh_windows(spark, d):
+    """Hamming weights of sixteen signs of every sliding window of each user's values."""
+    return similarity.lsh_windows(past(spark, d), ["user_id", "w"], LENGTH, 16, 35)
+
+
+LSH_WINDOWS = f"WITH {PAST_SQL} SELECT user_id, w, len(list_filter({similarity.product_sql('c', projection(16, LENGTH, 35))}, lambda v: v > 0))::INT AS hw FROM n"
+
+
 def gap_fill(spark, d):
     """Clicks repeated for every hour since the user's click before."""
     rows = events(spark, d).filter("event_type = 'click'").groupBy("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t")).agg(F.max("value").alias("value"))
@@ -227,7 +242,7 @@ PHASES = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (value < 100)
 
 QUERIES = {
     "dft_basic": (dft_basic, DFT_BASIC), "dft_sliding": (dft_sliding, DFT_SLIDING), "dft_corr_pairs": (dft_corr_pairs, DFT_PAIRS),
-    "past_dft_near_given": (past_dft_near_given, PAST1), "past_dft_among_given": (past_dft_among_given, PAST2), "past_dft_any_time": (past_dft_any_time, PAST3), "past_dft_same_window": (past_dft_same_window, PAST4), "past_dft_latest": (past_dft_latest, PAST5), "past_spearman": (past_spearman, PAST_RANK),
+    "past_dft_near_given": (past_dft_near_given, PAST1), "past_dft_among_given": (past_dft_among_given, PAST2), "past_dft_any_time": (past_dft_any_time, PAST3), "past_dft_same_window": (past_dft_same_window, PAST4), "past_dft_latest": (past_dft_latest, PAST5), "lsh_windows": (lsh_windows, LSH_WINDOWS), "past_spearman": (past_spearman, PAST_RANK),
     "gap_fill": (gap_fill, GAP_FILL), "interpolation": (interpolation, INTERPOLATION), "returns_windows": (returns_windows, RETURNS), "finjoin_segments": (finjoin_segments, FINJOIN), "finjoin_dft": (finjoin_dft, FINJOIN_DFT),
     "counters_last": (counters_last, COUNTERS), "phase_counts": (phase_counts, PHASES),
 }

@@ -5,22 +5,23 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import projected, projection
+from tidemark.functions.hashing import random_sign_sql
 from tidemark.operators import clustering, similarity
 from tidemark.operators import series as S
+from tidemark.operators.similarity import product_sql
+
+from tidemark.storage import written
 
 from ._tables import table
 
 DIMS, BITS, CORR = 64, 16, 0.25
+STRONG, RECALL, BAND = 0.4, 0.95, 8
 
 
 def vectors(spark, d):
     return table(spark, d, "embeddings").select("vec_id", "embedding")
 
 
-def product_sql(vector: str, matrix) -> str:
-    return "[" + ", ".join(f"list_dot_product({vector}, {row}::DOUBLE[])" for row in matrix) + "]"
-
-
 Z = """c AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE - m) AS c FROM (SELECT vec_id, embedding, list_sum(list_transform(embedding, lambda x: x::DOUBLE)) / len(embedding) AS m FROM embeddings)),
 z AS (SELECT vec_id, list_transform(c, lambda x: x / l) AS z FROM (SELECT *, sqrt(list_dot_product(c, c)) AS l FROM c))"""
 LSH_SQL = f"{Z}, p AS (SELECT vec_id, z, {product_sql('z', projection(BITS, DIMS, 31))} AS p FROM z), h AS (SELECT vec_id, z, array_to_string(list_transform(p, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END), '') AS bits FROM p)"
@@ -34,12 +35,23 @@ LSH_BITS = f"WITH {LSH_SQL} SELECT vec_id, bits, len(replace(bits, '0', ''))::IN
 
 
 def lsh_pairs(spark, d):
-    """Pairs that agree on one of four bands of four bits and have the threshold's correlation."""
-    return similarity.band_pairs(similarity.lsh(vectors(spark, d), "embedding", DIMS, BITS, 31), "vec_id", 4, 4, CORR)
+    """Pairs with the threshold's correlation that agree in a band of eight signs; as many bands as find 95 % of pairs at the threshold."""
+    return similarity.lsh_pairs(vectors(spark, d), "vec_id", "embedding", DIMS, STRONG, RECALL, BAND)
+
+
+def lsh_links(spark, d):
+    """For every vector, how many others it has such a pair with, and the closest of them."""
+    return similarity.lsh_links(vectors(spark, d), "vec_id", "embedding", DIMS, STRONG, RECALL, BAND).select("id", "n_links", F.coalesce("best", F.lit(-1)).alias("best"), F.coalesce("best_corr", F.lit(0.0)).alias("best_corr"))
 
 
-LSH_PAIRS = f"""WITH {LSH_SQL} SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.z, b.z), 6) AS corr FROM h a JOIN h b ON a.vec_id < b.vec_id
-AND ({' OR '.join(f'substr(a.bits, {1 + 4 * k}, 4) = substr(b.bits, {1 + 4 * k}, 4)' for k in range(4))}) WHERE round(list_dot_product(a.z, b.z), 6) >= {CORR}"""
+BANDS = similarity.bands_for(STRONG, RECALL, BAND)
+LSH_CODES = f"""{Z}, m AS (SELECT k // {DIMS} AS r, list({random_sign_sql('k', 31)} ORDER BY k) AS m FROM range({BANDS * BAND * DIMS}) t(k) GROUP BY r),
+h AS (SELECT vec_id, r // {BAND} AS band, string_agg(CASE WHEN list_dot_product(z, m) > 0 THEN '1' ELSE '0' END, '' ORDER BY r) AS code FROM z, m GROUP BY ALL),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.z, b.z), 6) AS corr FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE round(list_dot_product(a.z, b.z), 6) >= {STRONG}),
+l AS (SELECT DISTINCT s.* FROM s JOIN h x ON x.vec_id = a JOIN h y ON y.vec_id = b AND y.band = x.band AND y.code = x.code)"""
+LSH_PAIRS = f"WITH {LSH_CODES} SELECT a, b, corr FROM l WHERE a < b"
+LSH_LINKS = f"""WITH {LSH_CODES}, t AS (SELECT a, count(*) AS n_links, (min({{'c': -corr, 'b': b}})).b AS best, max(corr) AS best_corr FROM l GROUP BY a)
+SELECT vec_id AS id, coalesce(n_links, 0) AS n_links, coalesce(best, -1) AS best, coalesce(best_corr, 0.0) AS best_corr FROM embeddings LEFT JOIN t ON t.a = vec_id"""
 
 
 def radius_cells(spark, d):
@@ -56,13 +68,22 @@ def radius_vote(spark, d):
 RADIUS_VOTE = f"WITH {RADIUS_SQL} SELECT a.vec_id AS a, b.vec_id AS b, count(*) AS votes FROM g a JOIN g b ON a.\"group\" = b.\"group\" AND a.cx = b.cx AND a.cy = b.cy AND a.vec_id < b.vec_id GROUP BY 1, 2 HAVING count(*) > 3"
 
 
+def radius_links(spark, d):
+    """For every vector with such a pair, how many, and the one with the most votes."""
+    return similarity.radius_links(radius_cells(spark, d), "vec_id", 6, 50)
+
+
+RADIUS_LINKS = f"""WITH v AS ({RADIUS_VOTE}), u AS (SELECT a, b, votes FROM v UNION ALL SELECT b, a, votes FROM v)
+SELECT a AS id, count(*) AS n_links, (min({{'v': -votes, 'b': b}})).b AS best, max(votes) AS votes FROM u GROUP BY a"""
+
+
 def naive_pearson(spark, d):
-    """Every 101st vector against all vectors."""
+    """Every vector whose id is divisible by 50 against all vectors."""
     rows = vectors(spark, d)
-    return similarity.probes_against_all(rows, rows.filter("vec_id % 101 = 0"), "vec_id", "embedding", CORR)
+    return similarity.probes_against_all(rows, rows.filter("vec_id % 50 = 0"), "vec_id", "embedding", CORR)
 
 
-NAIVE = f"WITH {Z} SELECT a.vec_id AS probe, b.vec_id AS other, round(list_dot_product(a.z, b.z), 6) AS corr FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE a.vec_id % 101 = 0 AND round(list_dot_product(a.z, b.z), 6) >= {CORR}"
+NAIVE = f"WITH {Z} SELECT a.vec_id AS probe, b.vec_id AS other, round(list_dot_product(a.z, b.z), 6) AS corr FROM z a JOIN z b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND round(list_dot_product(a.z, b.z), 6) >= {CORR}"
 
 SKETCH = 20
 
@@ -70,12 +91,13 @@ SKETCH = 20
 def sketch_pearson(spark, d):
     """The same on radius sketches of the vectors."""
     rows = similarity.scaled(vectors(spark, d), "embedding").select("vec_id", projected(F.col("z"), projection(SKETCH, DIMS, 34, signs=True)).alias("sketch"))
-    return similarity.probes_against_all(rows, rows.filter("vec_id % 101 = 0"), "vec_id", "sketch", 0.5)
+    rows = written(rows)  # once, for the probes and all
+    return similarity.probes_against_all(rows, rows.filter("vec_id % 50 = 0"), "vec_id", "sketch", 0.5)
 
 
 SKETCH_PEARSON = f"""WITH {Z}, s AS (SELECT vec_id, {product_sql('z', projection(SKETCH, DIMS, 34, signs=True))} AS s FROM z),
 m AS (SELECT vec_id, list_transform(s, lambda x: x - list_avg(s)) AS c FROM s), n AS (SELECT vec_id, c, sqrt(list_dot_product(c, c)) AS l FROM m)
-SELECT a.vec_id AS probe, b.vec_id AS other, round(list_dot_product(a.c, b.c) / (a.l * b.l), 6) AS corr FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 101 = 0 AND round(list_dot_product(a.c, b.c) / (a.l * b.l), 6) >= 0.5"""
+SELECT a.vec_id AS probe, b.vec_id AS other, round(list_dot_product(a.c, b.c) / (a.l * b.l), 6) AS corr FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 AND round(list_dot_product(a.c, b.c) / (a.l * b.l), 6) >= 0.5"""
 
 KINDS, WIDTH, STEP, SIM_BITS, SIM = ["click", "view", "purchase"], 10, 5, 20, 0.6
 WEIGHTS = [0.5, 0.25, 0.25]
@@ -124,6 +146,16 @@ WLSH3 = f"""WITH {SIM_SQL} SELECT a.user_id AS a_sim, a.start AS a_start, b.user
 WHERE a.user_id IN (5, 30) AND a.start = 5 AND {SIM_CORR} >= {SIM} QUALIFY row_number() OVER (PARTITION BY a.user_id, a.start ORDER BY {SIM_CORR} DESC, b.user_id, b.start) <= 10"""
 
 
+def wlsh_one(spark, d):
+    """The five windows most similar to one, of those that start before the 15th day."""
+    windows = simulations(spark, d)
+    return similarity.similar_to(windows, windows.filter("user_id = 7 AND start = 5").select("user_id", "start"), "user_id", 0.3, WEIGHTS, 5, before=15)
+
+
+WLSH2 = f"""WITH {SIM_SQL} SELECT a.user_id AS a_sim, a.start AS a_start, b.user_id AS b_sim, b.start AS b_start, {SIM_CORR} AS corr FROM h a JOIN h b ON a.user_id <> b.user_id
+WHERE a.user_id = 7 AND a.start = 5 AND b.start < 15 AND {SIM_CORR} >= 0.3 QUALIFY row_number() OVER (PARTITION BY a.user_id, a.start ORDER BY {SIM_CORR} DESC, b.user_id, b.start) <= 5"""
+
+
 def coreset_points(spark, d):
     """The number of representatives is bounded and their weights sum to the number of vectors."""
     c = clustering.coreset(vectors(spark, d), "embedding", "vec_id", 100)
@@ -139,7 +171,17 @@ def coreset_kmeans(spark, d):
     return clustering.kmeans(clustering.coreset(points, "coords", "id", 200), 5).select("centre", F.round("weight").cast("long").alias("weight"))
 
 
+def coreset_kmeans_cost(spark, d):
+    """The points, and whether the coreset's centres cost all of them at most a fifth more than Lloyd's iterations over all of them do."""
+    points = clustering.joined_points(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 4).withColumn("id", F.concat_ws("_", "user_id", "n"))
+    points = written(points)
+    own = clustering.kmeans(clustering.coreset(points, "coords", "id", 200), 5)
+    return clustering.cost(points, "coords", own).withColumn("within", F.col("cost") <= 1.2 * F.lit(clustering.lloyd_cost(points, "coords", 5))).select("points", "within")
+
+
+COST = "SELECT sum(n // 4)::BIGINT AS points, true AS within FROM (SELECT count(*) AS n FROM events GROUP BY user_id)"
+
 QUERIES = {
-    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
-    "wlsh_windows": (wlsh_windows, WLSH), "wlsh_nearest": (wlsh_nearest, WLSH1), "wlsh_similar": (wlsh_similar, WLSH3), "coreset_points": (coreset_points, CORESET), "coreset_kmeans": (coreset_kmeans, None),
+    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "lsh_links": (lsh_links, LSH_LINKS), "radius_links": (radius_links, RADIUS_LINKS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
+    "wlsh_windows": (wlsh_windows, WLSH), "wlsh_nearest": (wlsh_nearest, WLSH1), "wlsh_one": (wlsh_one, WLSH2), "wlsh_similar": (wlsh_similar, WLSH3), "coreset_kmeans_cost": (coreset_kmeans_cost, COST), "coreset_points": (coreset_points, CORESET), "coreset_kmeans": (coreset_kmeans, None),
 }
