@@ -53,6 +53,16 @@ def random_sign_sql(k: str, seed: int) -> str:
     return f"CASE WHEN cast('0x' || substr(md5('{seed}_' || ({k})::VARCHAR), 1, 15) AS BIGINT) % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END"
 
 
+def text_number(key: str) -> int:
+    """number(key, text=True) of one value."""
+    return int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % PRIME
+
+
+def hash_of(x: int, ab: tuple[int, int], width: int) -> int:
+    """hashed() of one value."""
+    return (ab[0] * x + ab[1]) % PRIME % width
+
+
 def trailing_zeros(x: Column) -> Column:
     """The number of zero bits below the lowest one bit of a positive integer."""
     return F.bit_count(x.bitwiseAND(-x) - 1)

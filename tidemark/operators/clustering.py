@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,6 +64,12 @@ def coreset(df: DataFrame, vector: str, order: str, size: int, parts: int | None
     return level.select("weight", "coords")
 
 
+def merge_coresets(size: int, *sketches: DataFrame) -> DataFrame:
+    """The coreset of what several coresets stand for; each has at most `size` points."""
+    rows = reduce(DataFrame.unionByName, sketches).withColumn("part", F.lit(0)).select("part", "weight", "coords")
+    return rows.repartition(1).sortWithinPartitions("weight", "coords").mapInPandas(_reducer(size, 1), SCHEMA).select("weight", "coords")
+
+
 def kmeans(points: DataFrame, k: int, runs: int = 5, rounds: int = 50, seed: int = 1) -> DataFrame:
     """(centre, weight, coords): the best of several runs of Lloyd's iterations from k-means++ seeds over a coreset (weight, coords)."""
 

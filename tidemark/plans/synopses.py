@@ -15,6 +15,9 @@ from tidemark.plans.spec import SynopsisSpec
 class Synopsis(ABC):
     """build and merge return sketches as DataFrames; merge(build(a), build(b)) estimates as build(a union b) does."""
 
+    #: Whether a series must be in one part of the data as a whole: such synopses are always dealt by key.
+    by_series = False
+
     def __init__(self, spec: SynopsisSpec):
         self.spec = spec
 
@@ -113,19 +116,30 @@ class Quantiles(Synopsis):
 
 
 class Lossy(Synopsis):
-    """The summary of a stream ordered by the parameter `order`."""
+    """Lossy counts of `partitions` pieces of the stream."""
 
     def build(self, df):
-        return frequency.lossy_counts(df.withColumn(self.spec.key, F.col(self.spec.key).cast("string")), self.spec.key, self.spec.params["order"], self.spec.params.get("eps", 0.01))
+        return frequency.lossy_sketch(df.withColumn(self.spec.key, F.col(self.spec.key).cast("string")), self.spec.key, self.spec.params["order"], self.spec.params.get("eps", 0.01), self.spec.partitions)
 
     def merge(self, *sketches):
-        """Counts and errors add up; a key that a part has lost may have had delta there."""
-        return reduce(DataFrame.unionByName, sketches).groupBy("key").agg(F.sum("f").alias("f"), F.sum("delta").alias("delta"), F.sum("seen").alias("seen"))
+        return frequency.merge_lossy(*sketches)
 
     def estimate(self, sketch, *params):
         return as_text(asked(sketch.sparkSession, params).join(sketch, "key", "left").withColumn("f", F.coalesce("f", F.lit(0))), "key", "f")
 
 
+class Sticky(Lossy):
+    """Sticky sampling of `partitions` pieces of the stream."""
+
+    def build(self, df):
+        p = self.spec.params
+        rows = df.withColumn(self.spec.key, F.col(self.spec.key).cast("string"))
+        return frequency.sticky_counts(rows, self.spec.key, p["order"], p.get("support", 0.05), p.get("eps", 0.01), p.get("failure", 0.01), self.spec.partitions).select("key", "f")
+
+    def merge(self, *sketches):
+        return reduce(DataFrame.unionByName, sketches).groupBy("key").agg(F.sum("f").alias("f"))
+
+
 class Sample(Synopsis):
     """Without replacement, `size` rows by the hash of the key."""
 
@@ -142,6 +156,8 @@ class Sample(Synopsis):
 class WindowQuantiles(Synopsis):
     """Quantiles of the last `window` values of each key; the sketch is those rows."""
 
+    by_series = True
+
     def build(self, df):
         return sampling.last_rows(df, self.spec.key, self.spec.params["order"], self.spec.params.get("window", 100))
 
@@ -154,7 +170,7 @@ class WindowQuantiles(Synopsis):
 
 
 KINDS: dict[str, type[Synopsis]] = {
-    "count_min": CountMin, "ams": Ams, "bloom": BloomFilter, "hyperloglog": HyperLogLog, "flajolet_martin": FlajoletMartin, "quantiles": Quantiles, "lossy": Lossy, "wor_sample": Sample, "window_quantiles": WindowQuantiles,
+    "count_min": CountMin, "ams": Ams, "bloom": BloomFilter, "hyperloglog": HyperLogLog, "flajolet_martin": FlajoletMartin, "quantiles": Quantiles, "lossy": Lossy, "sticky": Sticky, "wor_sample": Sample, "window_quantiles": WindowQuantiles,
 }
 
 

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.hashing import number
+from tidemark.functions.hashing import hashed_sql, number, text_number_sql
 from tidemark.operators.frequency import CountMin
 from tidemark.operators.merging import merged
 from tidemark.plans.engine import Engine
-from tidemark.sources.connectors import datapoints, multiplied
+from tidemark.plans.spec import REQUEST
+from tidemark.sources.connectors import datapoints, lines, multiplied, parsed
+from tidemark.storage import shared_folder
+from tidemark.streaming.control import controlled
 
 from ._tables import table
 from .frequency import cm_sql, probe_sql
+from .samples import hash_sql
+from .series import SEGMENTS
 
 KINDS = ["click", "error", "purchase", "signup", "view"]
 SPEC = CountMin(eps=0.02, confidence=0.99, seed=5, text=True)
@@ -33,6 +41,92 @@ LIFECYCLE = f"""WITH {cm_sql(SPEC, 'events', 'event_type', '1')}, kinds AS (SELE
 SELECT 7 AS uid, 3 AS "requestID", 1 AS "synopsisID", event_type AS key, estimate::VARCHAR AS estimation FROM e"""
 
 
+def request_kinds(spark, d):
+    """Synopses of many kinds added by requests, and what they say: the second message of each pair asks."""
+    engine = Engine(spark)
+    events = table(spark, d, "events").withColumn("day", F.dayofmonth("ts"))
+    engine.register_dataset("events", events, ["ts", "event_id"])
+    flags = events.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "view", "v1").when(F.col("event_type") == "purchase", "p2").otherwise("x").alias("flag"))
+    engine.register_dataset("flags", flags, ["ts", "event_id"])
+    engine.register_dataset("daily", events.groupBy("user_id", "day").agg(F.round(F.sum("value"), 2).alias("total")), ["day"])
+    ask = [
+        request(1, 1, 16, ["user_id", "value", "Queryable", "0.01", "50"]), request(3, 1, 16, ["0.75"]),
+        {**request(1, 2, 13, ["user_id", "total", "day", "5", "4"]), "dataSetkey": "daily"}, request(3, 2, 13, ["5", "10"]),
+        {**request(1, 3, 26, ["user_id", "flag", "Queryable"]), "dataSetkey": "flags"}, request(3, 3, 26),
+        {**request(1, 4, 27, ["user_id", "flag", "Queryable", "5"]), "dataSetkey": "flags"}, request(3, 4, 27),
+        request(1, 5, 10, ["event_type", "event_id", "Queryable", "20", "500"]), request(3, 5, 10),
+    ]
+    return engine.run(ask)
+
+
+KINDS_SQL = f"""WITH q AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50),
+daily AS (SELECT user_id, day(ts)::INT AS day, round(sum(value), 2) AS total FROM events GROUP BY ALL), {SEGMENTS},
+c AS (SELECT user_id, segment, list(cnt) OVER (PARTITION BY user_id ORDER BY segment ROWS 4 PRECEDING) AS counts FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY segment DESC) = 1),
+l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500),
+chain AS (SELECT event_type, event_id FROM l QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY {hash_sql(21)}, event_id) <= 20),
+e AS (SELECT 1 AS uid, 16 AS "synopsisID", user_id || '_0.75' AS key, quantile_disc(value, 0.75)::VARCHAR AS estimation FROM q GROUP BY user_id
+UNION ALL SELECT 2, 13, user_id::VARCHAR, total::VARCHAR FROM daily WHERE day = 10 AND total < coalesce((SELECT total FROM daily WHERE day = 10 ORDER BY total OFFSET 5 LIMIT 1), 1e300)
+UNION ALL SELECT 3, 26, user_id || '|' || segment, cnt::VARCHAR FROM g
+UNION ALL SELECT 4, 27, user_id::VARCHAR, array_to_string(counts, ',') FROM c
+UNION ALL SELECT 5, 10, event_type, event_id::VARCHAR FROM chain)
+SELECT uid, 3 AS "requestID", "synopsisID", key, estimation FROM e"""
+
+
+def continuous_request(spark, d):
+    """A continuous sketch: for each element, its key's weight up to it."""
+    engine = Engine(spark)
+    engine.register_dataset("events", table(spark, d, "events"), ["ts", "event_id"])
+    return engine.run([request(5, 9, 1, ["event_type", "null", "Queryable", "0.02", "0.99", "5"])])
+
+
+CONTINUOUS = f"""WITH spread AS ({' UNION ALL '.join(f"SELECT ts, event_id, event_type, {i} AS row, {hashed_sql(text_number_sql('event_type'), ab, SPEC.width)} AS bucket FROM events" for i, ab in enumerate(SPEC.hashes))}),
+run AS (SELECT *, count(*) OVER (PARTITION BY row, bucket ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS cnt FROM spread)
+SELECT 9 AS uid, 5 AS "requestID", 1 AS "synopsisID", event_type AS key, min(cnt)::VARCHAR AS estimation FROM run GROUP BY ts, event_id, event_type"""
+
+
+def update_request(spark, d):
+    """A sketch of one site's events that takes up another site's by a request, which is passed on."""
+    engine = Engine(spark)
+    e = table(spark, d, "events")
+    engine.register_dataset("events", e.filter("user_id % 2 = 0"))
+    engine.register_dataset("other", e.filter("user_id % 2 = 1"))
+    found = engine.run([request(1, 7, param=["event_type", "null", "Queryable", "0.02", "0.99", "5"]), {**request(7, 7), "dataSetkey": "other"}, request(3, 7, param=KINDS)])
+    return found.select("uid", "requestID", "key", F.when(F.col("requestID") == 7, F.get_json_object("estimation", "$.dataSetkey")).otherwise(F.col("estimation")).alias("estimation"))
+
+
+UPDATE = f"""WITH {cm_sql(SPEC, 'events', 'event_type', '1')}, kinds AS (SELECT unnest({KINDS}) AS event_type), e AS ({probe_sql(SPEC, 'kinds', 'event_type')})
+SELECT 7 AS uid, 3 AS "requestID", event_type AS key, estimate::VARCHAR AS estimation FROM e UNION ALL SELECT 7, 7, 'other', 'other'"""
+
+MIDDLE = 1_705_276_800  # 15 January 2024
+
+
+def control_stream(spark, d):
+    """Events and requests as two streams: a sketch is added before the first event, asked half way and at the end."""
+    folder = f"{shared_folder(spark)}/control-{uuid.uuid4().hex}"
+    param = ["event_type", "null", "Queryable", "0.02", "0.99", "5"]
+    asked = [{**request(1, 7, param=param), "at": -1}, {**request(3, 7, param=KINDS), "at": MIDDLE}, {**request(3, 7, param=KINDS), "at": 1 << 40}, {**request(3, 8, param=KINDS), "at": 1 << 40}]
+    spark.createDataFrame([(json.dumps(r),) for r in asked], "value string").coalesce(1).write.text(f"{folder}/requests")
+    schema = T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())])
+    requests = parsed(lines(spark, f"{folder}/requests", stream=True), schema)
+    path = f"{d}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern, as the table may be one file or a folder
+    elements = events.select(F.lit("events").alias("dataset"), F.col("event_type").alias("key"), F.lit(1).alias("weight"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    answers = controlled(elements, requests, parts=4)
+    answers.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(answers.schema).parquet(f"{folder}/answers")
+
+
+def control_sql(at: str, where: str) -> str:
+    part = f"{text_number_sql('key')} % 4"
+    rows = lambda of, more: " UNION ALL ".join(f"SELECT key, {part} AS part, {i} AS row, {hashed_sql(text_number_sql('key'), ab, SPEC.width)} AS bucket{more} FROM {of}" for i, ab in enumerate(SPEC.hashes))
+    return f"""SELECT key, {at} AS "at", min(coalesce(cnt, 0))::BIGINT::VARCHAR AS estimation FROM ({rows('kinds', '')}) p
+LEFT JOIN (SELECT part, row, bucket, sum(w) AS cnt FROM ({rows(f"(SELECT event_type AS key, count(*) AS w FROM events WHERE {where} GROUP BY 1)", ', w')}) GROUP BY ALL) s USING (part, row, bucket) GROUP BY key"""
+
+
+CONTROL = f"""WITH kinds AS (SELECT unnest({KINDS}) AS key), a AS ({control_sql(f'{MIDDLE}::BIGINT', f'floor(epoch(ts)) < {MIDDLE}')} UNION ALL {control_sql(f'{1 << 40}::BIGINT', 'true')})
+SELECT 7 AS uid, 3 AS "requestID", 1 AS "synopsisID", key, estimation, "at" FROM a"""
+
+
 def random_partitioning(spark, d):
     """The same with rows dealt at random, a Bloom filter beside it."""
     engine = Engine(spark)
@@ -81,6 +175,6 @@ SELECT event_type, sum(n)::BIGINT AS total, greatest(max(n), 0) AS most, (sum(n)
 
 QUERIES = {
     "merged_partials": (merged_partials, MERGED),
-    "request_lifecycle": (request_lifecycle, LIFECYCLE), "random_partitioning": (random_partitioning, RANDOM), "keyed_routing": (keyed_routing, ROUTING),
+    "request_lifecycle": (request_lifecycle, LIFECYCLE), "request_kinds": (request_kinds, KINDS_SQL), "continuous_request": (continuous_request, CONTINUOUS), "update_request": (update_request, UPDATE), "control_stream": (control_stream, CONTROL), "random_partitioning": (random_partitioning, RANDOM), "keyed_routing": (keyed_routing, ROUTING),
     "ingestion_multiplier": (ingestion_multiplier, "SELECT event_type, count(*) * 10 AS elements FROM events GROUP BY event_type"), "datapoint_payload": (datapoint_payload, PAYLOAD),
 }
