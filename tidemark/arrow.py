@@ -19,15 +19,16 @@ def runs(batches, keys: list[str], most_rows: int = 4096, most_bytes: int = 4 <<
             if rows < most_rows and size < most_bytes:
                 continue
             table = pa.Table.from_batches(held)
-            last = {k: table.column(k)[-1] for k in keys}
-            cutoff = table.num_rows - 1
-            step = 1
             columns = [table.column(k) for k in keys]
-            while cutoff > 0 and all(c[max(cutoff - step, 0)] == last[k] for k, c in zip(keys, columns)):  # gallop back over the open group
-                cutoff = max(cutoff - step, 0)
-                step *= 2
-            while cutoff < table.num_rows and not all(c[cutoff] == last[k] for k, c in zip(keys, columns)):
-                cutoff += 1
+            last = [c[-1] for c in columns]
+            of_last = lambda i: all(c[i] == x for c, x in zip(columns, last))  # noqa: B023,E731
+            cutoff, step = table.num_rows - 1, 1
+            while cutoff > 0 and of_last(max(cutoff - step, 0)):  # gallop back over the open group
+                cutoff, step = max(cutoff - step, 0), 2 * step
+            low = max(cutoff - step, 0)
+            while low < cutoff:  # its first row lies between a row that is not in it and one that is
+                middle = (low + cutoff) // 2
+                low, cutoff = (low, middle) if of_last(middle) else (middle + 1, cutoff)
             if cutoff:
                 yield table.slice(0, cutoff).combine_chunks()
                 rest = table.slice(cutoff).combine_chunks()
