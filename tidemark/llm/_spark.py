@@ -1,24 +1,16 @@
-"""Shared helpers: cutting lineage in the cluster's shared folder, and streaming whole groups of rows to numpy."""
+"""Cutting lineage in the cluster's shared folder."""
 
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from tidemark.arrow import runs
+from tidemark.storage import shared_folder
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that every executor sees: spark.checkpoint.dir, or a temporary one where the master is local and none is set."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
-    return sc.getCheckpointDir()
+__all__ = ["cut", "forget", "passing", "runs"]
 
 
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -53,33 +45,3 @@ def passing():
         yield
     finally:
         forget(*_scopes.pop())
-
-
-def runs(batches, keys: list[str], most_rows: int = 4096, most_bytes: int = 4 << 20):
-    """Tables of whole groups from record batches sorted by keys; a table holds several small groups, or one large one."""
-    held, rows, size = [], 0, 0
-    for batch in batches:
-        for at in range(0, max(batch.num_rows, 1), most_rows):
-            part = batch.slice(at, most_rows)
-            if not part.num_rows:
-                continue
-            held.append(part)
-            rows, size = rows + part.num_rows, size + part.get_total_buffer_size() * part.num_rows // max(batch.num_rows, 1)
-            if rows < most_rows and size < most_bytes:
-                continue
-            table = pa.Table.from_batches(held)
-            last = {k: table.column(k)[-1] for k in keys}
-            cutoff = table.num_rows - 1
-            step = 1
-            columns = [table.column(k) for k in keys]
-            while cutoff > 0 and all(c[max(cutoff - step, 0)] == last[k] for k, c in zip(keys, columns)):  # gallop back over the open group
-                cutoff = max(cutoff - step, 0)
-                step *= 2
-            while cutoff < table.num_rows and not all(c[cutoff] == last[k] for k, c in zip(keys, columns)):
-                cutoff += 1
-            if cutoff:
-                yield table.slice(0, cutoff).combine_chunks()
-                rest = table.slice(cutoff).combine_chunks()
-                held, rows, size = rest.to_batches(), rest.num_rows, 0
-    if held:
-        yield pa.Table.from_batches(held).combine_chunks()
