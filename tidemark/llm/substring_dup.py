@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import cut, runs
-from ._text import pieces, prefix_hash, raw, rolled, rolling, span_hash
+from ._text import pieces, prefix_hash, raw, rolled, rolling, span_hash, trim
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18  # bytes of text in one go; a task that sorts suffixes needs some 100 bytes for each byte it sorts
 
 
 def sliding_least(v: np.ndarray, w: int) -> np.ndarray:
@@ -170,7 +170,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, key: np.ndarray) -> np.nda
 
 def shard_repeats(batches, length: int):
     """Slices (h, part, parts, fp, n, slice), sorted by shard -> rows of two kinds: repeated windows of a slice (fp, from, to), and, of divided anchors, digests for merging."""
-    for t in runs(batches, ["h", "part"], most_bytes=1 << 20):
+    for t in runs(batches, ["h", "part"], most_bytes=1 << 19):
         h, part, parts, fp, n = (t.column(k).to_numpy() for k in ("h", "part", "parts", "fp", "n"))
         once = np.ones(len(h), bool)  # a repeated row's slice counts once
         order = np.lexsort((fp, part, h))
@@ -213,6 +213,8 @@ def shard_repeats(batches, length: int):
         for x in out:
             if len(x[0]):
                 yield pa.RecordBatch.from_arrays(x, ["h", "fp", "a", "b", "range", "windows"])
+        del sa, key, common, group, counts, repeated, valid
+        trim()
 
 
 def merge_repeats(batches):
@@ -264,7 +266,7 @@ def removals(batches, length: int):
         )
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, shard: int = 256, shard_bytes: int = 1 << 20) -> DataFrame:
+def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, shard: int = 256, shard_bytes: int = 1 << 18) -> DataFrame:
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the spans, in bytes).
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents. A byte is removed when a string of `length` bytes that covers it
