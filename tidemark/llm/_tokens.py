@@ -97,12 +97,12 @@ class Encoded:
         self.at, self.pool, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
         self.spell_size, self.spell_at, self.spell, self.spelt = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 20, np.uint8), 0
 
-    def keep(self, part: list[tuple[int, str]], sizes: np.ndarray, ids: np.ndarray) -> None:
-        hashes = [h for h, _ in part]
+    def keep(self, part: list[tuple[int, str, bytes]], sizes: np.ndarray, ids: np.ndarray) -> None:
+        hashes = [h for h, _, _ in part]
         n = len(hashes)
         while self.used + n > len(self.size):
             self.size, self.at, self.spell_size, self.spell_at = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.at, self.spell_size, self.spell_at))
-        spelling = [w.encode() for _, w in part]
+        spelling = [b for _, _, b in part]
         joined = np.frombuffer(b"".join(spelling), np.uint8)
         while self.spelt + len(joined) > len(self.spell):
             self.spell = np.concatenate([self.spell, np.zeros_like(self.spell)])
@@ -119,12 +119,13 @@ class Encoded:
         self.known.update(zip(hashes, range(self.used, self.used + n)))
         self.used, self.filled = self.used + n, self.filled + len(ids)
 
-    def learn(self, hashes: list[int], stretches: list[str]) -> None:
-        joint = [(h, w) for h, w in zip(hashes, stretches) if w[0] == " "]
-        alone = [(h, w) for h, w in zip(hashes, stretches) if w[0] != " "]
+    def learn(self, hashes: list[int], stretches: list[bytes]) -> None:
+        every = [(h, b.decode(), b) for h, b in zip(hashes, stretches)]
+        joint = [x for x in every if x[1][0] == " "]
+        alone = [x for x in every if x[1][0] != " "]
         for at in range(0, len(joint), 8192):
             parts = [joint[k : k + 512] for k in range(at, min(len(joint), at + 8192), 512)]
-            for part, ids in zip(parts, ids_of(["".join(w for _, w in p) for p in parts], self.file)):
+            for part, ids in zip(parts, ids_of(["".join([w for _, w, _ in p]) for p in parts], self.file)):
                 x = np.array(ids, np.uint32)
                 cuts = np.flatnonzero(self.starts[x])
                 if len(cuts) == len(part) and not cuts[0]:
@@ -133,7 +134,7 @@ class Encoded:
                     alone += part
         for at in range(0, len(alone), 1024):
             part = alone[at : at + 1024]
-            lists = ids_of([w for _, w in part], self.file)
+            lists = ids_of([w for _, w, _ in part], self.file)
             self.keep(part, np.array([len(x) for x in lists]), np.concatenate([np.array(x, np.uint32) for x in lists]))
 
     def spelt_as(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: np.ndarray) -> bool:
@@ -172,7 +173,7 @@ class Encoded:
         if missing:
             one = order[new][missing]
             data = buf.tobytes()
-            self.learn([distinct[k] for k in missing], [data[a:b].decode() for a, b in zip(start[one].tolist(), end[one].tolist())])
+            self.learn([distinct[k] for k in missing], [data[a:b] for a, b in zip(start[one].tolist(), end[one].tolist())])
             index[missing] = np.fromiter(map(self.known.__getitem__, [distinct[k] for k in missing]), np.int64, len(missing))
         which = np.empty(len(h), np.int64)
         which[order] = index[np.cumsum(new) - 1]

@@ -36,29 +36,33 @@ def sentence_ends(file: str) -> np.ndarray:
 
 def best_cuts(places: list[int], penalties: list[float], length: int, bare: tuple[int, ...]) -> list[int]:
     """Indexes into places (the first is the stream's start, the last its end) of the best cuts, first and last included."""
-    n = len(places)
-    cost, back, exact = [0.0] * n, [0] * n, [0] * len(bare)  # exact: the first node not further back than each power of two
+    n, at = len(places), np.array(places)
+    lows = np.searchsorted(at, at - length).tolist()  # the first place within reach
+    exact = []  # for each power of two, the place just so far back, or -1
+    for size in bare:
+        q = np.minimum(np.searchsorted(at, at - size), n - 1)
+        exact.append(np.where(at[q] == at - size, q, -1).tolist())
+    cost, back = [0.0] * n, [0] * n
     keys, nodes, head = [float(places[0])], [0], 0  # cost + place, rising; nodes before head are out of reach
     for i in range(1, n):
-        p = places[i]
-        low = p - length
-        while places[nodes[head]] < low:
+        p, low = places[i], lows[i]
+        while nodes[head] < low:
             head += 1
         j = nodes[head]
         best = keys[head] + length - p
-        for k, size in enumerate(bare):
-            q, low = exact[k], p - size
-            while places[q] < low:
-                q += 1
-            exact[k] = q
-            if places[q] == low and cost[q] < best:
+        for of in exact:
+            q = of[i]
+            if q >= 0 and cost[q] < best:
                 best, j = cost[q], q
         best += penalties[i]
         cost[i], back[i] = best, j
         key = best + p
-        while len(keys) > head and keys[-1] >= key:
+        if keys[-1] >= key:
             keys.pop()
             nodes.pop()
+            while len(keys) > head and keys[-1] >= key:
+                keys.pop()
+                nodes.pop()
         keys.append(key)
         nodes.append(i)
     path = [n - 1]
