@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.arrays import pearson
+from tidemark.functions.arrays import complex_product, complex_quotient, pearson
 from tidemark.operators import blocks, clustering, frequency, quantiles, sampling, series, similarity, topk
 from tidemark.plans.engine import Engine, routed
 from tidemark.plans.spec import SynopsisSpec
@@ -182,6 +182,14 @@ def test_gap_fill_and_interpolation(spark):
     assert got == {t: int(7 * t / 10) for t in range(11)}
 
 
+def test_complex_numbers(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 3.0, -1.0), (1.0, 2.0, 0.0, 0.0)], "a double, b double, c double, d double")
+    a, b = (F.col("a"), F.col("b")), (F.col("c"), F.col("d"))
+    got = df.select(*complex_product(a, b), *complex_quotient(a, b)).collect()
+    p, q = (1 + 2j) * (3 - 1j), (1 + 2j) / (3 - 1j)
+    assert np.allclose(got[0], [p.real, p.imag, q.real, q.imag]) and got[1][2] is None and got[1][3] is None
+
+
 def test_pearson_of_constants(spark):
     df = spark.createDataFrame([([1.0, 1.0], [1.0, 1.0]), ([1.0, 1.0], [1.0, 2.0]), ([1.0, 2.0], [2.0, 4.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(pearson(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 1.0]

@@ -39,6 +39,18 @@ def interpolated(t: Column, t0: Column, v0: Column, t1: Column, v1: Column) -> C
     return F.when(t1 == t0, v0).otherwise((v0 + (v1 - v0) * (t - t0) / (t1 - t0)).cast("int")).cast("int")
 
 
+def complex_product(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Complex numbers are two columns: the real and the imaginary part."""
+    return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
+
+
+def complex_quotient(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """Null where the divisor is zero."""
+    size = F.nullif(b[0] * b[0] + b[1] * b[1], F.lit(0.0))
+    re, im = complex_product(a, (b[0], -b[1]))
+    return re / size, im / size
+
+
 def projection(rows: int, columns: int, seed: int, signs: bool = False) -> list[list[float]]:
     """A random matrix from the hash family: signs, or sums of six uniform numbers less three (about normal, variance a half)."""
     from tidemark.functions.hashing import PRIME, coefficients

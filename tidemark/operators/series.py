@@ -143,7 +143,14 @@ def last_counts(counts: DataFrame, key: str, length: int) -> DataFrame:
     return counts.select(key, "segment", F.collect_list("cnt").over(w).alias("counts"))
 
 
+def cell_number(threshold: float) -> Column:
+    """One number for the cell cx, cy of on_grid(): a coefficient of a scaled window is at most the root of a half, so there are 2 * k cells a side."""
+    k = math.ceil(math.sqrt(0.5) / math.sqrt(1 - threshold))
+    return (F.col("cx") + k) * (2 * k) + F.col("cy") + k
+
+
 def magnitude(coefs: int) -> Column:
+    """The sum of the coefficients' absolute values."""
     return sum((F.sqrt(F.col(f"re{m}") * F.col(f"re{m}") + F.col(f"im{m}") * F.col(f"im{m}")) for m in range(1, coefs + 1)), F.lit(0.0))
 
 

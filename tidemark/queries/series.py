@@ -55,6 +55,17 @@ def dft_sliding(spark, d):
 DFT_SLIDING = f"WITH {RN}, {SLIDING} SELECT user_id, w, round(mean, 6) AS mean, round(sigma, 6) AS sigma, {', '.join(f'round({c}, 6) + 0.0 AS {c}' for c in NAMES)} FROM s"
 
 
+def dft_cells(spark, d):
+    """The cell of each window's digest and its magnitude."""
+    on = S.on_grid(digests(spark, d), THRESHOLD)
+    return on.select("user_id", "w", S.cell_number(THRESHOLD).alias("cell"), (F.round(S.magnitude(COEFS), 6) + 0.0).alias("magnitude"))
+
+
+K = math.ceil(math.sqrt(0.5) / math.sqrt(1 - THRESHOLD))
+DFT_CELLS = f"""WITH {RN}, {SLIDING} SELECT user_id, w, (floor(re1 / {math.sqrt(1 - THRESHOLD)!r})::BIGINT + {K}) * {2 * K} + floor(im1 / {math.sqrt(1 - THRESHOLD)!r})::BIGINT + {K} AS cell,
+round({' + '.join(f'sqrt(re{m} * re{m} + im{m} * im{m})' for m in range(1, COEFS + 1))}, 6) + 0.0 AS magnitude FROM s"""
+
+
 def dft_corr_pairs(spark, d):
     """Pairs of users whose digests of the same window allow a correlation of the threshold."""
     on = S.on_grid(digests(spark, d), THRESHOLD)
@@ -241,7 +252,7 @@ def phase_counts(spark, d):
 PHASES = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (value < 100) AS low, count(*) FILTER (value >= 100 AND value < 101) AS middle, count(*) FILTER (value >= 101 AND value <= 300) AS high, count(*) FILTER (value > 300) AS rest FROM events GROUP BY 1"
 
 QUERIES = {
-    "dft_basic": (dft_basic, DFT_BASIC), "dft_sliding": (dft_sliding, DFT_SLIDING), "dft_corr_pairs": (dft_corr_pairs, DFT_PAIRS),
+    "dft_basic": (dft_basic, DFT_BASIC), "dft_sliding": (dft_sliding, DFT_SLIDING), "dft_cells": (dft_cells, DFT_CELLS), "dft_corr_pairs": (dft_corr_pairs, DFT_PAIRS),
     "past_dft_near_given": (past_dft_near_given, PAST1), "past_dft_among_given": (past_dft_among_given, PAST2), "past_dft_any_time": (past_dft_any_time, PAST3), "past_dft_same_window": (past_dft_same_window, PAST4), "past_dft_latest": (past_dft_latest, PAST5), "lsh_windows": (lsh_windows, LSH_WINDOWS), "past_spearman": (past_spearman, PAST_RANK),
     "gap_fill": (gap_fill, GAP_FILL), "interpolation": (interpolation, INTERPOLATION), "returns_windows": (returns_windows, RETURNS), "finjoin_segments": (finjoin_segments, FINJOIN), "finjoin_dft": (finjoin_dft, FINJOIN_DFT),
     "counters_last": (counters_last, COUNTERS), "phase_counts": (phase_counts, PHASES),
