@@ -96,14 +96,11 @@ def past_windows(df: DataFrame, key: str, value: str, time: str, order: list[str
     return on_grid(digests, threshold).join(raw_windows(rows, key, value, time, size, windows), [key, "w"])
 
 
-def verified(pairs: DataFrame, windows: DataFrame, key: str, threshold: float, length: int, values: bool = False) -> DataFrame:
-    """(a_key, a_w, b_key, b_w, corr) of candidate pairs of windows of `length` values whose exact correlation reaches the threshold. The candidates are
-    joined by ids alone; the windows' scaled values z (and with `values` vals) are looked up for those that the digests let through."""
-    found = pairs.select(*[f"{p}_{c}" for p in "ab" for c in (key, "w")])
-    for p in "ab":
-        found = found.join(windows.select(F.col(key).alias(f"{p}_{key}"), F.col("w").alias(f"{p}_w"), F.col("z").alias(f"{p}_z"), *([F.col("vals").alias(f"{p}_vals")] if values else [])), [f"{p}_{key}", f"{p}_w"])
+def verified(pairs: DataFrame, threshold: float, length: int) -> DataFrame:
+    """Candidate pairs of windows of `length` values with their exact correlation, of at least the threshold. The scaled values go along with the digests:
+    where a threshold is low most candidates stay, and joining values to them would cost more than they do."""
     corr = sum((F.get("a_z", F.lit(i)) * F.get("b_z", F.lit(i)) for i in range(length)), F.lit(0.0))
-    return found.withColumn("corr", F.round(corr, 6)).filter(F.col("corr") >= threshold)
+    return pairs.withColumn("corr", F.round(corr, 6)).filter(F.col("corr") >= threshold)
 
 
 def gap_filled(df: DataFrame, key: str, time: str, value: str, step: int) -> DataFrame:

@@ -100,12 +100,12 @@ class PastDft(SlidingDft):
     def estimate(self, sketch, *params):
         size, windows, coefs = self.shape()
         threshold, asked = max(float(params[0]), self.spec.params.get("threshold", 0.8)), [k for p in params[1:] for k in p.split(";") if k]
-        digests = sketch.drop("vals", "z", "at", "mean", "sigma")
+        digests = sketch.drop("vals", "at", "mean", "sigma")
         others, left = F.expr(f"a_{self.spec.key} <> b_{self.spec.key}"), series.prefixed(digests, "a")
         if asked:
             left = left.filter(F.col(f"a_{self.spec.key}").cast("string").isin(asked))
         pairs = series.correlated(left, series.prefixed(digests, "b"), self.spec.key, [] if asked else ["w"], others, self.spec.params.get("threshold", 0.8), coefs, both_ways=bool(asked))
-        found = series.verified(pairs, sketch, self.spec.key, threshold, size * windows)
+        found = series.verified(pairs, threshold, size * windows)
         name = [F.concat_ws("_", F.col(f"{p}_{self.spec.key}").cast("string"), F.col(f"{p}_w").cast("string")) for p in "ab"]
         return found.select(F.concat_ws("|", *name).alias("key"), F.col("corr").cast("string").alias("estimation"))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import projection, spearman
 from tidemark.operators import series as S
 from tidemark.operators import similarity
-from tidemark.storage import written
 
 from ._tables import table
 
@@ -78,13 +77,12 @@ DFT_PAIRS = f"WITH {RN}, {SLIDING} SELECT a.user_id AS u, b.user_id AS v, a.w, r
 
 
 def past(spark, d, users="true"):
-    """Written once, as its digests and its values are read apart."""
     windows = S.past_windows(events(spark, d).filter(users), "user_id", "value", "ts", ORDER, BASIC, WINDOWS, COEFS, PAST)
-    return written(windows.withColumn("minute", F.expr("unix_timestamp(cast(at AS timestamp)) div 60")))
+    return windows.withColumn("minute", F.expr("unix_timestamp(cast(at AS timestamp)) div 60"))
 
 
-def half(windows, p):
-    return S.prefixed(windows.drop("vals", "z", "at", "mean", "sigma"), p)
+def half(windows, p, values=False):
+    return S.prefixed(windows.drop("at", "mean", "sigma", *([] if values else ["vals"])), p)
 
 
 PAST_SQL = f"""{RN}, {SLIDING},
@@ -101,12 +99,12 @@ GIVEN, MINUTES = [3, 17, 42, 99], 720
 
 def probe(a, windows, minutes):
     pairs = S.correlated(half(a, "a"), half(windows, "b"), "user_id", [], F.expr("a_user_id <> b_user_id"), PAST, COEFS, both_ways=True, band=("minute", minutes))
-    return S.verified(pairs, windows, "user_id", PAST, LENGTH)
+    return S.verified(pairs, PAST, LENGTH)
 
 
 def among(windows, equal=(), band=None, values=False):
-    pairs = S.correlated(half(windows, "a"), half(windows, "b"), "user_id", list(equal), F.expr("a_user_id <> b_user_id"), PAST, COEFS, band=band)
-    return S.verified(pairs, windows, "user_id", PAST, LENGTH, values)
+    pairs = S.correlated(half(windows, "a", values), half(windows, "b", values), "user_id", list(equal), F.expr("a_user_id <> b_user_id"), PAST, COEFS, band=band)
+    return S.verified(pairs, PAST, LENGTH)
 
 
 def past_dft_near_given(spark, d):
