@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embedding_dup, exact_dedup, language_id, lm_score, mixing, near_dup, packing, quality, substring_dup, token_counts
+from . import embedding_dup, exact_dedup, language_id, line_dedup, lm_score, mixing, near_dup, packing, phrases, quality, substring_dup, token_counts, whitening
 
 
 def table(spark, sf_dir, name):
@@ -56,6 +56,18 @@ def op9_substring_dedup(spark, sf_dir):
     return substring_dup.substring_dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op11_whiten(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_line_dedup(spark, sf_dir):
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -93,6 +105,34 @@ SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
 """
 
 
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, unnest(range(1, len(ls) + 1)) AS i, unnest(ls) AS s FROM d),
+k AS (SELECT *, translate(regexp_replace(s, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS top FROM k WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT r) >= 3),
+m AS (SELECT k.*, f.key IS NOT NULL AND k.doc_id IS DISTINCT FROM f.top AS gone FROM k LEFT JOIN f ON f.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(s, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY r
+"""
+
+OP13_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(ws))::HUGEINT AS n FROM p GROUP BY lang),
+o AS (SELECT lang, ws, m, unnest(range(1, len(ws) - m + 2)) AS i FROM p, (VALUES (1), (2), (3), (4), (5)) v(m) WHERE len(ws) >= m),
+f AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS c FROM o GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, c AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1),
+s AS (SELECT c.lang, c.phrase, c.m, c.a, t.n, x.c AS l, y.c AS r, k, (1000 * c.a::HUGEINT * t.n) // (x.c::HUGEINT * y.c) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN t USING (lang)
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[k + 1:c.m], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (SELECT DISTINCT b.lang, b.phrase FROM b JOIN c ON c.lang = b.lang AND c.m > b.m AND c.a >= b.a AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' '))
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b ANTI JOIN h USING (lang, phrase)) WHERE rank <= 2000
+"""
+
+
 def queries():
     return {
         "op1_exact_dedup": op1_exact_dedup,
@@ -105,8 +145,11 @@ def queries():
         "op8_language_id": op8_language_id,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_quality": op10_quality,
+        "op11_whiten": op11_whiten,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_collocations": op13_collocations,
     }
 
 
 def oracle_sql():
-    return {"op1_exact_dedup": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_jaccard_join": OP7_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_embedding_dedup": OP3_SQL, "op7_jaccard_join": OP7_SQL, "op12_line_dedup": OP12_SQL, "op13_collocations": OP13_SQL}
