@@ -25,8 +25,8 @@ def pivot_count(n: int) -> int:
 
 
 def choose_pivots(reps: DataFrame, count: int) -> np.ndarray:
-    """Up to `count` unit vectors out of a sample of at most 4 * count (by hash of the id), none closer than cosine 0.9 to an earlier one."""
-    rows = reps.select("emb", "rep").orderBy(F.xxhash64("rep"), "rep").limit(4 * count).select("emb").collect()
+    """Up to `count` unit vectors out of a sample of at most 4 * count (by hash of the vector), none closer than cosine 0.9 to an earlier one."""
+    rows = reps.select("emb", "label").orderBy(F.xxhash64("emb"), "emb", "label").limit(4 * count).select("emb").collect()
     dim = max((len(r[0]) for r in rows), default=1)
     kept, n = np.zeros((count, dim)), 0
     for r in rows:
@@ -104,15 +104,16 @@ def embedding_dedup(
 
     Vectors are compared when their labels are equal and not null and their lengths are equal. A vector that is null, empty, zero or
     holds null or non-finite components links with nothing and is its own component. Equal vectors are one class, whose members are all
-    linked (repeated rows included). Rows with a null id link with nothing; their component is null and they are not kept. Other columns
-    are not read. The index finds nearly every pair at or above the threshold (see the tests for the measured recall) and no other.
+    linked (repeated rows included). Every row is a vector of its own: of rows that share an id each has its own links and component, and
+    kept tells whether that component's smallest id is its own. Rows with a null id link with nothing; their component is null and they
+    are not kept. Other columns are not read. The index finds nearly every pair at or above the threshold (see the tests for the measured recall) and no other.
     """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("emb"), F.col(label_col).alias("label"))
     finite = F.forall("emb", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("emb", lambda x: x != 0), F.lit(False))
     marked = rows.withColumn("usable", usable)
     good, bad = marked.filter("usable"), marked.filter("NOT usable")
-    same = cut(good.groupBy("label", "emb").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
+    same = cut(good.groupBy("label", "emb").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))  # written once: the numbers stay
     pivots = choose_pivots(same, pivot_count(same.count()))
     first = [(bad.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))]
     if len(pivots):
@@ -137,9 +138,11 @@ def embedding_dedup(
             .mapInArrow(lambda it: verify(it, threshold, t), "rep long, links long, root long")
         )
         joined = components(verified, "rep", "root").withColumnRenamed("node", "rep")
+        roots = cut(same.select("rep", "first").join(joined, "rep"))
+        roots = roots.select("rep", "component").join(roots.groupBy("component").agg(F.min("first").alias("root")), "component").select("rep", "root")
         classes = (
-            same.join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(joined, "rep", "left")
-            .select("label", "emb", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+            same.join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, "rep", "left")
+            .select("label", "emb", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "first").alias("component_id"))
         )
         first.append(good.join(classes, ["label", "emb"]).select("vec_id", "n_links", "component_id"))
     out = first[0] if len(first) == 1 else first[0].unionByName(first[1])

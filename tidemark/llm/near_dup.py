@@ -1,6 +1,6 @@
 """N-gram Jaccard join by MinHash banding.
 
-1. Documents with the same sequence of words form one class; its smallest id stands for it.
+1. Documents with the same sequence of words form one class, which gets a number of its own; so ids may be null or shared.
 2. Each representative gets bands of MinHash values over its shingles of five words; the numbers of bands and rows follow from the
    target recall at the threshold.
 3. Representatives that share a band's hash form a bucket. A bucket with the same members as another is kept once; a bucket of more
@@ -41,11 +41,11 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(batches, bands: int, rows: int, width: int):
-    """doc_id, text -> doc_id, n_words, two hashes of the word sequence, band hashes (empty where there are no words)."""
+    """doc_id, th, text -> doc_id, th, n_words, two hashes of the word sequence, band hashes (empty where there are no words)."""
     many = _multipliers(bands * rows)
     for batch in batches:
-        out: list[list] = [[], [], [], [], []]
-        for i, j, n_words, wh, first, sh, at in shingle_rows(batch.column(1), width):
+        out: list[list] = [[], [], [], [], [], []]
+        for i, j, n_words, wh, first, sh, at in shingle_rows(batch.column(2), width):
             n = j - i
             place = np.arange(len(wh), dtype=np.uint64) - np.repeat(first[:-1], n_words).astype(np.uint64)
             sums = [np.concatenate([[np.uint64(0)], np.cumsum(mixed(wh + mixed(place + np.uint64(k))))]) for k in (1, 1 << 40)]
@@ -59,12 +59,13 @@ def signatures(batches, bands: int, rows: int, width: int):
                         h = mixed(h * np.uint64(BASE) + np.minimum.reduceat(sh * many[b * rows + r], at[full]))
                     hashed[full, b] = h
             out[0].append(batch.column(0).slice(i, n))
-            for k, x in ((1, n_words.astype(np.int64)), (2, k1.view(np.int64)), (3, k2.view(np.int64))):
+            out[1].append(batch.column(1).slice(i, n))
+            for k, x in ((2, n_words.astype(np.int64)), (3, k1.view(np.int64)), (4, k2.view(np.int64))):
                 out[k].append(pa.array(x))
             counts = np.where(np.diff(at) > 0, bands, 0)
-            out[4].append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(hashed[full].ravel().view(np.int64))))
+            out[5].append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32), pa.array(hashed[full].ravel().view(np.int64))))
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in out], ["doc_id", "n_words", "k1", "k2", "bands"])
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(x) for x in out], ["doc_id", "th", "n_words", "k1", "k2", "bands"])
 
 
 def shared(sets: list[np.ndarray]) -> np.ndarray:
@@ -139,18 +140,21 @@ def jaccard_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, width: int = 5,
     recall: float = 0.9995, small: int = 128, block: int = 256, most_words: int = 1 << 19,
 ) -> DataFrame:
-    """One row per row of df: doc_id, class_id, n_links, n_copies, kept.
+    """One row per row of df: doc_id, class_id, n_links, n_copies, kept, text_hash.
 
     Two documents are linked when the Jaccard similarity of their sets of `width`-word shingles is at least `threshold`. Words are runs
     of bytes that are not white space, A-Z as a-z. A text of fewer words has one shingle, all its words; a text without words (or
     null) is linked with nothing. n_links counts all other documents linked directly, equal texts included; class_id is the smallest id
-    reachable by links. kept: class_id is the row's own id. Rows with a null id are returned with a null class, no links, and kept.
-    Repeated rows count as documents of their own but share an id, so all of them are kept or none. Other columns are not read.
+    reachable by links. Every row is a document of its own, whatever its id: rows that share an id are told apart by their texts, and rows
+    without an id are linked like any other (class_id is null where no row of the class has an id). kept: the row has the class's smallest
+    id (null is larger than all) and, of the rows with that id, the text with the smallest text_hash (xxhash64); so of rows that repeat
+    each other all are kept or none. Other columns are not read.
     """
     n_bands, n_rows = banding(threshold, recall)
-    docs = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = cut(docs.mapInArrow(lambda it: signatures(it, n_bands, n_rows, width), "doc_id long, n_words long, k1 long, k2 long, bands array<long>"))
-    same = cut(signed.filter("n_words > 0").groupBy("n_words", "k1", "k2", "bands").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
+    signed = cut(docs.select("doc_id", "th", "text").mapInArrow(lambda it: signatures(it, n_bands, n_rows, width), "doc_id long, th long, n_words long, k1 long, k2 long, bands array<long>"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("first")
+    same = cut(signed.filter("n_words > 0").groupBy("n_words", "k1", "k2", "bands").agg(first, F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))  # written once: the numbers stay
 
     spread = same.select("rep", "n_words", F.posexplode("bands").alias("band", "h"))
     full = cut(spread.groupBy("band", "h").agg(F.count("*").alias("m"), F.sum("n_words").alias("words")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
@@ -168,19 +172,24 @@ def jaccard_join(
         .select("gid", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "band", "rep", "part")
     )
     groups = cut(listed.unionByName(large))
-    texts = docs.withColumnRenamed("doc_id", "rep").join(groups.select("rep").distinct().hint("merge"), "rep", "left_semi").dropDuplicates(["rep"])
+    reps = same.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", "first.doc_id", "first.th").hint("merge")
+    d, r = docs.alias("d"), reps.alias("r")
+    texts = d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th"))).select("rep", "text").dropDuplicates(["rep"])
     verified = cut(
         groups.join(same.select("rep", "copies", "bands"), "rep").join(texts, "rep")
         .select("gid", "bi", "bj", "band", "rep", "part", "copies", "bands", "text")
         .repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")
         .mapInArrow(lambda it: verify(it, threshold, width), "rep long, links long, root long")
     )
-    joined = components(verified, "rep", "root")
+    joined = components(verified, "rep", "root").withColumnRenamed("node", "rep")
+    roots = cut(same.select("rep", "first").join(joined, "rep"))
+    roots = roots.select("rep", "component").join(roots.groupBy("component").agg(F.min("first").alias("root")), "component").select("rep", "root")
     classes = (
-        same.join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("n_words", "k1", "k2", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+        same.join(verified.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(roots, "rep", "left")
+        .select("n_words", "k1", "k2", F.coalesce("root", "first").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     )
-    out = ["doc_id", "class_id", "n_links", F.col("copies").alias("n_copies"), (F.col("doc_id") == F.col("class_id")).alias("kept")]
-    alone = signed.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
-    none = df.filter(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), F.lit(True).alias("kept"))
-    return signed.filter("n_words > 0").join(classes, ["n_words", "k1", "k2"]).select(*out).unionByName(alone).unionByName(none)
+    kept = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("th") == F.col("root.th"))
+    some = signed.filter("n_words > 0").join(classes, ["n_words", "k1", "k2"]).select("doc_id", F.col("root.doc_id").alias("class_id"), "n_links", F.col("copies").alias("n_copies"), kept.alias("kept"), F.col("th").alias("text_hash"))
+    zero, one_copy = F.lit(0).cast("long"), F.lit(1).cast("long")
+    alone = signed.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), one_copy.alias("n_copies"), F.lit(True).alias("kept"), F.col("th").alias("text_hash"))
+    return some.unionByName(alone)

@@ -28,7 +28,7 @@ def op5_mix_sources(spark, sf_dir):
 
 
 def op7_jaccard_join(spark, sf_dir):
-    return near_dup.jaccard_join(table(spark, sf_dir, "documents"))
+    return near_dup.jaccard_join(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op3_embedding_dedup(spark, sf_dir):
