@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -122,6 +123,33 @@ def test_pages(spark, model, sf):
     assert rows[1].lang == rows[2].lang == "und" and not rows[1].accepted and rows[3].lang == "en" and rows[None].host == "h.example.fr" and rows[None].declared == "de"
 
 
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    for part in ("<", "<!--", "<script", "<style>", "<html", "<html lang ", "</script ", "&a", "<!-- -->", "<b>", "lang="):
+        page = (part * (5_000_000 // len(part))).encode()
+        start = time.perf_counter()
+        language_id.visible(page), language_id.declared_language(page)
+        assert time.perf_counter() - start < 10, part
+
+
+def test_visible_equals_a_plain_pattern():
+    r = random.Random(4)
+    parts = ["<", ">", "<!--", "-->", "<script>", "</script>", "</SCRIPT >", "<style x>", "</style>", "<scripts>", "<p a='b'>", "text", "&amp;", "&#12;", " ", "<html lang=fr>", "<HTML class=x LANG = 'De-at'>", "é"]
+    for _ in range(3000):
+        page = "".join(r.choices(parts, k=r.randint(0, 14)))
+        want = re.sub(r"&#?[A-Za-z0-9_]+;", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", page))
+        assert language_id.visible(page.encode()).decode() == want
+        says = re.search(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", page)
+        assert language_id.declared_language(page.encode()).decode() == (says[1].lower() if says else "")
+
+
+def test_many_dirty_tags_bound_the_model(spark):
+    rows = spark.range(400).selectExpr("id", "if(id < 300, if(id < 200, 'en', 'fr'), concat('tag', id)) AS lang", "'the of and with from that this' AS text")
+    langs, logs = language_id.train(rows, F.col("lang"), F.col("text"), key=F.col("id"), most_langs=4)
+    assert langs == ["en", "fr", "tag300", "tag301"] and len(logs) == 5
+
+
 def test_host_prior_decides_where_the_text_does_not(spark, model):
     known = [(k, "http://h.example.com/a", f"<html><p>{w}</p></html>") for k, w in enumerate(["der die und nicht mit für eine"] * 30)]
     rows = known + [(99, "http://h.example.com/b", "<p>in</p>"), (98, "http://other.example.net/", "<p>in</p>")]

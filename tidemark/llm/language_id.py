@@ -16,6 +16,7 @@ neither a place nor the size of a table decides whether a text fits a known lang
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -66,11 +67,12 @@ def count_trigrams(batches):
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some), pa.string()), pa.array(some.astype(np.int32)), pa.array(n[some])], ["lang", "bucket", "n"])
 
 
-def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = 20_000, key: Column | None = None) -> tuple[list[str], np.ndarray]:
+def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = 20_000, key: Column | None = None, most_langs: int = 100) -> tuple[list[str], np.ndarray]:
     """Languages in order and log frequencies (language, bucket), the unknown language's last, from about `most_rows` rows of each
-    language (all rows where it has fewer), chosen by the hash of their key. Known is every language that some row with a trigram has."""
+    language (all rows where it has fewer), chosen by the hash of their key. Known is every language that some row with a trigram has; of
+    more than `most_langs` different tags, which bound the model, those with the most rows (ties by name)."""
     named = rows.select(lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"), (F.xxhash64(*([key] if key is not None else []), text) / F.lit(2.0**64) + 0.5).alias("u")).filter("lang IS NOT NULL")
-    rates = cut(rows.select(lang.alias("lang")).filter("lang IS NOT NULL").groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*")).alias("rate")))
+    rates = cut(rows.select(lang.alias("lang")).filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("rows"), F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*")).alias("rate")).orderBy(F.desc("rows"), "lang").limit(most_langs).drop("rows"))
     named = named.join(rates, "lang")  # a table of its own, a row for each language, so that Spark knows its size
     found = named.filter(F.col("u") <= F.col("rate")).select("lang", "text").mapInArrow(count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
@@ -156,19 +158,69 @@ def identify(
     return out.select(*keep, F.when(accepted, best(F.col("fused"))).otherwise("und").alias("lang"), "confidence", F.when(F.col("letters") > 0, best(F.col("ll"))).otherwise("und").alias("text_lang"), "declared", accepted.alias("accepted"))
 
 
-def visible(html: Column) -> Column:
-    """What a page shows: without scripts, styles, comments, tags and entities."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ")
-    return F.regexp_replace(bare, r"&#?\w+;", " ")
+HIDDEN = {k: re.compile(rb"</%s\s*>" % k, re.I) for k in (b"script", b"style")}
+OPENS = re.compile(rb"(script|style)\b", re.I)
+ENTITY = re.compile(rb"&#?\w+;")
+ROOT, SAYS = re.compile(rb"<html\b", re.I), re.compile(rb"\blang\s*=\s*[\"']?([a-z]{2,3})\b", re.I)
+
+
+def visible(html: bytes) -> bytes:
+    """What a page shows: without scripts, styles, comments, tags and entities. One pass: what is not closed once is not looked for again."""
+    out, at, open_ = [], 0, {b"-->", *HIDDEN}
+    while (start := html.find(b"<", at)) >= 0:
+        end = -1
+        if html.startswith(b"<!--", start):
+            if b"-->" in open_:
+                end = html.find(b"-->", start + 4) + 3
+                if end < 3:
+                    open_.discard(b"-->")
+                    end = -1
+        elif kind := OPENS.match(html, start + 1):
+            name = kind[1].lower()
+            if name in open_:
+                close = HIDDEN[name].search(html, kind.end())
+                end = close.end() if close else -1
+                if not close:
+                    open_.discard(name)
+        if end < 0:
+            end = html.find(b">", start) + 1
+            if not end:
+                break
+        out += html[at:start], b" "
+        at = end
+    out.append(html[at:])
+    return ENTITY.sub(b" ", b"".join(out))
+
+
+def declared_language(html: bytes) -> bytes:
+    """The lang of the first html tag that has one; each stretch up to a > is looked into once."""
+    at = 0
+    while at < len(html):
+        end = html.find(b">", at)
+        end = len(html) if end < 0 else end
+        if (tag := ROOT.search(html, at, end)) and (says := SAYS.search(html, tag.end(), end)):
+            return says[1].lower()
+        at = end + 1
+    return b""
+
+
+def page_texts(batches):
+    """page_id, host, html -> page_id, host, shown, declared."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, 64):
+            part = batch.slice(low, 64)
+            pages = part.column(2).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([f(x) for x in pages], pa.binary()).cast(pa.string()) for f in (visible, declared_language))], ["page_id", "host", "shown", "declared"])
 
 
 def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
-    """Language of web pages from their visible text, the html element's lang, and the address: suffix, domain (last two labels) and host."""
+    """Language of web pages from their visible text, the html element's lang, and the address: suffix, domain (last two labels) and host.
+    Pages of any form take time in proportion to their length."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@]*@)?([^/:?#]*)", 1))
     labels = F.split("host", r"\.")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.coalesce(F.col(html_col), F.lit("")).alias("html"), host.alias("host"))
-    declared = F.lower(F.regexp_extract("html", r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})\b", 1))
-    return identify(rows, ["page_id", "host"], visible(F.col("html")), declared, [F.element_at(labels, -1), F.array_join(F.slice(labels, -F.least(F.lit(2), F.size(labels)), F.lit(2)), "."), F.col("host")], model, **options)
+    raw_ = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
+    rows = raw_.mapInArrow(page_texts, f"page_id {raw_.schema['page_id'].dataType.simpleString()}, host string, shown string, declared string")
+    return identify(rows, ["page_id", "host"], F.col("shown"), F.col("declared"), [F.element_at(labels, -1), F.array_join(F.slice(labels, -F.least(F.lit(2), F.size(labels)), F.lit(2)), "."), F.col("host")], model, **options)
 
 
 def identify_documents(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
