@@ -31,20 +31,28 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without(keyed, rejected, ["id", "key"]).select(*docs.columns)
 
 
+def one_of_each(docs: DataFrame, key: Column, found: DataFrame) -> DataFrame:
+    """The rows of docs that found (id, key, kept) keeps, one of each id and key. Rows without an id, and rows that share one, are told apart by key."""
+    found = cut(found)
+    keyed = docs.select(F.struct(*docs.columns).alias("d"), name("doc_id").alias("id"), key.alias("key"))
+    rest = without(keyed, found.filter("NOT kept"), ["id", "key"])
+    repeated = cut(found.filter("kept").groupBy("id", "key").count().filter("count > 1").select("id", "key"))
+    if repeated.limit(1).count():
+        again = rest.join(repeated, ["id", "key"], "left_semi").groupBy("id", "key").agg(F.min_by("d", F.xxhash64("d")).alias("d"))
+        rest = rest.join(repeated, ["id", "key"], "left_anti").select("d").unionByName(again.select("d"))
+    return rest.select("d.*")
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, and one row of each document."""
-    found = cut(exact_dedup.exact_dedup(docs).select("doc_id", "kept"))
-    kept = without(docs, found.filter("NOT kept"), ["doc_id"])
-    repeated = cut(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.limit(1).count():  # repeated rows of one document
-        again = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(repeated, kept["doc_id"].eqNullSafe(repeated["doc_id"]), "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+    """One document of each group of equal texts."""
+    found = exact_dedup.exact_dedup(docs).select(name("doc_id").alias("id"), F.col("text_sha256").alias("key"), "kept")
+    return one_of_each(docs, F.sha2(exact_dedup.normalised(F.col("text")), 256), found)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return without(docs, near_dup.jaccard_join(docs).filter("NOT kept"), ["doc_id"]).select(*docs.columns)
+    found = near_dup.jaccard_join(docs).select(name("doc_id").alias("id"), F.col("text_hash").alias("key"), "kept")
+    return one_of_each(docs, F.xxhash64(F.coalesce("text", F.lit(""))), found)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
