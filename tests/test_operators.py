@@ -319,3 +319,92 @@ def test_event_time_windows(spark, tmp_path):
     q = continuous.distinct_by_window(stream, "ts", "10 minutes", "1 hour", "v").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r.distinct for r in spark.table("windows").collect()) == [1, 1, 2]
+
+
+def test_rank_summaries_keep_their_bounds():
+    from tidemark.operators.summaries import RankSummary, WindowRanks
+
+    r = np.random.default_rng(1)
+    for n in (3, 1000, 50_000):
+        x = r.permutation(n).astype(float)
+        parts = [RankSummary(0.01) for _ in range(4)]
+        for k, p in enumerate(np.array_split(x, 17)):
+            parts[k % 4].add(p)
+        for p in parts[1:]:
+            parts[0].merge(p)
+        assert parts[0].n == n and parts[0].weighted()[1].sum() == n
+        assert all(abs(parts[0].quantile(q) - q * n) <= 0.01 * n + 1 for q in (0.01, 0.25, 0.5, 0.9, 1.0))
+    x, held = np.concatenate([r.standard_normal(9000), np.arange(9000.0), np.zeros(9000)]), []
+    for window, eps in ((1, 0.5), (10, 0.1), (997, 0.05), (8000, 0.05)):
+        w, at = WindowRanks(eps, window), 0
+        assert w.quantile(0.5) is None
+        for size in r.integers(1, 300, 400):
+            w.add(x[at : at + size])
+            at += min(size, len(x) - at)
+            last = np.sort(x[max(0, at - window) : at])
+            for q in (0.05, 0.5, 0.95):
+                v = w.quantile(q)
+                assert np.searchsorted(last, v) - eps * window - 1 <= q * len(last) <= np.searchsorted(last, v, side="right") + eps * window + 1
+        held.append(w.points())
+    sizes = []
+    for window in (20_000, 80_000, 320_000):  # what is held grows far slower than the window
+        w = WindowRanks(0.1, window)
+        for _ in range(12):
+            w.add(r.standard_normal(window // 8))
+        sizes.append(w.points())
+    assert sizes[-1] < 4 * sizes[0] and sizes[-1] < 320_000 / 5
+
+
+def test_windowed_sample_of_sites_is_that_of_all():
+    from tidemark.operators.summaries import WindowSample, priority
+
+    r = random.Random(2)
+    rows = [(t, priority(t, k), (f"e{t}", str(k))) for t in range(3000) for k in range(2)]
+    sites = [WindowSample(8, 200) for _ in range(4)]
+    for low in range(0, len(rows), 500):
+        for x in rows[low : low + 500]:
+            sites[r.randrange(4)].add([x])
+        whole = WindowSample(8, 200)
+        for s in sites:
+            whole.merge(s)
+        now = rows[min(low + 499, len(rows) - 1)][0]
+        want = sorted((x for x in rows[: low + 500] if now - 200 < x[0] <= now), key=lambda x: x[1])[:8]
+        assert whole.sample(now) == want and whole.sample() == want
+        assert all(len(s.held) <= 8 * 12 for s in sites)
+
+
+def test_buckets_reduce_a_point_once_for_each_doubling():
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(5, 3)) * [[1], [1], [1], [10], [60]]
+    share = [0.6, 0.3, 0.08, 0.015, 0.005]  # skewed
+    points = np.concatenate([c + rng.normal(size=(int(40_000 * s), 3)) * 0.1 for c, s in zip(centres, share)])
+    points = points[rng.permutation(len(points))]
+    for many in (10, 1000):
+        size = len(points) // many
+        b = clustering.Buckets(size, 1)
+        for p in np.array_split(points, 97):
+            b.add(p, np.ones(len(p)))
+        assert sum(x is not None for x in b.full) <= math.log2(many) + 2 and b.reductions <= many
+        few, weights = b.coreset()
+        assert len(few) <= size and abs(weights.sum() - len(points)) < 1e-6
+        found = clustering.lloyd(few, weights, 5, 5, 50, 1)[1]
+        exact = clustering.lloyd(points, np.ones(len(points)), 5, 5, 50, 1)[0]
+        assert ((points[:, None] - found[None]) ** 2).sum(2).min(1).sum() <= (1.1 if many == 10 else 2.0) * exact
+    a, b = clustering.Buckets(50, 1), clustering.Buckets(50, 2)
+    a.add(points[:3000], np.ones(3000)), b.add(points[3000:3777], np.ones(777))
+    a.merge(b)
+    assert abs(a.coreset()[1].sum() - 3777) < 1e-6 and clustering.Buckets(5, 1).coreset() is None
+
+
+def test_coreset_tree_is_near_the_exact_cost_with_few_distances():
+    rng = np.random.default_rng(4)
+    points = np.concatenate([rng.normal(size=(20_000, 4)), 30 + rng.normal(size=(200, 4)), [[500.0] * 4] * 5])
+    tree = clustering.Tree(points, np.ones(len(points)), np.random.default_rng(1))
+    few, weights = tree.grow(400)
+    assert len(few) == len(weights) == 400 and weights.sum() == len(points)
+    assert tree.distances < len(points) * 400 / 4
+    centres = clustering.lloyd(few, weights, 3, 5, 50, 1)[1]
+    exact = clustering.lloyd(points, np.ones(len(points)), 3, 5, 50, 1)[0]
+    assert ((points[:, None] - centres[None]) ** 2).sum(2).min(1).sum() <= 1.1 * exact
+    same = clustering.reduce_points(np.ones((50, 2)), np.ones(50), 10, np.random.default_rng(1))
+    assert same[0].tolist() == [[1.0, 1.0]] and same[1].tolist() == [50.0]

@@ -1,4 +1,4 @@
-"""Coresets for k-means: weighted representatives, merged and reduced in a tree, and clusters of them."""
+"""Coresets for k-means: weighted representatives from a tree of clusters, merged and reduced in buckets, and clusters of them."""
 
 from __future__ import annotations
 
@@ -13,38 +13,127 @@ from tidemark.storage import tasks
 SCHEMA = "part int, weight double, coords array<double>"
 
 
-def reduce_points(points: np.ndarray, weights: np.ndarray, size: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """At most `size` of the points with the weights of those nearest to them; each next point is drawn in proportion to weight times squared distance."""
-    if len(points) <= size:
-        return points, weights
+def seed_points(points: np.ndarray, weights: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """`size` of the points as seeds of clusters, fewer where fewer differ: each next one is drawn in proportion to weight times squared distance."""
     chosen = [int(rng.choice(len(points), p=weights / weights.sum()))]
-    near, owner = ((points - points[chosen[0]]) ** 2).sum(1), np.zeros(len(points), int)
-    while len(chosen) < size:
-        mass = weights * near
-        if mass.sum() <= 0:
-            break
+    near = ((points - points[chosen[0]]) ** 2).sum(1)
+    while len(chosen) < size and (mass := weights * near).sum() > 0:
         chosen.append(int(rng.choice(len(points), p=mass / mass.sum())))
-        far = ((points - points[chosen[-1]]) ** 2).sum(1)
-        owner[far < near] = len(chosen) - 1
-        near = np.minimum(near, far)
-    return points[chosen], np.bincount(owner, weights=weights, minlength=len(chosen))
+        near = np.minimum(near, ((points - points[chosen[-1]]) ** 2).sum(1))
+    return points[chosen]
+
+
+class Tree:
+    """A binary tree of clusters (Ackermann et al., 2012). A leaf is found from the root, at each node by the costs of its children; a point of
+    it, drawn in proportion to its cost, becomes a centre of its own, the best of `trials` draws, and the leaf's points go to the nearer of the
+    two. So a split touches the points of one leaf, not all."""
+
+    def __init__(self, points: np.ndarray, weights: np.ndarray, rng: np.random.Generator, trials: int = 3):
+        self.points, self.weights, self.rng, self.trials = points, weights, rng, trials
+        first = int(rng.choice(len(points), p=weights / weights.sum()))
+        self.near = ((points - points[first]) ** 2).sum(1)
+        self.own, self.centre, self.up, self.kids = [np.arange(len(points))], [first], [-1], [None]
+        self.cost, self.distances = [float((weights * self.near).sum())], len(points)
+
+    def leaf(self) -> int:
+        node = 0
+        while self.kids[node] is not None:
+            a, b = self.kids[node]
+            node = a if self.rng.random() * (self.cost[a] + self.cost[b]) < self.cost[a] else b
+        return node
+
+    def split(self, node: int) -> bool:
+        at = self.own[node]
+        mass = self.weights[at] * self.near[at]
+        if mass.sum() <= 0:
+            return False
+        tried = []
+        for c in self.rng.choice(len(at), self.trials, p=mass / mass.sum()):
+            gap = ((self.points[at] - self.points[at[c]]) ** 2).sum(1)
+            tried.append((float((self.weights[at] * np.minimum(gap, self.near[at])).sum()), int(c), gap))
+        self.distances += self.trials * len(at)
+        _, c, gap = min(tried, key=lambda x: x[:2])
+        moved = gap < self.near[at]
+        self.near[at[moved]] = gap[moved]
+        self.kids[node] = (len(self.own), len(self.own) + 1)
+        for part, centre in ((at[~moved], self.centre[node]), (at[moved], int(at[c]))):
+            self.own.append(part), self.centre.append(centre), self.up.append(node), self.kids.append(None)
+            self.cost.append(float((self.weights[part] * self.near[part]).sum()))
+        self.own[node] = None
+        while node >= 0:
+            self.cost[node] = sum(self.cost[k] for k in self.kids[node])
+            node = self.up[node]
+        return True
+
+    def grow(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The centres and weights of up to `size` leaves."""
+        for _ in range(size - 1):
+            if self.cost[0] <= 0 or not self.split(self.leaf()):
+                break
+        leaves = [k for k, kids in enumerate(self.kids) if kids is None]
+        return self.points[[self.centre[k] for k in leaves]], np.array([self.weights[self.own[k]].sum() for k in leaves])
+
+
+def reduce_points(points: np.ndarray, weights: np.ndarray, size: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """At most `size` of the points, the leaves of a coreset tree, with the weights of those that belong to them."""
+    return (points, weights) if len(points) <= size else Tree(points, weights, rng).grow(size)
+
+
+class Buckets:
+    """Merge and reduce as a binary counter: a bucket i > 0 is empty or stands for 2**(i - 1) * size points by at most `size` of them. Two full ones
+    of a level make one of the next, so that a point goes through one reduction for each doubling of the stream."""
+
+    def __init__(self, size: int, seed):
+        self.size, self.rng = size, np.random.default_rng(seed)
+        self.open: list[tuple[np.ndarray, np.ndarray]] = []
+        self.full: list[tuple[np.ndarray, np.ndarray] | None] = []
+        self.reductions = 0
+
+    def _reduced(self, *parts):
+        self.reductions += 1
+        return reduce_points(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]), self.size, self.rng)
+
+    def _carry(self, bucket, level: int = 0) -> None:
+        while level < len(self.full) and self.full[level] is not None:
+            bucket, self.full[level] = self._reduced(self.full[level], bucket), None
+            level += 1
+        self.full += [None] * (level + 1 - len(self.full))
+        self.full[level] = bucket
+
+    def add(self, points: np.ndarray, weights: np.ndarray) -> None:
+        for at in range(0, len(points), self.size):
+            self.open.append((points[at : at + self.size], weights[at : at + self.size]))
+            have = np.concatenate([p for p, _ in self.open]), np.concatenate([w for _, w in self.open])
+            if len(have[0]) >= self.size:
+                self._carry((have[0][: self.size], have[1][: self.size]))
+                have = have[0][self.size :], have[1][self.size :]
+            self.open = [have] if len(have[0]) else []
+
+    def merge(self, other: Buckets) -> None:
+        """What another stream's buckets hold, level by level."""
+        for level, bucket in enumerate(other.full):
+            if bucket is not None:
+                self._carry(bucket, level)
+        for bucket in other.open:
+            self.add(*bucket)
+
+    def coreset(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The union of all buckets, reduced once."""
+        parts = [*self.open, *[b for b in self.full if b is not None]]
+        return self._reduced(*parts) if parts else None
 
 
 def _reducer(size: int, seed: int):
     def run(frames):
         import pandas as pd
 
-        held: dict[int, list] = {}
+        held: dict[int, Buckets] = {}
         for frame in frames:
             for part, rows in frame.groupby("part", sort=True):
-                points, weights = np.stack(rows["coords"].to_numpy()).astype(float), rows["weight"].to_numpy(float)
-                for at in range(0, len(points), size):
-                    old = held.get(int(part))
-                    p, w = points[at : at + size], weights[at : at + size]
-                    if old:
-                        p, w = np.concatenate([old[0], p]), np.concatenate([old[1], w])
-                    held[int(part)] = list(reduce_points(p, w, size, np.random.default_rng([seed, int(part)])))
-        for part, (p, w) in sorted(held.items()):
+                own = held.setdefault(int(part), Buckets(size, [seed, int(part)]))
+                own.add(np.stack(rows["coords"].to_numpy()).astype(float), rows["weight"].to_numpy(float))
+        for part, own in sorted(held.items()):
+            p, w = own.coreset()
             yield pd.DataFrame({"part": part, "weight": w, "coords": list(p)})
 
     return run
@@ -53,7 +142,8 @@ def _reducer(size: int, seed: int):
 def coreset(df: DataFrame, vector: str, order: str, size: int, parts: int | None = None, fan_in: int = 8, seed: int = 1) -> DataFrame:
     """(weight, coords): at most `size` representatives whose weights sum to the number of vectors. Vectors without coordinates are left out.
 
-    Each of `parts` parts of the rows (as many as the session has shuffle partitions) is read as a stream that is merged and reduced; then `fan_in` parts at a time are, up to one.
+    Each of `parts` parts of the rows (as many as the session has shuffle partitions) is read as a stream into buckets that are merged and reduced;
+    then `fan_in` parts at a time are, up to one.
     """
     parts = parts or tasks(df.sparkSession)
     rows = df.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("part"), F.lit(1.0).alias("weight"), F.transform(vector, lambda v: v.cast("double")).alias("coords"), F.col(order).alias("_o"))
@@ -70,6 +160,26 @@ def merge_coresets(size: int, *sketches: DataFrame) -> DataFrame:
     return rows.repartition(1).sortWithinPartitions("weight", "coords").mapInPandas(_reducer(size, 1), SCHEMA).select("weight", "coords")
 
 
+def lloyd(x: np.ndarray, w: np.ndarray, k: int, runs: int, rounds: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """The cost, centres and weights of the best of several runs from k-means++ seeds."""
+    best = None
+    for run in range(runs):
+        centres = seed_points(x, w, k, np.random.default_rng([seed, run]))
+        for _ in range(rounds):
+            d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
+            own = d.argmin(1)
+            total = np.bincount(own, weights=w, minlength=len(centres))
+            new = np.stack([np.bincount(own, weights=w * x[:, j], minlength=len(centres)) for j in range(x.shape[1])], 1) / np.maximum(total, 1e-12)[:, None]
+            new[total == 0] = centres[total == 0]
+            if np.allclose(new, centres):
+                break
+            centres = new
+        cost_ = float((w * d.min(1)).sum())
+        if best is None or cost_ < best[0]:
+            best = (cost_, centres, total)
+    return best
+
+
 def kmeans(points: DataFrame, k: int, runs: int = 5, rounds: int = 50, seed: int = 1) -> DataFrame:
     """(centre, weight, coords): the best of several runs of Lloyd's iterations from k-means++ seeds over a coreset (weight, coords)."""
 
@@ -77,40 +187,18 @@ def kmeans(points: DataFrame, k: int, runs: int = 5, rounds: int = 50, seed: int
         import pandas as pd
 
         frame = frame.sort_values("weight", kind="stable")
-        x, w = np.stack(frame["coords"].to_numpy()).astype(float), frame["weight"].to_numpy(float)
-        best = None
-        for run in range(runs):
-            centres, _ = reduce_points(x, w, k, np.random.default_rng([seed, run]))
-            for _ in range(rounds):
-                d = (x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1)[None, :]
-                own = d.argmin(1)
-                total = np.bincount(own, weights=w, minlength=len(centres))
-                new = np.stack([np.bincount(own, weights=w * x[:, j], minlength=len(centres)) for j in range(x.shape[1])], 1) / np.maximum(total, 1e-12)[:, None]
-                new[total == 0] = centres[total == 0]
-                if np.allclose(new, centres):
-                    break
-                centres = new
-            cost = float((w * d.min(1)).sum())
-            if best is None or cost < best[0]:
-                best = (cost, centres, total)
-        return pd.DataFrame({"centre": range(len(best[1])), "weight": best[2], "coords": list(best[1])})
+        _, centres, total = lloyd(np.stack(frame["coords"].to_numpy()).astype(float), frame["weight"].to_numpy(float), k, runs, rounds, seed)
+        return pd.DataFrame({"centre": range(len(centres)), "weight": total, "coords": list(centres)})
 
     return points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "centre int, weight double, coords array<double>")  # a coreset has a fixed size
 
 
-def cost(points: DataFrame, vector: str, centres: DataFrame) -> DataFrame:
-    """(points, cost): the sum of squared distances to the nearest centre. Centres are few."""
+def cost(points: DataFrame, vector: str, centres: DataFrame, weight: str | None = None) -> DataFrame:
+    """(points, cost): the number of points (the sum of their weights) and of their squared distances to the nearest centre. Centres are few."""
     to = F.array(*[F.array(*[F.lit(float(v)) for v in r["coords"]]) for r in centres.select("coords").collect()])
     gap = lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    return points.select(F.array_min(F.transform(to, gap)).alias("d")).agg(F.count("*").alias("points"), F.sum("d").alias("cost"))
-
-
-def lloyd_cost(points: DataFrame, vector: str, k: int, seed: int = 1) -> float:
-    """What Spark's own k-means over all points costs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    return KMeans(k=k, seed=seed).fit(points.select(array_to_vector(vector).alias("features"))).summary.trainingCost
+    rows = points.select(F.array_min(F.transform(to, gap)).alias("d"), (F.lit(1) if weight is None else F.col(weight)).alias("w"))
+    return rows.agg(F.sum("w").alias("points"), F.sum(F.col("w") * F.col("d")).alias("cost"))
 
 
 def constant_points(df: DataFrame, key: str, value: str, dims: int) -> DataFrame:

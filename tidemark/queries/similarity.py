@@ -172,11 +172,14 @@ def coreset_kmeans(spark, d):
 
 
 def coreset_kmeans_cost(spark, d):
-    """The points, and whether the coreset's centres cost all of them at most a fifth more than Lloyd's iterations over all of them do."""
+    """The points, and whether what five centres cost the coreset is within a fifth of what they cost all points."""
     points = clustering.joined_points(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value", 4).withColumn("id", F.concat_ws("_", "user_id", "n"))
     points = written(points)
-    own = clustering.kmeans(clustering.coreset(points, "coords", "id", 200), 5)
-    return clustering.cost(points, "coords", own).withColumn("within", F.col("cost") <= 1.2 * F.lit(clustering.lloyd_cost(points, "coords", 5))).select("points", "within")
+    few = written(clustering.coreset(points, "coords", "id", 200))
+    centres = written(clustering.kmeans(few, 5))
+    own = clustering.cost(few, "coords", centres, "weight").select(F.col("cost").alias("of_few"), F.lit(0).alias("one"))
+    every = clustering.cost(points, "coords", centres).withColumn("one", F.lit(0))
+    return every.join(own, "one").select("points", (F.abs(F.col("of_few") - F.col("cost")) <= 0.2 * F.col("cost")).alias("within"))
 
 
 COST = "SELECT sum(n // 4)::BIGINT AS points, true AS within FROM (SELECT count(*) AS n FROM events GROUP BY user_id)"
