@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from cases import awkward, empty
 
 from tidemark.llm import line_dedup, phrases, whitening
@@ -93,14 +94,15 @@ def brute_phrases(rows, support, top=2000):
     return sorted((lang, rank, p.decode(), -a, lo, r, n[lang], -s) for lang, rows in found.items() for rank, (s, a, p, lo, r) in enumerate(sorted(rows)[:top], 1))
 
 
-@pytest.mark.parametrize("shard_words,log_bits,parts", [(1 << 22, 26, 3), (300, 26, 4), (50, 26, 2), (2000, 15, 5)])
-def test_collocations(spark, shard_words, log_bits, parts):
+@pytest.mark.parametrize("shards,log_bits,most", [(1, 26, 1 << 22), (4, 26, 100), (50, 15, 1 << 22), (7, 15, 5000)])
+def test_collocations(spark, monkeypatch, shards, log_bits, most):
     r = random.Random(9)
     vocabulary = "the of a river stone New York élan winter, go! seven light harbour is new york city".split()
     rows = [(r.choice(["en", "en", "fr", None]), "  ".join(r.choices(vocabulary, k=r.randint(0, 60))) + r.choice([".", "\n", "\tin new york city today;"])) for _ in range(300)]
     rows += [("en", None), ("en", ""), (None, "?!"), ("zz", "once only")]
-    df = spark.createDataFrame(rows, "lang string, text string").repartition(parts)
-    got = sorted(tuple(x) for x in phrases.collocations(df, support=20, shard_words=shard_words, log_bits=log_bits).collect())
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    monkeypatch.setattr(phrases.grouped, "__defaults__", (most,))
+    got = sorted(tuple(x) for x in phrases.collocations(df, support=20, shards=shards, shard=F.col("text"), log_bits=log_bits).collect())
     want = brute_phrases(rows, 20)
     assert got == want and len({x[0] for x in want}) == 3
     assert sorted(tuple(x) for x in phrases.collocations(df, support=20, top=5).collect()) == brute_phrases(rows, 20, 5)
@@ -115,7 +117,7 @@ def test_collocations_take_awkward_tables(spark):
 def test_collocations_of_texts_longer_than_a_stretch(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PART", 64)
     rows = [("en", " ".join(f"w{(k * k) % 7}" for k in range(400)) + ". " + "tick tock! " * 300 + "x" * 500), ("en", "tick tock " * 50)]
-    words = sum(len(h) for batch in [phrases.pa.RecordBatch.from_arrays([phrases.pa.array(x) for x in zip(*rows)], ["lang", "text"])] for *_, h, _, _ in phrases.texts([batch]))
+    words = sum(len(h) for batch in [phrases.pa.RecordBatch.from_arrays([phrases.pa.array(x) for x in zip(*rows)], ["lang", "text"])] for *_, h, _, _, _ in phrases.texts([batch]))
     assert words == sum(len(re.findall(r"[^ .!]+", t)) for _, t in rows)
     df = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(tuple(x) for x in phrases.collocations(df, support=30).collect()) == brute_phrases(rows, 30)

@@ -1,16 +1,16 @@
 """Phrase collocation mining by SON partitioning.
 
 1. Words are counted by hash, for each language; their sum is n. A Bloom filter of words with the wanted support goes to all tasks.
-2. The rows that a task reads are cut into shards of at most `shard_bytes` of text. A shard that has the share w of a language's words is
-   mined completely at the local support ceil(support * w): level by level, a run of m words is counted only where both its parts of
-   m - 1 words are locally frequent. A phrase with the wanted support is locally frequent in some shard.
+2. The table is cut into shards: groups of its files, so that a shard may span any number of tasks, and its share w of a language's words
+   does not shrink as the table grows. Each is mined completely at the local support ceil(support * w), in two jobs over all shards: runs
+   of two words with the wanted support, then runs of three and more whose neighbouring pairs are all possible. Tasks count what they
+   read, Spark adds up by shard and run. A phrase with the wanted support is locally frequent in some shard.
 3. The locally frequent phrases are united. What a phrase can have at most is the sum of its reported counts and of one less than the
    local support of each shard that did not report it; phrases that can't reach the support go. The rest is a Bloom filter.
 4. All runs of words that the filter knows are counted, by their words themselves, over all texts. A run that it knows by mistake is
    counted as exactly, and has less than the support.
 
-Both filters have a fixed size. If they fill up (with some 10**7 phrases), more runs are counted; no result changes. With shards of less
-than 1 / support of a language's words the local support is one, and what the shards report is all runs of frequent words.
+The filters have a fixed size. If they fill up (with some 10**7 phrases), more runs are counted; no result changes.
 """
 
 from __future__ import annotations
@@ -99,15 +99,15 @@ def extended(g: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def texts(batches):
     """lang, text, ... -> for each stretch: languages of the batch, its bytes, words (as phrase_words), hashes with the language in them, the code
-    of each word's language, and the batch."""
+    of each word's language, the batch, and each word's row in it."""
     for batch in batches:
         coded = batch.column(0).dictionary_encode()
         names, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         salt = np.array([language_hash(x) for x in names], np.uint64)
         for buf, at, first in stretches(*raw(batch.column(1))):
             s, e, joined, row = phrase_words(buf, at)
-            code = codes[row + first]
-            yield names, buf, s, e, joined, mixed(span_hash(prefix_hash(buf), s, e) ^ salt[code] if len(s) else np.zeros(0, np.uint64)), code, batch
+            row += first
+            yield names, buf, s, e, joined, mixed(span_hash(prefix_hash(buf), s, e) ^ salt[codes[row]] if len(s) else np.zeros(0, np.uint64)), codes[row], batch, row
     trim()
 
 
@@ -119,92 +119,69 @@ def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, new, np.diff(np.append(new, len(s)))
 
 
-def count_words(batches):
-    """lang, text -> lang, h, n."""
-    names: list[str] = []
-    held, size = [], 0
+def distinct_counts(held):
+    """(hash, group) of stretches -> group, h, n."""
+    h, group = (np.concatenate(x) for x in zip(*held))
+    order, new, n = counted(h)  # a hash has its language in it, and a task's rows mostly one shard
+    if (group != group[:1]).any():
+        order = np.lexsort((group, h))
+        new = np.flatnonzero(np.concatenate([[True], (h[order][1:] != h[order][:-1]) | (group[order][1:] != group[order][:-1])]))
+        n = np.diff(np.append(new, len(order)))
+    first = order[new]
+    return pa.RecordBatch.from_arrays([pa.array(group[first]), pa.array(h[first].view(np.int64)), pa.array(n)], ["g", "h", "n"])
+
 
-    def flush():
-        h, code = (np.concatenate(x) for x in zip(*held))
-        order, new, n = counted(h)
-        first = order[new]
-        return pa.RecordBatch.from_arrays([pa.DictionaryArray.from_arrays(pa.array(code[first].astype(np.int32)), pa.array(names)).dictionary_decode(), pa.array(h[first].view(np.int64)), pa.array(n)], ["lang", "h", "n"])
-
-    for own, _, _, _, _, h, code, _ in texts(batches):
-        names += [x for x in own if x not in names]
-        to = np.array([names.index(x) for x in own], np.int32)
-        if len(h):
-            held.append((h, to[code]))
-            size += len(h)
-        if size > 1 << 21:
-            yield flush()
+def grouped(found, most: int = 1 << 22):
+    """Hashes and groups of stretches -> their counts, `most` occurrences at a time."""
+    held, size = [], 0
+    for x in found:
+        if len(x[0]):
+            held.append(x)
+            size += len(x[0])
+        if size > most:
+            yield distinct_counts(held)
             held, size = [], 0
     if held:
-        yield flush()
+        yield distinct_counts(held)
+    del held
     trim()
 
 
-def often(g: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of hashes and the least count of each: whether it occurs so often, one place of each group that does, and the groups' sizes."""
-    order, new, n = counted(g)
-    good = n >= need[order[new]] if len(new) else np.zeros(0, bool)
-    keep = np.zeros(len(g), bool)
-    keep[order] = np.repeat(good, n)
-    return keep, order[new[good]], n[good]
-
-
-def mine(held, share: dict[str, tuple[int, int]], support: int, longest: int, words: HashFilter):
-    """A shard: (h, joined, code) of its stretches -> rows lang, h, n, slack of its locally frequent phrases; slack is the local support less one.
-    Each language has a row without h that tells its slack."""
-    names = list(share)
-    h, joined, code = (np.concatenate(x) for x in zip(*held))
-    local = np.bincount(code, minlength=len(names))
-    need = np.array([max(1, -(-support * int(c) // max(1, n))) for c, (_, n) in zip(local, share.values())], np.int64)
-    rows = [[pa.array(names, pa.string()), pa.array([None] * len(names), pa.int64()), pa.array(np.zeros(len(names), np.int64)), pa.array(need - 1)]]
-    live = np.zeros(len(h) + 1, bool)
-    at = np.flatnonzero(words.has(h))
-    live[at[often(h[at], need[code[at]])[0]]] = True
-    g = h.copy()
-    for m in range(2, longest + 1):
-        at = np.flatnonzero(live[:-1] & live[1:] & joined)
-        live[:] = False
-        if not len(at):
-            break
-        g[at] = extended(g[at], h[at + m - 1])
-        keep, first, n = often(g[at], need[code[at]])
-        live[at[keep]] = True
-        first = at[first]
-        rows.append([pa.DictionaryArray.from_arrays(pa.array(code[first].astype(np.int32)), pa.array(names)).dictionary_decode(), pa.array(g[first].view(np.int64)), pa.array(n), pa.array(need[code[first]] - 1)])
-    for r in rows:
-        if len(r[0]):
-            yield pa.RecordBatch.from_arrays(r, ["lang", "h", "n", "slack"])
-
-
-def local_phrases(batches, support: int, longest: int, words: HashFilter, shard_words: int):
-    """lang, text, total (words of the language) -> what mine() reports of each shard."""
-    held, size, share = [], 0, {}
-    for own, _, _, _, joined, h, code, batch in texts(batches):
+def word_hashes(batches):
+    """lang, text, g -> of each stretch the hashes and groups of its words."""
+    for _, _, _, _, _, h, _, batch, row in texts(batches):
+        yield h, batch.column(2).to_numpy()[row]
+
+
+def run_hashes(batches, words: HashFilter, pairs: HashFilter | None, longest: int):
+    """lang, text, g -> of each stretch the hashes and groups of its runs of two frequent words or, where pairs are known, of three to `longest`."""
+    for _, _, _, _, joined, h, _, batch, row in texts(batches):
         if not len(h):
             continue
-        for k in set(code.tolist()):
-            if own[k] not in share:
-                row = batch.column(0).index(own[k]).as_py()
-                share[own[k]] = (len(share), batch.column(2)[row].as_py())
-        to = np.array([share[x][0] if x in share else 0 for x in own], np.int32)
-        held.append((h, joined, to[code]))
-        size += len(h)
-        if size >= shard_words:
-            yield from mine(held, share, support, longest, words)
-            held, size, share = [], 0, {}
-    if held:
-        yield from mine(held, share, support, longest, words)
-    del held
-    trim()
+        group = batch.column(2).to_numpy()[row]
+        live = np.append(words.has(h), False)
+        at = np.flatnonzero(live[:-1] & live[1:] & joined)
+        g = h.copy()
+        g[at] = extended(g[at], h[at + 1])
+        if pairs is None:
+            yield g[at], group[at]
+            continue
+        possible = np.zeros(len(h) + 1, bool)
+        possible[at[pairs.has(g[at])]] = True
+        whole = possible.copy()  # runs whose pairs are all possible
+        for m in range(3, longest + 1):
+            at = np.flatnonzero(whole[: len(h) - m + 2] & possible[m - 2 : len(h)])
+            whole[:] = False
+            whole[at] = True
+            if not len(at):
+                break
+            g[at] = extended(g[at], h[at + m - 1])
+            yield g[at], group[at]
 
 
 def count_phrases(batches, longest: int, words: HashFilter, phrases: HashFilter):
     """lang, text -> lang, words, phrase, n: runs of words that the filters know, counted by their words."""
-    for names, buf, s, e, joined, h, code, _ in texts(batches):
+    for names, buf, s, e, joined, h, code, *_ in texts(batches):
         if not len(h):
             continue
         exact = rolled(rolling(buf), s, e)  # beside the hash: the words of a group are alike in both
@@ -257,8 +234,16 @@ def score_phrases(counts: DataFrame, totals: DataFrame, top: int) -> DataFrame:
     return free.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "c.a", "c.l", "c.r", "c.n", "c.score")
 
 
+def possible_runs(docs: DataFrame, shards: DataFrame, support: int, find) -> DataFrame:
+    """h of the runs that may have the support: locally frequent in some shard, and not ruled out by what all shards report.
+    shards: (g, need, slack) with the local support of each shard and language, and the language's sum of these less one."""
+    found = docs.mapInArrow(lambda it: grouped(find(it)), "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n"))
+    local = found.join(shards, "g").filter(F.col("n") >= F.col("need"))
+    return cut(local.groupBy("h").agg((F.sum(F.col("n") - F.col("need") + 1) + F.max("slack")).alias("most")).filter(F.col("most") >= support).select("h"))
+
+
 def collocations(
-    df: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = 100, longest: int = 5, top: int = 2000, shard_words: int = 1 << 22, log_bits: int = 26,
+    df: DataFrame, text_col: str = "text", lang_col: str = "lang", support: int = 100, longest: int = 5, top: int = 2000, shards: int = 16, log_bits: int = 26, shard: Column | None = None,
 ) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: of each language the `top` phrases of 2 to `longest` words.
 
@@ -266,19 +251,26 @@ def collocations(
     is und. n counts all words of the language, a the phrase's occurrences (at least `support`) inside pieces, l and r those of the parts
     of its worst cut, score = floor(1000 a n / (l r)). A phrase that a longer one of at most `longest` words holds each time is left out.
     Ties go by a (larger first), then by the phrase's bytes. Rows are counted as they are, repeated ones too. An empty table, or one
-    without a frequent phrase, gives no rows. Other columns are not read.
+    without a frequent phrase, gives no rows. Other columns are not read. shard: what deals rows to `shards` shards (the file a row is
+    read from; rows of no file are one shard); results do not depend on it.
     """
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    single = cut(docs.mapInArrow(count_words, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n")))
-    totals = cut(single.groupBy("lang").agg(F.sum("n").alias("total")))
-    words = spark.sparkContext.broadcast(HashFilter.of(single.filter(F.col("n") >= support), "h", log_bits))
-    reports = cut(docs.join(totals, "lang").select("lang", "text", "total").mapInArrow(lambda it: local_phrases(it, support, longest, words.value, shard_words), "lang string, h long, n long, slack long"))
-    slack = reports.filter("h IS NULL").groupBy("lang").agg(F.sum("slack").alias("all_slack"))
-    possible = reports.filter("h IS NOT NULL").groupBy("lang", "h").agg(F.sum(F.col("n") - F.col("slack")).alias("n")).join(slack, "lang").filter(F.col("n") + F.col("all_slack") >= support)
-    phrases = spark.sparkContext.broadcast(HashFilter.of(possible, "h", log_bits))
+    part = F.pmod(F.xxhash64(F.input_file_name() if shard is None else shard), F.lit(shards))
+    docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"))
+    docs = docs.select("lang", "text", F.xxhash64("lang", "part").alias("g"))
+    single = cut(docs.mapInArrow(lambda it: grouped(word_hashes(it)), "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n")))
+    share = docs.select("lang", "g").distinct().join(single.groupBy("g").agg(F.sum("n").alias("words")), "g")
+    totals = cut(share.groupBy("lang").agg(F.sum("words").alias("total")))
+    need = F.expr(f"({support} * words + total - 1) DIV total")
+    local = share.join(totals, "lang").withColumn("need", need)
+    local = cut(local.join(local.groupBy("lang").agg(F.sum(F.col("need") - 1).alias("slack")), "lang").select("g", "need", "slack"))
+    words = spark.sparkContext.broadcast(HashFilter.of(single.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= support), "h", log_bits))
+    two = possible_runs(docs, local, support, lambda it: run_hashes(it, words.value, None, 2))
+    pairs = spark.sparkContext.broadcast(HashFilter.of(two, "h", log_bits))
+    more = possible_runs(docs, local, support, lambda it: run_hashes(it, words.value, pairs.value, longest))
+    phrases = spark.sparkContext.broadcast(HashFilter.of(two.unionByName(more), "h", log_bits))
     counts = cut(
-        docs.mapInArrow(lambda it: count_phrases(it, longest, words.value, phrases.value), "lang string, m int, phrase string, n long")
+        docs.select("lang", "text").mapInArrow(lambda it: count_phrases(it, longest, words.value, phrases.value), "lang string, m int, phrase string, n long")
         .groupBy("lang", "m", "phrase").agg(F.sum("n").alias("n")).filter(F.col("n") >= support)
     )
     return score_phrases(counts, totals, top)
