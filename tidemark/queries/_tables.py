@@ -1,5 +1,21 @@
 from pyspark.sql import DataFrame, SparkSession
 
+import uuid
+
+from tidemark.storage import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def as_stream(spark, sf_dir, name):
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern, as the table may be one file or a folder
+
+
+def finished(stream):
+    """All that a streaming query gives for what is there now, written to the shared folder."""
+    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")

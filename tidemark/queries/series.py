@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import projection, spearman
 from tidemark.operators import series as S
 from tidemark.operators import similarity
+from tidemark.streaming import digests as streamed
 
-from ._tables import table
+from ._tables import as_stream, finished, table
 
 ORDER = ["ts", "event_id"]
 BASIC, WINDOWS, COEFS, THRESHOLD = 8, 2, 3, 0.7
@@ -76,6 +77,23 @@ GAP = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in NAMES)
 DFT_PAIRS = f"WITH {RN}, {SLIDING} SELECT a.user_id AS u, b.user_id AS v, a.w, round(1 - ({GAP}), 6) AS bound FROM s a JOIN s b ON a.w = b.w AND a.user_id < b.user_id WHERE round(1 - ({GAP}), 6) >= {THRESHOLD}"
 
 
+def digest_stream(spark, d):
+    order = F.unix_timestamp(F.col("ts").cast("timestamp")) * 1_000_000_000 + F.pmod("event_id", F.lit(1_000_000_000))
+    return streamed.sliding_digests(as_stream(spark, d, "events").withColumn("order", order), "user_id", "value", "order", BASIC, WINDOWS, COEFS)
+
+
+def dft_stream(spark, d):
+    """The digests of sliding windows of a stream, as they get full."""
+    return rounded(finished(digest_stream(spark, d)))
+
+
+def dft_stream_pairs(spark, d):
+    """Pairs of users whose digests of the same window allow a correlation of the threshold, as they arise in a stream."""
+    pairs = finished(streamed.pairs_as_they_arise(digest_stream(spark, d), "user_id", THRESHOLD, COEFS, keep=1 << 40))
+    users = [F.col(c).cast("long") for c in "ab"]
+    return pairs.select(F.least(*users).alias("u"), F.greatest(*users).alias("v"), F.col("a_w").alias("w"), "bound")
+
+
 def past(spark, d, users="true"):
     windows = S.past_windows(events(spark, d).filter(users), "user_id", "value", "ts", ORDER, BASIC, WINDOWS, COEFS, PAST)
     return windows.withColumn("minute", F.expr("unix_timestamp(cast(at AS timestamp)) div 60"))
@@ -250,7 +268,7 @@ def phase_counts(spark, d):
 PHASES = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (value < 100) AS low, count(*) FILTER (value >= 100 AND value < 101) AS middle, count(*) FILTER (value >= 101 AND value <= 300) AS high, count(*) FILTER (value > 300) AS rest FROM events GROUP BY 1"
 
 QUERIES = {
-    "dft_basic": (dft_basic, DFT_BASIC), "dft_sliding": (dft_sliding, DFT_SLIDING), "dft_cells": (dft_cells, DFT_CELLS), "dft_corr_pairs": (dft_corr_pairs, DFT_PAIRS),
+    "dft_basic": (dft_basic, DFT_BASIC), "dft_sliding": (dft_sliding, DFT_SLIDING), "dft_cells": (dft_cells, DFT_CELLS), "dft_corr_pairs": (dft_corr_pairs, DFT_PAIRS), "dft_stream": (dft_stream, DFT_SLIDING), "dft_stream_pairs": (dft_stream_pairs, DFT_PAIRS),
     "past_dft_near_given": (past_dft_near_given, PAST1), "past_dft_among_given": (past_dft_among_given, PAST2), "past_dft_any_time": (past_dft_any_time, PAST3), "past_dft_same_window": (past_dft_same_window, PAST4), "past_dft_latest": (past_dft_latest, PAST5), "lsh_windows": (lsh_windows, LSH_WINDOWS), "past_spearman": (past_spearman, PAST_RANK),
     "gap_fill": (gap_fill, GAP_FILL), "interpolation": (interpolation, INTERPOLATION), "returns_windows": (returns_windows, RETURNS), "finjoin_segments": (finjoin_segments, FINJOIN), "finjoin_dft": (finjoin_dft, FINJOIN_DFT),
     "counters_last": (counters_last, COUNTERS), "phase_counts": (phase_counts, PHASES),

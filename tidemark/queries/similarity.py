@@ -11,8 +11,9 @@ from tidemark.operators import series as S
 from tidemark.operators.similarity import product_sql
 
 from tidemark.storage import written
+from tidemark.streaming import digests as streamed
 
-from ._tables import table
+from ._tables import as_stream, finished, table
 
 DIMS, BITS, CORR = 64, 16, 0.25
 STRONG, RECALL, BAND = 0.4, 0.95, 8
@@ -68,6 +69,14 @@ def radius_vote(spark, d):
 RADIUS_VOTE = f"WITH {RADIUS_SQL} SELECT a.vec_id AS a, b.vec_id AS b, count(*) AS votes FROM g a JOIN g b ON a.\"group\" = b.\"group\" AND a.cx = b.cx AND a.cy = b.cy AND a.vec_id < b.vec_id GROUP BY 1, 2 HAVING count(*) > 3"
 
 
+def radius_stream(spark, d):
+    """The pairs of radius_vote, as they arise in a stream of vectors."""
+    rows = as_stream(spark, d, "embeddings").filter("embedding IS NOT NULL").withColumn("w", F.lit(0))
+    pairs = finished(streamed.radius_as_it_arises(rows, "vec_id", "w", "embedding", DIMS, 6, 0.8, 50, keep=1, seed=32))
+    ids = [F.col(c).cast("long") for c in "ab"]
+    return pairs.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b"))
+
+
 def radius_links(spark, d):
     """For every vector with such a pair, how many, and the one with the most votes."""
     return similarity.radius_links(radius_cells(spark, d), "vec_id", 6, 50)
@@ -185,6 +194,6 @@ def coreset_kmeans_cost(spark, d):
 COST = "SELECT sum(n // 4)::BIGINT AS points, true AS within FROM (SELECT count(*) AS n FROM events GROUP BY user_id)"
 
 QUERIES = {
-    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "lsh_links": (lsh_links, LSH_LINKS), "radius_links": (radius_links, RADIUS_LINKS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
+    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "lsh_links": (lsh_links, LSH_LINKS), "radius_links": (radius_links, RADIUS_LINKS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "radius_stream": (radius_stream, f"SELECT a, b FROM ({RADIUS_VOTE})"), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
     "wlsh_windows": (wlsh_windows, WLSH), "wlsh_nearest": (wlsh_nearest, WLSH1), "wlsh_one": (wlsh_one, WLSH2), "wlsh_similar": (wlsh_similar, WLSH3), "coreset_kmeans_cost": (coreset_kmeans_cost, COST), "coreset_points": (coreset_points, CORESET), "coreset_kmeans": (coreset_kmeans, None),
 }

@@ -94,7 +94,7 @@ def controlled(elements: DataFrame, requests: DataFrame | None, parts: int = 8,
 
 def start_continuous(stream: DataFrame, spec: SynopsisSpec):
     """Starts a query that writes, as JSON lines in continuous-<uid> of the shared folder, an estimate for each element of a stream with columns key and
-    at (count_min), or each position kept (trajectory) or element sampled (wor_sample)."""
+    at (count_min), or each position kept (trajectory), element sampled (wor_sample) or pair of series that share enough cells (radius: value is the array of a window, at its number)."""
     from tidemark.operators.sampling import bernoulli
     from tidemark.sources.connectors import write_estimations
     from tidemark.streaming.continuous import trajectory_stream
@@ -108,6 +108,11 @@ def start_continuous(stream: DataFrame, spec: SynopsisSpec):
         rows = trajectory_stream(stream, spec.key, p.get("period", 60), p.get("distance", 500), p.get("knots", 1), p.get("course", 1)).withColumn("estimation", F.concat_ws(",", "t", "lat", "lon"))
     elif spec.kind == "wor_sample":
         rows = bernoulli(stream, spec.key, 1).withColumn("estimation", F.col(spec.value or spec.key).cast("string"))
+    elif spec.kind == "radius":
+        from tidemark.streaming.digests import radius_as_it_arises
+
+        pairs = radius_as_it_arises(stream, spec.key, "at", spec.value, p.get("window", 20), p.get("groups", 10), p.get("side", 0.8), p.get("percent", 70), p.get("keep", 10))
+        rows = pairs.select(F.concat_ws("|", "a", "b").alias(spec.key), F.col("w").cast("string").alias("estimation"))
     else:
         raise ValueError(f"{spec.kind} has no continuous form")
     out = rows.select(F.lit(spec.uid).alias("uid"), F.lit(5).alias("requestID"), F.col(spec.key).cast("string").alias("key"), "estimation")
