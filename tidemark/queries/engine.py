@@ -128,36 +128,37 @@ CONTROL = f"""WITH kinds AS (SELECT unnest({KINDS}) AS key), a AS ({control_sql(
 SELECT 7 AS uid, 3 AS "requestID", 1 AS "synopsisID", key, estimation, "at" FROM a"""
 
 
-LAST, EARLY = 1 << 62, -1
+LAST, EARLY, MONTH = 1 << 62, -1, "1995-03"
 
 
 def served_requests(spark, d):
-    """Events and requests as two streams, in two stateful stages: sketches of elements that are dealt at random to three parts, synopses of each
-    user's series, a join size, a deletion, and requests that can't be served."""
+    """Events and requests as two streams, in two stateful stages: sketches of elements that are dealt at random to three parts, the lowest
+    prices of a month, synopses of each user's series, a join size, a deletion, and requests that can't be served."""
     folder = f"{shared_folder(spark)}/served-{uuid.uuid4().hex}"
-    counts, daily, flags = ["event_type", "null", "Queryable", "0.02", "0.99", "5"], ["user_id", "value", "day", "5", "4"], ["user_id", "flag", "Queryable"]
-    adds = [request(4, 1, 1, counts), request(4, 2, 2, ["user_id", "null", "Queryable", "1000", "0.0001"]), request(4, 3, 13, daily), request(1, 4, 26, flags), request(1, 5, 27, [*flags, "5"]), request(1, 6, 1, counts), request(1, 7, 9, ["event_type"]), request(1, 8, 999, flags)]
-    asks = [request(3, 1, 1, KINDS), request(3, 2, 2, ["0", "7", "nobody"]), request(3, 3, 13, ["5", "10"]), request(3, 4, 26), request(3, 5, 27), request(6, 1, 1, ["2", "1", "6"]), request(3, 9, 1, KINDS)]
+    counts, prices, flags = ["event_type", "null", "Queryable", "0.02", "0.99", "5"], ["order", "price", "month", "5", "4"], ["user_id", "flag", "Queryable"]
+    adds = [request(4, 1, 1, counts), request(4, 2, 2, ["user_id", "null", "Queryable", "1000", "0.0001"]), {**request(4, 3, 13, prices), "dataSetkey": "orders"}, request(1, 4, 26, flags), request(1, 5, 27, [*flags, "5"]), request(1, 6, 1, counts), request(1, 7, 9, ["event_type"]), request(1, 8, 999, flags)]
+    asks = [request(3, 1, 1, KINDS), request(3, 2, 2, ["0", "7", "nobody"]), {**request(3, 3, 13, ["5", MONTH]), "dataSetkey": "orders"}, request(3, 4, 26), request(3, 5, 27), request(6, 1, 1, ["2", "1", "6"]), request(3, 9, 1, KINDS)]
     after = [request(2, 6), request(3, 6, 1, KINDS)]
     asked = [{**r, "at": at} for rs, at in ((adds, EARLY), (asks, LAST), (after, LAST + 1)) for r in rs]
     spark.createDataFrame([(json.dumps(r),) for r in asked], "value string").coalesce(1).write.text(f"{folder}/requests")
     requests = parsed(lines(spark, f"{folder}/requests", stream=True), T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())]))
     events = as_stream(spark, d, "events")
     flag = F.when(F.col("event_type") == "view", "v1").when(F.col("event_type") == "purchase", "p2").otherwise("x")
-    named = {"event_type": F.col("event_type"), "user_id": F.col("user_id"), "value": F.col("value"), "day": F.dayofmonth("ts"), "flag": flag}
-    fields = F.create_map(*[x for n, c in named.items() for x in (F.lit(n), c.cast("string"))])
+    fields = lambda **named: F.create_map(*[x for n, c in named.items() for x in (F.lit(n), c.cast("string"))]).alias("fields")
     order = F.unix_timestamp(F.col("ts").cast("timestamp")) * 1_000_000_000 + F.pmod("event_id", F.lit(1_000_000_000))
-    elements = events.select(F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("stream"), fields.alias("fields"), order.alias("at"))
+    elements = events.select(F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("stream"), fields(event_type=F.col("event_type"), user_id=F.col("user_id"), flag=flag), order.alias("at"))
+    of_orders = fields(order=F.col("o_orderkey"), price=F.col("o_totalprice"), month=F.date_format("o_orderdate", "yyyy-MM"))
+    elements = elements.unionByName(as_stream(spark, d, "orders").select(F.lit("orders").alias("dataset"), F.col("o_orderkey").cast("string").alias("stream"), of_orders, F.col("o_orderkey").alias("at")))
     return finished(served(elements, requests, parts=3, routes=("keyed", "random"))).drop("at")
 
 
 SERVED = f"""WITH {cm_sql(SPEC, 'events', 'event_type', '1')}, kinds AS (SELECT unnest({KINDS}) AS event_type), e AS ({probe_sql(SPEC, 'kinds', 'event_type')}), {SEGMENTS},
 c AS (SELECT user_id, segment, list(cnt) OVER (PARTITION BY user_id ORDER BY segment ROWS 4 PRECEDING) AS counts FROM g QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY segment DESC) = 1),
-d AS (SELECT user_id, value FROM events WHERE day(ts) = 10 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1),
+d AS (SELECT o_orderkey, o_totalprice AS value FROM orders WHERE strftime(o_orderdate, '%Y-%m') = '{MONTH}'),
 j AS (SELECT "row", sum(cnt * cnt) AS s FROM sketch GROUP BY 1)
 SELECT 1 AS uid, 3 AS "requestID", 1 AS "synopsisID", event_type AS key, estimate::VARCHAR AS estimation FROM e
 UNION ALL SELECT 2, 3, 2, k, CASE WHEN k IN (SELECT user_id::VARCHAR FROM events) THEN 'true' ELSE 'false' END FROM (SELECT unnest(['0', '7', 'nobody']) AS k)
-UNION ALL SELECT 3, 3, 13, user_id::VARCHAR, value::VARCHAR FROM d WHERE value < coalesce((SELECT value FROM d ORDER BY value OFFSET 5 LIMIT 1), 1e300)
+UNION ALL SELECT 3, 3, 13, o_orderkey::VARCHAR, value::VARCHAR FROM d WHERE value < coalesce((SELECT value FROM d ORDER BY value OFFSET 5 LIMIT 1), 1e300)
 UNION ALL SELECT 4, 3, 26, user_id || '|' || segment, cnt::VARCHAR FROM g
 UNION ALL SELECT 5, 3, 27, user_id::VARCHAR, array_to_string(counts, ',') FROM c
 UNION ALL SELECT 1, 6, 1, '1,6', min(s)::BIGINT::VARCHAR FROM j

@@ -307,7 +307,7 @@ class WindowedSample(Sample):
 
 
 class TopK(Live):
-    """At each of the last TIMES times the k + 1 lowest; asked for are a number and a time."""
+    """At each of the last TIMES times the k + 1 lowest; asked for are a number and a time. A series has one value at a time."""
 
     TIMES = 256
 
