@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import interpolated
+from tidemark.operators import blocks
+from tidemark.storage import written
 
 
 def numbered(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -39,11 +41,16 @@ def sliding_dft(basic: DataFrame, key: str, size: int, windows: int, coefs: int)
 
 def raw_windows(df: DataFrame, key: str, value: str, time: str, size: int, windows: int, slide: int = 1) -> DataFrame:
     """(key, w, at, vals, z): the values of every sliding window of a numbered series whose number is a multiple of `slide`, its last time,
-    and the values scaled to mean 0 and length 1 (null where they are all equal)."""
-    spread = df.withColumn("w", F.explode(F.sequence(F.expr(f"rn div {size}"), F.expr(f"rn div {size}") + (windows - 1))))
-    got = spread.filter(F.col("w") % slide == 0).groupBy(key, "w").agg(F.count("*").alias("n"), F.max(time).alias("at"), F.avg(value).alias("mean"), F.nullif(F.stddev_pop(value), F.lit(0.0)).alias("sd"), F.sort_array(F.collect_list(F.struct("rn", F.col(value).alias("v")))).alias("x"))
-    scaled = F.transform("x", lambda s: (s["v"] - F.col("mean")) / (F.col("sd") * math.sqrt(size * windows)))
-    return got.filter(F.col("n") == size * windows).select(key, "w", "at", F.transform("x", lambda s: s["v"]).alias("vals"), scaled.alias("z"))
+    and the values scaled to mean 0 and length 1 (null where they are all equal). Values are collected once, in basic windows, which a frame puts together."""
+    basic = df.groupBy(key, F.expr(f"rn div {size}").alias("bw")).agg(F.count("*").alias("n"), F.max(time).alias("at"), F.sort_array(F.collect_list(F.struct("rn", F.col(value).alias("v")))).alias("x")).filter(F.col("n") == size)
+    over = Window.partitionBy(key).orderBy("bw").rowsBetween(1 - windows, 0)
+    whole = (F.count("*").over(over) == windows) & (F.col("bw") - F.min("bw").over(over) == windows - 1)
+    got = basic.select(key, F.col("bw").alias("w"), whole.alias("whole"), F.max("at").over(over).alias("at"), F.flatten(F.collect_list(F.transform("x", lambda s: s["v"])).over(over)).alias("vals"))
+    got = got.filter(F.col("whole") & (F.col("w") % slide == 0))
+    length = size * windows
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    got = got.withColumn("mean", total("vals") / length).withColumn("sd", F.when(F.array_min("vals") < F.array_max("vals"), F.sqrt(total(F.transform("vals", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / length)))
+    return got.select(key, "w", "at", "vals", F.transform("vals", lambda v: (v - F.col("mean")) / (F.col("sd") * math.sqrt(length))).alias("z"))
 
 
 #: A cell's neighbours that it looks at, so that every pair of cells meets once: itself, right, below, below right, above right.
@@ -99,10 +106,34 @@ def past_windows(df: DataFrame, key: str, value: str, time: str, order: list[str
 def verified(pairs: DataFrame, threshold: float, length: int) -> DataFrame:
     """Candidate pairs of windows of `length` values with their exact correlation, of at least the threshold. The scaled values go along with the digests:
     where a threshold is low most candidates stay, and joining values to them would cost more than they do."""
-    corr = sum((F.get("a_z", F.lit(i)) * F.get("b_z", F.lit(i)) for i in range(length)), F.lit(0.0))
+    if length <= 64:  # few enough terms to be compiled
+        corr = sum((F.get("a_z", F.lit(i)) * F.get("b_z", F.lit(i)) for i in range(length)), F.lit(0.0))
+    else:
+        corr = F.aggregate(F.zip_with("a_z", "b_z", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     return pairs.withColumn("corr", F.round(corr, 6)).filter(F.col("corr") >= threshold)
 
 
+def correlated_windows(windows: DataFrame, key: str, threshold: float, equal: tuple[str, ...] = ()) -> DataFrame:
+    """(a_key, a_w, b_key, b_w, corr): pairs of windows (key, w, re1, im1, z) of different series with a correlation of at least the threshold, alike in
+    the columns `equal`, a before b.
+
+    Correlated windows are at most sqrt(1 - threshold) apart in each part of their first coefficient. On a grid with cells of that side, the four cells that a
+    square of that side around a window touches, one of each parity, are its codes: two such windows share the cell between them. Who shares
+    a code is compared in blocks, as matrix products; no candidate is ever a row.
+    """
+    side = math.sqrt(1 - threshold) * (1 + 1e-9)
+    low = [F.floor(F.col(c) / side - 0.5) for c in ("re1", "im1")]
+    cell = lambda k, parity: low[k] + F.when(F.pmod(low[k], F.lit(2)) == parity, 0).otherwise(1)
+    codes = F.array(*[F.xxhash64(F.lit(2 * p + q), cell(0, p), cell(1, q), *equal) for p in (0, 1) for q in (0, 1)])
+    ids = written(windows.select(key, "w", codes.alias("codes"), "z").filter("z IS NOT NULL").withColumn("id", F.monotonically_increasing_id()))  # written once: the numbers stay
+    found = blocks.pairs(ids.select("id", "codes", F.col("z").alias("x")), threshold)
+    for p in "ab":
+        found = found.join(ids.select(F.col("id").alias(p), F.col(key).alias(f"{p}_{key}"), F.col("w").alias(f"{p}_w")), p)
+    first = F.struct(F.col(f"a_{key}").alias("k"), F.col("a_w").alias("w")) < F.struct(F.col(f"b_{key}").alias("k"), F.col("b_w").alias("w"))
+    names = [[F.when(first, F.col(f"{x}_{c}")).otherwise(F.col(f"{y}_{c}")).alias(f"{x}_{c}") for c in (key, "w")] for x, y in ("ab", "ba")]
+    return found.filter(F.col(f"a_{key}") != F.col(f"b_{key}")).select(*names[0], *names[1], F.col("score").alias("corr"))
+
+
 def gap_filled(df: DataFrame, key: str, time: str, value: str, step: int) -> DataFrame:
     """Each value repeated for every `step` seconds since the one before it (columns key, time, value; time in seconds)."""
     before = F.lag(time).over(Window.partitionBy(key).orderBy(time))

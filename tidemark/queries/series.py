@@ -150,14 +150,14 @@ PAST2 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.user_id < b.us
 
 
 def past_dft_any_time(spark, d):
-    return ordered(among(past(spark, d)))
+    return S.correlated_windows(past(spark, d), "user_id", PAST)
 
 
 PAST3 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.user_id < b.user_id AND {NEAR}"
 
 
 def past_dft_same_window(spark, d):
-    return ordered(among(past(spark, d), ["w"]))
+    return S.correlated_windows(past(spark, d), "user_id", PAST, ("w",))
 
 
 PAST4 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.w = b.w AND a.user_id < b.user_id AND {NEAR}"
