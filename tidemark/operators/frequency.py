@@ -61,8 +61,8 @@ class CountMin:
     def running(self, df: DataFrame, key: str, order: list[str], value: str | None = None) -> DataFrame:
         """Each element with the estimate of its key right after it: running sums of each counter, the least over the rows."""
         weight = F.lit(1) if value is None else F.col(value).cast("long")
-        spread = df.select(*{key, *order}, weight.cast("long").alias("w"), F.posexplode(self.buckets(F.col(key))).alias("row", "bucket"))
-        return running_sums(spread, ["row", "bucket"], order, F.col("w"), "cnt").groupBy(*{key, *order}).agg(F.min("cnt").alias("estimate"))
+        spread = df.select(*dict.fromkeys([key, *order]), weight.cast("long").alias("w"), F.posexplode(self.buckets(F.col(key))).alias("row", "bucket"))
+        return running_sums(spread, ["row", "bucket"], order, F.col("w"), "cnt").groupBy(*dict.fromkeys([key, *order])).agg(F.min("cnt").alias("estimate"))
 
 
 def merge_counters(*sketches: DataFrame) -> DataFrame:

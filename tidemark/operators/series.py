@@ -98,7 +98,7 @@ def prefixed(df: DataFrame, p: str) -> DataFrame:
 
 def past_windows(df: DataFrame, key: str, value: str, time: str, order: list[str], size: int, windows: int, coefs: int, threshold: float) -> DataFrame:
     """(key, w, at, vals, z, re1, ..., cx, cy): all past windows of all series with their digests, on the grid."""
-    rows = numbered(df.select(*{key, value, time, *order}), key, order)
+    rows = numbered(df.select(*dict.fromkeys([key, value, time, *order])), key, order)
     digests = sliding_dft(basic_windows(rows, key, value, size, coefs), key, size, windows, coefs)
     return on_grid(digests, threshold).join(raw_windows(rows, key, value, time, size, windows), [key, "w"])
 

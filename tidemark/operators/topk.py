@@ -59,5 +59,5 @@ def pruned(df: DataFrame, group: str, series: str, time: str, value: str, k: int
             yield result(at, values, gone)
 
     types = {f.name: f.dataType.simpleString() for f in df.schema}
-    rows = df.select(*{group, series, time, value}).repartition(group).sortWithinPartitions(group, time, series)
+    rows = df.select(*dict.fromkeys([group, series, time, value])).repartition(group).sortWithinPartitions(group, time, series)
     return rows.mapInPandas(watch, f"group {types[group]}, series {types[series]}, value {types[value]}, pruned_at {types[time]}")

@@ -76,7 +76,7 @@ class SlidingDft(OfSeries):
 
     def build(self, df):
         size, windows, coefs = self.shape()
-        rows = series.numbered(df.select(*{self.spec.key, *self.order}, F.col(self.spec.value).cast("double").alias(self.spec.value)), self.spec.key, self.order)
+        rows = series.numbered(df.select(*dict.fromkeys([self.spec.key, *self.order]), F.col(self.spec.value).cast("double").alias(self.spec.value)), self.spec.key, self.order)
         return series.sliding_dft(series.basic_windows(rows, self.spec.key, self.spec.value, size, coefs), self.spec.key, size, windows, coefs)
 
     def estimate(self, sketch, *params):
@@ -115,7 +115,7 @@ class LastWindow(OfSeries):
 
     def build(self, df):
         n = self.spec.params.get("window", 20)
-        last = sampling.last_rows(df.select(*{self.spec.key, *self.order, self.spec.value}), self.spec.key, self.order, n)
+        last = sampling.last_rows(df.select(*dict.fromkeys([self.spec.key, *self.order, self.spec.value])), self.spec.key, self.order, n)
         got = last.groupBy(self.spec.key).agg(F.count("*").alias("_n"), F.transform(F.sort_array(F.collect_list(F.struct(*self.order, F.col(self.spec.value).cast("double").alias("_v")))), lambda r: r["_v"]).alias("vals"))
         return similarity.scaled(got.filter(F.col("_n") == n), "vals").select(self.spec.key, "z")
 
