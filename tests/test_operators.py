@@ -418,3 +418,30 @@ def test_columns_come_in_the_same_order_in_every_process():
     code = "import re, pathlib; print([str(p) for p in sorted(pathlib.Path('tidemark').rglob('*.py')) if re.search(r'(?<!\\*)\\*\\{[^{}:]*\\}', p.read_text())])"
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.strip() == "[]"  # no column list is unpacked from a set
+
+
+def test_pruning_together_does_not_depend_on_partitions(spark):
+    r = random.Random(12)
+    trend = {s: r.choice([-1.0, 0.0, 0.5, 2.0]) for s in range(40)}
+    rows = [(s, t, trend[s] * t + r.gauss(0, 1) + s % 4) for t in range(25) for s in range(40) if r.random() < 0.95] + [(3, 99, None), (4, 99, float("nan"))]
+
+    def plain(k, countdown):
+        gap, grown, gone = {}, {}, {}
+        for t in range(25):
+            now = {s: v for s, u, v in rows if u == t and s not in gone}
+            bar = sorted(now.values())[k - 1] if len(now) >= k else math.inf
+            for s, v in now.items():
+                g = max(v - bar, 0.0)
+                grown[s] = grown.get(s, 0) + 1 if g > gap.get(s, 0.0) else 0
+                gap[s] = g
+                if grown[s] >= countdown:
+                    gone[s] = t
+        value = {(s, t): v for s, t, v in rows}
+        left = sorted((v, s) for s, t, v in rows if t == 24 and s not in gone)[:k]
+        return sorted([(s, value[s, t], t) for s, t in gone.items()] + [(s, v, None) for v, s in left], key=str)
+
+    for k, countdown, parts in ((3, 2, 1), (3, 2, 7), (5, 3, 4), (100, 2, 2)):
+        df = spark.createDataFrame(rows, "s long, t int, v double").repartition(parts)
+        got = sorted((tuple(x) for x in topk.pruned_together(df, "s", "t", "v", k, countdown).collect()), key=str)
+        assert got == plain(k, countdown) and (k == 100 or sum(x[2] is not None for x in got) > 5)
+    assert topk.pruned_together(df.limit(0), "s", "t", "v", 3, 2).count() == 0

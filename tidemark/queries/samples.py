@@ -147,8 +147,23 @@ k(part, rn, st) AS (
 e AS (SELECT part, unnest(arg_max(st, rn)) AS x FROM k GROUP BY part)
 SELECT part AS "group", x.s AS series, x.v AS value, coalesce(x.gone, -1) AS pruned_at FROM e QUALIFY x.gone IS NOT NULL OR row_number() OVER (PARTITION BY part, x.gone IS NULL ORDER BY x.v, x.s) <= 3"""
 
+def topk_together(spark, d):
+    """The five users with the lowest sums of the last day when all users step through the days together, and those dropped on the way."""
+    return topk.pruned_together(daily(spark, d), "user_id", "day", "total", 5, 3).withColumn("pruned_at", F.coalesce("pruned_at", F.lit(-1)))
+
+
+TOGETHER = f"""WITH RECURSIVE {DAILY}, days AS (SELECT day, row_number() OVER (ORDER BY day) AS n FROM (SELECT DISTINCT day FROM daily)),
+r AS (SELECT 0::BIGINT AS n, user_id, 0.0::DOUBLE AS gap, 0 AS grown, NULL::INT AS pruned_at, NULL::DOUBLE AS total FROM (SELECT DISTINCT user_id FROM daily) UNION ALL
+SELECT n + 1, user_id, CASE WHEN live THEN new_gap ELSE gap END, CASE WHEN live THEN CASE WHEN new_gap > gap THEN grown + 1 ELSE 0 END ELSE grown END,
+  CASE WHEN live AND new_gap > gap AND grown + 1 >= 3 THEN day ELSE pruned_at END, CASE WHEN pruned_at IS NULL THEN now ELSE total END
+FROM (SELECT *, pruned_at IS NULL AND now IS NOT NULL AS live, greatest(now - coalesce(list_sort(list(now) FILTER (WHERE pruned_at IS NULL AND now IS NOT NULL) OVER ())[5], 'inf'::DOUBLE), 0.0) AS new_gap
+  FROM (SELECT r.*, x.day, daily.total AS now FROM r JOIN days x ON x.n = r.n + 1 LEFT JOIN daily ON daily.user_id = r.user_id AND daily.day = x.day))),
+l AS (SELECT * FROM r WHERE n = (SELECT max(n) FROM days))
+SELECT user_id AS series, total AS value, pruned_at FROM l WHERE pruned_at IS NOT NULL
+UNION ALL (SELECT user_id, total, -1 FROM l WHERE pruned_at IS NULL AND total IS NOT NULL ORDER BY total, user_id LIMIT 5)"""
+
 QUERIES = {
     "chain_sample": (chain_sample, CHAIN), "wor_sample": (wor_sample, WOR), "coordinator_sample": (coordinator_sample, WOR), "bernoulli_sample": (bernoulli_sample, BERNOULLI),
     "window_wor_sample": (window_wor_sample, WINDOW_WOR), "trajectory_sample": (trajectory_sample, TRAJECTORY), "gk_quantile": (gk_quantile, GK), "window_quantile": (window_quantile, WINDOW_Q),
-    "topk_series": (topk_series, TOPK), "topk_merged": (topk_merged, TOPK_MERGED), "topk_pruned": (topk_pruned, TOPK_PRUNED),
+    "topk_series": (topk_series, TOPK), "topk_merged": (topk_merged, TOPK_MERGED), "topk_pruned": (topk_pruned, TOPK_PRUNED), "topk_together": (topk_together, TOGETHER),
 }
