@@ -171,3 +171,21 @@ def test_sketch_is_not_built_again(spark, tmp_path):
     e.add(SynopsisSpec(1, "count_min", "d", "k", partitions=4))
     assert all(path not in f for f in e.sketch(1).inputFiles()) and CountMin(0.01, 0.99).width >= 200
     assert e.estimate(1, "0").filter(F.col("estimation") == "34").count() == 1
+
+
+def test_routers(spark):
+    from tidemark.plans.routing import grid_elements, routed_elements
+
+    asked = spark.createDataFrame([(*ask(1, 1, 1, parts=3).values(), 1), (*ask(1, 2, 2, parts=3).values(), 2), (*ask(2, 1).values(), 3), (*ask(4, 3, 1, parts=2).values(), 4), (*ask(1, 4, 1, data="e").values(), 5), (*ask(2, 9).values(), 6)], T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())]))
+    rows = [("d", f"s{k % 5}", str(k)) for k in range(40)] + [("d", None, None), ("other", "s", "1")]
+    got = routed_elements(spark.createDataFrame(rows, "dataset string, stream string, v string"), asked).collect()
+    assert len(got) == 2 * 41  # uid 2 still asks for three partitions by key, uid 3 for two at random
+    keyed = {}
+    for r in got:
+        assert r.route.rsplit("_", 1)[0] in ("d_3_KEYED", "d_2_RANDOM")
+        if "KEYED" in r.route:
+            keyed.setdefault(r.stream, set()).add(r.route)
+    assert all(len(v) == 1 for v in keyed.values())
+    windows = spark.createDataFrame([("d", "a", [1.0, 2.0, 4.0, 3.0]), ("e", "b", [4.0, 1.0, 2.0, 2.0])], "dataset string, stream string, x array<double>")
+    assert grid_elements(windows, asked, "x", 4, 3).count() == 0
+    assert {r.dataset for r in grid_elements(windows, asked, "x", 4, 3, automatic=True).collect()} == {f"{d}_{g}" for d in "de" for g in range(3)}

@@ -12,6 +12,7 @@ from tidemark.functions.hashing import hashed_sql, number, text_number_sql
 from tidemark.operators.frequency import CountMin
 from tidemark.operators.merging import merged
 from tidemark.plans.engine import Engine
+from tidemark.plans.routing import routed_elements, routed_requests
 from tidemark.plans.spec import REQUEST
 from tidemark.sources.connectors import datapoints, lines, multiplied, parsed
 from tidemark.storage import shared_folder
@@ -188,6 +189,38 @@ def ingestion_multiplier(spark, d):
     return multiplied(table(spark, d, "events"), 10).groupBy("event_type").agg(F.count("*").alias("elements"))
 
 
+def route_requests(spark):
+    at = lambda k, r: {**r, "at": k}
+    rows = [
+        at(1, request(1, 1, 1, KINDS, 4)), at(2, request(4, 2, 2, KINDS, 3)), at(3, request(1, 3, 7, KINDS, 4)), at(4, request(1, 4, 9, KINDS, 2)), at(5, request(2, 4)), at(6, request(5, 5, 1, KINDS, 5)),
+        at(7, request(3, 1, 1, KINDS, 4)), {**at(8, request(6, 9, 1, ["2", "1", "2"], 2)), "dataSetkey": "events, orders"}, at(9, request(8, 9)), at(10, request(1, 6, 100, ["a", "b", "3"], 1)), at(11, request(3, 7)),
+    ]
+    return spark.createDataFrame(rows, T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())]))
+
+
+def data_router(spark, d):
+    """Events dealt to the partitions of every parallelism that live requests ask for, counted."""
+    elements = table(spark, d, "events").select(F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("stream"), F.col("event_id").cast("string").alias("event"))
+    return routed_elements(elements, route_requests(spark)).groupBy("route").agg(F.count("*").alias("elements"), F.count_distinct("stream").alias("streams"))
+
+
+DATA_ROUTER = f"""WITH e AS (SELECT user_id::VARCHAR AS stream, 'events|' || event_id || '|' || user_id AS content FROM events), g AS (SELECT * FROM (VALUES (4, 'KEYED'), (3, 'RANDOM'), (5, 'KEYED')) g(n, how))
+SELECT 'events_' || n || '_' || how || '_' || ((CASE how WHEN 'KEYED' THEN {text_number_sql('stream')} ELSE {text_number_sql('content')} END) % n) AS route, count(*) AS elements, count(DISTINCT stream) AS streams FROM e, g GROUP BY 1"""
+
+
+def request_router(spark, d):
+    """Where these requests go, with the events that wait for each at its route."""
+    there = data_router(spark, d).select("route", "elements")
+    sent = routed_requests(route_requests(spark), groups=3).select("requestID", "uid", "synopsisID", "route")
+    return sent.join(there, "route", "left").withColumn("elements", F.coalesce("elements", F.lit(0)))
+
+
+REQUEST_ROUTER = f"""WITH there AS ({DATA_ROUTER}), r(id, uid, syn, n, how) AS (VALUES (1, 1, 1, 4, 'KEYED'), (4, 2, 2, 3, 'RANDOM'), (1, 3, 7, 4, 'KEYED'), (1, 4, 9, 2, 'KEYED'), (5, 5, 1, 5, 'KEYED'), (3, 1, 1, 4, 'KEYED')),
+s AS (SELECT id, uid, syn, 'events_' || n || '_' || how || '_' || unnest(range(n)) AS route FROM r UNION ALL SELECT 6, 1, 1, 'events_2_KEYED_' || unnest(range(2)) UNION ALL SELECT 6, 2, 1, 'orders_2_KEYED_' || unnest(range(2))
+UNION ALL SELECT 2, 4, 1, 'events' UNION ALL SELECT 3, 7, 1, 'events' UNION ALL SELECT 1, 6, 100, 'events_' || unnest(range(3)))
+SELECT id AS "requestID", uid, syn AS "synopsisID", route, coalesce(elements, 0) AS elements FROM s LEFT JOIN there USING (route)"""
+
+
 def datapoint_payload(spark, d):
     """Events written as JSON messages and read again as data points, summed by a payload field."""
     e = table(spark, d, "events")
@@ -213,6 +246,6 @@ SELECT event_type, sum(n)::BIGINT AS total, greatest(max(n), 0) AS most, (sum(n)
 
 QUERIES = {
     "merged_partials": (merged_partials, MERGED),
-    "request_lifecycle": (request_lifecycle, LIFECYCLE), "request_kinds": (request_kinds, KINDS_SQL), "continuous_request": (continuous_request, CONTINUOUS), "update_request": (update_request, UPDATE), "control_stream": (control_stream, CONTROL), "served_requests": (served_requests, SERVED), "random_partitioning": (random_partitioning, RANDOM), "keyed_routing": (keyed_routing, ROUTING),
+    "request_lifecycle": (request_lifecycle, LIFECYCLE), "request_kinds": (request_kinds, KINDS_SQL), "continuous_request": (continuous_request, CONTINUOUS), "update_request": (update_request, UPDATE), "control_stream": (control_stream, CONTROL), "served_requests": (served_requests, SERVED), "random_partitioning": (random_partitioning, RANDOM), "keyed_routing": (keyed_routing, ROUTING), "data_router": (data_router, DATA_ROUTER), "request_router": (request_router, REQUEST_ROUTER),
     "ingestion_multiplier": (ingestion_multiplier, "SELECT event_type, count(*) * 10 AS elements FROM events GROUP BY event_type"), "datapoint_payload": (datapoint_payload, PAYLOAD),
 }

@@ -9,6 +9,7 @@ from tidemark.functions.hashing import random_sign_sql
 from tidemark.operators import clustering, similarity
 from tidemark.operators import series as S
 from tidemark.operators.similarity import product_sql
+from tidemark.plans.routing import grid_elements
 
 from tidemark.storage import written
 from tidemark.streaming import digests as streamed
@@ -69,6 +70,14 @@ def radius_vote(spark, d):
 RADIUS_VOTE = f"WITH {RADIUS_SQL} SELECT a.vec_id AS a, b.vec_id AS b, count(*) AS votes FROM g a JOIN g b ON a.\"group\" = b.\"group\" AND a.cx = b.cx AND a.cy = b.cy AND a.vec_id < b.vec_id GROUP BY 1, 2 HAVING count(*) > 3"
 
 
+def grid_router(spark, d):
+    """Vectors as elements of the datasets of their grid's groups, counted by cell; half of them belong to a dataset without a radius sketch."""
+    dataset = F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd")
+    windows = vectors(spark, d).select(dataset.alias("dataset"), F.col("vec_id").cast("string").alias("stream"), "embedding")
+    requests = spark.createDataFrame([("even", 5, 100, 1, 0), ("odd", 5, 100, 2, 1), ("odd", 2, 100, 2, 2)], "dataSetkey string, requestID int, synopsisID int, uid int, at long")
+    return grid_elements(windows, requests, "embedding", DIMS, 6, 0.8, seed=32).groupBy("dataset", "cx", "cy").agg(F.count("*").alias("elements"))
+
+
 def radius_stream(spark, d):
     """The pairs of radius_vote, as they arise in a stream of vectors."""
     rows = as_stream(spark, d, "embeddings").filter("embedding IS NOT NULL").withColumn("w", F.lit(0))
@@ -194,6 +203,6 @@ def coreset_kmeans_cost(spark, d):
 COST = "SELECT sum(n // 4)::BIGINT AS points, true AS within FROM (SELECT count(*) AS n FROM events GROUP BY user_id)"
 
 QUERIES = {
-    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "lsh_links": (lsh_links, LSH_LINKS), "radius_links": (radius_links, RADIUS_LINKS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "radius_stream": (radius_stream, f"SELECT a, b FROM ({RADIUS_VOTE})"), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
+    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "lsh_links": (lsh_links, LSH_LINKS), "radius_links": (radius_links, RADIUS_LINKS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "grid_router": (grid_router, f"WITH {RADIUS_SQL} SELECT 'even_' || \"group\" AS dataset, cx, cy, count(*) AS elements FROM g WHERE vec_id % 2 = 0 GROUP BY ALL"), "radius_stream": (radius_stream, f"SELECT a, b FROM ({RADIUS_VOTE})"), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
     "wlsh_windows": (wlsh_windows, WLSH), "wlsh_nearest": (wlsh_nearest, WLSH1), "wlsh_one": (wlsh_one, WLSH2), "wlsh_similar": (wlsh_similar, WLSH3), "coreset_kmeans_cost": (coreset_kmeans_cost, COST), "coreset_points": (coreset_points, CORESET), "coreset_kmeans": (coreset_kmeans, None),
 }
