@@ -31,7 +31,7 @@ def routed_elements(elements: DataFrame, requests: DataFrame) -> DataFrame:
     how = F.when(F.col("requestID") == 4, "RANDOM").otherwise("KEYED")
     groups = live.select(F.col("dataSetkey").alias("dataset"), F.greatest(F.coalesce("noOfP", F.lit(1)), F.lit(1)).alias("_n"), how.alias("_how")).distinct()
     content = number(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(elements.columns)]), text=True)
-    partition = F.when(F.col("_how") == "KEYED", number(F.col("stream").cast("string"), text=True)).otherwise(content) % F.col("_n")
+    partition = F.when(F.col("_how") == "KEYED", number(F.coalesce(F.col("stream").cast("string"), F.lit("")), text=True)).otherwise(content) % F.col("_n")
     return elements.join(F.broadcast(groups), "dataset").withColumn("route", route(F.col("dataset"), F.col("_n"), F.col("_how"), partition)).drop("_n", "_how")
 
 
