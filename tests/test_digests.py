@@ -83,3 +83,16 @@ def test_radius_votes_as_they_arise(spark, tmp_path):
     make = lambda s: digests.radius_as_it_arises(s, "k", "w", "x", 16, 8, 0.8, 60, keep=10)
     got = run(spark, str(tmp_path), make, [rows[:7], rows[7:20], rows[20:]], schema).collect()
     assert len(got) == len(want) > 5 and {tuple(r) for r in got} == want
+
+
+def test_lsh_pairs_as_they_arise(spark, tmp_path):
+    base = [[R.gauss(0, 1) for _ in range(16)] for _ in range(4)]
+    rows = [(f"s:{k}", w, [x + R.gauss(0, 0.2) for x in base[(k + w) % 4]]) for w in range(2) for k in range(12)] + [("none", 0, None), ("short", 0, [1.0])]
+    schema = "k string, w long, x array<double>"
+    want = set()
+    for w in range(2):
+        own = spark.createDataFrame([r for r in rows if r[1] == w], schema).withColumn("id", F.expr("try_cast(substr(k, 3) AS long)")).filter("id IS NOT NULL")
+        want |= {(*sorted([f"s:{r.a}", f"s:{r.b}"]), w) for r in similarity.lsh_pairs(own, "id", "x", 16, 0.8, 0.95, 6).collect()}
+    make = lambda s: digests.lsh_as_it_arises(s, "k", "w", "x", 16, 0.8, keep=10, recall=0.95, width=6)
+    got = run(spark, str(tmp_path), make, [rows[:5], rows[5:16], rows[16:]], schema).collect()
+    assert len(got) == len(want) > 5 and {tuple(r) for r in got} == want

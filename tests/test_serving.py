@@ -58,7 +58,7 @@ KINDS = {
     1: ("count_min", 1, ["who", "null", "Queryable", "0.01", "0.9", "3"], ["u1", "u7", "none"]), 2: ("bloom", 2, ["who", "null", "Queryable", "500", "0.01"], ["u1", "none"]), 3: ("ams", 3, ["who", "null", "Queryable", "5", "64"], ["u1", "u2"]),
     7: ("hyperloglog", 7, ["who", "null", "Queryable"], []), 9: ("lossy", 9, ["who", "null", "Queryable", "0.005"], ["u0", "u1"]), 8: ("sticky", 8, ["who", "null", "Queryable", "0.05", "0.01", "0.01"], ["u0"]), 10: ("chain_sample", 10, ["k", "v", "Queryable", "12", "300"], []),
     11: ("quantiles", 11, ["k", "v", "Queryable", "0.02"], ["0.1", "0.5", "0.9"]), 13: ("topk", 13, ["k", "v", "t", "3", "4"], ["3", "150"]), 15: ("wor_sample", 15, ["who", "v", "Queryable", "20"], []), 16: ("window_quantiles", 16, ["k", "v", "Queryable", "0.05", "60"], ["0.5"]),
-    26: ("finjoin", 26, ["k", "flag", "Queryable"], []), 27: ("counters", 27, ["k", "flag", "Queryable", "4"], []), 6: ("coreset", 6, ["k", "v", "Queryable", "2", "40"], ["3"]),
+    26: ("finjoin", 26, ["k", "flag", "Queryable"], []), 27: ("counters", 27, ["k", "flag", "Queryable", "4"], []), 5: ("lsh", 5, ["k", "v", "Queryable", "16", "12"], []), 6: ("coreset", 6, ["k", "v", "Queryable", "2", "40"], ["3"]),
 }
 
 
@@ -67,13 +67,13 @@ def served(spark, tmp_path_factory):
     """Every kind, with elements dealt at random where its keys allow it (request 4) and in three runs of the query, and faulty requests beside them."""
     s = Served(spark, str(tmp_path_factory.mktemp("served")))
     adds = [ask(4, uid, synopsis, *param, at=-1) for uid, (_, synopsis, param, _) in KINDS.items()] + [ask(1, 101, *[1, *KINDS[1][2]], at=-1)]
-    wrong = [ask(1, 50, 1, "who", "null", "Queryable", at=-1), ask(1, 51, 999, "who", at=-1), ask(1, 52, 1, "who", "null", "Queryable", "x", "y", "z", at=-1), ask(7, 53, at=-1), ask(3, 54, 1, "u1", at=-1), ask(5, 55, 9, "who", "null", "Queryable", "0.1", at=-1), ask(1, 56, 5, "k", "v", at=-1), (None, 1, 1, 57, "all", [], 4, 0)]
+    wrong = [ask(1, 50, 1, "who", "null", "Queryable", at=-1), ask(1, 51, 999, "who", at=-1), ask(1, 52, 1, "who", "null", "Queryable", "x", "y", "z", at=-1), ask(7, 53, at=-1), ask(3, 54, 1, "u1", at=-1), ask(5, 55, 9, "who", "null", "Queryable", "0.1", at=-1), ask(1, 56, 29, "k", "v", at=-1), (None, 1, 1, 57, "all", [], 4, 0)]
     s.run(ROWS[:700], adds + wrong)
     s.run(ROWS[700:1500] + [(None, "s", None, 3), ("d", None, None, 1400), ("other", "s", {"who": "u1"}, 1401)], [ask(3, 1, 1, *KINDS[1][3], at=899)])
     return s.run(ROWS[1500:], [ask(3, uid, synopsis, *asked) for uid, (_, synopsis, _, asked) in KINDS.items()] + [ask(3, 101, 1, "u1", "u7"), ask(6, 1, 1, "2", "1", "101"), ask(2, 101, at=10**9 + 1), ask(3, 101, 1, "u1", at=10**9 + 2)])
 
 
-@pytest.mark.parametrize("uid", [1, 2, 3, 7, 10, 13, 15, 26, 27])
+@pytest.mark.parametrize("uid", [1, 2, 3, 5, 7, 10, 13, 15, 26, 27])
 def test_answers_of_parts_are_those_of_the_whole(served, uid):
     kind, _, param, asked = KINDS[uid]
     assert served.answers()[uid, 10**9] == dict(whole(kind, *param).answer(asked))
@@ -86,6 +86,9 @@ def test_counts_are_those_of_the_batch_engine(spark, served):
     want = {r.key: r.estimation for r in engine.estimate(1, "u1", "u7", "none").collect()}
     got = served.answers()
     assert got[1, 10**9] == want and got[101, 10**9] == {k: want[k] for k in ("u1", "u7")}
+    engine.register_dataset("series", spark.createDataFrame([(r[2]["k"], float(r[2]["v"]), r[3]) for r in ROWS], "k string, v double, at long"), ["at"])
+    engine.handle({"dataSetkey": "series", "requestID": 1, "synopsisID": 5, "uid": 5, "streamID": "all", "param": KINDS[5][2], "noOfP": 1})
+    assert got[5, 10**9] == {r.key: r.estimation for r in engine.estimate(5).collect()}
     assert got[1, 899] == dict(whole("count_min", *KINDS[1][2], rows=[r for r in ROWS[700:1500] if r[3] < 899] + ROWS[:700]).answer(KINDS[1][3]))  # time decides within a batch
 
 

@@ -38,12 +38,12 @@ def bands_for(threshold: float, recall: float, width: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
 
 
-def lsh_codes(df: DataFrame, key: str, vector: str, dims: int, bands: int, width: int, seed: int) -> DataFrame:
+def lsh_codes(df: DataFrame, key: str, vector: str, dims: int, bands: int, width: int, seed: int, text_id: bool = False) -> DataFrame:
     """(id, codes, x): the scaled vector and, for each band, `width` signs of random projections as one number. Vectors that are null, or of
     another length, or have null or non-finite components, are left out."""
     matrix = np.array(random_signs(bands * width * dims, seed)).reshape(-1, dims)
     whole = df.filter((F.size(vector) == dims) & ~F.exists(vector, lambda v: v.isNull() | F.isnan(v.cast("double")) | (F.abs(v.cast("double")) == float("inf"))))
-    rows = scaled(whole, vector).select(F.col(key).cast("long").alias("id"), "z")
+    rows = scaled(whole, vector).select(F.col(key).cast("string" if text_id else "long").alias("id"), "z")
 
     def code(batches):
         weights = np.int64(1) << np.arange(width, dtype=np.int64)
@@ -54,7 +54,7 @@ def lsh_codes(df: DataFrame, key: str, vector: str, dims: int, bands: int, width
             codes = (bits * weights).sum(2)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * bands, pa.array(codes.ravel())), z], ["id", "codes", "x"])
 
-    return rows.mapInArrow(code, "id long, codes array<long>, x array<double>")
+    return rows.mapInArrow(code, f"id {'string' if text_id else 'long'}, codes array<long>, x array<double>")
 
 
 def lsh_pairs(df: DataFrame, key: str, vector: str, dims: int, threshold: float, recall: float = 0.9, width: int = 8, seed: int = 31) -> DataFrame:

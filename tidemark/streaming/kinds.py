@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 
+from tidemark.functions.arrays import projection
 from tidemark.functions.hashing import PRIME, text_number
 from tidemark.operators import clustering, frequency
 from tidemark.operators.summaries import RankSummary, WindowRanks, WindowSample, priority
@@ -273,6 +274,26 @@ class WindowQuantiles(PerKey):
         return [(f"{k}_{q}", str(v)) for k, w in self.of.items() for q in asked if (v := w.quantile(float(q))) is not None]
 
 
+class Lsh(PerKey):
+    """The last `window` values of each key; the answer is the Hamming weight of their signs under random projections."""
+
+    def add(self, block):
+        x = block.numbers(self.value)
+        for k, rows in self.groups(block):
+            own = x[rows]
+            self.of[k] = np.concatenate([self.of.get(k, np.zeros(0)), own[~np.isnan(own)]])[-self.params["window"] :]
+
+    def answer(self, asked):
+        if asked:
+            raise ValueError("pairs come out of lsh_as_it_arises")
+        n, out = self.params["window"], []
+        matrix = np.array(projection(self.params["bits"], n, 35))
+        for k, x in self.of.items():
+            if len(x) == n and x.min() < x.max():
+                out.append((k, str(int((matrix @ (x - x.mean()) > 0).sum()))))
+        return out
+
+
 class Sample(Live):
     """Of all elements, by the priorities of their keys."""
 
@@ -396,5 +417,5 @@ class LastCounts(Segments):
 #: By the names of plans.spec.SYNOPSIS_IDS.
 LIVE: dict[str, type[Live]] = {
     "count_min": CountMin, "bloom": Bloom, "ams": Ams, "coreset": Coreset, "hyperloglog": Distinct, "sticky": Sticky, "lossy": Lossy, "chain_sample": WindowedSample,
-    "quantiles": Quantiles, "topk": TopK, "wor_sample": Sample, "window_quantiles": WindowQuantiles, "finjoin": Segments, "counters": LastCounts,
+    "quantiles": Quantiles, "topk": TopK, "lsh": Lsh, "wor_sample": Sample, "window_quantiles": WindowQuantiles, "finjoin": Segments, "counters": LastCounts,
 }
