@@ -1,7 +1,7 @@
-"""Requests that arrive as a stream beside the data: one stateful operator over both.
+"""Requests that arrive as a stream beside the data, for keys that a single part answers for: the first stage of streaming/serving.py alone.
 
 Elements are routed to parts of their dataset by the hash of their key; requests to add or delete go to all parts, estimates to the part of the
-key that is asked for. A part's state holds the live Count-Min sketches and Bloom filters of its dataset, whose size their parameters fix.
+key that is asked for. A part's state maps the numbers of the live Count-Min sketches and Bloom filters of its dataset to them.
 Within a batch, rows are handled in the order of their time, requests before elements of the same time.
 """
 
@@ -9,87 +9,51 @@ from __future__ import annotations
 
 import pickle
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions.hashing import hash_of, number, text_number
-from tidemark.operators.frequency import Bloom, CountMin
+from tidemark.functions.hashing import number
 from tidemark.plans.spec import SynopsisSpec
 from tidemark.storage import shared_folder
+from tidemark.streaming.serving import ANSWERS, PARTIALS, Parts, use_rocksdb
 
-ESTIMATES = "uid int, requestID int, synopsisID int, key string, estimation string, at long"
 
+def answered(frames):
+    """Rows of the first stage -> the answers that they hold; what is refused or unknown has none."""
+    import pandas as pd
 
-class Counters:
-    """A Count-Min sketch or a Bloom filter of one part, element by element."""
-
-    def __init__(self, kind: int, params: list[str], continuous: bool):
-        self.number, self.continuous = kind, continuous
-        spec = CountMin(float(params[0]), float(params[1]), int(params[2]), text=True) if kind == 1 else Bloom(int(params[0]), float(params[1]), text=True)
-        self.hashes, self.width = spec.hashes, spec.width if kind == 1 else spec.bits
-        self.cells = np.zeros((len(self.hashes), self.width), np.int64) if kind == 1 else np.zeros((1, self.width), bool)
-
-    def places(self, key: str) -> tuple[np.ndarray, np.ndarray]:
-        x = text_number(key)
-        at = np.array([hash_of(x, ab, self.width) for ab in self.hashes])
-        return (np.arange(len(at)) if self.number == 1 else np.zeros(len(at), int)), at
-
-    def put(self, key: str, weight: int) -> None:
-        if self.number == 1:
-            self.cells[self.places(key)] += weight
-        else:
-            self.cells[self.places(key)] = True
-
-    def of(self, key: str) -> str:
-        found = self.cells[self.places(key)]
-        return str(int(found.min())) if self.number == 1 else str(bool(found.all())).lower()
-
-
-def _routed_requests(requests: DataFrame, part, parts: int, none) -> DataFrame:
-    asked = requests.select(F.col("dataSetkey").alias("dataset"), none("long").alias("weight"), F.col("at").cast("long").alias("at"), F.lit(0).alias("kind"), "requestID", "synopsisID", "uid", "param")
-    estimates = asked.filter("requestID = 3").withColumn("key", F.explode("param")).withColumn("part", part("key"))
-    others = asked.filter("requestID <> 3").withColumn("key", none("string")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return estimates.unionByName(others)
+    for frame in frames:
+        out = frame.loc[frame["key"].notna(), ["uid", "requestID", "synopsisID", "key", "estimation", "at"]].values.tolist()
+        for r in frame[frame["summary"].notna()].itertuples(index=False):
+            out += [[r.uid, r.requestID, r.synopsisID, k, v, r.at] for k, v in pickle.loads(r.summary).answer(list(r.param))]
+        yield pd.DataFrame(out, columns=["uid", "requestID", "synopsisID", "key", "estimation", "at"])
 
 
 def controlled(elements: DataFrame, requests: DataFrame | None, parts: int = 8, standing: tuple[int, list[str]] | None = None) -> DataFrame:
-    """(uid, requestID, synopsisID, key, estimation, at) of elements (dataset, key, weight, at) and requests (as REQUEST, and at): an answer for each
-    key of an estimate, in append mode, and for each element one of each continuous synopsis. An estimate of what is not live has no row.
-    standing: the uid and parameters of a continuous Count-Min sketch that is there from the start, so that requests may be None."""
+    """(uid, requestID, synopsisID, key, estimation, at) of elements (dataset, key, weight, at) and requests (as REQUEST, and at) for synopses 1 and 2: an
+    answer for each key of an estimate, in append mode, and for each element one of each continuous synopsis. An estimate of what is not live
+    has no row, a request of another kind is left out. standing: the uid and parameters of a continuous Count-Min sketch that is there from the start, so that
+    requests may be None."""
+    use_rocksdb(elements.sparkSession)
     part = lambda c: (number(F.col(c), text=True) % parts).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
-    data = elements.select("dataset", F.col("key").cast("string").alias("key"), F.col("weight").cast("long").alias("weight"), F.col("at").cast("long").alias("at"), F.lit(1).alias("kind"), none("int").alias("requestID"), none("int").alias("synopsisID"), none("int").alias("uid"), none("array<string>").alias("param"))
-    data = data.filter("key IS NOT NULL").withColumn("part", part("key"))
-    both = data
+    text = elements.select("dataset", F.col("key").cast("string").alias("key"), F.col("weight").cast("long").cast("string").alias("weight"), F.col("at").cast("long").alias("at")).filter("key IS NOT NULL").withColumn("part", part("key"))
+    both = text.select(
+        "dataset", F.lit("keyed").alias("route"), "part", "at", F.lit(1).alias("kind"), none("int").alias("requestID"), none("int").alias("synopsisID"), none("int").alias("uid"), none("array<string>").alias("param"), none("long").alias("ask"),
+        F.col("key").alias("stream"), F.create_map(F.lit("key"), "key", F.lit("weight"), "weight").alias("fields"),
+    )
     if requests is not None:
-        both = both.unionByName(_routed_requests(requests, part, parts, none))
-    first = {} if standing is None else {standing[0]: Counters(1, standing[1], True)}
-
-    def serve(key, frames, state: GroupState):
-        import pandas as pd
-
-        live: dict[int, Counters] = pickle.loads(state.get[0]) if state.exists else dict(first)
-        rows = pd.concat(list(frames)).sort_values(["at", "kind", "requestID"], kind="stable")
-        out = []
-        for r in rows.itertuples(index=False):
-            if r.kind == 1:
-                for uid, sketch in live.items():
-                    sketch.put(r.key, int(r.weight))
-                    if sketch.continuous:
-                        out.append((uid, 5, sketch.number, r.key, sketch.of(r.key), r.at))
-            elif r.requestID == 3:
-                if r.uid in live:
-                    out.append((int(r.uid), 3, live[r.uid].number, r.key, live[r.uid].of(r.key), r.at))
-            elif r.requestID == 2:
-                live.pop(r.uid, None)
-            elif r.requestID in (1, 4, 5) and r.synopsisID in (1, 2):
-                live[int(r.uid)] = Counters(int(r.synopsisID), list(r.param)[3:], r.requestID == 5)
-        state.update((pickle.dumps(live),))
-        yield pd.DataFrame(out, columns=["uid", "requestID", "synopsisID", "key", "estimation", "at"])
-
-    return both.groupBy("dataset", "part").applyInPandasWithState(serve, ESTIMATES, "sketches binary", "append", GroupStateTimeout.NoTimeout)
+        asked = requests.filter("synopsisID IN (1, 2)").select(F.col("dataSetkey").alias("dataset"), F.col("at").cast("long").alias("at"), "requestID", "synopsisID", "uid", "param")
+        estimates = asked.filter("requestID = 3").withColumn("key", F.explode("param")).withColumn("part", part("key")).withColumn("param", F.array("key")).drop("key")
+        own = F.concat(F.array(F.lit("key"), F.lit("weight")), F.slice("param", 3, 99))  # elements have these two fields, whatever they were called
+        adds = asked.filter("requestID <> 3").withColumn("param", F.when(F.col("requestID") == 2, F.col("param")).otherwise(own)).withColumn("requestID", F.when(F.col("requestID") == 4, 1).otherwise(F.col("requestID")))
+        both = both.unionByName(
+            estimates.unionByName(adds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
+            .withColumns({"route": F.lit("keyed"), "kind": F.lit(0), "ask": F.lit(0).cast("long"), "stream": none("string"), "fields": none("map<string,string>")})
+        )
+    there = [] if standing is None else [(standing[0], 1, ["key", "weight", "Queryable", *standing[1]])]
+    stage = both.groupBy("dataset", "route", "part").transformWithStateInPandas(Parts(parts, ("keyed",), there), PARTIALS, "append", "None")
+    return stage.mapInPandas(answered, ANSWERS)
 
 
 def start_continuous(stream: DataFrame, spec: SynopsisSpec):
