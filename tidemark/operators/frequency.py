@@ -189,13 +189,13 @@ def hll(df: DataFrame, keys: list[str], value: str, lg: int = 12) -> DataFrame:
     return df.groupBy(*keys).agg(F.hll_sketch_agg(value, lg).alias("sketch"))
 
 
-def counted_pieces(df: DataFrame, key: str, by: list[str], pieces: int | None) -> DataFrame:
-    """(piece, key, c): rows dealt to pieces by a hash of the columns `by`, and each piece's keys counted. A hot key's rows are in all pieces."""
-    piece = F.pmod(F.xxhash64(*by), F.lit(pieces or tasks(df.sparkSession))).cast("int")
+def counted_pieces(df: DataFrame, key: str, by: list[str] | Column, pieces: int | None) -> DataFrame:
+    """(piece, key, c): rows dealt to pieces by a hash of the columns `by` (or as a column says), and each piece's keys counted. A hot key's rows are in all pieces."""
+    piece = by if isinstance(by, Column) else F.pmod(F.xxhash64(*by), F.lit(pieces or tasks(df.sparkSession))).cast("int")
     return df.filter(F.col(key).isNotNull()).groupBy(piece.alias("piece"), F.col(key).alias("key")).agg(F.count("*").alias("c"))
 
 
-def lossy_sketch(df: DataFrame, key: str, by: list[str], eps: float, pieces: int | None = None) -> DataFrame:
+def lossy_sketch(df: DataFrame, key: str, by: list[str] | Column, eps: float, pieces: int | None = None) -> DataFrame:
     """(key, f, allowed, seen): a lossy count of each piece of the stream, added up.
 
     A piece of n rows keeps the keys that it has more than eps * n times, at most 1 / eps of them. The row with a null key says what a
@@ -219,11 +219,11 @@ def lossy_result(sketch: DataFrame) -> DataFrame:
     return sketch.filter("key IS NOT NULL").select("key", "f", (allowed - F.col("allowed")).alias("delta"), seen.alias("seen"))
 
 
-def lossy_counts(df: DataFrame, key: str, by: list[str], eps: float, pieces: int | None = None) -> DataFrame:
+def lossy_counts(df: DataFrame, key: str, by: list[str] | Column, eps: float, pieces: int | None = None) -> DataFrame:
     return lossy_result(lossy_sketch(df, key, by, eps, pieces))
 
 
-def sticky_counts(df: DataFrame, key: str, by: list[str], support: float, eps: float, failure: float, pieces: int | None = None, seed: int = 7) -> DataFrame:
+def sticky_counts(df: DataFrame, key: str, by: list[str] | Column, support: float, eps: float, failure: float, pieces: int | None = None, seed: int = 7) -> DataFrame:
     """(key, f, seen): sticky sampling in every piece of the stream, added up. f <= true count, and a key with at least support * seen
     elements has f >= (support - eps) * seen with probability 1 - failure.
 
@@ -235,7 +235,8 @@ def sticky_counts(df: DataFrame, key: str, by: list[str], support: float, eps: f
     counts = counted_pieces(df, key, by, pieces)
     sizes = counts.groupBy("piece").agg(F.sum("c").alias("n"))
     rate = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / (2 * t)))))
-    u = (F.pmod(F.xxhash64("piece", "key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+    coin = F.substring(F.md5(F.concat_ws("|", F.col("piece").cast("string"), F.col("key").cast("string"), F.lit(str(seed))).cast("binary")), 1, 12)
+    u = (F.conv(coin, 16, 10).cast("double") + 0.5) / float(1 << 48)  # one draw for each key of a piece
     missed = F.when(F.col("rate") > 1, F.floor(F.log(u) / F.log(1 - 1 / F.col("rate")))).otherwise(0)
     found = counts.join(sizes.withColumn("rate", rate), "piece").withColumn("left", F.col("c") - missed).filter("left > 0").groupBy("key").agg(F.sum("left").cast("long").alias("f"))
     return found.select("key", "f", sizes.agg(F.sum("n")).scalar().alias("seen"))

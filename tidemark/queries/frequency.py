@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from tidemark.functions.hashing import hashed_sql, text_number_sql
@@ -198,6 +200,28 @@ def sticky_frequent(spark, d):
 STICKY = "SELECT event_type AS key, count(*) AS exact, true AS within FROM events GROUP BY event_type HAVING count(*) >= (SELECT count(*) * 0.1 FROM events)"
 
 
+def lossy_pieces(spark, d):
+    """The lossy counts themselves, of eight pieces of the orders."""
+    return lossy_counts(table(spark, d, "lineitem"), "l_suppkey", (F.col("l_orderkey") % 8).cast("int"), eps=0.004)
+
+
+LOSSY_PIECES = """WITH c AS (SELECT l_orderkey % 8 AS piece, l_suppkey AS key, count(*) AS c FROM lineitem WHERE l_suppkey IS NOT NULL GROUP BY ALL),
+s AS (SELECT piece, sum(c) AS n, floor(sum(c) * 0.004)::BIGINT AS lost FROM c GROUP BY piece), w AS (SELECT sum(lost)::BIGINT AS allowed, sum(n)::BIGINT AS seen FROM s)
+SELECT key, sum(c)::BIGINT AS f, (max(allowed) - sum(lost))::BIGINT AS delta, max(seen) AS seen FROM c JOIN s USING (piece), w WHERE c > lost GROUP BY key"""
+
+
+def sticky_pieces(spark, d):
+    """The sticky counts themselves, of four pieces of the customers' orders, whose rates have doubled."""
+    return sticky_counts(table(spark, d, "orders"), "o_custkey", (F.col("o_orderkey") % 4).cast("int"), support=0.5, eps=0.2, failure=0.5)
+
+
+STICKY_SPAN = math.ceil(math.log(1 / (0.5 * 0.5)) / 0.2)
+STICKY_PIECES = f"""WITH c AS (SELECT o_orderkey % 4 AS piece, o_custkey AS key, count(*) AS c FROM orders WHERE o_custkey IS NOT NULL GROUP BY ALL),
+s AS (SELECT piece, sum(c)::BIGINT AS n, pow(2.0, greatest(0, ceil(log2(sum(c) / {2 * STICKY_SPAN}.0)))) AS rate FROM c GROUP BY piece),
+l AS (SELECT key, c - CASE WHEN rate > 1 THEN floor(ln((cast('0x' || substr(md5(piece || '|' || key || '|7'), 1, 12) AS BIGINT) + 0.5) / {float(1 << 48)!r}) / ln(1 - 1 / rate)) ELSE 0 END AS rest FROM c JOIN s USING (piece))
+SELECT key, sum(rest)::BIGINT AS f, (SELECT sum(n)::BIGINT FROM s) AS seen FROM l WHERE rest > 0 GROUP BY key"""
+
+
 def approx_topk(spark, d):
     """The three most frequent event types, merged from the daily summaries."""
     daily = table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.expr("approx_top_k_accumulate(event_type, 64)").alias("s"))
@@ -211,5 +235,5 @@ QUERIES = {
     "cm_point": (cm_point, CM_POINT), "cm_merge": (cm_merge, CM_MERGE), "cm_text": (cm_text, CM_TEXT), "cm_bound": (cm_bound, CM_BOUND), "cm_join_size": (cm_join_size, CM_JOIN),
     "cm_join_size_three": (cm_join_size_three, CM_JOIN3), "cm_continuous": (cm_continuous, CM_CONTINUOUS), "ams_point": (ams_point, AMS_POINT), "ams_f2": (ams_f2, AMS_F2), "ams_join": (ams_join, AMS_JOIN),
     "bloom_membership": (bloom_membership, BLOOM), "bloom_merge": (bloom_merge, BLOOM_MERGE), "fm_cardinality": (fm_cardinality, FM), "hll_cardinality": (hll_cardinality, HLL),
-    "lossy_frequent": (lossy_frequent, LOSSY), "sticky_frequent": (sticky_frequent, STICKY), "approx_topk": (approx_topk, TOPK),
+    "lossy_frequent": (lossy_frequent, LOSSY), "sticky_frequent": (sticky_frequent, STICKY), "lossy_pieces": (lossy_pieces, LOSSY_PIECES), "sticky_pieces": (sticky_pieces, STICKY_PIECES), "approx_topk": (approx_topk, TOPK),
 }
