@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.hashing import coefficients, hashed_sql
 from tidemark.operators import quantiles, sampling, topk
+from tidemark.plans.spec import REQUEST
+from tidemark.storage import shared_folder
+from tidemark.streaming.serving import served
 
-from ._tables import table
+from ._tables import as_stream, finished, table
 
 ORDER = ["ts", "event_id"]
 
@@ -104,6 +110,26 @@ def window_quantile(spark, d):
 WINDOW_Q = "WITH l AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 50) SELECT user_id, count(value) AS n, quantile_disc(value, 0.75) AS value FROM l GROUP BY user_id"
 
 
+def window_ranks_stream(spark, d):
+    """The third quartile of the last 200 values of each event type, asked of a stream that holds blocks of doubling length: whether it is within a twentieth
+    of the window's ranks."""
+    events_ = as_stream(spark, d, "events")
+    order = F.unix_timestamp(F.col("ts").cast("timestamp")) * 1_000_000_000 + F.pmod("event_id", F.lit(1_000_000_000))
+    fields = F.create_map(F.lit("type"), "event_type", F.lit("value"), F.col("value").cast("string"))
+    elements = events_.select(F.lit("events").alias("dataset"), F.col("event_type").alias("stream"), fields.alias("fields"), order.alias("at"))
+    folder = f"{shared_folder(spark)}/asked-{uuid.uuid4().hex}"
+    rows = [("events", 1, 16, 1, "all", ["type", "value", "Queryable", "0.05", "200"], 3, -1), ("events", 3, 16, 1, "all", ["0.75"], 3, 1 << 62)]
+    schema = T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())])
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
+    said = finished(served(elements, spark.readStream.schema(schema).parquet(folder), parts=3)).select(F.substring_index("key", "_", 1).alias("event_type"), F.col("estimation").cast("double").alias("said"))
+    last = sampling.last_rows(events(spark, d), "event_type", ORDER, 200).join(said, "event_type")
+    ranks = last.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") < F.col("said")).cast("int")).alias("below"), F.sum((F.col("value") <= F.col("said")).cast("int")).alias("upto"))
+    return ranks.select("event_type", "n", ((F.col("below") - 11 <= 0.75 * F.col("n")) & (0.75 * F.col("n") <= F.col("upto") + 11)).alias("within"))
+
+
+WINDOW_RANKS = "SELECT event_type, least(count(*), 200) AS n, true AS within FROM events GROUP BY event_type"
+
+
 def daily(spark, d):
     return events(spark, d).groupBy("user_id", F.dayofmonth("ts").alias("day")).agg(F.round(F.sum("value"), 2).alias("total"))
 
@@ -164,6 +190,6 @@ UNION ALL (SELECT user_id, total, -1 FROM l WHERE pruned_at IS NULL AND total IS
 
 QUERIES = {
     "chain_sample": (chain_sample, CHAIN), "wor_sample": (wor_sample, WOR), "coordinator_sample": (coordinator_sample, WOR), "bernoulli_sample": (bernoulli_sample, BERNOULLI),
-    "window_wor_sample": (window_wor_sample, WINDOW_WOR), "trajectory_sample": (trajectory_sample, TRAJECTORY), "gk_quantile": (gk_quantile, GK), "window_quantile": (window_quantile, WINDOW_Q),
+    "window_wor_sample": (window_wor_sample, WINDOW_WOR), "trajectory_sample": (trajectory_sample, TRAJECTORY), "gk_quantile": (gk_quantile, GK), "window_quantile": (window_quantile, WINDOW_Q), "window_ranks_stream": (window_ranks_stream, WINDOW_RANKS),
     "topk_series": (topk_series, TOPK), "topk_merged": (topk_merged, TOPK_MERGED), "topk_pruned": (topk_pruned, TOPK_PRUNED), "topk_together": (topk_together, TOGETHER),
 }
