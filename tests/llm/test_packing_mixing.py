@@ -103,6 +103,24 @@ def test_mixing(spark):
         assert abs(g.taken.sum() - want[name]) <= max(10, 0.01 * want[name])
 
 
+def test_rates_are_those_of_an_independent_solution(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, " ".join(["w"] * int(n)), s) for k, (n, s) in enumerate(zip(rng.lognormal(2.5, 0.8, 900).astype(int) + 1, rng.choice(["a", "b", "c", "d"], 900, p=[0.6, 0.2, 0.15, 0.05])))]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for source, g in got.groupby("source"):
+        size, target = g["size"].to_numpy(float), g.target.iloc[0]
+        low, high = -100.0, 100.0
+        for _ in range(200):  # bisection: the words grow with the tilt
+            tilt = (low + high) / 2
+            words = (np.minimum(3, np.exp(np.minimum(tilt * size / size.mean(), 50))) * size).sum()
+            low, high = (tilt, high) if words < target else (low, tilt)
+        want = np.minimum(3, np.exp(np.minimum(low * size / size.mean(), 50)))
+        if target < 3 * size.sum() * (1 - 1e-9):
+            assert np.abs(g.rate - want).max() < 1e-3
+        assert (np.abs(g.copies - g.rate) >= 1 + 1e-6).sum() <= 4  # rounded up or down, but for a few repairs
+        assert abs(g.taken.sum() - target) <= size.min() + 2  # repairs bring a source to within its shortest document
+
+
 def test_mixing_of_awkward_rows(spark):
     df = awkward(spark)
     got = mixing.mix_sources(df).toPandas()

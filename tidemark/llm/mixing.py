@@ -115,17 +115,21 @@ def mix_sources(
         .withColumn("copies", F.col("base") + F.floor(F.col("run") / UNIT).cast("long") - F.floor((F.col("run") - F.col("part")) / UNIT).cast("long"))
         .drop("piece", "start", "run", "base", "part")
     )
-    for _ in range(repairs):
-        short = rounded.groupBy("skey").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).filter("abs(short) >= 1")
+    moves, now = None, rounded
+    for _ in range(repairs):  # moves are a few rows a source: a table of their own, joined to the rows, which are not written again
+        short = cut(now.groupBy("skey").agg((F.max("target") - F.sum(F.col("copies") * F.col("size"))).alias("short")).filter("abs(short) >= 1"))
+        if not short.limit(1).count():
+            break
         movable = F.when(F.col("short") > 0, F.col("copies") < cap).otherwise(F.col("copies") > 0) & (F.col("size") < 2 * F.abs("short")) & (F.col("size") > 0)
         moved = (
-            rounded.join(cut(short), "skey").filter(movable).repartition("doc_id")  # so that a hot source's rows are spread before they are aggregated
+            now.join(short, "skey").filter(movable).repartition("doc_id")  # so that a hot source's rows are spread before they are aggregated
             .groupBy("skey").agg(F.min_by(F.struct("doc_id", "short"), F.struct(F.abs(F.abs("short") - F.col("size")), "doc_id")).alias("m"))
             .select(F.col("m.doc_id").alias("doc_id"), "skey", F.signum("m.short").cast("long").alias("move"))
         )
-        before, rounded = rounded, cut(
-            rounded.join(moved, ["doc_id", "skey"], "left")
-            .withColumn("copies", F.least(F.lit(cap), F.greatest(F.lit(0), F.col("copies") + F.coalesce("move", F.lit(0))))).drop("move")
-        )
-        forget(before)
-    return rounded.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
+        before, moves = moves, cut(moved if moves is None else moves.unionByName(moved).groupBy("doc_id", "skey").agg(F.sum("move").alias("move")))
+        if before is not None:
+            forget(before)
+        now = rounded.join(moves, ["doc_id", "skey"], "left").withColumn("copies", F.least(F.lit(cap), F.greatest(F.lit(0), F.col("copies") + F.coalesce("move", F.lit(0))))).drop("move")
+        if not moves.limit(1).count():
+            break
+    return now.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")
