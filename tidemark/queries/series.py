@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import projection, spearman
 from tidemark.operators import series as S
 from tidemark.operators import similarity
+from tidemark.storage import written
 from tidemark.streaming import digests as streamed
 
 from ._tables import as_stream, finished, table
@@ -68,9 +69,9 @@ round({' + '.join(f'sqrt(re{m} * re{m} + im{m} * im{m})' for m in range(1, COEFS
 
 def dft_corr_pairs(spark, d):
     """Pairs of users whose digests of the same window allow a correlation of the threshold."""
-    on = S.on_grid(digests(spark, d), THRESHOLD)
-    pairs = S.correlated(S.prefixed(on, "a"), S.prefixed(on, "b"), "user_id", ["w"], None, THRESHOLD, COEFS)
-    return pairs.select(F.least("a_user_id", "b_user_id").alias("u"), F.greatest("a_user_id", "b_user_id").alias("v"), F.col("a_w").alias("w"), "bound")
+    vectors = digests(spark, d).withColumn("x", F.array(*NAMES))
+    pairs = S.grid_pairs(vectors, "user_id", "x", THRESHOLD, S.closeness, equal=("w",), name="bound")
+    return pairs.select(F.col("a_user_id").alias("u"), F.col("b_user_id").alias("v"), F.col("a_w").alias("w"), "bound")
 
 
 GAP = " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in NAMES)
@@ -99,8 +100,8 @@ def past(spark, d, users="true"):
     return windows.withColumn("minute", F.expr("unix_timestamp(cast(at AS timestamp)) div 60"))
 
 
-def half(windows, p, values=False):
-    return S.prefixed(windows.drop("at", "mean", "sigma", *([] if values else ["vals"])), p)
+def half(windows, p):
+    return S.prefixed(windows.drop("at", "mean", "sigma", "vals"), p)
 
 
 PAST_SQL = f"""{RN}, {SLIDING},
@@ -120,11 +121,6 @@ def probe(a, windows, minutes):
     return S.verified(pairs, PAST, LENGTH)
 
 
-def among(windows, equal=(), band=None, values=False):
-    pairs = S.correlated(half(windows, "a", values), half(windows, "b", values), "user_id", list(equal), F.expr("a_user_id <> b_user_id"), PAST, COEFS, band=band)
-    return S.verified(pairs, PAST, LENGTH)
-
-
 def past_dft_near_given(spark, d):
     """For each window of given users, the three most correlated windows of others within half a day."""
     windows = past(spark, d)
@@ -137,27 +133,22 @@ PAST1 = f"""WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON {NEAR} AND abs
 QUALIFY row_number() OVER (PARTITION BY a.user_id, a.w ORDER BY {CORR} DESC, b.user_id, b.w) <= 3"""
 
 
-def ordered(pairs):
-    flip = F.struct("a_user_id", "a_w") > F.struct("b_user_id", "b_w")
-    return pairs.select(*[F.when(flip, F.col(f"{y}_{c}")).otherwise(F.col(f"{x}_{c}")).alias(f"{x}_{c}") for x, y in ("ab", "ba") for c in ("user_id", "w")], "corr")
-
-
 def past_dft_among_given(spark, d):
-    return ordered(among(past(spark, d, "user_id <= 20"), band=("minute", MINUTES)))
+    return S.grid_pairs(past(spark, d, "user_id <= 20"), "user_id", "z", PAST, band=("minute", MINUTES))
 
 
 PAST2 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.user_id < b.user_id AND {NEAR} AND abs(a.minute - b.minute) <= {MINUTES} WHERE a.user_id <= 20 AND b.user_id <= 20"
 
 
 def past_dft_any_time(spark, d):
-    return S.correlated_windows(past(spark, d), "user_id", PAST)
+    return S.grid_pairs(past(spark, d), "user_id", "z", PAST)
 
 
 PAST3 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.user_id < b.user_id AND {NEAR}"
 
 
 def past_dft_same_window(spark, d):
-    return S.correlated_windows(past(spark, d), "user_id", PAST, ("w",))
+    return S.grid_pairs(past(spark, d), "user_id", "z", PAST, equal=("w",))
 
 
 PAST4 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.w = b.w AND a.user_id < b.user_id AND {NEAR}"
@@ -165,8 +156,11 @@ PAST4 = f"WITH {PAST_SQL} SELECT {OUT_SQL} FROM n a JOIN n b ON a.w = b.w AND a.
 
 def past_spearman(spark, d):
     """Rank correlations of the pairs of windows with the same number."""
-    strong = among(past(spark, d), ["w"], values=True).withColumn("corr", spearman(F.col("a_vals"), F.col("b_vals")) + 0.0)
-    return ordered(strong)
+    windows = written(past(spark, d))
+    pairs = S.grid_pairs(windows, "user_id", "z", PAST, equal=("w",))
+    for p in "ab":
+        pairs = pairs.join(S.prefixed(windows.select("user_id", "w", "vals"), p), [f"{p}_user_id", f"{p}_w"])
+    return pairs.select("a_user_id", "a_w", "b_user_id", "b_w", (spearman(F.col("a_vals"), F.col("b_vals")) + 0.0).alias("corr"))
 
 
 PAST_RANK = f"""WITH {PAST_SQL}, v AS (SELECT user_id, w, unnest(vals) AS v, unnest(range(len(vals))) AS i FROM r),
