@@ -29,20 +29,21 @@ def equal_places(x: np.ndarray) -> np.ndarray:
 
 
 def grouped(rows: DataFrame, block: int) -> DataFrame:
-    """(band, h, bi, bj, id, part, codes, x) of rows (id, codes, x)."""
+    """(band, h, bi, bj, id, part, codes, x) of rows (id, codes, x): of the codes those of earlier bands, which a group has to look at."""
     spread = rows.select("id", F.posexplode("codes").alias("band", "h"))
     full = written(spread.groupBy("band", "h").agg(F.count("*").alias("m")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
     blocks = F.ceil(F.col("m") / block).cast("int")
     dealt = spread.join(full, ["band", "h"]).select("band", "h", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "band"), blocks).cast("int").alias("part"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.select("band", "h", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "id", "part").join(rows, "id")
+    return met.select("band", "h", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "id", "part").join(rows, "id").withColumn("codes", F.slice("codes", 1, F.col("band")))
 
 
 def _groups(batches, least: float, score: Callable[[np.ndarray], np.ndarray]):
     """For each group: ids, and the matrix of scores with those below `least`, of one block or of an earlier band at minus infinity."""
     for t in runs(batches, KEYS):
         ids, part, band, bi, bj = (t.column(k).to_numpy() for k in ("id", "part", "band", "bi", "bj"))
-        codes, x = (np.stack(t.column(k).to_numpy()) for k in ("codes", "x"))
+        x, own = np.stack(t.column("x").to_numpy()), t.column("codes").combine_chunks()
+        codes, start = own.flatten().to_numpy(), own.offsets.to_numpy() - own.offsets[0].as_py() if len(own) else np.zeros(1, int)
         at = edges(t, KEYS)
         for a, b in zip(at[:-1], at[1:]):
             if b - a < 2:
@@ -52,8 +53,9 @@ def _groups(batches, least: float, score: Callable[[np.ndarray], np.ndarray]):
             np.fill_diagonal(off, True)
             if bi[a] != bj[a]:
                 off |= part[a:b, None] == part[None, a:b]
+            before = codes[start[a] : start[b]].reshape(b - a, -1)  # as many as the group's band
             for k in range(band[a]):
-                off |= codes[a:b, None, k] == codes[None, a:b, k]
+                off |= before[:, None, k] == before[None, :, k]
             if not off.all():
                 yield ids[a:b], np.where(off, -np.inf, s)
 
