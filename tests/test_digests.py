@@ -10,7 +10,9 @@ from tidemark.streaming import digests
 
 SIZE, WINDOWS, COEFS, THRESHOLD = 4, 3, 2, 0.6
 R = random.Random(6)
-ROWS = [(f"s{k}", t, None if R.random() < 0.02 else R.gauss(0, 1) * (k % 3) + (t % 8) * (-1) ** (k // 5)) for t in range(50) for k in range(10)] + [("flat", t, 1.0) for t in range(20)] + [("short", 0, 1.0), (None, 0, 1.0)]
+ROWS = [(
+    f"s{k}", t, None if R.random() < 0.02 else R.gauss(0, 1) * (k % 3) + (t % 8) * (-1) ** (k // 5)
+) for t in range(50) for k in range(10)] + [("flat", t, 1.0) for t in range(20)] + [("short", 0, 1.0), (None, 0, 1.0)]
 SCHEMA = "k string, t long, v double"
 
 

@@ -21,7 +21,9 @@ def ask(number, uid, synopsis=1, *param, data="d", parts=1):
 @pytest.fixture(scope="module")
 def engine(spark):
     random.seed(3)
-    rows = [(f"s{k % 6}", t * 6 + k % 6, float(t % 8 * (1 if k % 2 else -1) + random.random() * (k % 3)), random.choice(["a1", "b1", "c2", "x"])) for t in range(40) for k in range(6)]
+    rows = [(
+        f"s{k % 6}", t * 6 + k % 6, float(t % 8 * (1 if k % 2 else -1) + random.random() * (k % 3)), random.choice(["a1", "b1", "c2", "x"])
+    ) for t in range(40) for k in range(6)]
     e = Engine(spark)
     e.register_dataset("d", spark.createDataFrame(rows, "k string, t long, v double, flag string"), ["t"])
     return e
@@ -100,7 +102,10 @@ def test_update_is_passed_on_and_messages_have_their_forms(spark, engine):
     engine.add(SynopsisSpec(41, "count_min", "d", "k"))
     again = engine.handle(ask(7, 41)).first()
     assert said(engine, 41, "s0") == {"s0": "80"} and json.loads(again.estimation)["requestID"] == 7
-    rows = spark.createDataFrame([(1, 7, 1, "d", '{"uid": 1}'), (2, 3, 29, "a|b", "0.9"), (3, 3, 1, "x", None), (4, 3, 1, "y", "5")], "uid int, requestID int, synopsisID int, key string, estimation string")
+    rows = spark.createDataFrame(
+        [(1, 7, 1, "d", '{"uid": 1}'), (2, 3, 29, "a|b", "0.9"), (3, 3, 1, "x", None), (4, 3, 1, "y", "5")],
+        "uid int, requestID int, synopsisID int, key string, estimation string"
+    )
     got = {r.key: r.value for r in connectors.estimation_messages(rows).collect()}
     assert got["1"] == '{"uid": 1}' and got["2"] == "2,a|b,0.9" and json.loads(got["3"])["estimation"] == "NULL_ESTIMATION" and json.loads(got["4"])["estimation"] == "5"
     old = connectors.csv_estimations(spark.createDataFrame([("k, e, s, 5, 3, 1, 12, a;b, 2",)], "value string"))
@@ -125,7 +130,13 @@ def test_requests_and_elements_as_streams(spark, tmp_path):
     """Three runs of one query: what is added in the first goes on in the second, and is gone after the third deletes it."""
     schema = T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())])
     data, req = str(tmp_path / "data"), str(tmp_path / "req")
-    steps = [([("a", 1), ("a", 2), ("b", 3)], [(ask(1, 5, 1, "k", "null", "Queryable", "0.05", "0.9", "1"), 0), (ask(5, 6, 1, "k", "null", "Queryable", "0.05", "0.9", "1"), 2), (ask(1, 7, 2, "k", "null", "Queryable", "50", "0.01"), 0), (ask(3, 5, 1, "a", "b"), 9)]),
+    steps = [(
+        [("a", 1), ("a", 2), ("b", 3)],
+        [
+            (ask(1, 5, 1, "k", "null", "Queryable", "0.05", "0.9", "1"), 0), (ask(5, 6, 1, "k", "null", "Queryable", "0.05", "0.9", "1"), 2),
+            (ask(1, 7, 2, "k", "null", "Queryable", "50", "0.01"), 0), (ask(3, 5, 1, "a", "b"), 9)
+        ]
+    ),
              ([("a", 11)], [(ask(3, 5, 1, "a"), 19), (ask(3, 7, 2, "b", "z"), 19)]), ([("a", 21)], [(ask(2, 5), 20), (ask(3, 5, 1, "a"), 29)])]
     seen = 0
     for elements, asked in steps:
@@ -176,7 +187,13 @@ def test_sketch_is_not_built_again(spark, tmp_path):
 def test_routers(spark):
     from tidemark.plans.routing import grid_elements, routed_elements
 
-    asked = spark.createDataFrame([(*ask(1, 1, 1, parts=3).values(), 1), (*ask(1, 2, 2, parts=3).values(), 2), (*ask(2, 1).values(), 3), (*ask(4, 3, 1, parts=2).values(), 4), (*ask(1, 4, 1, data="e").values(), 5), (*ask(2, 9).values(), 6)], T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())]))
+    asked = spark.createDataFrame(
+        [
+            (*ask(1, 1, 1, parts=3).values(), 1), (*ask(1, 2, 2, parts=3).values(), 2), (*ask(2, 1).values(), 3),
+            (*ask(4, 3, 1, parts=2).values(), 4), (*ask(1, 4, 1, data="e").values(), 5), (*ask(2, 9).values(), 6)
+        ],
+        T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())])
+    )
     rows = [("d", f"s{k % 5}", str(k)) for k in range(40)] + [("d", None, None), ("other", "s", "1")]
     got = routed_elements(spark.createDataFrame(rows, "dataset string, stream string, v string"), asked).collect()
     assert len(got) == 2 * 41  # uid 2 still asks for three partitions by key, uid 3 for two at random

@@ -123,7 +123,9 @@ def test_topk_lowest_merge_and_pruning(spark):
 def test_pruning_of_ties_and_many_series(spark):
     rng = random.Random(8)
     data = [(g, s, t, float(rng.randint(0, 6))) for g in range(3) for t in range(25) for s in range(12)]
-    got = {(r.group, r.series): (r.value, r.pruned_at) for r in topk.pruned(spark.createDataFrame(data, "g int, s int, t int, v double"), "g", "s", "t", "v", 3, 3).collect()}
+    got = {(r.group, r.series): (r.value, r.pruned_at) for r in topk.pruned(
+        spark.createDataFrame(data, "g int, s int, t int, v double"), "g", "s", "t", "v", 3, 3
+    ).collect()}
     for g in range(3):
         values, gaps, gone = {}, {}, {}
         for _, s, t, v in (r for r in data if r[0] == g):
@@ -314,7 +316,9 @@ def test_trajectory_stream_equals_batch(spark, tmp_path):
 
 def test_event_time_windows(spark, tmp_path):
     path = str(tmp_path / "in")
-    spark.createDataFrame([("2024-01-01 00:00:01", 1), ("2024-01-01 00:00:02", 2), ("2024-01-01 00:30:00", 3), ("2024-01-01 03:00:00", 4)], "ts string, v int").select(F.col("ts").cast("timestamp").alias("ts"), "v").coalesce(1).write.parquet(path)
+    spark.createDataFrame(
+        [("2024-01-01 00:00:01", 1), ("2024-01-01 00:00:02", 2), ("2024-01-01 00:30:00", 3), ("2024-01-01 03:00:00", 4)], "ts string, v int"
+    ).select(F.col("ts").cast("timestamp").alias("ts"), "v").coalesce(1).write.parquet(path)
     stream = spark.readStream.schema("ts timestamp, v int").parquet(path)
     q = continuous.distinct_by_window(stream, "ts", "10 minutes", "1 hour", "v").writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination()

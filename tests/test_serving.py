@@ -15,7 +15,11 @@ from tidemark.streaming import kinds, serving
 ASKED = T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())])
 DATA = "dataset string, stream string, fields map<string,string>, at long"
 R = random.Random(8)
-ROWS = [("d", f"s{k % 9}", {"k": f"s{k % 9}", "v": str(round(R.gauss(0, 10), 3)), "t": str(k // 9), "flag": R.choice(["a1", "b1", "c2", "x"]), "who": f"u{int(R.random() ** 3 * 400)}"}, k) for k in range(1800)]
+ROWS = [(
+    "d", f"s{k % 9}",
+    {"k": f"s{k % 9}", "v": str(round(R.gauss(0, 10), 3)), "t": str(k // 9), "flag": R.choice(["a1", "b1", "c2", "x"]), "who": f"u{int(R.random() ** 3 * 400)}"},
+    k
+) for k in range(1800)]
 
 
 def ask(number, uid, synopsis=1, *param, at=10**9, data="d"):
@@ -55,7 +59,9 @@ def whole(kind, *param, rows=ROWS):
 
 
 KINDS = {
-    1: ("count_min", 1, ["who", "null", "Queryable", "0.01", "0.9", "3"], ["u1", "u7", "none"]), 2: ("bloom", 2, ["who", "null", "Queryable", "500", "0.01"], ["u1", "none"]), 3: ("ams", 3, ["who", "null", "Queryable", "5", "64"], ["u1", "u2"]),
+    1: (
+        "count_min", 1, ["who", "null", "Queryable", "0.01", "0.9", "3"], ["u1", "u7", "none"]
+    ), 2: ("bloom", 2, ["who", "null", "Queryable", "500", "0.01"], ["u1", "none"]), 3: ("ams", 3, ["who", "null", "Queryable", "5", "64"], ["u1", "u2"]),
     7: ("hyperloglog", 7, ["who", "null", "Queryable"], []), 9: ("lossy", 9, ["who", "null", "Queryable", "0.005"], ["u0", "u1"]), 8: ("sticky", 8, ["who", "null", "Queryable", "0.05", "0.01", "0.01"], ["u0"]), 10: ("chain_sample", 10, ["k", "v", "Queryable", "12", "300"], []),
     11: ("quantiles", 11, ["k", "v", "Queryable", "0.02"], ["0.1", "0.5", "0.9"]), 13: ("topk", 13, ["k", "v", "t", "3", "4"], ["3", "150"]), 15: ("wor_sample", 15, ["who", "v", "Queryable", "20"], []), 16: ("window_quantiles", 16, ["k", "v", "Queryable", "0.05", "60"], ["0.5"]),
     26: ("finjoin", 26, ["k", "flag", "Queryable"], []), 27: ("counters", 27, ["k", "flag", "Queryable", "4"], []), 5: ("lsh", 5, ["k", "v", "Queryable", "16", "12"], []), 6: ("coreset", 6, ["k", "v", "Queryable", "2", "40"], ["3"]),
@@ -67,10 +73,19 @@ def served(spark, tmp_path_factory):
     """Every kind, with elements dealt at random where its keys allow it (request 4) and in three runs of the query, and faulty requests beside them."""
     s = Served(spark, str(tmp_path_factory.mktemp("served")))
     adds = [ask(4, uid, synopsis, *param, at=-1) for uid, (_, synopsis, param, _) in KINDS.items()] + [ask(1, 101, *[1, *KINDS[1][2]], at=-1)]
-    wrong = [ask(1, 50, 1, "who", "null", "Queryable", at=-1), ask(1, 51, 999, "who", at=-1), ask(1, 52, 1, "who", "null", "Queryable", "x", "y", "z", at=-1), ask(7, 53, at=-1), ask(3, 54, 1, "u1", at=-1), ask(5, 55, 9, "who", "null", "Queryable", "0.1", at=-1), ask(1, 56, 29, "k", "v", at=-1), (None, 1, 1, 57, "all", [], 4, 0)]
+    wrong = [
+        ask(1, 50, 1, "who", "null", "Queryable", at=-1), ask(1, 51, 999, "who", at=-1),
+        ask(1, 52, 1, "who", "null", "Queryable", "x", "y", "z", at=-1), ask(7, 53, at=-1), ask(3, 54, 1, "u1", at=-1),
+        ask(5, 55, 9, "who", "null", "Queryable", "0.1", at=-1), ask(1, 56, 29, "k", "v", at=-1), (None, 1, 1, 57, "all", [], 4, 0)
+    ]
     s.run(ROWS[:700], adds + wrong)
     s.run(ROWS[700:1500] + [(None, "s", None, 3), ("d", None, None, 1400), ("other", "s", {"who": "u1"}, 1401)], [ask(3, 1, 1, *KINDS[1][3], at=899)])
-    return s.run(ROWS[1500:], [ask(3, uid, synopsis, *asked) for uid, (_, synopsis, _, asked) in KINDS.items()] + [ask(3, 101, 1, "u1", "u7"), ask(6, 1, 1, "2", "1", "101"), ask(2, 101, at=10**9 + 1), ask(3, 101, 1, "u1", at=10**9 + 2)])
+    return s.run(
+        ROWS[1500:],
+        [ask(3, uid, synopsis, *asked) for uid, (_, synopsis, _, asked) in KINDS.items()] + [
+            ask(3, 101, 1, "u1", "u7"), ask(6, 1, 1, "2", "1", "101"), ask(2, 101, at=10**9 + 1), ask(3, 101, 1, "u1", at=10**9 + 2)
+        ]
+    )
 
 
 @pytest.mark.parametrize("uid", [1, 2, 3, 5, 7, 10, 13, 15, 26, 27])
@@ -128,7 +143,9 @@ def test_state_is_read_while_the_query_lives(spark, served):
 
 def test_continuous_counts_go_along_with_elements(spark, tmp_path):
     rows = ROWS[:300]
-    s = Served(spark, str(tmp_path), parts=2, routes=("keyed",)).run(rows, [ask(5, 1, 1, "k", "null", "Queryable", "0.01", "0.99", "1", at=50), ask(5, 2, 15, "who", "v", "Queryable", "5", at=-1)])
+    s = Served(spark, str(tmp_path), parts=2, routes=("keyed",)).run(
+        rows, [ask(5, 1, 1, "k", "null", "Queryable", "0.01", "0.99", "1", at=50), ask(5, 2, 15, "who", "v", "Queryable", "5", at=-1)]
+    )
     got = [(r.key, r.at, r.estimation) for r in s.spark.read.schema(serving.ANSWERS).parquet(f"{tmp_path}/answers").filter("uid = 1").collect()]
     seen, want = {}, []
     for r in rows:
@@ -141,7 +158,10 @@ def test_continuous_counts_go_along_with_elements(spark, tmp_path):
 
 
 def test_answers_do_not_depend_on_batches(spark, tmp_path):
-    requests = [ask(1, 1, 16, "k", "v", "Queryable", "0.1", "20", at=-1), ask(1, 2, 26, "k", "flag", "Queryable", at=-1), ask(1, 3, 10, "k", "v", "Queryable", "5", "100", at=-1)]
+    requests = [
+        ask(1, 1, 16, "k", "v", "Queryable", "0.1", "20", at=-1), ask(1, 2, 26, "k", "flag", "Queryable", at=-1),
+        ask(1, 3, 10, "k", "v", "Queryable", "5", "100", at=-1)
+    ]
     s = Served(spark, str(tmp_path), parts=3, routes=("keyed",)).run((), requests)
     for low in range(0, 400, 100):
         s.run(ROWS[low : low + 100])

@@ -35,7 +35,9 @@ def grouped(rows: DataFrame, block: int) -> DataFrame:
     blocks = F.ceil(F.col("m") / block).cast("int")
     dealt = spread.join(full, ["band", "h"]).select("band", "h", "id", blocks.alias("blocks"), F.pmod(F.xxhash64("id", "band"), blocks).cast("int").alias("part"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return met.select("band", "h", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "id", "part").join(rows, "id").withColumn("codes", F.slice("codes", 1, F.col("band")))
+    return met.select(
+        "band", "h", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "id", "part"
+    ).join(rows, "id").withColumn("codes", F.slice("codes", 1, F.col("band")))
 
 
 def _groups(batches, least: float, score: Callable[[np.ndarray], np.ndarray]):
@@ -83,4 +85,6 @@ def links(rows: DataFrame, least: float, score=correlation, block: int = 256) ->
             yield pa.RecordBatch.from_arrays([pa.array(v[some]) for v in (ids, n, best, top)], ["id", "n", "best", "top"])
 
     found = grouped(rows, block).repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(run, "id long, n long, best long, top double")
-    return found.groupBy("id").agg(F.sum("n").alias("n_links"), F.min(F.struct((-F.col("top")).alias("t"), "best")).alias("m")).select("id", "n_links", F.col("m.best").alias("best"), (-F.col("m.t")).alias("best_score"))
+    return found.groupBy("id").agg(
+        F.sum("n").alias("n_links"), F.min(F.struct((-F.col("top")).alias("t"), "best")).alias("m")
+    ).select("id", "n_links", F.col("m.best").alias("best"), (-F.col("m.t")).alias("best_score"))

@@ -146,7 +146,10 @@ def coreset(df: DataFrame, vector: str, order: str, size: int, parts: int | None
     then `fan_in` parts at a time are, up to one.
     """
     parts = parts or tasks(df.sparkSession)
-    rows = df.filter(F.col(vector).isNotNull()).select(F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("part"), F.lit(1.0).alias("weight"), F.transform(vector, lambda v: v.cast("double")).alias("coords"), F.col(order).alias("_o"))
+    rows = df.filter(F.col(vector).isNotNull()).select(
+        F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("part"), F.lit(1.0).alias("weight"),
+        F.transform(vector, lambda v: v.cast("double")).alias("coords"), F.col(order).alias("_o")
+    )
     level = rows.repartition("part").sortWithinPartitions("part", "_o").drop("_o").mapInPandas(_reducer(size, seed), SCHEMA)
     while parts > 1:
         parts = -(-parts // fan_in)
@@ -210,5 +213,7 @@ def joined_points(df: DataFrame, key: str, order: list[str], value: str, dims: i
     """(key, n, coords): points of `dims` consecutive values of a series, without overlap."""
     from tidemark.operators.series import numbered
 
-    got = numbered(df, key, order).groupBy(key, F.expr(f"rn div {dims}").alias("n")).agg(F.count("*").alias("_n"), F.sort_array(F.collect_list(F.struct("rn", F.col(value).alias("v")))).alias("x"))
+    got = numbered(df, key, order).groupBy(key, F.expr(f"rn div {dims}").alias("n")).agg(
+        F.count("*").alias("_n"), F.sort_array(F.collect_list(F.struct("rn", F.col(value).alias("v")))).alias("x")
+    )
     return got.filter(F.col("_n") == dims).select(key, "n", F.transform("x", lambda s: s["v"].cast("double")).alias("coords"))

@@ -173,7 +173,9 @@ class FlajoletMartin:
         """(slot, bitmap). A merge is bit_or by slot."""
         x = number(F.col(key), text=True)
         low = hashed(x, self.hashes[1]).bitwiseOR(F.lit(1 << 30).cast("long"))
-        rows = df.filter(F.col(key).isNotNull()).select(hashed(x, self.hashes[0], self.bitmaps).alias("slot"), F.pow(F.lit(2), trailing_zeros(low)).cast("long").alias("bit"))
+        rows = df.filter(F.col(key).isNotNull()).select(
+            hashed(x, self.hashes[0], self.bitmaps).alias("slot"), F.pow(F.lit(2), trailing_zeros(low)).cast("long").alias("bit")
+        )
         return rows.groupBy("slot").agg(F.bit_or("bit").alias("bitmap"))
 
     def merge(self, *sketches: DataFrame) -> DataFrame:
@@ -205,7 +207,10 @@ def lossy_sketch(df: DataFrame, key: str, by: list[str] | Column, eps: float, pi
     sizes = counts.groupBy("piece").agg(F.sum("c").alias("n")).withColumn("lost", F.floor(F.col("n") * eps))
     kept = counts.join(sizes, "piece").filter("c > lost").groupBy("key").agg(F.sum("c").alias("f"), F.sum("lost").alias("allowed"), F.lit(0).cast("long").alias("seen"))
     kind = counts.schema["key"].dataType.simpleString()
-    return kept.unionByName(sizes.agg(F.lit(None).cast(kind).alias("key"), F.lit(0).cast("long").alias("f"), F.coalesce(F.sum("lost"), F.lit(0)).alias("allowed"), F.coalesce(F.sum("n"), F.lit(0)).alias("seen")))
+    return kept.unionByName(sizes.agg(
+        F.lit(None).cast(kind).alias("key"), F.lit(0).cast("long").alias("f"), F.coalesce(F.sum("lost"), F.lit(0)).alias("allowed"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("seen")
+    ))
 
 
 def merge_lossy(*sketches: DataFrame) -> DataFrame:

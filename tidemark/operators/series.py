@@ -33,7 +33,10 @@ def sliding_dft(basic: DataFrame, key: str, size: int, windows: int, coefs: int)
     coefficients m * windows of the window scaled to mean 0 and length 1. Constant windows are left out."""
     over = Window.partitionBy(key).orderBy("bw").rowsBetween(1 - windows, 0)
     names = ["s", "ss", *[f"{c}{m}" for m in range(1, coefs + 1) for c in ("re", "im")]]
-    summed = basic.select(key, "bw", F.count("*").over(over).alias("n"), (F.col("bw") - F.min("bw").over(over)).alias("span"), *[F.sum(c).over(over).alias(c) for c in names])
+    summed = basic.select(
+        key, "bw", F.count("*").over(over).alias("n"), (F.col("bw") - F.min("bw").over(over)).alias("span"),
+        *[F.sum(c).over(over).alias(c) for c in names]
+    )
     length = size * windows
     full = summed.filter((F.col("n") == windows) & (F.col("span") == windows - 1)).withColumn("mean", F.col("s") / length)
     full = full.withColumn("var", F.col("ss") / length - F.col("mean") * F.col("mean")).filter("var > 1e-9").withColumn("sigma", F.sqrt("var"))
@@ -43,14 +46,22 @@ def sliding_dft(basic: DataFrame, key: str, size: int, windows: int, coefs: int)
 def raw_windows(df: DataFrame, key: str, value: str, time: str, size: int, windows: int, slide: int = 1) -> DataFrame:
     """(key, w, at, vals, z): the values of every sliding window of a numbered series whose number is a multiple of `slide`, its last time,
     and the values scaled to mean 0 and length 1 (null where they are all equal). Values are collected once, in basic windows, which a frame puts together."""
-    basic = df.groupBy(key, F.expr(f"rn div {size}").alias("bw")).agg(F.count("*").alias("n"), F.max(time).alias("at"), F.sort_array(F.collect_list(F.struct("rn", F.col(value).alias("v")))).alias("x")).filter(F.col("n") == size)
+    basic = df.groupBy(key, F.expr(f"rn div {size}").alias("bw")).agg(
+        F.count("*").alias("n"), F.max(time).alias("at"), F.sort_array(F.collect_list(F.struct("rn", F.col(value).alias("v")))).alias("x")
+    ).filter(F.col("n") == size)
     over = Window.partitionBy(key).orderBy("bw").rowsBetween(1 - windows, 0)
     whole = (F.count("*").over(over) == windows) & (F.col("bw") - F.min("bw").over(over) == windows - 1)
-    got = basic.select(key, F.col("bw").alias("w"), whole.alias("whole"), F.max("at").over(over).alias("at"), F.flatten(F.collect_list(F.transform("x", lambda s: s["v"])).over(over)).alias("vals"))
+    got = basic.select(
+        key, F.col("bw").alias("w"), whole.alias("whole"), F.max("at").over(over).alias("at"),
+        F.flatten(F.collect_list(F.transform("x", lambda s: s["v"])).over(over)).alias("vals")
+    )
     got = got.filter(F.col("whole") & (F.col("w") % slide == 0))
     length = size * windows
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-    got = got.withColumn("mean", total("vals") / length).withColumn("sd", F.when(F.array_min("vals") < F.array_max("vals"), F.sqrt(total(F.transform("vals", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / length)))
+    got = got.withColumn("mean", total("vals") / length).withColumn(
+        "sd",
+        F.when(F.array_min("vals") < F.array_max("vals"), F.sqrt(total(F.transform("vals", lambda v: (v - F.col("mean")) * (v - F.col("mean")))) / length))
+    )
     return got.select(key, "w", "at", "vals", F.transform("vals", lambda v: (v - F.col("mean")) / (F.col("sd") * math.sqrt(length))).alias("z"))
 
 
@@ -64,7 +75,10 @@ def on_grid(digests: DataFrame, threshold: float) -> DataFrame:
     return digests.withColumns({"cx": F.floor(F.col("re1") / side), "cy": F.floor(F.col("im1") / side)})
 
 
-def correlated(left: DataFrame, right: DataFrame, key: str, equal: list[str], condition: Column | None, threshold: float, coefs: int, both_ways: bool = False, band: tuple[str, float] | None = None) -> DataFrame:
+def correlated(
+    left: DataFrame, right: DataFrame, key: str, equal: list[str], condition: Column | None, threshold: float, coefs: int, both_ways: bool = False,
+    band: tuple[str, float] | None = None
+) -> DataFrame:
     """Pairs of digests (columns key, w, cx, cy, re1, ...) in the same or neighbouring cells with 1 - sum |difference|**2 >= threshold.
 
     left and right have the columns prefixed a_ and b_. With both_ways left probes every neighbour of its cell, as right has other rows; else
@@ -159,7 +173,12 @@ def resampled(df: DataFrame, key: str, time: str, channels: list[str]) -> DataFr
     w = Window.partitionBy(key).orderBy(time)
     nxt = df.select("*", F.lead(time).over(w).alias("_t1"), *[F.lead(c).over(w).alias(f"_n_{c}") for c in channels])
     spread = nxt.withColumn("_t", F.explode(F.sequence(F.col(time), F.coalesce(F.col("_t1") - 1, F.col(time)))))
-    return spread.select(key, F.col("_t").alias(time), *[F.when(F.col("_t1").isNull(), F.col(c)).otherwise(interpolated(F.col("_t"), F.col(time), F.col(c), F.coalesce("_t1", F.col(time)), F.coalesce(f"_n_{c}", F.col(c)))).cast("int").alias(c) for c in channels])
+    return spread.select(
+        key, F.col("_t").alias(time),
+        *[F.when(F.col("_t1").isNull(), F.col(c)).otherwise(interpolated(
+            F.col("_t"), F.col(time), F.col(c), F.coalesce("_t1", F.col(time)), F.coalesce(f"_n_{c}", F.col(c))
+        )).cast("int").alias(c) for c in channels]
+    )
 
 
 def returns(df: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:

@@ -28,7 +28,9 @@ def scaled(df: DataFrame, vector: str) -> DataFrame:
 def lsh(df: DataFrame, vector: str, dims: int, bits: int, seed: int) -> DataFrame:
     """Adds bits (signs of random projections of the centred vector) and hw, their number of ones. The angle of two vectors is about
     pi / `bits` times the number of different bits."""
-    return scaled(df, vector).withColumn("bits", F.transform(projected(F.col("z"), projection(bits, dims, seed)), lambda x: x > 0)).withColumn("hw", F.size(F.filter("bits", lambda b: b)))
+    return scaled(df, vector).withColumn(
+        "bits", F.transform(projected(F.col("z"), projection(bits, dims, seed)), lambda x: x > 0)
+    ).withColumn("hw", F.size(F.filter("bits", lambda b: b)))
 
 
 def bands_for(threshold: float, recall: float, width: int) -> int:
@@ -52,7 +54,10 @@ def lsh_codes(df: DataFrame, key: str, vector: str, dims: int, bands: int, width
             x = z.flatten().to_numpy(zero_copy_only=False).reshape(len(z), dims)
             bits = (x @ matrix.T > 0).reshape(len(z), bands, width)
             codes = (bits * weights).sum(2)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * bands, pa.array(codes.ravel())), z], ["id", "codes", "x"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.ListArray.from_arrays(np.arange(len(z) + 1, dtype=np.int32) * bands, pa.array(codes.ravel())), z],
+                ["id", "codes", "x"]
+            )
 
     return rows.mapInArrow(code, f"id {'string' if text_id else 'long'}, codes array<long>, x array<double>")
 
@@ -125,7 +130,9 @@ def _multiplied(rows: DataFrame, asked: DataFrame, threshold: float, block: int)
     """(probe, other, corr) of vectors (id, z) whose product reaches the threshold."""
     n, m = (max(1, -(-x.count() // block)) for x in (asked, rows))
     left = asked.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("p"), "id", "z").groupBy("p").agg(F.collect_list("id").alias("ids"), F.flatten(F.collect_list("z")).alias("zs"))
-    right = rows.select(F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("r"), "id", "z").groupBy("r").agg(F.collect_list("id").alias("others"), F.flatten(F.collect_list("z")).alias("os"))
+    right = rows.select(F.pmod(F.xxhash64("id"), F.lit(m)).cast("int").alias("r"), "id", "z").groupBy("r").agg(
+        F.collect_list("id").alias("others"), F.flatten(F.collect_list("z")).alias("os")
+    )
     met = right.withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(left, "p").select("ids", "zs", "others", "os")
 
     def multiply(batches):
@@ -142,12 +149,20 @@ def _multiplied(rows: DataFrame, asked: DataFrame, threshold: float, block: int)
 def simulation_windows(df: DataFrame, sim: str, time: str, channels: list[str], width: int, step: int, bits: int, seed: int) -> DataFrame:
     """(sim, start, vals, hw) of whole-number channels at every whole time: windows of `width` times from each multiple of `step`;
     channels are taken from their half maximum (a whole number), and hw counts the positive signs of random projections of the window."""
-    spread = df.withColumn("start", F.explode(F.expr(f"sequence(({time} div {step}) * {step}, (greatest({time} - {width} + 1, 0) + {step} - 1) div {step} * {step}, -{step})")))
+    spread = df.withColumn(
+        "start",
+        F.explode(F.expr(f"sequence(({time} div {step}) * {step}, (greatest({time} - {width} + 1, 0) + {step} - 1) div {step} * {step}, -{step})"))
+    )
     spread = spread.filter((F.col("start") <= F.col(time)) & (F.col(time) < F.col("start") + width))
-    got = spread.groupBy(sim, "start").agg(F.count("*").alias("n"), *[F.max(c).alias(f"_max_{c}") for c in channels], F.sort_array(F.collect_list(F.struct(time, *channels))).alias("x")).filter(F.col("n") == width)
+    got = spread.groupBy(sim, "start").agg(
+        F.count("*").alias("n"), *[F.max(c).alias(f"_max_{c}") for c in channels], F.sort_array(F.collect_list(F.struct(time, *channels))).alias("x")
+    ).filter(F.col("n") == width)
     vals = [F.transform(F.col(f"x.{c}"), lambda v: v.cast("double")) for c in channels]
     centred = F.concat(*[F.zip_with(v, F.array_repeat(F.expr(f"_max_{c} div 2"), F.size("x")), lambda a, m: a - m) for v, c in zip(vals, channels)])
-    return got.select(sim, "start", F.array(*vals).alias("vals"), F.size(F.filter(projected(centred, projection(bits, width * len(channels), seed)), lambda v: v > 0)).alias("hw"))
+    return got.select(
+        sim, "start", F.array(*vals).alias("vals"),
+        F.size(F.filter(projected(centred, projection(bits, width * len(channels), seed)), lambda v: v > 0)).alias("hw")
+    )
 
 
 def weighted_correlation(a: Column, b: Column, weights: list[float]) -> Column:
@@ -187,7 +202,13 @@ def similar_to(windows: DataFrame, asked: DataFrame, sim: str, threshold: float,
     A window's scaled channels, each times the root of its weight, are one vector, whose products with others are the weighted correlations; so
     the list asked for meets all windows in blocks, as any stated query set does. Windows have ids by simulation and start.
     """
-    z = windows.withColumn("z", F.flatten(F.transform(F.zip_with(F.transform("vals", standard), F.array(*[F.lit(w**0.5) for w in weights]), lambda c, w: F.struct(c.alias("c"), w.alias("w"))), lambda s: F.transform(s["c"], lambda v: v * s["w"]))))
+    z = windows.withColumn(
+        "z",
+        F.flatten(F.transform(
+            F.zip_with(F.transform("vals", standard), F.array(*[F.lit(w**0.5) for w in weights]), lambda c, w: F.struct(c.alias("c"), w.alias("w"))),
+            lambda s: F.transform(s["c"], lambda v: v * s["w"])
+        ))
+    )
     rows = written(z.select(sim, "start", "z").withColumn("id", F.xxhash64(sim, "start")))
     found = _multiplied(rows if before is None else rows.filter(F.col("start") < before), rows.join(asked, [sim, "start"], "left_semi"), threshold, block)
     for p, c in (("a", "probe"), ("b", "other")):

@@ -24,7 +24,9 @@ PARAMETERS = {
     "count_min": (("eps", float), ("confidence", float), ("seed", int)), "bloom": (("elements", int), ("fpp", float)), "ams": (("depth", int), ("width", int)),
     "hyperloglog": (), "flajolet_martin": (), "quantiles": (("eps", float),), "wor_sample": (("size", int),), "lossy": (("eps", float),), "sticky": (("support", float), ("eps", float), ("failure", float)),
     "chain_sample": (("size", int), ("window", int)), "window_quantiles": (("eps", float), ("window", int)), "trajectory": (("period", float), ("distance", float), ("knots", float), ("course", float)),
-    "topk": (("k", int), ("countdown", int)), "dft": (("interval", int), ("basic", int), ("sliding", int), ("coefs", int)), "past_dft": (("interval", int), ("basic", int), ("sliding", int), ("coefs", int), ("threshold", float)),
+    "topk": (("k", int), ("countdown", int)), "dft": (("interval", int), ("basic", int), ("sliding", int), ("coefs", int)), "past_dft": (
+        ("interval", int), ("basic", int), ("sliding", int), ("coefs", int), ("threshold", float)
+    ),
     "lsh": (("window", int), ("bits", int)), "coreset": (("dims", int), ("size", int)), "finjoin": (), "counters": (("length", int),), "simulation_windows": (("width", int), ("bits", int)),
     "radius": (("groups", int), ("side", float), ("window", int), ("percent", float)),
 }
@@ -97,7 +99,10 @@ class Engine:
         if any((s.width, s.depth, s.seed) != (specs[0].width, specs[0].depth, specs[0].seed) for s in specs):
             raise ValueError("the sketches differ in shape or seed")
         size = frequency.join_size(*[self.sketch(u) for u in uids])
-        return size.select(F.lit(uids[0]).alias("uid"), F.lit(6).alias("requestID"), F.lit(1).alias("synopsisID"), F.lit(",".join(map(str, uids))).alias("key"), F.col("join_size").cast("string").alias("estimation"))
+        return size.select(
+            F.lit(uids[0]).alias("uid"), F.lit(6).alias("requestID"), F.lit(1).alias("synopsisID"), F.lit(",".join(map(str, uids))).alias("key"),
+            F.col("join_size").cast("string").alias("estimation")
+        )
 
     def update(self, uid: int, sketch: DataFrame) -> None:
         """Merges a sketch of more data, such as another site's, into a live one."""
@@ -108,7 +113,10 @@ class Engine:
         """Merges what a dataset adds into a live synopsis, and passes the update on as a request, which other sites can follow."""
         synopsis, _ = self.live[uid]
         self.update(uid, synopsis.build(self.datasets[dataset][0]))
-        again = {"dataSetkey": dataset, "requestID": 7, "synopsisID": number_of(synopsis.spec.kind), "uid": uid, "streamID": "all", "param": [synopsis.spec.key, synopsis.spec.value or "null"], "noOfP": synopsis.spec.partitions}
+        again = {
+            "dataSetkey": dataset, "requestID": 7, "synopsisID": number_of(synopsis.spec.kind), "uid": uid, "streamID": "all",
+            "param": [synopsis.spec.key, synopsis.spec.value or "null"], "noOfP": synopsis.spec.partitions
+        }
         return self.spark.createDataFrame([(uid, 7, number_of(synopsis.spec.kind), dataset, json.dumps(again))], ESTIMATION)
 
     def add_continuous(self, spec: SynopsisSpec) -> DataFrame | None:
@@ -123,7 +131,9 @@ class Engine:
             return None
         synopsis = self._synopsis(spec)
         if spec.kind == "count_min":
-            rows = synopsis.sketch.running(df.withColumn(spec.key, F.col(spec.key).cast("string")), spec.key, order, spec.value).withColumnRenamed("estimate", "estimation")
+            rows = synopsis.sketch.running(
+                df.withColumn(spec.key, F.col(spec.key).cast("string")), spec.key, order, spec.value
+            ).withColumnRenamed("estimate", "estimation")
         elif spec.kind == "trajectory":
             rows = synopsis.build(df).withColumn("estimation", F.concat_ws(",", "t", "lat", "lon"))
         elif spec.kind == "wor_sample":
@@ -134,8 +144,16 @@ class Engine:
 
     def synopses(self) -> DataFrame:
         """(uid, synopsisID, kind, dataset, key, value, params, partitioning, partitions) of what is live."""
-        rows = [(u, number_of(s.spec.kind), s.spec.kind, s.spec.dataset, s.spec.key, s.spec.value, json.dumps(s.spec.params, sort_keys=True), s.spec.partitioning, s.spec.partitions) for u, (s, _) in sorted(self.live.items())]
-        return self.spark.createDataFrame(rows, "uid int, synopsisID int, kind string, dataset string, key string, value string, params string, partitioning string, partitions int")
+        rows = [
+            (
+                u, number_of(s.spec.kind), s.spec.kind, s.spec.dataset, s.spec.key, s.spec.value, json.dumps(s.spec.params, sort_keys=True),
+                s.spec.partitioning, s.spec.partitions
+            ) for u,
+            (s, _) in sorted(self.live.items())
+        ]
+        return self.spark.createDataFrame(
+            rows, "uid int, synopsisID int, kind string, dataset string, key string, value string, params string, partitioning string, partitions int"
+        )
 
     def save(self, uid: int, path: str) -> None:
         """The sketch and its spec, as two Parquet tables."""
@@ -161,7 +179,10 @@ class Engine:
         params = {n: f(x) for (n, f), x in zip(names, rest)}
         if kind in TIMED:
             params["time"] = third
-        return SynopsisSpec(request["uid"], kind, request["dataSetkey"], key, None if value in (None, "", "null") else value, params, "random" if request["requestID"] == 4 else "keyed", request["noOfP"] or 1)
+        return SynopsisSpec(
+            request["uid"], kind, request["dataSetkey"], key, None if value in (None, "", "null") else value, params,
+            "random" if request["requestID"] == 4 else "keyed", request["noOfP"] or 1
+        )
 
     def handle(self, request) -> DataFrame | None:
         """One request (fields of REQUEST); estimates, updates and continuous synopses of tables return rows."""

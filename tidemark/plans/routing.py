@@ -16,7 +16,9 @@ def live_requests(requests: DataFrame) -> DataFrame:
     """The requests to add (1, 4, 5) that no later request to delete (2) has taken back; requests (as REQUEST, and at) are few."""
     adds = requests.filter("requestID IN (1, 4, 5)")
     gone = requests.filter("requestID = 2").groupBy(F.col("dataSetkey").alias("_d"), F.col("uid").alias("_u")).agg(F.max("at").alias("_at"))
-    return adds.join(F.broadcast(gone), (F.col("dataSetkey") == F.col("_d")) & (F.col("uid") == F.col("_u")), "left").filter("_at IS NULL OR at > _at").drop("_d", "_u", "_at")
+    return adds.join(
+        F.broadcast(gone), (F.col("dataSetkey") == F.col("_d")) & (F.col("uid") == F.col("_u")), "left"
+    ).filter("_at IS NULL OR at > _at").drop("_d", "_u", "_at")
 
 
 def route(dataset: Column, partitions: Column, how: Column, partition: Column) -> Column:
@@ -35,10 +37,14 @@ def routed_elements(elements: DataFrame, requests: DataFrame) -> DataFrame:
     return elements.join(F.broadcast(groups), "dataset").withColumn("route", route(F.col("dataset"), F.col("_n"), F.col("_how"), partition)).drop("_n", "_how")
 
 
-def grid_elements(windows: DataFrame, requests: DataFrame, vector: str, length: int, groups: int = 10, side: float = 0.8, automatic: bool = False, seed: int = 100) -> DataFrame:
+def grid_elements(
+    windows: DataFrame, requests: DataFrame, vector: str, length: int, groups: int = 10, side: float = 0.8, automatic: bool = False, seed: int = 100
+) -> DataFrame:
     """(dataset, stream, cx, cy): windows (dataset, stream, a vector) of datasets with a live radius sketch as `groups` elements each, of the datasets
     dataset_0, dataset_1, ..., whose values are the cell of one group. automatic: every dataset has one, asked for or not."""
-    own = windows if automatic else windows.join(F.broadcast(live_requests(requests).filter(F.col("synopsisID") == RADIUS).select(F.col("dataSetkey").alias("dataset")).distinct()), "dataset")
+    own = windows if automatic else windows.join(
+        F.broadcast(live_requests(requests).filter(F.col("synopsisID") == RADIUS).select(F.col("dataSetkey").alias("dataset")).distinct()), "dataset"
+    )
     ids = own.select(F.struct("dataset", "stream").alias("id"), vector)
     cells = radius_groups(ids, "id", vector, length, groups, side, seed)
     return cells.select(F.concat_ws("_", "id.dataset", F.col("group").cast("string")).alias("dataset"), F.col("id.stream").alias("stream"), "cx", "cy")

@@ -63,7 +63,10 @@ class TopK(Synopsis):
 
     def estimate(self, sketch, *params):
         k, at = int(params[0]), params[1]
-        return as_text(topk.merge_lowest(k, self.spec.value, topk.lowest_at(sketch, self.spec.key, self.spec.params["time"], self.spec.value, at, k + 1)), self.spec.key, self.spec.value)
+        return as_text(
+            topk.merge_lowest(k, self.spec.value, topk.lowest_at(sketch, self.spec.key, self.spec.params["time"], self.spec.value, at, k + 1)),
+            self.spec.key, self.spec.value
+        )
 
 
 class SlidingDft(OfSeries):
@@ -76,7 +79,10 @@ class SlidingDft(OfSeries):
 
     def build(self, df):
         size, windows, coefs = self.shape()
-        rows = series.numbered(df.select(*dict.fromkeys([self.spec.key, *self.order]), F.col(self.spec.value).cast("double").alias(self.spec.value)), self.spec.key, self.order)
+        rows = series.numbered(
+            df.select(*dict.fromkeys([self.spec.key, *self.order]), F.col(self.spec.value).cast("double").alias(self.spec.value)), self.spec.key,
+            self.order
+        )
         return series.sliding_dft(series.basic_windows(rows, self.spec.key, self.spec.value, size, coefs), self.spec.key, size, windows, coefs)
 
     def estimate(self, sketch, *params):
@@ -85,7 +91,10 @@ class SlidingDft(OfSeries):
         on = series.on_grid(last, threshold)
         pairs = series.correlated(series.prefixed(on, "a"), series.prefixed(on, "b"), self.spec.key, ["w"], None, threshold, self.shape()[2])
         a, b = f"a_{self.spec.key}", f"b_{self.spec.key}"
-        return pairs.select(F.concat_ws("|", F.least(a, b).cast("string"), F.greatest(a, b).cast("string")).alias("key"), F.col("bound").cast("string").alias("estimation"))
+        return pairs.select(
+            F.concat_ws("|", F.least(a, b).cast("string"), F.greatest(a, b).cast("string")).alias("key"),
+            F.col("bound").cast("string").alias("estimation")
+        )
 
 
 class PastDft(SlidingDft):
@@ -95,7 +104,9 @@ class PastDft(SlidingDft):
     def build(self, df):
         size, windows, coefs = self.shape()
         rows = df.withColumn(self.spec.value, F.col(self.spec.value).cast("double"))
-        return series.past_windows(rows, self.spec.key, self.spec.value, self.spec.params["time"], self.order, size, windows, coefs, self.spec.params.get("threshold", 0.8))
+        return series.past_windows(
+            rows, self.spec.key, self.spec.value, self.spec.params["time"], self.order, size, windows, coefs, self.spec.params.get("threshold", 0.8)
+        )
 
     def estimate(self, sketch, *params):
         size, windows, coefs = self.shape()
@@ -104,7 +115,10 @@ class PastDft(SlidingDft):
         others, left = F.expr(f"a_{self.spec.key} <> b_{self.spec.key}"), series.prefixed(digests, "a")
         if asked:
             left = left.filter(F.col(f"a_{self.spec.key}").cast("string").isin(asked))
-        pairs = series.correlated(left, series.prefixed(digests, "b"), self.spec.key, [] if asked else ["w"], others, self.spec.params.get("threshold", 0.8), coefs, both_ways=bool(asked))
+        pairs = series.correlated(
+            left, series.prefixed(digests, "b"), self.spec.key, [] if asked else ["w"], others, self.spec.params.get("threshold", 0.8), coefs,
+            both_ways=bool(asked)
+        )
         found = series.verified(pairs, threshold, size * windows)
         name = [F.concat_ws("_", F.col(f"{p}_{self.spec.key}").cast("string"), F.col(f"{p}_w").cast("string")) for p in "ab"]
         return found.select(F.concat_ws("|", *name).alias("key"), F.col("corr").cast("string").alias("estimation"))
@@ -116,7 +130,10 @@ class LastWindow(OfSeries):
     def build(self, df):
         n = self.spec.params.get("window", 20)
         last = sampling.last_rows(df.select(*dict.fromkeys([self.spec.key, *self.order, self.spec.value])), self.spec.key, self.order, n)
-        got = last.groupBy(self.spec.key).agg(F.count("*").alias("_n"), F.transform(F.sort_array(F.collect_list(F.struct(*self.order, F.col(self.spec.value).cast("double").alias("_v")))), lambda r: r["_v"]).alias("vals"))
+        got = last.groupBy(self.spec.key).agg(
+            F.count("*").alias("_n"),
+            F.transform(F.sort_array(F.collect_list(F.struct(*self.order, F.col(self.spec.value).cast("double").alias("_v")))), lambda r: r["_v"]).alias("vals")
+        )
         return similarity.scaled(got.filter(F.col("_n") == n), "vals").select(self.spec.key, "z")
 
 
@@ -165,7 +182,10 @@ class Coreset(Synopsis):
 
     def estimate(self, sketch, *params):
         found = clustering.kmeans(sketch, int(params[0]))
-        return found.select(F.col("centre").cast("string").alias("key"), F.concat_ws(" ", F.round("weight").cast("string"), F.transform("coords", lambda v: F.round(v, 6).cast("string"))).alias("estimation"))
+        return found.select(
+            F.col("centre").cast("string").alias("key"),
+            F.concat_ws(" ", F.round("weight").cast("string"), F.transform("coords", lambda v: F.round(v, 6).cast("string"))).alias("estimation")
+        )
 
 
 class FinJoin(OfSeries):
@@ -195,7 +215,10 @@ class SimulationWindows(OfSeries):
 
     def build(self, df):
         p, channels = self.spec.params, self.spec.value.split(",")
-        return similarity.simulation_windows(series.resampled(df, self.spec.key, p["time"], channels), self.spec.key, p["time"], channels, p.get("width", 40), p.get("step", 10), p.get("bits", 10), 33)
+        return similarity.simulation_windows(
+            series.resampled(df, self.spec.key, p["time"], channels), self.spec.key, p["time"], channels, p.get("width", 40), p.get("step", 10),
+            p.get("bits", 10), 33
+        )
 
     def estimate(self, sketch, *params):
         threshold, k, query = float(params[0]), int(params[1]), int(params[2])
@@ -205,7 +228,9 @@ class SimulationWindows(OfSeries):
         else:
             names = [w.rsplit("_", 1) for w in params[3].split("&")]
             kind = {f.name: f.dataType.simpleString() for f in sketch.schema}
-            asked = sketch.sparkSession.createDataFrame([(s, int(t)) for s, t in names], "s string, t long").select(F.col("s").cast(kind[self.spec.key]).alias(self.spec.key), F.col("t").cast(kind["start"]).alias("start"))
+            asked = sketch.sparkSession.createDataFrame([(s, int(t)) for s, t in names], "s string, t long").select(
+                F.col("s").cast(kind[self.spec.key]).alias(self.spec.key), F.col("t").cast(kind["start"]).alias("start")
+            )
             found = similarity.similar_to(sketch, asked, self.spec.key, threshold, WEIGHTS, k, int(params[4]) - width if len(params) > 4 else None)
         a, b = (F.concat_ws("_", F.col(f"{p}_sim").cast("string"), F.col(f"{p}_start").cast("string")) for p in "ab")
         return found.select(F.concat_ws("|", a, b).alias("key"), F.col("corr").cast("string").alias("estimation"))

@@ -7,7 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import types as T
 
 #: Names of synopses by the numbers that requests use. Fixed values.
-SYNOPSIS_IDS = {1: "count_min", 2: "bloom", 3: "ams", 4: "dft", 5: "lsh", 6: "coreset", 7: "hyperloglog", 8: "sticky", 9: "lossy", 10: "chain_sample", 11: "quantiles", 12: "trajectory", 13: "topk", 15: "wor_sample", 16: "window_quantiles", 26: "finjoin", 27: "counters", 28: "simulation_windows", 29: "past_dft", 100: "radius"}
+SYNOPSIS_IDS = {
+    1: "count_min", 2: "bloom", 3: "ams", 4: "dft", 5: "lsh", 6: "coreset", 7: "hyperloglog", 8: "sticky", 9: "lossy", 10: "chain_sample",
+    11: "quantiles", 12: "trajectory", 13: "topk", 15: "wor_sample", 16: "window_quantiles", 26: "finjoin", 27: "counters", 28: "simulation_windows",
+    29: "past_dft", 100: "radius"
+}
 #: What a request does, by its number. Fixed values.
 REQUEST_IDS = {1: "add", 2: "delete", 3: "estimate", 4: "add", 5: "add_continuous", 6: "join_size", 7: "update"}
 
@@ -17,7 +21,10 @@ REQUEST = T.StructType(
      T.StructField("streamID", T.StringType()), T.StructField("param", T.ArrayType(T.StringType())), T.StructField("noOfP", T.IntegerType())]
 )
 ESTIMATION = T.StructType(
-    [T.StructField("uid", T.IntegerType()), T.StructField("requestID", T.IntegerType()), T.StructField("synopsisID", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("estimation", T.StringType())]
+    [
+        T.StructField("uid", T.IntegerType()), T.StructField("requestID", T.IntegerType()), T.StructField("synopsisID", T.IntegerType()),
+        T.StructField("key", T.StringType()), T.StructField("estimation", T.StringType())
+    ]
 )
 
 

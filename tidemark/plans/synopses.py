@@ -109,17 +109,26 @@ class Quantiles(Synopsis):
         return df.agg(F.expr(f"kll_sketch_agg_double(cast(`{self.spec.value}` AS double))").alias("sketch"))
 
     def merge(self, *sketches):
-        return reduce(lambda a, b: a.withColumnRenamed("sketch", "a").withColumn("_k", F.lit(1)).join(b.withColumnRenamed("sketch", "b").withColumn("_k", F.lit(1)), "_k").select(F.expr("kll_sketch_merge_double(a, b)").alias("sketch")), sketches)
+        return reduce(
+            lambda a,
+            b: a.withColumnRenamed("sketch", "a").withColumn("_k", F.lit(1)).join(b.withColumnRenamed("sketch", "b").withColumn("_k", F.lit(1)), "_k").select(F.expr("kll_sketch_merge_double(a, b)").alias("sketch")),
+            sketches
+        )
 
     def estimate(self, sketch, *params):
-        return sketch.select(F.explode(F.array(*[F.struct(F.lit(str(q)).alias("key"), F.expr(f"kll_sketch_get_quantile_double(sketch, {float(q)}D)").cast("string").alias("estimation")) for q in params])).alias("p")).select("p.key", "p.estimation")
+        return sketch.select(F.explode(F.array(*[F.struct(
+            F.lit(str(q)).alias("key"), F.expr(f"kll_sketch_get_quantile_double(sketch, {float(q)}D)").cast("string").alias("estimation")
+        ) for q in params])).alias("p")).select("p.key", "p.estimation")
 
 
 class Lossy(Synopsis):
     """Lossy counts of `partitions` pieces of the stream."""
 
     def build(self, df):
-        return frequency.lossy_sketch(df.withColumn(self.spec.key, F.col(self.spec.key).cast("string")), self.spec.key, self.spec.params["order"], self.spec.params.get("eps", 0.01), self.spec.partitions)
+        return frequency.lossy_sketch(
+            df.withColumn(self.spec.key, F.col(self.spec.key).cast("string")), self.spec.key, self.spec.params["order"],
+            self.spec.params.get("eps", 0.01), self.spec.partitions
+        )
 
     def merge(self, *sketches):
         return frequency.merge_lossy(*sketches)
@@ -134,7 +143,9 @@ class Sticky(Lossy):
     def build(self, df):
         p = self.spec.params
         rows = df.withColumn(self.spec.key, F.col(self.spec.key).cast("string"))
-        return frequency.sticky_counts(rows, self.spec.key, p["order"], p.get("support", 0.05), p.get("eps", 0.01), p.get("failure", 0.01), self.spec.partitions).select("key", "f")
+        return frequency.sticky_counts(
+            rows, self.spec.key, p["order"], p.get("support", 0.05), p.get("eps", 0.01), p.get("failure", 0.01), self.spec.partitions
+        ).select("key", "f")
 
     def merge(self, *sketches):
         return reduce(DataFrame.unionByName, sketches).groupBy("key").agg(F.sum("f").alias("f"))
@@ -165,7 +176,9 @@ class WindowQuantiles(Synopsis):
         return self.build(reduce(DataFrame.unionByName, sketches))
 
     def estimate(self, sketch, *params):
-        parts = [quantiles.of_last(sketch, self.spec.key, self.spec.params["order"], self.spec.value, float(q), self.spec.params.get("window", 100)).withColumn(self.spec.key, F.concat_ws("_", F.col(self.spec.key).cast("string"), F.lit(str(q)))) for q in params]
+        parts = [quantiles.of_last(
+            sketch, self.spec.key, self.spec.params["order"], self.spec.value, float(q), self.spec.params.get("window", 100)
+        ).withColumn(self.spec.key, F.concat_ws("_", F.col(self.spec.key).cast("string"), F.lit(str(q)))) for q in params]
         return as_text(reduce(DataFrame.unionByName, parts), self.spec.key, "value")
 
 

@@ -36,7 +36,10 @@ def request_lifecycle(spark, d):
     """Add a sketch in four partitions, estimate, delete, estimate again: the second estimate has no rows."""
     engine = Engine(spark)
     engine.register_dataset("events", table(spark, d, "events"))
-    return engine.run([request(1, 7, param=["event_type", "null", "Queryable", "0.02", "0.99", "5"], parts=4), request(3, 7, param=KINDS), request(2, 7), request(3, 7, param=KINDS)])
+    return engine.run([
+        request(1, 7, param=["event_type", "null", "Queryable", "0.02", "0.99", "5"], parts=4), request(3, 7, param=KINDS), request(2, 7),
+        request(3, 7, param=KINDS)
+    ])
 
 
 LIFECYCLE = f"""WITH {cm_sql(SPEC, 'events', 'event_type', '1')}, kinds AS (SELECT unnest({KINDS}) AS event_type), e AS ({probe_sql(SPEC, 'kinds', 'event_type')})
@@ -48,7 +51,10 @@ def request_kinds(spark, d):
     engine = Engine(spark)
     events = table(spark, d, "events").withColumn("day", F.dayofmonth("ts"))
     engine.register_dataset("events", events, ["ts", "event_id"])
-    flags = events.select("user_id", "ts", "event_id", F.when(F.col("event_type") == "view", "v1").when(F.col("event_type") == "purchase", "p2").otherwise("x").alias("flag"))
+    flags = events.select(
+        "user_id", "ts", "event_id",
+        F.when(F.col("event_type") == "view", "v1").when(F.col("event_type") == "purchase", "p2").otherwise("x").alias("flag")
+    )
     engine.register_dataset("flags", flags, ["ts", "event_id"])
     engine.register_dataset("daily", events.groupBy("user_id", "day").agg(F.round(F.sum("value"), 2).alias("total")), ["day"])
     ask = [
@@ -92,8 +98,14 @@ def update_request(spark, d):
     e = table(spark, d, "events")
     engine.register_dataset("events", e.filter("user_id % 2 = 0"))
     engine.register_dataset("other", e.filter("user_id % 2 = 1"))
-    found = engine.run([request(1, 7, param=["event_type", "null", "Queryable", "0.02", "0.99", "5"]), {**request(7, 7), "dataSetkey": "other"}, request(3, 7, param=KINDS)])
-    return found.select("uid", "requestID", "key", F.when(F.col("requestID") == 7, F.get_json_object("estimation", "$.dataSetkey")).otherwise(F.col("estimation")).alias("estimation"))
+    found = engine.run([
+        request(1, 7, param=["event_type", "null", "Queryable", "0.02", "0.99", "5"]), {**request(7, 7), "dataSetkey": "other"},
+        request(3, 7, param=KINDS)
+    ])
+    return found.select(
+        "uid", "requestID", "key",
+        F.when(F.col("requestID") == 7, F.get_json_object("estimation", "$.dataSetkey")).otherwise(F.col("estimation")).alias("estimation")
+    )
 
 
 UPDATE = f"""WITH {cm_sql(SPEC, 'events', 'event_type', '1')}, kinds AS (SELECT unnest({KINDS}) AS event_type), e AS ({probe_sql(SPEC, 'kinds', 'event_type')})
@@ -106,13 +118,19 @@ def control_stream(spark, d):
     """Events and requests as two streams: a sketch is added before the first event, asked half way and at the end."""
     folder = f"{shared_folder(spark)}/control-{uuid.uuid4().hex}"
     param = ["event_type", "null", "Queryable", "0.02", "0.99", "5"]
-    asked = [{**request(1, 7, param=param), "at": -1}, {**request(3, 7, param=KINDS), "at": MIDDLE}, {**request(3, 7, param=KINDS), "at": 1 << 40}, {**request(3, 8, param=KINDS), "at": 1 << 40}]
+    asked = [
+        {**request(1, 7, param=param), "at": -1}, {**request(3, 7, param=KINDS), "at": MIDDLE}, {**request(3, 7, param=KINDS), "at": 1 << 40},
+        {**request(3, 8, param=KINDS), "at": 1 << 40}
+    ]
     spark.createDataFrame([(json.dumps(r),) for r in asked], "value string").coalesce(1).write.text(f"{folder}/requests")
     schema = T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())])
     requests = parsed(lines(spark, f"{folder}/requests", stream=True), schema)
     path = f"{d}/events.parquet"
     events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")  # a pattern, as the table may be one file or a folder
-    elements = events.select(F.lit("events").alias("dataset"), F.col("event_type").alias("key"), F.lit(1).alias("weight"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"))
+    elements = events.select(
+        F.lit("events").alias("dataset"), F.col("event_type").alias("key"), F.lit(1).alias("weight"),
+        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at")
+    )
     answers = controlled(elements, requests, parts=4)
     answers.writeStream.format("parquet").option("path", f"{folder}/answers").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(answers.schema).parquet(f"{folder}/answers")
@@ -137,8 +155,15 @@ def served_requests(spark, d):
     prices of a month, synopses of each user's series, a join size, a deletion, and requests that can't be served."""
     folder = f"{shared_folder(spark)}/served-{uuid.uuid4().hex}"
     counts, prices, flags = ["event_type", "null", "Queryable", "0.02", "0.99", "5"], ["order", "price", "month", "5", "4"], ["user_id", "flag", "Queryable"]
-    adds = [request(4, 1, 1, counts), request(4, 2, 2, ["user_id", "null", "Queryable", "1000", "0.0001"]), {**request(4, 3, 13, prices), "dataSetkey": "orders"}, request(1, 4, 26, flags), request(1, 5, 27, [*flags, "5"]), request(1, 6, 1, counts), request(1, 7, 9, ["event_type"]), request(1, 8, 999, flags)]
-    asks = [request(3, 1, 1, KINDS), request(3, 2, 2, ["0", "7", "nobody"]), {**request(3, 3, 13, ["5", MONTH]), "dataSetkey": "orders"}, request(3, 4, 26), request(3, 5, 27), request(6, 1, 1, ["2", "1", "6"]), request(3, 9, 1, KINDS)]
+    adds = [
+        request(4, 1, 1, counts), request(4, 2, 2, ["user_id", "null", "Queryable", "1000", "0.0001"]),
+        {**request(4, 3, 13, prices), "dataSetkey": "orders"}, request(1, 4, 26, flags), request(1, 5, 27, [*flags, "5"]), request(1, 6, 1, counts),
+        request(1, 7, 9, ["event_type"]), request(1, 8, 999, flags)
+    ]
+    asks = [
+        request(3, 1, 1, KINDS), request(3, 2, 2, ["0", "7", "nobody"]), {**request(3, 3, 13, ["5", MONTH]), "dataSetkey": "orders"},
+        request(3, 4, 26), request(3, 5, 27), request(6, 1, 1, ["2", "1", "6"]), request(3, 9, 1, KINDS)
+    ]
     after = [request(2, 6), request(3, 6, 1, KINDS)]
     asked = [{**r, "at": at} for rs, at in ((adds, EARLY), (asks, LAST), (after, LAST + 1)) for r in rs]
     spark.createDataFrame([(json.dumps(r),) for r in asked], "value string").coalesce(1).write.text(f"{folder}/requests")
@@ -147,9 +172,14 @@ def served_requests(spark, d):
     flag = F.when(F.col("event_type") == "view", "v1").when(F.col("event_type") == "purchase", "p2").otherwise("x")
     fields = lambda **named: F.create_map(*[x for n, c in named.items() for x in (F.lit(n), c.cast("string"))]).alias("fields")
     order = F.unix_timestamp(F.col("ts").cast("timestamp")) * 1_000_000_000 + F.pmod("event_id", F.lit(1_000_000_000))
-    elements = events.select(F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("stream"), fields(event_type=F.col("event_type"), user_id=F.col("user_id"), flag=flag), order.alias("at"))
+    elements = events.select(
+        F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("stream"),
+        fields(event_type=F.col("event_type"), user_id=F.col("user_id"), flag=flag), order.alias("at")
+    )
     of_orders = fields(order=F.col("o_orderkey"), price=F.col("o_totalprice"), month=F.date_format("o_orderdate", "yyyy-MM"))
-    elements = elements.unionByName(as_stream(spark, d, "orders").select(F.lit("orders").alias("dataset"), F.col("o_orderkey").cast("string").alias("stream"), of_orders, F.col("o_orderkey").alias("at")))
+    elements = elements.unionByName(as_stream(spark, d, "orders").select(
+        F.lit("orders").alias("dataset"), F.col("o_orderkey").cast("string").alias("stream"), of_orders, F.col("o_orderkey").alias("at")
+    ))
     return finished(served(elements, requests, parts=3, routes=("keyed", "random"))).drop("at")
 
 
@@ -200,7 +230,9 @@ def route_requests(spark):
 
 def data_router(spark, d):
     """Events dealt to the partitions of every parallelism that live requests ask for, counted."""
-    elements = table(spark, d, "events").select(F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("stream"), F.col("event_id").cast("string").alias("event"))
+    elements = table(spark, d, "events").select(
+        F.lit("events").alias("dataset"), F.col("user_id").cast("string").alias("stream"), F.col("event_id").cast("string").alias("event")
+    )
     return routed_elements(elements, route_requests(spark)).groupBy("route").agg(F.count("*").alias("elements"), F.count_distinct("stream").alias("streams"))
 
 
@@ -225,9 +257,13 @@ def datapoint_payload(spark, d):
     """Events written as JSON messages and read again as data points, summed by a payload field."""
     e = table(spark, d, "events")
     payload = F.to_json(F.struct(F.col("value").cast("string").alias("value"), F.get_json_object("props", "$.k").alias("k")))
-    messages = e.select(F.to_json(F.struct(F.lit("events").alias("dataSetkey"), F.col("user_id").cast("string").alias("streamID"), payload.alias("values"))).alias("value"))
+    messages = e.select(F.to_json(F.struct(
+        F.lit("events").alias("dataSetkey"), F.col("user_id").cast("string").alias("streamID"), payload.alias("values")
+    )).alias("value"))
     points = datapoints(messages, T.StructType([T.StructField("value", T.StringType()), T.StructField("k", T.StringType())]))
-    return points.groupBy("dataset", F.col("k").cast("long").alias("k")).agg(F.count("*").alias("elements"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total"))
+    return points.groupBy("dataset", F.col("k").cast("long").alias("k")).agg(
+        F.count("*").alias("elements"), F.round(F.sum(F.col("value").cast("double")), 2).alias("total")
+    )
 
 
 PAYLOAD = "SELECT 'events' AS dataset, json_extract_string(props, '$.k')::BIGINT AS k, count(*) AS elements, round(sum(value), 2) AS total FROM events GROUP BY 2"
@@ -247,5 +283,7 @@ SELECT event_type, sum(n)::BIGINT AS total, greatest(max(n), 0) AS most, (sum(n)
 QUERIES = {
     "merged_partials": (merged_partials, MERGED),
     "request_lifecycle": (request_lifecycle, LIFECYCLE), "request_kinds": (request_kinds, KINDS_SQL), "continuous_request": (continuous_request, CONTINUOUS), "update_request": (update_request, UPDATE), "control_stream": (control_stream, CONTROL), "served_requests": (served_requests, SERVED), "random_partitioning": (random_partitioning, RANDOM), "keyed_routing": (keyed_routing, ROUTING), "data_router": (data_router, DATA_ROUTER), "request_router": (request_router, REQUEST_ROUTER),
-    "ingestion_multiplier": (ingestion_multiplier, "SELECT event_type, count(*) * 10 AS elements FROM events GROUP BY event_type"), "datapoint_payload": (datapoint_payload, PAYLOAD),
+    "ingestion_multiplier": (
+        ingestion_multiplier, "SELECT event_type, count(*) * 10 AS elements FROM events GROUP BY event_type"
+    ), "datapoint_payload": (datapoint_payload, PAYLOAD),
 }

@@ -66,7 +66,10 @@ def cm_bound(spark, d):
     lines = table(spark, d, "lineitem")
     true = lines.groupBy("l_partkey").agg(F.sum(F.col("l_quantity").cast("long")).alias("weight"))
     both = PARTS.estimate(PARTS.build(lines, "l_partkey", "l_quantity"), true, "l_partkey").join(true, "l_partkey")
-    out = both.agg(F.count("*").alias("parts"), F.bool_and(F.col("estimate") >= F.col("weight")).alias("never_under"), F.sum("estimate").alias("estimates"), F.max(F.col("estimate") - F.col("weight")).alias("worst"), F.sum("weight").alias("weights"))
+    out = both.agg(
+        F.count("*").alias("parts"), F.bool_and(F.col("estimate") >= F.col("weight")).alias("never_under"), F.sum("estimate").alias("estimates"),
+        F.max(F.col("estimate") - F.col("weight")).alias("worst"), F.sum("weight").alias("weights")
+    )
     return out.select("parts", "never_under", (F.col("worst") <= F.lit(PARTS.eps * 2) * F.col("weights")).alias("within"))
 
 
@@ -102,7 +105,10 @@ SELECT event_id, user_id, min(cnt)::BIGINT AS estimate FROM run GROUP BY ALL"""
 
 
 def ams_sql(name: str, source: str, key: str) -> str:
-    rows = " UNION ALL ".join(f"SELECT {i} AS row, {hashed_sql('key', b, SIGNED.width)} AS bucket, w * ({hashed_sql('key', s, 2)} * 2 - 1) AS w FROM {name}_keys" for i, (b, s) in enumerate(SIGNED.hashes))
+    rows = " UNION ALL ".join(
+        f"SELECT {i} AS row, {hashed_sql('key', b, SIGNED.width)} AS bucket, w * ({hashed_sql('key', s, 2)} * 2 - 1) AS w FROM {name}_keys" for i,
+        (b, s) in enumerate(SIGNED.hashes)
+    )
     return f"""{name}_keys AS (SELECT {key} AS key, count(*) AS w FROM {source} WHERE {key} IS NOT NULL GROUP BY {key}),
 {name} AS (SELECT row, bucket, sum(w)::BIGINT AS cnt FROM ({rows}) GROUP BY row, bucket)"""
 

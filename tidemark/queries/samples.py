@@ -44,7 +44,9 @@ WOR = f"SELECT event_id, value FROM events ORDER BY {hash_sql(22)}, event_id LIM
 def coordinator_sample(spark, d):
     """The same sample from four sites that each send theirs."""
     e = events(spark, d)
-    return sampling.merge_samples("event_id", 100, *[sampling.without_replacement(e.filter(F.col("user_id") % 4 == k), "event_id", 100) for k in range(4)]).select("event_id", "value")
+    return sampling.merge_samples(
+        "event_id", 100, *[sampling.without_replacement(e.filter(F.col("user_id") % 4 == k), "event_id", 100) for k in range(4)]
+    ).select("event_id", "value")
 
 
 def bernoulli_sample(spark, d):
@@ -97,7 +99,10 @@ def gk_quantile(spark, d):
     rows = lines.join(F.broadcast(got), "l_returnflag").groupBy("l_returnflag", "q").agg(
         F.count("*").alias("n"), F.sum((F.col("l_extendedprice") < F.col("value")).cast("int")).alias("below"), F.sum((F.col("l_extendedprice") <= F.col("value")).cast("int")).alias("upto")
     )
-    return rows.select("l_returnflag", "q", "n", ((F.col("below") <= (F.col("q") + 0.001) * F.col("n") + 1) & (F.col("upto") >= (F.col("q") - 0.001) * F.col("n") - 1)).alias("within"))
+    return rows.select(
+        "l_returnflag", "q", "n",
+        ((F.col("below") <= (F.col("q") + 0.001) * F.col("n") + 1) & (F.col("upto") >= (F.col("q") - 0.001) * F.col("n") - 1)).alias("within")
+    )
 
 
 GK = "SELECT l_returnflag, q::DOUBLE AS q, count(*) AS n, true AS within FROM lineitem, (SELECT unnest([0.1, 0.5, 0.9, 0.99]) AS q) GROUP BY l_returnflag, q"
@@ -121,9 +126,14 @@ def window_ranks_stream(spark, d):
     rows = [("events", 1, 16, 1, "all", ["type", "value", "Queryable", "0.05", "200"], 3, -1), ("events", 3, 16, 1, "all", ["0.75"], 3, 1 << 62)]
     schema = T.StructType([*REQUEST.fields, T.StructField("at", T.LongType())])
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(folder)
-    said = finished(served(elements, spark.readStream.schema(schema).parquet(folder), parts=3)).select(F.substring_index("key", "_", 1).alias("event_type"), F.col("estimation").cast("double").alias("said"))
+    said = finished(served(elements, spark.readStream.schema(schema).parquet(folder), parts=3)).select(
+        F.substring_index("key", "_", 1).alias("event_type"), F.col("estimation").cast("double").alias("said")
+    )
     last = sampling.last_rows(events(spark, d), "event_type", ORDER, 200).join(said, "event_type")
-    ranks = last.groupBy("event_type").agg(F.count("*").alias("n"), F.sum((F.col("value") < F.col("said")).cast("int")).alias("below"), F.sum((F.col("value") <= F.col("said")).cast("int")).alias("upto"))
+    ranks = last.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.sum((F.col("value") < F.col("said")).cast("int")).alias("below"),
+        F.sum((F.col("value") <= F.col("said")).cast("int")).alias("upto")
+    )
     return ranks.select("event_type", "n", ((F.col("below") - 11 <= 0.75 * F.col("n")) & (0.75 * F.col("n") <= F.col("upto") + 11)).alias("within"))
 
 

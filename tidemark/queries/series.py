@@ -212,7 +212,10 @@ SELECT user_id, t AS day, {', '.join(f'CASE WHEN d1 IS NULL THEN {k} ELSE trunc(
 
 
 def returns_windows(spark, d):
-    return S.returns(events(spark, d), "user_id", ORDER, "value", 10).select("user_id", "w", F.aggregate("returns", F.lit(0).cast("long"), lambda s, v: s + F.round(v * 1e6).cast("long")).alias("millionths"), F.size("returns").alias("n"))
+    return S.returns(events(spark, d), "user_id", ORDER, "value", 10).select(
+        "user_id", "w", F.aggregate("returns", F.lit(0).cast("long"), lambda s, v: s + F.round(v * 1e6).cast("long")).alias("millionths"),
+        F.size("returns").alias("n")
+    )
 
 
 RETURNS = """WITH c AS (SELECT user_id, ts, event_id, value / lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS r FROM events),
@@ -246,7 +249,9 @@ SELECT user_id, rn // 4 AS bw, round(sum(cnt), 4)::DOUBLE AS s, round(sum(cnt *
 
 def counters_last(spark, d):
     """For every segment, the sum and number of the last five counts."""
-    return S.last_counts(bought(spark, d), "user_id", 5).select("user_id", "segment", F.size("counts").alias("n"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v).alias("total"))
+    return S.last_counts(bought(spark, d), "user_id", 5).select(
+        "user_id", "segment", F.size("counts").alias("n"), F.aggregate("counts", F.lit(0).cast("long"), lambda s, v: s + v).alias("total")
+    )
 
 
 COUNTERS = f"WITH {SEGMENTS} SELECT user_id, segment, count(*) OVER w AS n, sum(cnt) OVER w AS total FROM g WINDOW w AS (PARTITION BY user_id ORDER BY segment ROWS 4 PRECEDING)"
@@ -256,7 +261,10 @@ COUNTERS = f"SELECT user_id, segment, n::INT AS n, total::BIGINT AS total FROM (
 def phase_counts(spark, d):
     """Conditional bucket counts of the values of each day."""
     v = F.col("value")
-    return events(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count_if(v < 100).alias("low"), F.count_if((v >= 100) & (v < 101)).alias("middle"), F.count_if((v >= 101) & (v <= 300)).alias("high"), F.count_if(v > 300).alias("rest"))
+    return events(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(
+        F.count_if(v < 100).alias("low"), F.count_if((v >= 100) & (v < 101)).alias("middle"), F.count_if((v >= 101) & (v <= 300)).alias("high"),
+        F.count_if(v > 300).alias("rest")
+    )
 
 
 PHASES = "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (value < 100) AS low, count(*) FILTER (value >= 100 AND value < 101) AS middle, count(*) FILTER (value >= 101 AND value <= 300) AS high, count(*) FILTER (value > 300) AS rest FROM events GROUP BY 1"

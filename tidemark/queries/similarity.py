@@ -30,7 +30,9 @@ LSH_SQL = f"{Z}, p AS (SELECT vec_id, z, {product_sql('z', projection(BITS, DIMS
 
 
 def lsh_bits(spark, d):
-    return similarity.lsh(vectors(spark, d), "embedding", DIMS, BITS, 31).select("vec_id", F.array_join(F.transform("bits", lambda b: b.cast("int").cast("string")), "").alias("bits"), "hw")
+    return similarity.lsh(vectors(spark, d), "embedding", DIMS, BITS, 31).select(
+        "vec_id", F.array_join(F.transform("bits", lambda b: b.cast("int").cast("string")), "").alias("bits"), "hw"
+    )
 
 
 LSH_BITS = f"WITH {LSH_SQL} SELECT vec_id, bits, len(replace(bits, '0', ''))::INT AS hw FROM h"
@@ -43,7 +45,9 @@ def lsh_pairs(spark, d):
 
 def lsh_links(spark, d):
     """For every vector, how many others it has such a pair with, and the closest of them."""
-    return similarity.lsh_links(vectors(spark, d), "vec_id", "embedding", DIMS, STRONG, RECALL, BAND).select("id", "n_links", F.coalesce("best", F.lit(-1)).alias("best"), F.coalesce("best_corr", F.lit(0.0)).alias("best_corr"))
+    return similarity.lsh_links(vectors(spark, d), "vec_id", "embedding", DIMS, STRONG, RECALL, BAND).select(
+        "id", "n_links", F.coalesce("best", F.lit(-1)).alias("best"), F.coalesce("best_corr", F.lit(0.0)).alias("best_corr")
+    )
 
 
 BANDS = similarity.bands_for(STRONG, RECALL, BAND)
@@ -74,7 +78,9 @@ def grid_router(spark, d):
     """Vectors as elements of the datasets of their grid's groups, counted by cell; half of them belong to a dataset without a radius sketch."""
     dataset = F.when(F.col("vec_id") % 2 == 0, "even").otherwise("odd")
     windows = vectors(spark, d).select(dataset.alias("dataset"), F.col("vec_id").cast("string").alias("stream"), "embedding")
-    requests = spark.createDataFrame([("even", 5, 100, 1, 0), ("odd", 5, 100, 2, 1), ("odd", 2, 100, 2, 2)], "dataSetkey string, requestID int, synopsisID int, uid int, at long")
+    requests = spark.createDataFrame(
+        [("even", 5, 100, 1, 0), ("odd", 5, 100, 2, 1), ("odd", 2, 100, 2, 2)], "dataSetkey string, requestID int, synopsisID int, uid int, at long"
+    )
     return grid_elements(windows, requests, "embedding", DIMS, 6, 0.8, seed=32).groupBy("dataset", "cx", "cy").agg(F.count("*").alias("elements"))
 
 
@@ -134,7 +140,10 @@ i AS (SELECT user_id, t, {', '.join(f'CASE WHEN d1 IS NULL THEN {k} ELSE trunc({
 w AS (SELECT user_id, start::BIGINT AS start, {', '.join(f'list({k} ORDER BY t) AS v_{k}, max({k}) // 2 AS h_{k}' for k in KINDS)} FROM i, (SELECT unnest(range(0, 31, {STEP})) AS start) WHERE t >= start AND t < start + {WIDTH} GROUP BY user_id, start HAVING count(*) = {WIDTH}),
 f AS (SELECT *, list_concat({', '.join(f'list_transform(v_{k}, lambda v: (v - h_{k})::DOUBLE)' for k in KINDS)}) AS flat FROM w),
 h AS (SELECT user_id, start, len(list_filter({product_sql('flat', projection(SIM_BITS, WIDTH * 3, 33))}, lambda v: v > 0))::INT AS hw, {', '.join(f'list_transform(v_{k}, lambda v: v - list_avg(v_{k})) AS c_{k}' for k in KINDS)} FROM f)"""
-SIM_CORR = "round(" + " + ".join(f"{w} * CASE WHEN list_dot_product(a.c_{k}, a.c_{k}) > 1e-12 AND list_dot_product(b.c_{k}, b.c_{k}) > 1e-12 THEN list_dot_product(a.c_{k}, b.c_{k}) / (sqrt(list_dot_product(a.c_{k}, a.c_{k})) * sqrt(list_dot_product(b.c_{k}, b.c_{k}))) ELSE 0 END" for w, k in zip(WEIGHTS, KINDS)) + ", 6)"
+SIM_CORR = "round(" + " + ".join(
+    f"{w} * CASE WHEN list_dot_product(a.c_{k}, a.c_{k}) > 1e-12 AND list_dot_product(b.c_{k}, b.c_{k}) > 1e-12 THEN list_dot_product(a.c_{k}, b.c_{k}) / (sqrt(list_dot_product(a.c_{k}, a.c_{k})) * sqrt(list_dot_product(b.c_{k}, b.c_{k}))) ELSE 0 END" for w,
+    k in zip(WEIGHTS, KINDS)
+) + ", 6)"
 GAP = similarity.angle_width(SIM, SIM_BITS)
 
 
@@ -203,6 +212,9 @@ def coreset_kmeans_cost(spark, d):
 COST = "SELECT sum(n // 4)::BIGINT AS points, true AS within FROM (SELECT count(*) AS n FROM events GROUP BY user_id)"
 
 QUERIES = {
-    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "lsh_links": (lsh_links, LSH_LINKS), "radius_links": (radius_links, RADIUS_LINKS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "grid_router": (grid_router, f"WITH {RADIUS_SQL} SELECT 'even_' || \"group\" AS dataset, cx, cy, count(*) AS elements FROM g WHERE vec_id % 2 = 0 GROUP BY ALL"), "radius_stream": (radius_stream, f"SELECT a, b FROM ({RADIUS_VOTE})"), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
+    "lsh_bits": (lsh_bits, LSH_BITS), "lsh_pairs": (lsh_pairs, LSH_PAIRS), "lsh_links": (lsh_links, LSH_LINKS), "radius_links": (radius_links, RADIUS_LINKS), "radius_groups": (radius_cells, f'WITH {RADIUS_SQL} SELECT vec_id, "group", cx, cy FROM g'), "radius_vote": (radius_vote, RADIUS_VOTE), "grid_router": (
+        grid_router,
+        f"WITH {RADIUS_SQL} SELECT 'even_' || \"group\" AS dataset, cx, cy, count(*) AS elements FROM g WHERE vec_id % 2 = 0 GROUP BY ALL"
+    ), "radius_stream": (radius_stream, f"SELECT a, b FROM ({RADIUS_VOTE})"), "naive_pearson": (naive_pearson, NAIVE), "sketch_pearson": (sketch_pearson, SKETCH_PEARSON),
     "wlsh_windows": (wlsh_windows, WLSH), "wlsh_nearest": (wlsh_nearest, WLSH1), "wlsh_one": (wlsh_one, WLSH2), "wlsh_similar": (wlsh_similar, WLSH3), "coreset_kmeans_cost": (coreset_kmeans_cost, COST), "coreset_points": (coreset_points, CORESET), "coreset_kmeans": (coreset_kmeans, None),
 }

@@ -33,7 +33,9 @@ def parsed(messages: DataFrame, schema: T.StructType) -> DataFrame:
 def datapoints(messages: DataFrame, payload: T.StructType) -> DataFrame:
     """(dataset, stream, payload fields) of data messages, whose values are a JSON object in text or in place."""
     points = parsed(messages, DATAPOINT)
-    return points.select(F.col("dataSetkey").alias("dataset"), F.col("streamID").alias("stream"), F.from_json("values", payload).alias("p")).select("dataset", "stream", "p.*")
+    return points.select(
+        F.col("dataSetkey").alias("dataset"), F.col("streamID").alias("stream"), F.from_json("values", payload).alias("p")
+    ).select("dataset", "stream", "p.*")
 
 
 def requests(messages: DataFrame) -> DataFrame:
@@ -66,7 +68,10 @@ def csv_estimations(messages: DataFrame) -> DataFrame:
 def multiplexed(estimates: DataFrame) -> dict[str, DataFrame]:
     """Estimations by where they go: whole ones and partial ones that are yet to be merged (by noOfP), updates and others (by requestID)."""
     whole = F.coalesce("noOfP", F.lit(1)) == 1
-    return {"single": estimates.filter(whole), "partial": estimates.filter(~whole), "updates": estimates.filter("requestID = 7"), "estimations": estimates.filter("requestID IS NULL OR requestID <> 7")}
+    return {
+        "single": estimates.filter(whole), "partial": estimates.filter(~whole), "updates": estimates.filter("requestID = 7"),
+        "estimations": estimates.filter("requestID IS NULL OR requestID <> 7")
+    }
 
 
 def estimation_messages(estimates: DataFrame) -> DataFrame:
@@ -83,7 +88,9 @@ def estimation_messages(estimates: DataFrame) -> DataFrame:
 
 def tuple_lines(df: DataFrame, *columns: str) -> DataFrame:
     """(value): the columns of each row as one line, arrays and numbers as text: (a,b,...)."""
-    text = [F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: v.cast("string")), ", "), F.lit("]")) if df.schema[c].dataType.typeName() == "array" else F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
+    text = [F.concat(
+        F.lit("["), F.array_join(F.transform(c, lambda v: v.cast("string")), ", "), F.lit("]")
+    ) if df.schema[c].dataType.typeName() == "array" else F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns]
     return df.select(F.concat(F.lit("("), F.concat_ws(",", *text), F.lit(")")).alias("value"))
 
 

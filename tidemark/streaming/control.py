@@ -37,13 +37,18 @@ def controlled(elements: DataFrame, requests: DataFrame | None, parts: int = 8,
     use_rocksdb(elements.sparkSession)
     part = lambda c: (number(F.col(c), text=True) % parts).cast("int")
     none = lambda kind: F.lit(None).cast(kind)
-    text = elements.select("dataset", F.col("key").cast("string").alias("key"), F.col("weight").cast("long").cast("string").alias("weight"), F.col("at").cast("long").alias("at")).filter("key IS NOT NULL").withColumn("part", part("key"))
+    text = elements.select(
+        "dataset", F.col("key").cast("string").alias("key"), F.col("weight").cast("long").cast("string").alias("weight"),
+        F.col("at").cast("long").alias("at")
+    ).filter("key IS NOT NULL").withColumn("part", part("key"))
     both = text.select(
         "dataset", F.lit("keyed").alias("route"), "part", "at", F.lit(1).alias("kind"), none("int").alias("requestID"), none("int").alias("synopsisID"), none("int").alias("uid"), none("array<string>").alias("param"), none("long").alias("ask"),
         F.col("key").alias("stream"), F.create_map(F.lit("key"), "key", F.lit("weight"), "weight").alias("fields"),
     )
     if requests is not None:
-        asked = requests.filter("synopsisID IN (1, 2)").select(F.col("dataSetkey").alias("dataset"), F.col("at").cast("long").alias("at"), "requestID", "synopsisID", "uid", "param")
+        asked = requests.filter("synopsisID IN (1, 2)").select(
+            F.col("dataSetkey").alias("dataset"), F.col("at").cast("long").alias("at"), "requestID", "synopsisID", "uid", "param"
+        )
         estimates = asked.filter("requestID = 3").withColumn("key", F.explode("param")).withColumn("part", part("key")).withColumn("param", F.array("key")).drop("key")
         own = F.concat(F.array(F.lit("key"), F.lit("weight")), F.slice("param", 3, 99))  # elements have these two fields, whatever they were called
         adds = asked.filter("requestID <> 3").withColumn("param", F.when(F.col("requestID") == 2, F.col("param")).otherwise(own)).withColumn("requestID", F.when(F.col("requestID") == 4, 1).otherwise(F.col("requestID")))
@@ -67,15 +72,21 @@ def start_continuous(stream: DataFrame, spec: SynopsisSpec):
     if spec.kind == "count_min":
         weight = F.lit(1) if spec.value is None else F.col(spec.value)
         elements = stream.select(F.lit(spec.dataset).alias("dataset"), F.col(spec.key).cast("string").alias("key"), weight.alias("weight"), F.col("at"))
-        rows = controlled(elements, None, standing=(spec.uid, [str(p.get("eps", 0.01)), str(p.get("confidence", 0.99)), str(p.get("seed", 1))])).withColumnRenamed("key", spec.key)
+        rows = controlled(
+            elements, None, standing=(spec.uid, [str(p.get("eps", 0.01)), str(p.get("confidence", 0.99)), str(p.get("seed", 1))])
+        ).withColumnRenamed("key", spec.key)
     elif spec.kind == "trajectory":
-        rows = trajectory_stream(stream, spec.key, p.get("period", 60), p.get("distance", 500), p.get("knots", 1), p.get("course", 1)).withColumn("estimation", F.concat_ws(",", "t", "lat", "lon"))
+        rows = trajectory_stream(
+            stream, spec.key, p.get("period", 60), p.get("distance", 500), p.get("knots", 1), p.get("course", 1)
+        ).withColumn("estimation", F.concat_ws(",", "t", "lat", "lon"))
     elif spec.kind == "wor_sample":
         rows = bernoulli(stream, spec.key, 1).withColumn("estimation", F.col(spec.value or spec.key).cast("string"))
     elif spec.kind == "radius":
         from tidemark.streaming.digests import radius_as_it_arises
 
-        pairs = radius_as_it_arises(stream, spec.key, "at", spec.value, p.get("window", 20), p.get("groups", 10), p.get("side", 0.8), p.get("percent", 70), p.get("keep", 10))
+        pairs = radius_as_it_arises(
+            stream, spec.key, "at", spec.value, p.get("window", 20), p.get("groups", 10), p.get("side", 0.8), p.get("percent", 70), p.get("keep", 10)
+        )
         rows = pairs.select(F.concat_ws("|", "a", "b").alias(spec.key), F.col("w").cast("string").alias("estimation"))
     else:
         raise ValueError(f"{spec.kind} has no continuous form")
