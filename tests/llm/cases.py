@@ -9,7 +9,9 @@ ROWS = "doc_id long, text string, lang string, source string, n_chars long, row
 
 def words(n, seed):
     r = random.Random(seed)
-    return " ".join(r.choice(["the", "of", "and", "river", "stone", "a", "élan", "winter", "go", "seven", "light", "harbour"]) + str(r.randint(0, 40)) * r.randint(0, 1) for _ in range(n))
+    return " ".join(r.choice([
+        "the", "of", "and", "river", "stone", "a", "élan", "winter", "go", "seven", "light", "harbour"
+    ]) + str(r.randint(0, 40)) * r.randint(0, 1) for _ in range(n))
 
 
 def awkward(spark):

@@ -117,7 +117,10 @@ def test_embedding_dedup(spark):
     rows += [(3000 + k, rows[k][1] * 2 + rng.normal(size=16) * 0.1, k % 3) for k in range(200)]
     rows += [(4000, rows[5][1], 2), (4000, rows[5][1], 2), (4001, rows[5][1], 2)]
     data = [(i, [float(v) for v in x], lab) for i, x, lab in rows]
-    odd = [(5000, None, 1), (5001, [0.0] * 16, 1), (5002, [float("nan")] + [1.0] * 15, 1), (5003, [None] + [1.0] * 15, 1), (5004, [float("inf")] + [1.0] * 15, 1), (5005, data[0][1], None), (5006, [], 1), (5007, [1.0], 1), (None, data[0][1], 0)]
+    odd = [
+        (5000, None, 1), (5001, [0.0] * 16, 1), (5002, [float("nan")] + [1.0] * 15, 1), (5003, [None] + [1.0] * 15, 1),
+        (5004, [float("inf")] + [1.0] * 15, 1), (5005, data[0][1], None), (5006, [], 1), (5007, [1.0], 1), (None, data[0][1], 0)
+    ]
     df = spark.createDataFrame(data + odd, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS rep", "2 AS emb", "3 AS copies")
     got = embedding_dup.embedding_dedup(df, block=64).collect()
     assert len(got) == len(data) + len(odd)
@@ -149,7 +152,10 @@ def brute_spans(texts, length):
         if len(places) > 1:
             for k, i in places:
                 cover[k][i : i + length] = True
-    return [(len(b), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~c])).hexdigest()) for b, c in zip(data, cover)]
+    return [
+        (len(b), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~c])).hexdigest()) for b,
+        c in zip(data, cover)
+    ]
 
 
 @pytest.mark.parametrize("shard", [256, 3])

@@ -42,4 +42,6 @@ def test_no_link_and_own_counts(spark):
     df = spark.createDataFrame([(1, WORD), (2, OTHER), (3, f"{WORD} {OTHER}")], "doc_id long, text string")
     assert {(r.doc_id, r.class_id, r.n_links) for r in near_dup.jaccard_join(df).collect()} == {(1, 1, 0), (2, 2, 0), (3, 3, 0)}
     got = lm_score.lm_scores(df, order=2).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == brute_lm([(1, WORD), (2, OTHER), (3, f"{WORD} {OTHER}")], 2)
+    assert sorted((
+        str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)
+    ) for r in got) == brute_lm([(1, WORD), (2, OTHER), (3, f"{WORD} {OTHER}")], 2)

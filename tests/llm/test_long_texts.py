@@ -12,7 +12,10 @@ WORDS = " ".join(f"w{k * k % 9973}" for k in range(500_000))  # some 3 MB
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(1, WORDS, "en", "a"), (2, WORDS, "en", "b"), (3, WORDS + " and a little more", None, "a"), (4, "short text of a few words", "en", "a"), (5, None, None, None), (6, "line of more than twenty letters\n" * 60_000, "en", "a")]
+    rows = [
+        (1, WORDS, "en", "a"), (2, WORDS, "en", "b"), (3, WORDS + " and a little more", None, "a"), (4, "short text of a few words", "en", "a"),
+        (5, None, None, None), (6, "line of more than twenty letters\n" * 60_000, "en", "a")
+    ]
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
 
 

@@ -52,7 +52,10 @@ def brute_lm(docs, order):
             else:
                 total -= math.log10(257 - len(excluded))
         w = tokens(t)
-        out.append((str(i), held(i), len(w), sum(vocabulary[x] > 0 for x in w), n, round(sum(math.log10((vocabulary[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 4), round(total, 4)))
+        out.append((
+            str(i), held(i), len(w), sum(vocabulary[x] > 0 for x in w), n,
+            round(sum(math.log10((vocabulary[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), 4), round(total, 4)
+        ))
     return sorted(out)
 
 
@@ -60,7 +63,9 @@ def brute_lm(docs, order):
 def test_lm_scores(spark, order, most_words):
     df = awkward(spark).filter("text IS NULL OR length(text) < 5000")
     got = lm_score.lm_scores(df, order=order, most_words=most_words).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == brute_lm([(r.doc_id, r.text) for r in df.collect()], order)
+    assert sorted((
+        str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)
+    ) for r in got) == brute_lm([(r.doc_id, r.text) for r in df.collect()], order)
     assert lm_score.lm_scores(empty(spark)).count() == 0
 
 
@@ -68,7 +73,9 @@ def test_lm_scores(spark, order, most_words):
 def test_lm_scores_do_not_depend_on_what_tasks_get(spark, order, most_nodes):
     df = awkward(spark).filter("text IS NULL OR length(text) < 5000")
     got = lm_score.lm_scores(df, order=order, most_nodes=most_nodes, most_words=30).collect()
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in got) == brute_lm([(r.doc_id, r.text) for r in df.collect()], order)
+    assert sorted((
+        str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)
+    ) for r in got) == brute_lm([(r.doc_id, r.text) for r in df.collect()], order)
 
 
 def test_frequent_never_exceeds_its_bound(spark):
@@ -118,7 +125,13 @@ def test_language_of_documents_not_trained_on(spark, model):
 def test_pages(spark, model, sf):
     got = language_id.identify_pages(spark.read.parquet(f"{sf}/pages.parquet"), model)
     assert got.filter("lang = declared").count() >= 0.95 * got.count()
-    odd = spark.createDataFrame([(1, None, None), (2, "", ""), (3, "no address", "<p>the of and with from that this</p>"), (None, "https://u@h.example.fr:80/x", "<html lang='de'><script>the and of</script>")], "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS ll")
+    odd = spark.createDataFrame(
+        [
+            (1, None, None), (2, "", ""), (3, "no address", "<p>the of and with from that this</p>"),
+            (None, "https://u@h.example.fr:80/x", "<html lang='de'><script>the and of</script>")
+        ],
+        "page_id long, url string, html string"
+    ).selectExpr("*", "1 AS host", "2 AS ll")
     rows = {r.page_id: r for r in language_id.identify_pages(odd, model).collect()}
     assert rows[1].lang == rows[2].lang == "und" and not rows[1].accepted and rows[3].lang == "en" and rows[None].host == "h.example.fr" and rows[None].declared == "de"
 
@@ -135,7 +148,10 @@ def test_hostile_pages_take_time_in_proportion():
 
 def test_visible_equals_a_plain_pattern():
     r = random.Random(4)
-    parts = ["<", ">", "<!--", "-->", "<script>", "</script>", "</SCRIPT >", "<style x>", "</style>", "<scripts>", "<p a='b'>", "text", "&amp;", "&#12;", " ", "<html lang=fr>", "<HTML class=x LANG = 'De-at'>", "é"]
+    parts = [
+        "<", ">", "<!--", "-->", "<script>", "</script>", "</SCRIPT >", "<style x>", "</style>", "<scripts>", "<p a='b'>", "text", "&amp;", "&#12;",
+        " ", "<html lang=fr>", "<HTML class=x LANG = 'De-at'>", "é"
+    ]
     for _ in range(3000):
         page = "".join(r.choices(parts, k=r.randint(0, 14)))
         want = re.sub(r"&#?[A-Za-z0-9_]+;", " ", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", page))
@@ -179,7 +195,9 @@ def test_text_of_no_known_language_is_not_accepted(spark, model):
 def test_rare_language_is_known_at_any_size(spark):
     ids = spark.range(3000).withColumn("u", F.xxhash64("id") / F.lit(2.0**64) + 0.5)
     last = [r.id for r in ids.orderBy(F.desc("u")).limit(3).collect()]  # the last that a flat sample takes
-    rows = ids.withColumn("lang", F.when(F.col("id").isin(last), "fi").otherwise("en")).withColumn("text", F.when(F.col("lang") == "fi", "kaikki ihmiset syntyvät vapaina").otherwise("the of and with from that this"))
+    rows = ids.withColumn("lang", F.when(F.col("id").isin(last), "fi").otherwise("en")).withColumn(
+        "text", F.when(F.col("lang") == "fi", "kaikki ihmiset syntyvät vapaina").otherwise("the of and with from that this")
+    )
     langs, logs = language_id.train(rows, F.col("lang"), F.col("text"), most_rows=100, key=F.col("id"))
     assert langs == ["en", "fi"] and len(logs) == 3
 
@@ -219,7 +237,9 @@ def brute_language(docs, trust=0.9, kappa=20.0, evidence=40.0, least=0.5):
 def test_language_equals_plain_python(spark):
     sample = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("length(text) < 1500").select("doc_id", "text", "lang", "source").limit(60)
     df = awkward(spark).filter("text IS NULL OR length(text) < 2000").select("doc_id", "text", "lang", "source").unionByName(sample)
-    df = df.unionByName(spark.createDataFrame([(900, "Все люди рождаются свободными", "en", "s1"), (901, "le la les des une", None, "s9"), (902, "ok", "zz", "s0")], df.schema))
+    df = df.unionByName(spark.createDataFrame(
+        [(900, "Все люди рождаются свободными", "en", "s1"), (901, "le la les des une", None, "s9"), (902, "ok", "zz", "s0")], df.schema
+    ))
     docs = [tuple(r) for r in df.collect()]
     frame = spark.createDataFrame(docs, df.schema)
     got = language_id.identify_documents(frame, language_id.train(frame, F.col("lang"), F.col("text"), key=F.col("doc_id"))).collect()
@@ -254,7 +274,9 @@ def test_quality_equals_plain_python(spark):
     for _ in range(200):
         said = [[[(w * (votes[:, k] == v)).sum() + 1 for v in (0, 1)] for k in range(8)] for w in (1 - post, post)]
         share = [(1 - post).sum() + 1, post.sum() + 1]
-        likely = [np.log(share[c] / sum(share)) + sum(np.where(votes[:, k] == 2, 0.0, np.log(np.take(said[c][k], np.minimum(votes[:, k], 1)) / sum(said[c][k]))) for k in range(8)) for c in (0, 1)]
+        likely = [np.log(share[c] / sum(share)) + sum(np.where(
+            votes[:, k] == 2, 0.0, np.log(np.take(said[c][k], np.minimum(votes[:, k], 1)) / sum(said[c][k]))
+        ) for k in range(8)) for c in (0, 1)]
         after = 1 / (1 + np.exp(likely[0] - likely[1]))
         if np.abs(after - post).max() < 1e-9:
             break

@@ -98,7 +98,9 @@ def brute_phrases(rows, support, top=2000):
 def test_collocations(spark, monkeypatch, shards, log_bits, most):
     r = random.Random(9)
     vocabulary = "the of a river stone New York élan winter, go! seven light harbour is new york city".split()
-    rows = [(r.choice(["en", "en", "fr", None]), "  ".join(r.choices(vocabulary, k=r.randint(0, 60))) + r.choice([".", "\n", "\tin new york city today;"])) for _ in range(300)]
+    rows = [(
+        r.choice(["en", "en", "fr", None]), "  ".join(r.choices(vocabulary, k=r.randint(0, 60))) + r.choice([".", "\n", "\tin new york city today;"])
+    ) for _ in range(300)]
     rows += [("en", None), ("en", ""), (None, "?!"), ("zz", "once only")]
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
     monkeypatch.setattr(phrases.grouped, "__defaults__", (most,))
@@ -117,7 +119,10 @@ def test_collocations_take_awkward_tables(spark):
 def test_collocations_of_texts_longer_than_a_stretch(spark, monkeypatch):
     monkeypatch.setattr(phrases, "PART", 64)
     rows = [("en", " ".join(f"w{(k * k) % 7}" for k in range(400)) + ". " + "tick tock! " * 300 + "x" * 500), ("en", "tick tock " * 50)]
-    words = sum(len(h) for batch in [phrases.pa.RecordBatch.from_arrays([phrases.pa.array(x) for x in zip(*rows)], ["lang", "text"])] for *_, h, _, _, _ in phrases.texts([batch]))
+    words = sum(
+        len(h) for batch in [phrases.pa.RecordBatch.from_arrays([phrases.pa.array(x) for x in zip(*rows)], ["lang", "text"])] for *_, h, _, _,
+        _ in phrases.texts([batch])
+    )
     assert words == sum(len(re.findall(r"[^ .!]+", t)) for _, t in rows)
     df = spark.createDataFrame(rows, "lang string, text string")
     assert sorted(tuple(x) for x in phrases.collocations(df, support=30).collect()) == brute_phrases(rows, 30)

@@ -7,7 +7,10 @@ from cases import awkward, empty
 from tidemark.llm import mixing, packing, token_counts
 from tidemark.llm._tokens import encoded, tokenizer
 
-SPECIAL = ["<|endoftext|> hi <|startoftext|>x", "a  b   c\n\n d\t e ", " lead and trail ", "x  y  z", "don't we'll\r\nI'M", "\x1c a\x1fb \x01 c", "日本語 テキスト  です", "É̈ ΟΔΟΣ", "a <|endoftext|>", " ", "\n", "1234 5.6-7"]
+SPECIAL = [
+    "<|endoftext|> hi <|startoftext|>x", "a  b   c\n\n d\t e ", " lead and trail ", "x  y  z", "don't we'll\r\nI'M", "\x1c a\x1fb \x01 c",
+    "日本語 テキスト  です", "É̈ ΟΔΟΣ", "a <|endoftext|>", " ", "\n", "1234 5.6-7"
+]
 
 
 def test_encoding_by_stretches_is_the_librarys():
@@ -24,7 +27,9 @@ def test_encoding_by_stretches_is_the_librarys():
 
 
 def test_pack_is_a_round_trip_with_little_padding(spark):
-    df = awkward(spark).unionByName(spark.createDataFrame([(600 + k, t) for k, t in enumerate(SPECIAL)], "doc_id long, text string"), allowMissingColumns=True).coalesce(2)
+    df = awkward(spark).unionByName(
+        spark.createDataFrame([(600 + k, t) for k, t in enumerate(SPECIAL)], "doc_id long, text string"), allowMissingColumns=True
+    ).coalesce(2)
     texts = {}
     for r in df.collect():
         texts.setdefault(r.doc_id, []).append(np.array([*tokenizer("byte_bpe_50k.json").encode(r.text or "", add_special_tokens=False).ids, 0], "<u4"))
@@ -62,7 +67,9 @@ def test_best_cuts_cost_what_an_exhaustive_search_finds():
 
 @pytest.mark.parametrize("kw", [{}, {"huge": 40, "chunk": 32, "overlap": 8}])
 def test_token_counts(spark, kw):
-    df = awkward(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(600 + k, t) for k, t in enumerate([*SPECIAL, "a b " * 300 + "y" * 500 + " tail"])], "doc_id long, text string"))
+    df = awkward(spark).select("doc_id", "text").unionByName(spark.createDataFrame(
+        [(600 + k, t) for k, t in enumerate([*SPECIAL, "a b " * 300 + "y" * 500 + " tail"])], "doc_id long, text string"
+    ))
     t = tokenizer("word_bpe_49k.json")
     want = sorted((str(r.doc_id), len((r.text or "").encode()), len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in df.collect())
     got = token_counts.token_counts(df, **kw).collect()
@@ -87,7 +94,10 @@ def brute_targets(sizes, weights=(1, 2, 3), cap=3):
 
 def test_mixing(spark):
     rng = np.random.default_rng(2)
-    rows = [(k, " ".join(["w"] * int(n)), s) for k, (n, s) in enumerate(zip(rng.lognormal(3, 1, 1500).astype(int), rng.choice(["a", "b", "c", "ä", None, "tiny"], 1500, p=[0.4, 0.1, 0.2, 0.2, 0.095, 0.005])))]
+    rows = [
+        (k, " ".join(["w"] * int(n)), s) for k,
+        (n, s) in enumerate(zip(rng.lognormal(3, 1, 1500).astype(int), rng.choice(["a", "b", "c", "ä", None, "tiny"], 1500, p=[0.4, 0.1, 0.2, 0.2, 0.095, 0.005])))
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS size", "2 AS target", "3 AS skey")
     got = mixing.mix_sources(df).toPandas()
     again = mixing.mix_sources(df.repartition(5)).toPandas()
@@ -105,7 +115,10 @@ def test_mixing(spark):
 
 def test_rates_are_those_of_an_independent_solution(spark):
     rng = np.random.default_rng(5)
-    rows = [(k, " ".join(["w"] * int(n)), s) for k, (n, s) in enumerate(zip(rng.lognormal(2.5, 0.8, 900).astype(int) + 1, rng.choice(["a", "b", "c", "d"], 900, p=[0.6, 0.2, 0.15, 0.05])))]
+    rows = [
+        (k, " ".join(["w"] * int(n)), s) for k,
+        (n, s) in enumerate(zip(rng.lognormal(2.5, 0.8, 900).astype(int) + 1, rng.choice(["a", "b", "c", "d"], 900, p=[0.6, 0.2, 0.15, 0.05])))
+    ]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
     for source, g in got.groupby("source"):
         size, target = g["size"].to_numpy(float), g.target.iloc[0]

@@ -74,7 +74,10 @@ def test_mix_takes_repeated_rows_as_often_as_planned(spark, sf):
 
 def test_dedup_stages_keep_one_row_of_each_text_whatever_its_id(spark, sf):
     w, v, u = (" ".join(f"{x}{k}" for k in range(40)) for x in "wvu")
-    rows = [(1, w, "a"), (None, w, "b"), (5, w, "c"), (5, v, "d"), (7, w + "  ", "e"), (None, u, "f"), (None, u, "f"), (None, u + " end", "g"), (8, u + " end here", "h"), (None, "alone", None), (9, v + " end", "i"), (9, "another", "j"), (9, "another", "j")]
+    rows = [
+        (1, w, "a"), (None, w, "b"), (5, w, "c"), (5, v, "d"), (7, w + "  ", "e"), (None, u, "f"), (None, u, "f"), (None, u + " end", "g"),
+        (8, u + " end here", "h"), (None, "alone", None), (9, v + " end", "i"), (9, "another", "j"), (9, "another", "j")
+    ]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     kept = corpus_pipeline.cut(corpus_pipeline.exact(spark, df, sf))
     assert sorted(((r.doc_id, r.text, r.source) for r in kept.collect()), key=str) == sorted([rows[k] for k in (0, 3, 4, 5, 7, 8, 9, 10, 11)], key=str)

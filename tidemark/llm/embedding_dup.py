@@ -54,7 +54,10 @@ def permutations(batches, pivots: np.ndarray, nearest: int):
             cos = x @ pivots.T
             best = np.sort(np.argpartition(-cos, nearest - 1, axis=1)[:, :nearest], axis=1)
             perm += np.take_along_axis(best, np.argsort(-np.take_along_axis(cos, best, 1), axis=1, kind="stable"), 1).tolist()
-        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("rep", "label", "copies", "emb")), pa.array(perm, pa.list_(pa.int32()))], ["rep", "label", "copies", "emb", "perm"])
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(k) for k in ("rep", "label", "copies", "emb")), pa.array(perm, pa.list_(pa.int32()))],
+            ["rep", "label", "copies", "emb", "perm"]
+        )
 
 
 def verify(batches, threshold: float, enough: int):
@@ -123,7 +126,9 @@ def embedding_dedup(
         label = same.schema["label"].dataType.simpleString()
         kind = same.schema["emb"].dataType.simpleString()
         lists = (
-            same.select("rep", "label", "copies", "emb").mapInArrow(lambda it: permutations(it, box.value, k), f"rep long, label {label}, copies long, emb {kind}, perm array<int>")
+            same.select("rep", "label", "copies", "emb").mapInArrow(
+                lambda it: permutations(it, box.value, k), f"rep long, label {label}, copies long, emb {kind}, perm array<int>"
+            )
             .withColumn("dim", F.size("emb")).withColumn("pivot", F.explode(F.slice(F.sort_array("perm"), 1, k - t + 1)))
         )
         lists = cut(lists)
@@ -131,7 +136,10 @@ def embedding_dedup(
         sizes = cut(lists.groupBy("label", "dim", "pivot").agg(F.count("*").alias("m")).filter("m > 1"))  # a table of its own, so that Spark can split the join's hot keys
         verified = cut(
             lists.join(sizes, ["label", "dim", "pivot"])
-            .select(F.xxhash64("label", "dim", "pivot").alias("gid"), "pivot", "rep", "copies", "emb", "perm", blocks.alias("blocks"), F.pmod(F.xxhash64("rep", "pivot"), blocks).cast("int").alias("part"))
+            .select(
+                F.xxhash64("label", "dim", "pivot").alias("gid"), "pivot", "rep", "copies", "emb", "perm", blocks.alias("blocks"),
+                F.pmod(F.xxhash64("rep", "pivot"), blocks).cast("int").alias("part")
+            )
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             .select("gid", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "pivot", "rep", "part", "copies", "emb", "perm")
             .repartition("gid", "bi", "bj").sortWithinPartitions("gid", "bi", "bj")

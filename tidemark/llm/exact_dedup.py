@@ -65,14 +65,19 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     )
     blocks = texts.select(
         key.alias("row_key"), "n_blocks",
-        F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.substring(F.col("bytes"), k * block_bytes + 1, F.lit(block_bytes)))).alias("pos", "block"),
+        F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.col("n_blocks") - 1), lambda k: F.substring(F.col("bytes"), k * block_bytes + 1, F.lit(block_bytes))
+        )).alias("pos", "block"),
     )
     level = cut(blocks.join(named(blocks, ["block"]), "block").groupBy("row_key", "n_blocks").agg(name_array()))
     finished = [level.filter(F.size("names") == 1)]
     while level.filter(F.size("names") > 1).limit(1).count():
         pairs = level.filter(F.size("names") > 1).select(
             "row_key", "n_blocks",
-            F.posexplode(F.transform(F.sequence(F.lit(0), ((F.size("names") - 1) / 2).cast("int")), lambda k: F.struct(F.get("names", 2 * k).alias("l"), F.coalesce(F.get("names", 2 * k + 1), F.lit(-1)).alias("r")))).alias("pos", "pair"),
+            F.posexplode(F.transform(
+                F.sequence(F.lit(0), ((F.size("names") - 1) / 2).cast("int")),
+                lambda k: F.struct(F.get("names", 2 * k).alias("l"), F.coalesce(F.get("names", 2 * k + 1), F.lit(-1)).alias("r"))
+            )).alias("pos", "pair"),
         ).select("row_key", "n_blocks", "pos", "pair.l", "pair.r")
         level = cut(pairs.join(named(pairs, ["l", "r"]), ["l", "r"]).groupBy("row_key", "n_blocks").agg(name_array()))
         finished.append(level.filter(F.size("names") == 1))

@@ -71,8 +71,13 @@ def train(rows: DataFrame, lang: Column, text: Column, most_rows: int = 20_000,
     """Languages in order and log frequencies (language, bucket), the unknown language's last, from about `most_rows` rows of each
     language (all rows where it has fewer), chosen by the hash of their key. Known is every language that some row with a trigram has; of
     more than `most_langs` different tags, which bound the model, those with the most rows (ties by name)."""
-    named = rows.select(lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"), (F.xxhash64(*([key] if key is not None else []), text) / F.lit(2.0**64) + 0.5).alias("u")).filter("lang IS NOT NULL")
-    rates = cut(rows.select(lang.alias("lang")).filter("lang IS NOT NULL").groupBy("lang").agg(F.count("*").alias("rows"), F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*")).alias("rate")).orderBy(F.desc("rows"), "lang").limit(most_langs).drop("rows"))
+    named = rows.select(
+        lang.alias("lang"), F.coalesce(text, F.lit("")).alias("text"),
+        (F.xxhash64(*([key] if key is not None else []), text) / F.lit(2.0**64) + 0.5).alias("u")
+    ).filter("lang IS NOT NULL")
+    rates = cut(rows.select(lang.alias("lang")).filter("lang IS NOT NULL").groupBy("lang").agg(
+        F.count("*").alias("rows"), F.least(F.lit(1.0), F.lit(float(most_rows)) / F.count("*")).alias("rate")
+    ).orderBy(F.desc("rows"), "lang").limit(most_langs).drop("rows"))
     named = named.join(rates, "lang")  # a table of its own, a row for each language, so that Spark knows its size
     found = named.filter(F.col("u") <= F.col("rate")).select("lang", "text").mapInArrow(count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
@@ -123,17 +128,26 @@ def identify(
     """
     langs, logs = model
     if not langs:
-        return rows.select(*keep, F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), declared.alias("declared"), F.lit(False).alias("accepted"))
+        return rows.select(
+            *keep, F.lit("und").alias("lang"), F.lit(0.0).alias("confidence"), F.lit("und").alias("text_lang"), declared.alias("declared"),
+            F.lit(False).alias("accepted")
+        )
     places = [f"place_{k}" for k in range(len(levels))]
     box = rows.sparkSession.sparkContext.broadcast(logs)
-    flat = rows.select(F.coalesce(text, F.lit("")).alias("_text"), *keep, declared.alias("declared"), *[F.coalesce(x.cast("string"), F.lit("")).alias(p) for x, p in zip(levels, places)])
+    flat = rows.select(
+        F.coalesce(text, F.lit("")).alias("_text"), *keep, declared.alias("declared"),
+        *[F.coalesce(x.cast("string"), F.lit("")).alias(p) for x, p in zip(levels, places)]
+    )
     types = {f.name: f.dataType.simpleString() for f in flat.schema}
     schema = ", ".join(f"`{c}` {types[c]}" for c in flat.columns[1:]) + ", ll array<double>, letters long"
     scored = flat.mapInArrow(lambda it: likelihoods(it, box.value, evidence), schema)
     n = len(langs)
     names = F.array(*map(F.lit, langs))
     wrong = (1 - trust) / max(1, n - 1)
-    said = [F.when(F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False)), F.when(F.col("declared") == x, math.log(trust)).otherwise(math.log(wrong))).otherwise(0.0) for x in langs]
+    said = [F.when(
+        F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False)),
+        F.when(F.col("declared") == x, math.log(trust)).otherwise(math.log(wrong))
+    ).otherwise(0.0) for x in langs]
     said.append(F.when(F.coalesce(F.array_contains(names, F.col("declared")), F.lit(False)), math.log(wrong)).otherwise(0.0))  # the unknown language's
     scored = scored.withColumn("ll2", F.array(*[F.col("ll")[k] + said[k] for k in range(n + 1)]))
     first = cut(scored.withColumn("post", F.when(F.col("letters") > 0, F.slice(softmax(F.col("ll2")), 1, n)).otherwise(F.array_repeat(F.lit(0.0), n))))
@@ -148,14 +162,19 @@ def identify(
     for p in ["top", *places]:
         own = F.zip_with(f"sum_{p}", "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
         total = F.aggregate(own, F.lit(0.0), lambda s, y: s + y)
-        out = out.withColumn("own", own).withColumn("total", total).withColumn("prior", F.zip_with("own", prior if p == "top" else F.col("prior"), lambda a, q: (a + kappa * q) / (F.col("total") + kappa)))
+        out = out.withColumn("own", own).withColumn("total", total).withColumn(
+            "prior", F.zip_with("own", prior if p == "top" else F.col("prior"), lambda a, q: (a + kappa * q) / (F.col("total") + kappa))
+        )
     priors = F.concat(F.transform("prior", lambda q: q * (n / (n + 1))), F.array(F.lit(1 / (n + 1))))
     fused = F.slice(softmax(F.zip_with("ll2", priors, lambda a, q: a + F.log(q))), 1, n)
     classes = F.array(*map(F.lit, [*langs, "und"]))
     best = lambda x: classes[(F.array_position(x, F.array_max(x)) - 1).cast("int")]
     out = out.withColumn("fused", fused).withColumn("confidence", F.when(F.col("letters") > 0, F.round(F.array_max("fused"), 6)).otherwise(0.0))
     accepted = (F.col("letters") > 0) & (F.col("confidence") >= least)
-    return out.select(*keep, F.when(accepted, best(F.col("fused"))).otherwise("und").alias("lang"), "confidence", F.when(F.col("letters") > 0, best(F.col("ll"))).otherwise("und").alias("text_lang"), "declared", accepted.alias("accepted"))
+    return out.select(
+        *keep, F.when(accepted, best(F.col("fused"))).otherwise("und").alias("lang"), "confidence",
+        F.when(F.col("letters") > 0, best(F.col("ll"))).otherwise("und").alias("text_lang"), "declared", accepted.alias("accepted")
+    )
 
 
 HIDDEN = {k: re.compile(rb"</%s\s*>" % k, re.I) for k in (b"script", b"style")}
@@ -210,7 +229,10 @@ def page_texts(batches):
         for low in range(0, batch.num_rows, 64):
             part = batch.slice(low, 64)
             pages = part.column(2).cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array([f(x) for x in pages], pa.binary()).cast(pa.string()) for f in (visible, declared_language))], ["page_id", "host", "shown", "declared"])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(1), *(pa.array([f(x) for x in pages], pa.binary()).cast(pa.string()) for f in (visible, declared_language))],
+                ["page_id", "host", "shown", "declared"]
+            )
 
 
 def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **options) -> DataFrame:
@@ -220,10 +242,19 @@ def identify_pages(pages: DataFrame, model: tuple[list[str], np.ndarray], id_col
     labels = F.split("host", r"\.")
     raw_ = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     rows = raw_.mapInArrow(page_texts, f"page_id {raw_.schema['page_id'].dataType.simpleString()}, host string, shown string, declared string")
-    return identify(rows, ["page_id", "host"], F.col("shown"), F.col("declared"), [F.element_at(labels, -1), F.array_join(F.slice(labels, -F.least(F.lit(2), F.size(labels)), F.lit(2)), "."), F.col("host")], model, **options)
+    return identify(
+        rows, ["page_id", "host"], F.col("shown"), F.col("declared"),
+        [F.element_at(labels, -1), F.array_join(F.slice(labels, -F.least(F.lit(2), F.size(labels)), F.lit(2)), "."), F.col("host")], model, **options
+    )
 
 
-def identify_documents(docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
+def identify_documents(
+    docs: DataFrame, model: tuple[list[str], np.ndarray], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang",
+    source_col: str = "source", **options
+) -> DataFrame:
     """Language of documents from their text, the language they are said to have, and their source. key tells rows of one id apart."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(declared_col).alias("said"), F.col(source_col).alias("place")).withColumn("key", F.xxhash64("text"))
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(declared_col).alias("said"),
+        F.col(source_col).alias("place")
+    ).withColumn("key", F.xxhash64("text"))
     return identify(rows, ["doc_id", "key"], F.col("text"), F.col("said"), [F.col("place")], model, **options)

@@ -78,7 +78,10 @@ class Shard:
 
     @classmethod
     def read(cls, r) -> Shard:
-        return cls(r["sizes"], np.frombuffer(r["words"], np.uint64), *(np.frombuffer(r[k], t) for k, t in (("prints", np.uint64), ("docs", np.int64), ("top", np.int64), ("named", bool))))
+        return cls(
+            r["sizes"], np.frombuffer(r["words"], np.uint64),
+            *(np.frombuffer(r[k], t) for k, t in (("prints", np.uint64), ("docs", np.int64), ("top", np.int64), ("named", bool)))
+        )
 
     def find(self, pairs: np.ndarray) -> np.ndarray:
         """The place of each pair that is known, or -1."""
@@ -113,7 +116,10 @@ def build(batches):
             order = np.argsort(own.places(pairs[a:b])) + a
             blobs = [own.words, pairs[order, 1], docs[order], ids[order], named[order]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(shard[a])], pa.int32()), pa.array([own.sizes], pa.list_(pa.int64())), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in blobs)],
+                [
+                    pa.array([int(shard[a])], pa.int32()), pa.array([own.sizes], pa.list_(pa.int64())),
+                    *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in blobs)
+                ],
                 ["shard", "sizes", "words", "prints", "docs", "top", "named"],
             )
 
@@ -186,7 +192,10 @@ def unknown(batches, shards: dict[int, Shard], n: int, least: int, least_chars:
         for low, _, _, row, nth, pairs in _lines(batch, least_chars):
             known, _ = _probe(shards, n, pairs, least, has[row + low], ids[row + low])
             take = pa.array(row[~known] + low)
-            yield pa.RecordBatch.from_arrays([*(pa.array(pairs[~known, k].view(np.int64)) for k in (0, 1)), batch.column(0).take(take), batch.column(2).take(take), pa.array(nth[~known])], ["h1", "h2", "doc_id", "th", "nth"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(pairs[~known, k].view(np.int64)) for k in (0, 1)), batch.column(0).take(take), batch.column(2).take(take), pa.array(nth[~known])],
+                ["h1", "h2", "doc_id", "th", "nth"]
+            )
 
 
 def probe_tables(batches, least: int):
@@ -218,7 +227,9 @@ def kept_lines(batches, shards: dict[int, Shard], n: int, least: int, least_char
                 gone[i].update(more or ())
             digests = [hashlib.sha256(b"\n".join([x for k, x in enumerate(own) if k not in g] if g else own)).hexdigest() for own, g in zip(lines, gone)]
             counts = (pa.array([len(x) for x in y], pa.int64()) for y in (lines, gone))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *counts, pa.array(digests, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(low, high - low), *counts, pa.array(digests, pa.string())], ["doc_id", "n_lines", "n_dropped", "kept_sha256"]
+            )
 
 
 def shards_of(digests: DataFrame, n: int) -> DataFrame:
@@ -233,7 +244,10 @@ def shards_of(digests: DataFrame, n: int) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard").mapInArrow(build, SHARD)
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, least_chars: int = 20, most: int = 1 << 20, shard_keys: int = 1 << 17) -> DataFrame:
+def line_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 3, least_chars: int = 20, most: int = 1 << 20,
+    shard_keys: int = 1 << 17
+) -> DataFrame:
     """One row per row of df: doc_id, n_lines, n_dropped, kept_sha256.
 
     A text is split at \\n; a null or empty one is one empty line. A line's key is the line without white space at its ends, A-Z as a-z.

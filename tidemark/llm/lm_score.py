@@ -157,8 +157,14 @@ class Trie:
             longer = above[open_]
             free = have & (longer < 0)
             if k < self.order and len(self.context[k + 1]):
-                bound = np.where(free, self.log_total[k][np.minimum(at, len(self.context[k]) - 1)] if len(self.context[k]) else 0.0, self.log_rest[k + 1][np.maximum(longer, 0)])
-                escape = np.where(longer < 0, np.where(free, self.log_escape[k][np.minimum(at, len(self.context[k]) - 1)] if len(self.context[k]) else 0.0, 0.0), self.log_next[k + 1][np.maximum(longer, 0)])
+                bound = np.where(
+                    free, self.log_total[k][np.minimum(at, len(self.context[k]) - 1)] if len(self.context[k]) else 0.0,
+                    self.log_rest[k + 1][np.maximum(longer, 0)]
+                )
+                escape = np.where(
+                    longer < 0, np.where(free, self.log_escape[k][np.minimum(at, len(self.context[k]) - 1)] if len(self.context[k]) else 0.0, 0.0),
+                    self.log_next[k + 1][np.maximum(longer, 0)]
+                )
             elif len(self.context[k]):
                 i = np.minimum(at, len(self.context[k]) - 1)
                 bound, escape = self.log_total[k][i], np.where(have, self.log_escape[k][i], 0.0)
@@ -207,7 +213,10 @@ def score_partition(batches, places: tuple[np.ndarray, np.ndarray], common: tupl
             known = np.bincount(row[found], minlength=j - i)
             base = np.bincount(row, weights=value, minlength=j - i).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), lists(h[~found], row[~found], j - i), pa.array(score), open_],
+                [
+                    batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base),
+                    lists(h[~found], row[~found], j - i), pa.array(score), open_
+                ],
                 ["doc_id", "held_out", "n_tokens", "known", "base", "rare", "score", "open"],
             )
 
@@ -227,7 +236,9 @@ def unseen(keys: DataFrame, levels: list[DataFrame], symbols_seen: int) -> DataF
         inside = entries.withColumn("context", F.shiftright("own", 9)).join(open_.select("context").distinct(), "context", "left_semi")
         counts = F.lit(None).cast("long")
         if k:
-            inside = inside.withColumn("shorter", F.col("own").bitwiseAND((1 << 9 * k) - 1)).join(levels[k - 1].select(F.col("key").alias("shorter"), F.col("n").alias("below")), "shorter")
+            inside = inside.withColumn("shorter", F.col("own").bitwiseAND((1 << 9 * k) - 1)).join(
+                levels[k - 1].select(F.col("key").alias("shorter"), F.col("n").alias("below")), "shorter"
+            )
             counts = F.sum(2 * F.col("below") - 1)
         contexts = inside.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), counts.alias("next"))
         at = open_.join(F.broadcast(contexts) if k < 3 else contexts, "context", "left").join(F.broadcast(entries) if k < 2 else entries, "own", "left")
@@ -284,12 +295,18 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ord
     box, common = sc.broadcast((places, place_logs)), sc.broadcast((hashes[by], logs[by]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(lambda it: score_partition(it, box.value, common.value, order), f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, open array<long>")
+    scored = docs.mapInArrow(
+        lambda it: score_partition(it, box.value, common.value, order),
+        f"doc_id {kind}, held_out boolean, n_tokens long, known long, base double, rare array<long>, score double, open array<long>"
+    )
     scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     rare = (
         scored.select("row", F.explode("rare").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
         .join(counts.filter(F.col("n") < least_word), "key", "left")
-        .groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"), F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"))
+        .groupBy("row").agg(
+            F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
+            F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base")
+        )
     )
     open_ = scored.select("row", "held_out", F.explode("open").alias("key"))
     infrequent = seen.filter(F.col("n") < least).select("key", "log")

@@ -28,7 +28,9 @@ def word_count(text: Column) -> Column:
 def source_targets(sources: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: int = 3) -> DataFrame:
     """Adds target to a table (skey, source_size) of sources: shares by weight in the order of skey, at most cap times the size, the excess reshared."""
     ranged = cut(sources.repartitionByRange("skey").withColumn("piece", F.spark_partition_id()))  # sources may be hosts: no window over all of them
-    pieces = ranged.groupBy("piece").agg(F.count("*").alias("rows")).withColumn("start", F.coalesce(F.sum("rows").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = ranged.groupBy("piece").agg(F.count("*").alias("rows")).withColumn(
+        "start", F.coalesce(F.sum("rows").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
     place = F.col("start") + F.row_number().over(Window.partitionBy("piece").orderBy("skey")) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
     t = cut(ranged.join(pieces.select("piece", "start"), "piece").select("skey", "source_size", weight.alias("weight")))
@@ -52,7 +54,9 @@ def balance(cells: DataFrame, sources: DataFrame, cap: int, rounds: int, toleran
     state = cut(
         sources.filter("source_size > 0").join(scale, "skey").select(
             "skey", "scale", "target",
-            F.when(F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), F.lit(float("inf"))).otherwise(F.log(F.col("target") / F.col("source_size"))).alias("lam"),
+            F.when(
+                F.col("target") >= cap * F.col("source_size") * (1 - 1e-12), F.lit(float("inf"))
+            ).otherwise(F.log(F.col("target") / F.col("source_size"))).alias("lam"),
             F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"), F.lit(False).alias("done"),
         )
     )
@@ -108,7 +112,9 @@ def mix_sources(
         .withColumn("part", F.when(F.col("size") > 0, F.round((F.col("rate") - F.col("base")) * UNIT)).otherwise(0).cast("long"))
         .repartitionByRange(*order).withColumn("piece", F.spark_partition_id())
     )
-    pieces = ranged.groupBy("piece").agg(F.sum("part").alias("total")).withColumn("start", F.coalesce(F.sum("total").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    pieces = ranged.groupBy("piece").agg(F.sum("part").alias("total")).withColumn(
+        "start", F.coalesce(F.sum("total").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    )
     run = F.col("start") + F.sum("part").over(Window.partitionBy("piece").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     rounded = cut(
         ranged.join(pieces.select("piece", "start"), "piece").withColumn("run", run)
@@ -129,7 +135,9 @@ def mix_sources(
         before, moves = moves, cut(moved if moves is None else moves.unionByName(moved).groupBy("doc_id", "skey").agg(F.sum("move").alias("move")))
         if before is not None:
             forget(before)
-        now = rounded.join(moves, ["doc_id", "skey"], "left").withColumn("copies", F.least(F.lit(cap), F.greatest(F.lit(0), F.col("copies") + F.coalesce("move", F.lit(0))))).drop("move")
+        now = rounded.join(moves, ["doc_id", "skey"], "left").withColumn(
+            "copies", F.least(F.lit(cap), F.greatest(F.lit(0), F.col("copies") + F.coalesce("move", F.lit(0))))
+        ).drop("move")
         if not moves.limit(1).count():
             break
     return now.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "source")

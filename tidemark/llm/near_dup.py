@@ -152,7 +152,9 @@ def jaccard_join(
     """
     n_bands, n_rows = banding(threshold, recall)
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    signed = cut(docs.select("doc_id", "th", "text").mapInArrow(lambda it: signatures(it, n_bands, n_rows, width), "doc_id long, th long, n_words long, k1 long, k2 long, bands array<long>"))
+    signed = cut(docs.select("doc_id", "th", "text").mapInArrow(
+        lambda it: signatures(it, n_bands, n_rows, width), "doc_id long, th long, n_words long, k1 long, k2 long, bands array<long>"
+    ))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("first")
     same = cut(signed.filter("n_words > 0").groupBy("n_words", "k1", "k2", "bands").agg(first, F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))  # written once: the numbers stay
 
@@ -189,7 +191,13 @@ def jaccard_join(
         .select("n_words", "k1", "k2", F.coalesce("root", "first").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     )
     kept = F.col("doc_id").eqNullSafe(F.col("root.doc_id")) & (F.col("th") == F.col("root.th"))
-    some = signed.filter("n_words > 0").join(classes, ["n_words", "k1", "k2"]).select("doc_id", F.col("root.doc_id").alias("class_id"), "n_links", F.col("copies").alias("n_copies"), kept.alias("kept"), F.col("th").alias("text_hash"))
+    some = signed.filter("n_words > 0").join(classes, ["n_words", "k1", "k2"]).select(
+        "doc_id", F.col("root.doc_id").alias("class_id"), "n_links", F.col("copies").alias("n_copies"), kept.alias("kept"),
+        F.col("th").alias("text_hash")
+    )
     zero, one_copy = F.lit(0).cast("long"), F.lit(1).cast("long")
-    alone = signed.filter("n_words = 0").select("doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), one_copy.alias("n_copies"), F.lit(True).alias("kept"), F.col("th").alias("text_hash"))
+    alone = signed.filter("n_words = 0").select(
+        "doc_id", F.col("doc_id").alias("class_id"), zero.alias("n_links"), one_copy.alias("n_copies"), F.lit(True).alias("kept"),
+        F.col("th").alias("text_hash")
+    )
     return some.unionByName(alone)

@@ -102,7 +102,10 @@ def pack_partition(batches, file: str, end_id: int, length: int, sentence: float
 
     def batch_of(rows, kind):
         cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])],
+            ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+        )
 
     kind = None
     for batch in batches:

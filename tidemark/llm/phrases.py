@@ -203,7 +203,10 @@ def count_phrases(batches, longest: int, words: HashFilter, phrases: HashFilter)
             first, n = at[order[new]], np.diff(np.append(new, len(at)))
             phrase = [b" ".join([data[s[k + i] : e[k + i]] for i in range(m)]) for k in first.tolist()]
             lang = pa.DictionaryArray.from_arrays(pa.array(code[first].astype(np.int32)), pa.array(names)).dictionary_decode()
-            yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(first), m, np.int32)), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n)], ["lang", "m", "phrase", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [lang, pa.array(np.full(len(first), m, np.int32)), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(n)],
+                ["lang", "m", "phrase", "n"]
+            )
 
 
 def first_words(phrase: Column, k: Column | int) -> Column:
@@ -225,10 +228,17 @@ def score_phrases(counts: DataFrame, totals: DataFrame, top: int) -> DataFrame:
         .join(totals, "lang")
     )
     score = F.expr("(CAST(1000 AS DECIMAL(38, 0)) * a * total) DIV (CAST(l AS DECIMAL(19, 0)) * r)")
-    exact = parts.withColumns({"a": F.col("a").cast("decimal(17,0)"), "total": F.col("total").cast("decimal(17,0)"), "r": F.col("r").cast("decimal(19,0)")}).withColumn("score", score)
-    scored = exact.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", F.col("l").alias("l"), F.col("r").cast("long").alias("r"), F.col("a").cast("long").alias("a"), F.col("total").cast("long").alias("n"))).alias("c"))
+    exact = parts.withColumns({
+        "a": F.col("a").cast("decimal(17,0)"), "total": F.col("total").cast("decimal(17,0)"), "r": F.col("r").cast("decimal(19,0)")
+    }).withColumn("score", score)
+    scored = exact.groupBy("lang", "phrase").agg(F.min(F.struct(
+        "score", "k", F.col("l").alias("l"), F.col("r").cast("long").alias("r"), F.col("a").cast("long").alias("a"),
+        F.col("total").cast("long").alias("n")
+    )).alias("c"))
     # a phrase that a longer one holds with the same count is also held, with that count, by one of a single word more
-    longer = candidates.filter("m > 2").select("lang", "a", F.explode(F.array(first_words(F.col("phrase"), F.col("m") - 1), last_words(F.col("phrase"), F.col("m") - 1))).alias("phrase")).groupBy("lang", "phrase").agg(F.max("a").alias("within"))
+    longer = candidates.filter("m > 2").select(
+        "lang", "a", F.explode(F.array(first_words(F.col("phrase"), F.col("m") - 1), last_words(F.col("phrase"), F.col("m") - 1))).alias("phrase")
+    ).groupBy("lang", "phrase").agg(F.max("a").alias("within"))
     free = scored.join(longer, ["lang", "phrase"], "left").filter("within IS NULL OR within < c.a")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("c.a"), F.asc("phrase")))
     return free.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= top).select("lang", "rank", "phrase", "c.a", "c.l", "c.r", "c.n", "c.score")
@@ -256,7 +266,10 @@ def collocations(
     """
     spark = df.sparkSession
     part = F.pmod(F.xxhash64(F.input_file_name() if shard is None else shard), F.lit(shards))
-    docs = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), part.alias("part"))
+    docs = df.select(
+        F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
+        part.alias("part")
+    )
     docs = docs.select("lang", "text", F.xxhash64("lang", "part").alias("g"))
     single = cut(docs.mapInArrow(lambda it: grouped(word_hashes(it)), "g long, h long, n long").groupBy("g", "h").agg(F.sum("n").alias("n")))
     share = docs.select("lang", "g").distinct().join(single.groupBy("g").agg(F.sum("n").alias("words")), "g")

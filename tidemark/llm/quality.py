@@ -126,8 +126,16 @@ def sampled(batches):
             pats += pattern(votes).tolist()
             for k in range(j - i):
                 b, c = np.unique(np.concatenate([code[at[k] : at[k + 1]], [DIMS]]), return_counts=True)
-                idx.append(np.append(b[:-1], DIMS)), val.append(np.append(c[:-1] / max(1, at[k + 1] - at[k]), again[first[k] : first[k + 1]].mean() if first[k + 1] > first[k] else 0.0))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pats, pa.int32()), pa.array([x.astype(np.int32) for x in idx], pa.list_(pa.int32())), pa.array([x.astype(np.float32) for x in val], pa.list_(pa.float32()))], ["u", "pattern", "idx", "val"])
+                idx.append(np.append(b[:-1], DIMS)), val.append(np.append(
+                    c[:-1] / max(1, at[k + 1] - at[k]), again[first[k] : first[k + 1]].mean() if first[k + 1] > first[k] else 0.0
+                ))
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0), pa.array(pats, pa.int32()), pa.array([x.astype(np.int32) for x in idx], pa.list_(pa.int32())),
+                pa.array([x.astype(np.float32) for x in val], pa.list_(pa.float32()))
+            ],
+            ["u", "pattern", "idx", "val"]
+        )
 
 
 def fit_scorer(rows: list[np.ndarray], values: list[np.ndarray], labels: np.ndarray, rounds: int = 120, rate: float = 2.0) -> np.ndarray:
@@ -157,7 +165,11 @@ def score_rows(batches, w: np.ndarray, post: np.ndarray):
             mean = row_sums(w[code], at) / np.maximum(np.diff(at), 1)
             logit = mean + w[DIMS] * row_sums(again, first) / np.maximum(np.diff(first), 1) + w[-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * votes.shape[1], pa.array(votes.ravel().astype(np.int32))), pa.array(post[pattern(votes)]), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))],
+                [
+                    batch.column(0).slice(i, j - i),
+                    pa.ListArray.from_arrays(np.arange(j - i + 1, dtype=np.int32) * votes.shape[1], pa.array(votes.ravel().astype(np.int32))),
+                    pa.array(post[pattern(votes)]), pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))
+                ],
                 ["doc_id", "votes", "weak_label", "score"],
             )
 
@@ -181,4 +193,6 @@ def quality_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     w = fit_scorer([flat_idx[a:b] for a, b in zip(at[:-1], at[1:])], [flat_val[a:b] for a, b in zip(at[:-1], at[1:])], labels)
     box = df.sparkSession.sparkContext.broadcast((w, post))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(lambda it: score_rows(it, *box.value), f"doc_id {kind}, votes array<int>, weak_label double, score double").withColumn("kept", F.col("score") >= least)
+    return docs.mapInArrow(
+        lambda it: score_rows(it, *box.value), f"doc_id {kind}, votes array<int>, weak_label double, score double"
+    ).withColumn("kept", F.col("score") >= least)

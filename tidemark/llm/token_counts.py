@@ -80,7 +80,10 @@ def count_huge(texts: DataFrame, file: str, chunk: int, overlap: int) -> DataFra
     while True:
         rows = (
             texts.mapInPandas(lambda it, c=chunk, o=overlap: chunked(it, c, o), "key string, no int, n int, whole long, text string").repartition("key", "no")
-            .mapInPandas(lambda it, c=chunk, o=overlap: boundaries(it, file, c, o), "key string, no int, n int, total long, left_at array<long>, left_upto array<long>, right_at array<long>, right_upto array<long>")
+            .mapInPandas(
+                lambda it, c=chunk, o=overlap: boundaries(it, file, c, o),
+                "key string, no int, n int, total long, left_at array<long>, left_upto array<long>, right_at array<long>, right_upto array<long>"
+            )
             .withColumn("seam", F.array_min(F.array_intersect("right_at", F.lead("left_at").over(w))))
             .withColumn("before", F.lag("seam").over(w))
         )
@@ -88,7 +91,9 @@ def count_huge(texts: DataFrame, file: str, chunk: int, overlap: int) -> DataFra
         first = F.when(F.col("no") == 0, F.lit(0)).otherwise(here("left_at", "left_upto", "before"))
         last = F.when(F.col("no") == F.col("n") - 1, F.col("total")).otherwise(here("right_at", "right_upto", "seam"))
         ready = (F.col("no") == F.col("n") - 1) | F.col("seam").isNotNull()
-        done = cut(rows.withColumn("ready", ready & ((F.col("no") == 0) | F.col("before").isNotNull())).groupBy("key").agg(F.bool_and("ready").alias("ready"), F.sum(F.when(F.col("ready"), last - first)).alias("n_tokens")))
+        done = cut(rows.withColumn("ready", ready & ((F.col("no") == 0) | F.col("before").isNotNull())).groupBy("key").agg(
+            F.bool_and("ready").alias("ready"), F.sum(F.when(F.col("ready"), last - first)).alias("n_tokens")
+        ))
         found.append(done.filter("ready").select("key", "n_tokens"))
         if not done.filter("NOT ready").limit(1).count():
             break

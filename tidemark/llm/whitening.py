@@ -145,7 +145,10 @@ def projected(batches, mean: np.ndarray, sums_: list[int], n: int, q: np.ndarray
             ids = batch.column(0).slice(low, len(x)).take(pa.array(np.repeat(np.arange(len(x)), k)))
             m = len(x) * k
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))), pa.array(np.full(m, n, np.int64)), deviation, pa.array((c @ q).ravel()), pa.array(np.tile(share, len(x))), pa.array(np.full(m, error))],
+                [
+                    ids, pa.array(np.tile(np.arange(1, k + 1, dtype=np.int32), len(x))), pa.array(np.full(m, n, np.int64)), deviation,
+                    pa.array((c @ q).ravel()), pa.array(np.tile(share, len(x))), pa.array(np.full(m, error))
+                ],
                 ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
             )
 
@@ -161,7 +164,9 @@ def whiten(
     there are fewer where fewer directions have a variance, so that a table of equal vectors, like an empty one, gives no rows. Where
     eigenvalues are equal, any basis of their space may come. Null and repeated ids are rows like any other. Other columns are not read.
     """
-    rows = df.filter(F.col(vector_col).isNotNull() & finite(F.col(vector_col))).select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("x"))
+    rows = df.filter(F.col(vector_col).isNotNull() & finite(F.col(vector_col))).select(
+        F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("x")
+    )
     data = Fitted(rows.select("x"))
     values, vectors, _ = eigenvectors(data, components, block, degree, cycles) if data.n > 1 else (np.zeros(0), np.zeros((data.dim, 0)), None)
     schema = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
