@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import series, similarity
+from tidemark.plans.engine import Engine
+from tidemark.plans.spec import SynopsisSpec
 from tidemark.streaming import digests
 
 SIZE, WINDOWS, COEFS, THRESHOLD = 4, 3, 2, 0.6
@@ -85,6 +87,10 @@ def test_radius_votes_as_they_arise(spark, tmp_path):
     make = lambda s: digests.radius_as_it_arises(s, "k", "w", "x", 16, 8, 0.8, 60, keep=10)
     got = run(spark, str(tmp_path), make, [rows[:7], rows[7:20], rows[20:]], schema).collect()
     assert len(got) == len(want) > 5 and {tuple(r) for r in got} == want
+    engine = Engine(spark)
+    engine.register_dataset("windows", df, ["w"])
+    told = engine.add_continuous(SynopsisSpec(1, "radius", "windows", "k", "x", {"window": 16, "groups": 8, "side": 0.8, "percent": 60})).collect()
+    assert {(*r.key.split("|"), int(r.estimation)) for r in told} == want and {(r.requestID, r.synopsisID) for r in told} == {(5, 100)}
 
 
 def test_lsh_pairs_as_they_arise(spark, tmp_path):

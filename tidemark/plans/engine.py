@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import frequency, sampling
+from tidemark.operators import frequency, sampling, similarity
 from tidemark.plans import series_synopses  # noqa: F401 - makes its kinds known
 from tidemark.plans.spec import ESTIMATION, REQUEST_IDS, SYNOPSIS_IDS, SynopsisSpec
 from tidemark.plans.synopses import KINDS
@@ -138,10 +138,26 @@ class Engine:
             rows = synopsis.build(df).withColumn("estimation", F.concat_ws(",", "t", "lat", "lon"))
         elif spec.kind == "wor_sample":
             rows = sampling.bernoulli(df, spec.key, 1).withColumn("estimation", F.col(spec.value or spec.key))
+        elif spec.kind == "radius":
+            rows = self._radius_pairs(df, spec, order)
         else:
             raise ValueError(f"{spec.kind} has no continuous form")
         return self._estimations(spec.uid, 5, spec.kind, rows.select(F.col(spec.key).cast("string").alias("key"), F.col("estimation").cast("string")))
 
+    def _radius_pairs(self, df: DataFrame, spec: SynopsisSpec, order: list[str]) -> DataFrame:
+        """Pairs of series whose windows (arrays, numbered by the last column of the order) share enough cells, as their stream tells them."""
+        p, number = spec.params, order[-1]
+        series = F.col(spec.key).cast("string")
+        ids = written(df.select(F.xxhash64(series, number).alias("id"), series.alias("name"), F.col(number).alias("w"), F.col(spec.value).alias("x")))
+        groups = p.get("groups", 10)
+        cells = similarity.radius_groups(ids.select("id", "x"), "id", "x", p.get("window", 20), groups, p.get("side", 0.8), 100)
+        pairs = similarity.radius_vote(cells, "id", groups, p.get("percent", 70))
+        for side in "ab":
+            pairs = pairs.join(ids.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name"), F.col("w").alias(f"{side}_w")), side)
+        pairs = pairs.filter("a_w = b_w AND a_name <> b_name")
+        names = F.concat_ws("|", F.least("a_name", "b_name"), F.greatest("a_name", "b_name"))
+        return pairs.select(names.alias(spec.key), F.col("a_w").cast("string").alias("estimation"))
+
     def synopses(self) -> DataFrame:
         """(uid, synopsisID, kind, dataset, key, value, params, partitioning, partitions) of what is live."""
         rows = [
