@@ -83,13 +83,18 @@ def all_runs(batches, length: int, gram: int):
                 part = data[base + low : base + size if j - i > 1 else min(base + size, base + low + SEGMENT + length - 1)]
                 starts = offsets[i:j] - base - low
                 ends = offsets[i + 1 : j + 1] - base - low
-                s, n, h, fp, several = window_runs(part, np.maximum(starts, 0), np.minimum(np.minimum(ends, len(part)) - length + 1, SEGMENT if j - i == 1 else size), length, gram)
+                s, n, h, fp, several = window_runs(
+                    part, np.maximum(starts, 0), np.minimum(np.minimum(ends, len(part)) - length + 1, SEGMENT if j - i == 1 else size), length, gram
+                )
                 if not len(s):
                     continue
                 row = np.searchsorted(starts, s, side="right") - 1
                 take = pa.array(row + i)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), th.take(take), *(pa.array(x) for x in (h.view(np.int64), fp, s - starts[row] if j - i > 1 else s + low, n.astype(np.int32), several))], ["doc_id", "th", "h", "fp", "s0", "n", "several"]
+                    [
+                        ids.take(take), th.take(take),
+                        *(pa.array(x) for x in (h.view(np.int64), fp, s - starts[row] if j - i > 1 else s + low, n.astype(np.int32), several))
+                    ], ["doc_id", "th", "h", "fp", "s0", "n", "several"]
                 )
 
 
@@ -195,7 +200,10 @@ def shard_repeats(batches, length: int):
         stop = np.flatnonzero((edge == -1) | (cutting & np.concatenate([[False], repeated])))
         row = np.searchsorted(offsets, start, side="right") - 1
         empty = pa.array([None] * len(start), pa.binary())
-        out = [[pa.array(h[row]), pa.array(fp[row]), pa.array((start - offsets[row]).astype(np.int32)), pa.array((stop - offsets[row]).astype(np.int32)), pa.array(np.full(len(start), -1, np.int32)), empty]]
+        out = [[
+            pa.array(h[row]), pa.array(fp[row]), pa.array((start - offsets[row]).astype(np.int32)), pa.array((stop - offsets[row]).astype(np.int32)),
+            pa.array(np.full(len(start), -1, np.int32)), empty
+        ]]
         divided = np.flatnonzero((parts > 1) & once)
         if len(divided):
             hashed = prefix_hash(text)
@@ -204,12 +212,23 @@ def shard_repeats(batches, length: int):
                 own = divided[a:b]
                 at = np.concatenate([np.arange(offsets[r], offsets[r] + n[r]) for r in own])
                 digest = span_hash(hashed, at, at + length)
-                where = np.stack([digest, np.repeat(fp[own], n[own]).view(np.uint64), (at - np.repeat(offsets[own], n[own])).astype(np.uint64) | (repeated[at].astype(np.uint64) << np.uint64(32))], 1)
+                where = np.stack(
+                    [
+                        digest, np.repeat(fp[own], n[own]).view(np.uint64),
+                        (at - np.repeat(offsets[own], n[own])).astype(np.uint64) | (repeated[at].astype(np.uint64) << np.uint64(32))
+                    ],
+                    1
+                )
                 where = where[np.argsort(digest)]
                 k = int(parts[own[0]])
                 cuts = np.searchsorted(where[:, 0], np.array([(r << 64) // k for r in range(1, k)], np.uint64))
-                blobs = [x.tobytes() for x in np.split(where, cuts)]
-                out.append([pa.array([h[own[0]]] * k), pa.array([0] * k, pa.int64()), pa.array([0] * k, pa.int32()), pa.array([0] * k, pa.int32()), pa.array(range(k), pa.int32()), pa.array(blobs, pa.binary())])
+                bounds = np.concatenate([[0], cuts, [len(where)]])
+                some = np.flatnonzero(np.diff(bounds))  # ranges without a window have no row: there are never more rows than windows
+                blobs, m = [where[bounds[r] : bounds[r + 1]].tobytes() for r in some], len(some)
+                out.append([
+                    pa.array([h[own[0]]] * m, pa.int64()), pa.array([0] * m, pa.int64()), pa.array([0] * m, pa.int32()),
+                    pa.array([0] * m, pa.int32()), pa.array(some.astype(np.int32)), pa.array(blobs, pa.binary())
+                ])
         for x in out:
             if len(x[0]):
                 yield pa.RecordBatch.from_arrays(x, ["h", "fp", "a", "b", "range", "windows"])
@@ -235,7 +254,13 @@ def merge_repeats(batches):
                 x = x[np.lexsort((x[:, 2], x[:, 1]))]
                 new = np.concatenate([[True], (x[1:, 1] != x[:-1, 1]) | (x[1:, 2] != x[:-1, 2] + np.uint64(1))])
                 first, last = x[new], x[np.append(new[1:], True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), h[a])), pa.array(first[:, 1].view(np.int64)), pa.array(first[:, 2].astype(np.int32)), pa.array((last[:, 2] + np.uint64(1)).astype(np.int32))], ["h", "fp", "a", "b"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(first), h[a])), pa.array(first[:, 1].view(np.int64)), pa.array(first[:, 2].astype(np.int32)),
+                        pa.array((last[:, 2] + np.uint64(1)).astype(np.int32))
+                    ],
+                    ["h", "fp", "a", "b"]
+                )
 
 
 def removals(batches, length: int):
@@ -261,12 +286,17 @@ def removals(batches, length: int):
             out.append((len(data), sum(b - a for a, b in removed), len(removed), digest.hexdigest(), [{"from": a, "to": b} for a, b in removed]))
         cols = list(zip(*out)) or [()] * 5
         yield pa.RecordBatch.from_arrays(
-            [ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))],
+            [
+                ids, *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string()),
+                pa.array(cols[4], pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())])))
+            ],
             ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"],
         )
 
 
-def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, shard: int = 256, shard_bytes: int = 1 << 18) -> DataFrame:
+def substring_dedup(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, gram: int = 64, shard: int = 256, shard_bytes: int = 1 << 18
+) -> DataFrame:
     """One row per row of df: doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed (the spans, in bytes).
 
     Texts are UTF-8 bytes, null is empty; matches never cross documents. A byte is removed when a string of `length` bytes that covers it
@@ -275,13 +305,18 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     bytes on) is removed. An empty table gives no rows. Other columns are not read.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
-    runs_ = cut(docs.select("doc_id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(lambda it: all_runs(it, length, gram), "doc_id long, th long, h long, fp long, s0 long, n int, several boolean"))
+    runs_ = cut(docs.select("doc_id", "th", "text").filter(F.octet_length("text") >= length).mapInArrow(
+        lambda it: all_runs(it, length, gram), "doc_id long, th long, h long, fp long, s0 long, n int, several boolean"
+    ))
     kinds = cut(
         runs_.groupBy("h", "fp").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "th", "s0", "n", "several")).alias("one"))
         .select("h", "fp", "c", "one.*")
     )
     parts = F.ceil(F.greatest(F.col("kinds") / shard, F.col("bytes") / shard_bytes)).cast("int")
-    anchors = kinds.groupBy("h").agg(F.count("*").alias("kinds"), F.sum(F.col("n").cast("long") + (length - 1)).alias("bytes"), F.max(F.col("several") & (F.col("c") == 1)).alias("within"))
+    anchors = kinds.groupBy("h").agg(
+        F.count("*").alias("kinds"), F.sum(F.col("n").cast("long") + (length - 1)).alias("bytes"),
+        F.max(F.col("several") & (F.col("c") == 1)).alias("within")
+    )
     anchors = cut(anchors.filter("kinds > 1 OR within").select("h", parts.alias("parts")))  # a table of its own, so that Spark can split the join's hot keys
     wanted = kinds.join(anchors, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "fp", "parts", "s0", "n")).alias("wanted"))
     d, w = docs.alias("d"), wanted.hint("merge").alias("w")
@@ -301,10 +336,17 @@ def substring_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     spans = (
         runs_.join(repeated, ["h", "fp"]).select("doc_id", "th", "s0", F.explode("parts").alias("p"))
-        .groupBy("doc_id", "th").agg(F.collect_set(F.struct((F.col("s0") + F.col("p.a")).alias("from"), (F.col("s0") + F.col("p.b") + (length - 1)).alias("to"))).alias("spans"))
+        .groupBy("doc_id", "th").agg(F.collect_set(F.struct(
+            (F.col("s0") + F.col("p.a")).alias("from"), (F.col("s0") + F.col("p.b") + (length - 1)).alias("to")
+        )).alias("spans"))
     )
     s = spans.hint("merge").alias("s")
     return (
-        docs.alias("d").join(s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left").select("d.doc_id", F.col("d.text").alias("text"), "s.spans")
-        .mapInArrow(lambda it: removals(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<from:long,to:long>>")
+        docs.alias("d").join(
+            s, F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.th") == F.col("s.th")), "left"
+        ).select("d.doc_id", F.col("d.text").alias("text"), "s.spans")
+        .mapInArrow(
+            lambda it: removals(it, length),
+            "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<from:long,to:long>>"
+        )
     )
