@@ -104,3 +104,20 @@ def test_lsh_pairs_as_they_arise(spark, tmp_path):
     make = lambda s: digests.lsh_as_it_arises(s, "k", "w", "x", 16, 0.8, keep=10, recall=0.95, width=6)
     got = run(spark, str(tmp_path), make, [rows[:5], rows[5:16], rows[16:]], schema).collect()
     assert len(got) == len(want) > 5 and {tuple(r) for r in got} == want
+
+
+def test_streams_run_from_any_folder(tmp_path):
+    """The entry's streaming queries in a session whose workers do not find the package in their folder."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""import sys; sys.path.insert(0, {root!r})
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master('local[2]').config('spark.sql.shuffle.partitions', '2').config('spark.ui.enabled', 'false').config('spark.checkpoint.dir', 'file://{tmp_path}/shared').getOrCreate()
+print('rows', e.queries()['dft_stream'](spark, '/root/testdata/sf0.001').count())"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 103" in out.stdout, out.stderr[-2000:]
