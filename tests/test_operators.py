@@ -449,3 +449,10 @@ def test_pruning_together_does_not_depend_on_partitions(spark):
         got = sorted((tuple(x) for x in topk.pruned_together(df, "s", "t", "v", k, countdown).collect()), key=str)
         assert got == plain(k, countdown) and (k == 100 or sum(x[2] is not None for x in got) > 5)
     assert topk.pruned_together(df.limit(0), "s", "t", "v", 3, 2).count() == 0
+
+
+def test_returns_after_a_zero_are_left_out(spark):
+    from tidemark.operators.series import returns
+
+    rows = spark.createDataFrame([("a", k, v) for k, v in enumerate([2.0, 4.0, 0.0, 3.0, 6.0, 3.0])], "key string, t int, v double")
+    assert [r["returns"] for r in returns(rows, "key", ["t"], "v", 2).orderBy("w").collect()] == [[1.0, -1.0], [1.0, -0.5]]

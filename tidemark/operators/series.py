@@ -182,8 +182,8 @@ def resampled(df: DataFrame, key: str, time: str, channels: list[str]) -> DataFr
 
 
 def returns(df: DataFrame, key: str, order: list[str], value: str, size: int) -> DataFrame:
-    """(key, w, returns): full tumbling windows of `size` returns value / before - 1."""
-    change = F.col(value) / F.lag(value).over(Window.partitionBy(key).orderBy(*order)) - 1
+    """(key, w, returns): full tumbling windows of `size` returns value / before - 1. A value after a zero has none, as the first has none."""
+    change = F.try_divide(F.col(value), F.lag(value).over(Window.partitionBy(key).orderBy(*order))) - 1
     rows = numbered(df.withColumn("r", change).filter("r IS NOT NULL"), key, order)
     got = rows.groupBy(key, F.expr(f"rn div {size}").alias("w")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rn", "r"))).alias("x"))
     return got.filter(F.col("n") == size).select(key, "w", F.transform("x", lambda s: s["r"]).alias("returns"))
