@@ -456,3 +456,30 @@ def test_returns_after_a_zero_are_left_out(spark):
 
     rows = spark.createDataFrame([("a", k, v) for k, v in enumerate([2.0, 4.0, 0.0, 3.0, 6.0, 3.0])], "key string, t int, v double")
     assert [r["returns"] for r in returns(rows, "key", ["t"], "v", 2).orderBy("w").collect()] == [[1.0, -1.0], [1.0, -0.5]]
+
+
+def test_copies_of_a_row_do_not_grow_with_its_bucket(spark, monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import blocks
+
+    monkeypatch.setattr(blocks, "TILE", 32)
+    x = np.random.default_rng(4).normal(size=(300, 4))
+    rows = spark.createDataFrame([(i, [7, i % 2], v.tolist(), f"n{i}", 0) for i, v in enumerate(x)], "id long, codes array<long>, x array<double>, name string, w long")
+    assert blocks.grouped(rows, 1).count() == 2 * 300 * blocks.MOST
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if x[i] @ x[j] >= 2}
+    assert {(r.a, r.b) for r in blocks.pairs(rows, 2, block=1).collect()} == want
+    assert [(int(r.a_name[1:]), int(r.b_name[1:])) for r in blocks.named_pairs(rows, "name", 2, block=1).collect() if not r.a_name < r.b_name] == []
+    assert blocks.named_pairs(rows, "name", 2, block=1).count() == len(want)
+
+
+def test_rows_that_all_meet_have_the_pairs_of_their_buckets(spark):
+    import numpy as np
+
+    from tidemark.operators import blocks
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.integers(0, 3, 2).tolist(), rng.normal(size=4).tolist()) for i in range(200)], "id long, codes array<long>, x array<double>")
+    for of in (blocks.pairs, blocks.links):
+        assert sorted(of(rows, 1.0, block=30).collect()) == sorted(of(rows, 1.0, block=30, together=True).collect())
+    assert blocks.all_together(rows, 1).count() == 200 * blocks.MOST
