@@ -62,17 +62,28 @@ def lsh_codes(df: DataFrame, key: str, vector: str, dims: int, bands: int, width
     return rows.mapInArrow(code, f"id {'string' if text_id else 'long'}, codes array<long>, x array<double>")
 
 
+def _coded(df: DataFrame, key: str, vector: str, dims: int, threshold: float, recall: float, width: int, seed: int) -> tuple[DataFrame, bool]:
+    """Rows for blocks.pairs(), and whether all of them are to meet: so many bands of so few bits that a pair is expected in more than one band in eight of
+    its copies would be compared as often in buckets, with a copy of each row for every band."""
+    bands = bands_for(threshold, recall, width)
+    together = bands > (1 << width) / 8
+    rows = lsh_codes(df, key, vector, dims, bands, width, seed)
+    if together and width < 16:
+        rows = rows.withColumn("codes", F.col("codes").cast("array<smallint>"))
+    return written(rows), together
+
+
 def lsh_pairs(df: DataFrame, key: str, vector: str, dims: int, threshold: float, recall: float = 0.9, width: int = 8, seed: int = 31) -> DataFrame:
     """(a, b, corr): pairs that agree on all bits of a band, verified by their correlation; of pairs at the threshold the share `recall` at least, of
     closer ones more. probes_against_all() is the exact way for a stated query set."""
-    rows = written(lsh_codes(df, key, vector, dims, bands_for(threshold, recall, width), width, seed))
-    return blocks.pairs(rows, threshold).withColumnRenamed("score", "corr")
+    rows, together = _coded(df, key, vector, dims, threshold, recall, width, seed)
+    return blocks.pairs(rows, threshold, together=together).withColumnRenamed("score", "corr")
 
 
 def lsh_links(df: DataFrame, key: str, vector: str, dims: int, threshold: float, recall: float = 0.9, width: int = 8, seed: int = 31) -> DataFrame:
     """(id, n_links, best, best_corr) of every vector: how many others it has such a pair with, and the closest of them (null where it has none)."""
-    rows = written(lsh_codes(df, key, vector, dims, bands_for(threshold, recall, width), width, seed))
-    found = blocks.links(rows, threshold).withColumnRenamed("best_score", "best_corr")
+    rows, together = _coded(df, key, vector, dims, threshold, recall, width, seed)
+    found = blocks.links(rows, threshold, together=together).withColumnRenamed("best_score", "best_corr")
     return df.select(F.col(key).cast("long").alias("id")).join(found, "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
 
 
