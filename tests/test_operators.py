@@ -483,3 +483,34 @@ def test_rows_that_all_meet_have_the_pairs_of_their_buckets(spark):
     for of in (blocks.pairs, blocks.links):
         assert sorted(of(rows, 1.0, block=30).collect()) == sorted(of(rows, 1.0, block=30, together=True).collect())
     assert blocks.all_together(rows, 1).count() == 200 * blocks.MOST
+
+
+def test_a_long_block_costs_a_window_what_its_window_does(monkeypatch):
+    import numpy as np
+
+    from tidemark.operators import summaries
+
+    calls, add = [], summaries.RankSummary.add
+    monkeypatch.setattr(summaries.RankSummary, "add", lambda self, values: (calls.append(len(values)), add(self, values)))
+    x = np.random.default_rng(6).random(20_000)
+    once, often = summaries.WindowRanks(0.05, 200), summaries.WindowRanks(0.05, 200)
+    once.add(x)
+    assert sum(calls) < 10_000
+    for part in np.array_split(x, 999):
+        often.add(part)
+    assert [once.quantile(q) for q in (0.1, 0.5, 0.75)] == [often.quantile(q) for q in (0.1, 0.5, 0.75)] and once.points() == often.points()
+
+
+def test_elements_of_a_part_are_packed(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.streaming.serving import packed, unpacked
+
+    e = spark.range(0, 3000, 1, 1).select(
+        F.lit("d").alias("dataset"), F.lit("keyed").alias("route"), (F.col("id") % 2).cast("int").alias("part"), F.col("id").alias("at"), F.lit("s").alias("stream"),
+        F.when(F.col("id") == 5, F.lit(None)).otherwise(F.create_map(F.lit("a"), F.col("id").cast("string"))).alias("fields")
+    )
+    rows = packed(e).collect()
+    assert len(rows) == 2
+    found = sorted((r["at"], r["field a"]) for row in rows for r in unpacked([bytes(row["block"])]).to_pylist())
+    assert found == [(i, None if i == 5 else str(i)) for i in range(3000)]

@@ -83,6 +83,11 @@ class WindowRanks:
         self.done: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in self.k]
 
     def add(self, values: np.ndarray) -> None:
+        long = self.short << self.count - 1
+        start = max(0, self.n + len(values) - self.window) // long * long
+        if start > self.n:  # all blocks so far and those up to there would have gone by the end: every level starts anew where a longest block does
+            values, self.n = values[start - self.n :], start
+            self.open, self.done = [RankSummary(1, k) for k in self.k], [[] for _ in self.k]
         for level, k in enumerate(self.k):
             length, at = self.short << level, 0
             while at < len(values):

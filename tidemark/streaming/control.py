@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.hashing import number
 from tidemark.plans.spec import SynopsisSpec
 from tidemark.storage import shared_folder
-from tidemark.streaming.serving import ANSWERS, PARTIALS, Parts, use_rocksdb
+from tidemark.streaming.serving import ANSWERS, PARTIALS, Parts, packed, use_rocksdb
 
 
 def answered(frames):
@@ -41,10 +41,9 @@ def controlled(elements: DataFrame, requests: DataFrame | None, parts: int = 8,
         "dataset", F.col("key").cast("string").alias("key"), F.col("weight").cast("long").cast("string").alias("weight"),
         F.col("at").cast("long").alias("at")
     ).filter("key IS NOT NULL").withColumn("part", part("key"))
-    both = text.select(
-        "dataset", F.lit("keyed").alias("route"), "part", "at", F.lit(1).alias("kind"), none("int").alias("requestID"), none("int").alias("synopsisID"), none("int").alias("uid"), none("array<string>").alias("param"), none("long").alias("ask"),
-        F.col("key").alias("stream"), F.create_map(F.lit("key"), "key", F.lit("weight"), "weight").alias("fields"),
-    )
+    both = packed(text.select(
+        "dataset", F.lit("keyed").alias("route"), "part", "at", F.col("key").alias("stream"), F.create_map(F.lit("key"), "key", F.lit("weight"), "weight").alias("fields")
+    ))
     if requests is not None:
         asked = requests.filter("synopsisID IN (1, 2)").select(
             F.col("dataSetkey").alias("dataset"), F.col("at").cast("long").alias("at"), "requestID", "synopsisID", "uid", "param"
@@ -54,7 +53,7 @@ def controlled(elements: DataFrame, requests: DataFrame | None, parts: int = 8,
         adds = asked.filter("requestID <> 3").withColumn("param", F.when(F.col("requestID") == 2, F.col("param")).otherwise(own)).withColumn("requestID", F.when(F.col("requestID") == 4, 1).otherwise(F.col("requestID")))
         both = both.unionByName(
             estimates.unionByName(adds.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-            .withColumns({"route": F.lit("keyed"), "kind": F.lit(0), "ask": F.lit(0).cast("long"), "stream": none("string"), "fields": none("map<string,string>")})
+            .withColumns({"route": F.lit("keyed"), "ask": F.lit(0).cast("long"), "block": none("binary")})
         )
     there = [] if standing is None else [(standing[0], 1, ["key", "weight", "Queryable", *standing[1]])]
     stage = both.groupBy("dataset", "route", "part").transformWithStateInPandas(Parts(parts, ("keyed",), there), PARTIALS, "append", "None")
