@@ -121,3 +121,13 @@ print('rows', e.queries()['dft_stream'](spark, '/root/testdata/sf0.001').count()
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "rows 103" in out.stdout, out.stderr[-2000:]
+
+
+def test_only_windows_of_the_same_number_are_compared(monkeypatch):
+    import numpy as np
+
+    seen, near = [], digests.Cell._near
+    monkeypatch.setattr(digests.Cell, "_near", lambda self, wa, va, own, wb, vb, other: (seen.append(len(own) * len(other)), near(self, wa, va, own, wb, vb, other))[1])
+    rows = np.array([f"n{i}" for i in range(60)], object), np.arange(60) // 3, np.zeros((60, 2))
+    found = [f for f in digests.Cell("k", 0, 5, 0.5)._pairs(rows, rows, True)]
+    assert sum(map(len, found)) == 60 and sum(seen) == 20 * 9

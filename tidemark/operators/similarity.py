@@ -101,6 +101,13 @@ def radius_groups(df: DataFrame, key: str, vector: str, dims: int, groups: int,
     return spread.select(key, "group", cell(0).alias("cx"), cell(1).alias("cy"))
 
 
+def radius_cells(df: DataFrame, key: str, vector: str, dims: int, groups: int, side: float, seed: int) -> DataFrame:
+    """(key, cells): the same as one row, a number for each group's cell."""
+    sketch = scaled(df, vector).select(key, projected(F.col("z"), projection(2 * groups, dims, seed, signs=True)).alias("s"))
+    cell = lambda k: F.floor(F.get("s", F.lit(k)) / side)
+    return sketch.select(key, F.array(*[F.xxhash64(cell(2 * g), cell(2 * g + 1)).cast("double") for g in range(groups)]).alias("cells"))
+
+
 def _vote_rows(cells: DataFrame, key: str, groups: int, percent: float) -> tuple[DataFrame, int]:
     least = math.floor(groups * percent / 100) + 1
     chunks = groups - least + 1  # groups that a pair may miss fall into all chunks but one
