@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -236,6 +237,22 @@ def test_coreset_keeps_weight_and_finds_clusters(spark):
     assert np.allclose(centres, [0, 10, 20], atol=0.3)
 
 
+@pytest.mark.parametrize("parts", [3, 12])
+def test_coreset_costs_what_its_points_cost(spark, parts):
+    rng = np.random.default_rng(5)
+    points = rng.exponential(50, (20_000, 4)) * rng.integers(1, 3, (20_000, 1))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id long, x array<double>")
+    few = pd.DataFrame([r.asDict() for r in clustering.coreset(df, "x", "id", 200, parts=parts).collect()])
+    x, w = np.stack(few["coords"].to_numpy()), few["weight"].to_numpy()
+    whole = ((points - points.mean(0)) ** 2).sum()
+    one = (w * ((x - points.mean(0)) ** 2).sum(1)).sum()
+    assert abs(one + few["spread"].sum() - whole) < 1e-6 * whole  # a single centre tears no cell apart: the cost is exact
+    centres = clustering.lloyd(x, w, 5, 5, 50, 1)[1]
+    gap = lambda p: ((p[:, None] - centres[None]) ** 2).sum(2).min(1)
+    exact = gap(points).sum()
+    assert exact <= (w * gap(x)).sum() + few["spread"].sum() <= 1.2 * exact  # without the spreads: below 0.8 of it on events
+
+
 def test_engine_lifecycle_update_and_own_synopsis(spark):
     engine = Engine(spark)
     df = spark.createDataFrame([("a",), ("a",), ("b",)], "k string")

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from tidemark.storage import tasks
 
-SCHEMA = "part int, weight double, coords array<double>"
+SCHEMA = "part int, weight double, coords array<double>, spread double"
+FINER = 4
 
 
 def seed_points(points: np.ndarray, weights: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
@@ -65,18 +66,36 @@ class Tree:
             node = self.up[node]
         return True
 
-    def grow(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """The centres and weights of up to `size` leaves."""
+    def leaves(self, size: int) -> list[int]:
+        """Up to `size` leaves."""
         for _ in range(size - 1):
             if self.cost[0] <= 0 or not self.split(self.leaf()):
                 break
-        leaves = [k for k, kids in enumerate(self.kids) if kids is None]
+        return [k for k, kids in enumerate(self.kids) if kids is None]
+
+    def grow(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The centres and weights of up to `size` leaves."""
+        leaves = self.leaves(size)
         return self.points[[self.centre[k] for k in leaves]], np.array([self.weights[self.own[k]].sum() for k in leaves])
 
+    def cells(self, size: int, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The means, weights and spreads of up to `size` leaves; `spread` is what each point itself stands for."""
+        means, weights, spreads = [], [], []
+        for k in self.leaves(size):
+            at = self.own[k]
+            w, x = self.weights[at], self.points[at]
+            mean = x[0] + (w[:, None] * (x - x[0])).sum(0) / w.sum()
+            means.append(mean), weights.append(w.sum()), spreads.append(spread[at].sum() + (w * ((x - mean) ** 2).sum(1)).sum())
+        return np.stack(means), np.array(weights), np.array(spreads)
 
-def reduce_points(points: np.ndarray, weights: np.ndarray, size: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
-    """At most `size` of the points, the leaves of a coreset tree, with the weights of those that belong to them."""
-    return (points, weights) if len(points) <= size else Tree(points, weights, rng).grow(size)
+
+def reduce_points(
+    points: np.ndarray, weights: np.ndarray, size: int, rng: np.random.Generator, spread: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """At most `size` representatives, the leaves of a coreset tree: their means, weights and spreads (squared distances to the mean, summed). A leaf
+    costs a centre weight * |mean - centre|**2 + spread, exactly what its points do; points alone would lose the spread at each reduction."""
+    spread = np.zeros(len(points)) if spread is None else spread
+    return (points, weights, spread) if len(points) <= size else Tree(points, weights, rng).cells(size, spread)
 
 
 class Buckets:
@@ -85,13 +104,14 @@ class Buckets:
 
     def __init__(self, size: int, seed):
         self.size, self.rng = size, np.random.default_rng(seed)
-        self.open: list[tuple[np.ndarray, np.ndarray]] = []
-        self.full: list[tuple[np.ndarray, np.ndarray] | None] = []
+        self.open: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.full: list[tuple[np.ndarray, np.ndarray, np.ndarray] | None] = []
         self.reductions = 0
 
-    def _reduced(self, *parts):
+    def _reduced(self, *parts, size: int | None = None):
         self.reductions += 1
-        return reduce_points(np.concatenate([p for p, _ in parts]), np.concatenate([w for _, w in parts]), self.size, self.rng)
+        points, weights, spread = map(np.concatenate, zip(*parts))
+        return reduce_points(points, weights, size or self.size, self.rng, spread)
 
     def _carry(self, bucket, level: int = 0) -> None:
         while level < len(self.full) and self.full[level] is not None:
@@ -100,13 +120,14 @@ class Buckets:
         self.full += [None] * (level + 1 - len(self.full))
         self.full[level] = bucket
 
-    def add(self, points: np.ndarray, weights: np.ndarray) -> None:
+    def add(self, points: np.ndarray, weights: np.ndarray, spread: np.ndarray | None = None) -> None:
+        rows = points, weights, np.zeros(len(points)) if spread is None else spread
         for at in range(0, len(points), self.size):
-            self.open.append((points[at : at + self.size], weights[at : at + self.size]))
-            have = np.concatenate([p for p, _ in self.open]), np.concatenate([w for _, w in self.open])
+            self.open.append(tuple(x[at : at + self.size] for x in rows))
+            have = tuple(map(np.concatenate, zip(*self.open)))
             if len(have[0]) >= self.size:
-                self._carry((have[0][: self.size], have[1][: self.size]))
-                have = have[0][self.size :], have[1][self.size :]
+                self._carry(tuple(x[: self.size] for x in have))
+                have = tuple(x[self.size :] for x in have)
             self.open = [have] if len(have[0]) else []
 
     def merge(self, other: Buckets) -> None:
@@ -117,13 +138,20 @@ class Buckets:
         for bucket in other.open:
             self.add(*bucket)
 
-    def coreset(self) -> tuple[np.ndarray, np.ndarray] | None:
-        """The union of all buckets, reduced once."""
+    def cells(self, size: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The union of all buckets, reduced once (to `size`, a bucket's where it is not given): means, weights and spreads."""
         parts = [*self.open, *[b for b in self.full if b is not None]]
-        return self._reduced(*parts) if parts else None
+        return self._reduced(*parts, size=size) if parts else None
+
+    def coreset(self) -> tuple[np.ndarray, np.ndarray] | None:
+        """The means and weights of the cells."""
+        cells = self.cells()
+        return None if cells is None else cells[:2]
+
 
+def _reducer(size: int, seed: int, out: int | None = None):
+    """Buckets of `size` points for each part, and in the end `out` of them (as many as a bucket's where it is not given)."""
 
-def _reducer(size: int, seed: int):
     def run(frames):
         import pandas as pd
 
@@ -131,36 +159,39 @@ def _reducer(size: int, seed: int):
         for frame in frames:
             for part, rows in frame.groupby("part", sort=True):
                 own = held.setdefault(int(part), Buckets(size, [seed, int(part)]))
-                own.add(np.stack(rows["coords"].to_numpy()).astype(float), rows["weight"].to_numpy(float))
+                own.add(np.stack(rows["coords"].to_numpy()).astype(float), rows["weight"].to_numpy(float), rows["spread"].to_numpy(float))
         for part, own in sorted(held.items()):
-            p, w = own.coreset()
-            yield pd.DataFrame({"part": part, "weight": w, "coords": list(p)})
+            p, w, spread = own.cells(out)
+            yield pd.DataFrame({"part": part, "weight": w, "coords": list(p), "spread": spread})
 
     return run
 
 
 def coreset(df: DataFrame, vector: str, order: str, size: int, parts: int | None = None, fan_in: int = 8, seed: int = 1) -> DataFrame:
-    """(weight, coords): at most `size` representatives whose weights sum to the number of vectors. Vectors without coordinates are left out.
+    """(weight, coords, spread): at most `size` representatives whose weights sum to the number of vectors; each is the mean of those that it stands
+    for, spread the sum of their squared distances to it. Vectors without coordinates are left out.
 
     Each of `parts` parts of the rows (as many as the session has shuffle partitions) is read as a stream into buckets that are merged and reduced;
-    then `fan_in` parts at a time are, up to one.
+    then `fan_in` parts at a time are, up to one. Until then buckets are FINER times as large, so that what merging adds to the cells stays small
+    beside what the last reduction does.
     """
     parts = parts or tasks(df.sparkSession)
     rows = df.filter(F.col(vector).isNotNull()).select(
         F.pmod(F.xxhash64(order), F.lit(parts)).cast("int").alias("part"), F.lit(1.0).alias("weight"),
-        F.transform(vector, lambda v: v.cast("double")).alias("coords"), F.col(order).alias("_o")
+        F.transform(vector, lambda v: v.cast("double")).alias("coords"), F.lit(0.0).alias("spread"), F.col(order).alias("_o")
     )
-    level = rows.repartition("part").sortWithinPartitions("part", "_o").drop("_o").mapInPandas(_reducer(size, seed), SCHEMA)
+    reducer = lambda: _reducer(FINER * size, seed, size if parts == 1 else None)
+    level = rows.repartition("part").sortWithinPartitions("part", "_o").drop("_o").mapInPandas(reducer(), SCHEMA)
     while parts > 1:
         parts = -(-parts // fan_in)
-        level = level.withColumn("part", F.expr(f"part % {parts}")).repartition("part").sortWithinPartitions("part", "weight", "coords").mapInPandas(_reducer(size, seed), SCHEMA)
-    return level.select("weight", "coords")
+        level = level.withColumn("part", F.expr(f"part % {parts}")).repartition("part").sortWithinPartitions("part", "weight", "coords").mapInPandas(reducer(), SCHEMA)
+    return level.select("weight", "coords", "spread")
 
 
 def merge_coresets(size: int, *sketches: DataFrame) -> DataFrame:
     """The coreset of what several coresets stand for; each has at most `size` points."""
-    rows = reduce(DataFrame.unionByName, sketches).withColumn("part", F.lit(0)).select("part", "weight", "coords")
-    return rows.repartition(1).sortWithinPartitions("weight", "coords").mapInPandas(_reducer(size, 1), SCHEMA).select("weight", "coords")
+    rows = reduce(DataFrame.unionByName, sketches).withColumn("part", F.lit(0)).select("part", "weight", "coords", "spread")
+    return rows.repartition(1).sortWithinPartitions("weight", "coords").mapInPandas(_reducer(size, 1), SCHEMA).select("weight", "coords", "spread")
 
 
 def lloyd(x: np.ndarray, w: np.ndarray, k: int, runs: int, rounds: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
@@ -196,12 +227,14 @@ def kmeans(points: DataFrame, k: int, runs: int = 5, rounds: int = 50, seed: int
     return points.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(cluster, "centre int, weight double, coords array<double>")  # a coreset has a fixed size
 
 
-def cost(points: DataFrame, vector: str, centres: DataFrame, weight: str | None = None) -> DataFrame:
-    """(points, cost): the number of points (the sum of their weights) and of their squared distances to the nearest centre. Centres are few."""
+def cost(points: DataFrame, vector: str, centres: DataFrame, weight: str | None = None, spread: str | None = None) -> DataFrame:
+    """(points, cost): the number of points (the sum of their weights) and of their squared distances to the nearest centre, with the spreads that
+    they have themselves. Centres are few."""
     to = F.array(*[F.array(*[F.lit(float(v)) for v in r["coords"]]) for r in centres.select("coords").collect()])
     gap = lambda c: F.aggregate(F.zip_with(vector, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    rows = points.select(F.array_min(F.transform(to, gap)).alias("d"), (F.lit(1) if weight is None else F.col(weight)).alias("w"))
-    return rows.agg(F.sum("w").alias("points"), F.sum(F.col("w") * F.col("d")).alias("cost"))
+    own = F.lit(0.0) if spread is None else F.col(spread)
+    rows = points.select(F.array_min(F.transform(to, gap)).alias("d"), (F.lit(1) if weight is None else F.col(weight)).alias("w"), own.alias("s"))
+    return rows.agg(F.sum("w").alias("points"), F.sum(F.col("w") * F.col("d") + F.col("s")).alias("cost"))
 
 
 def constant_points(df: DataFrame, key: str, value: str, dims: int) -> DataFrame:

@@ -204,7 +204,7 @@ def coreset_kmeans_cost(spark, d):
     points = written(points)
     few = written(clustering.coreset(points, "coords", "id", 200))
     centres = written(clustering.kmeans(few, 5))
-    own = clustering.cost(few, "coords", centres, "weight").select(F.col("cost").alias("of_few"), F.lit(0).alias("one"))
+    own = clustering.cost(few, "coords", centres, "weight", "spread").select(F.col("cost").alias("of_few"), F.lit(0).alias("one"))
     every = clustering.cost(points, "coords", centres).withColumn("one", F.lit(0))
     return every.join(own, "one").select("points", (F.abs(F.col("of_few") - F.col("cost")) <= 0.2 * F.col("cost")).alias("within"))
 
