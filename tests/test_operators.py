@@ -95,6 +95,13 @@ def test_running_sums_cross_ranges(spark):
     assert len(got) == 4000
 
 
+def test_running_sums_deal_few_rows_to_a_task(spark):
+    df = spark.range(40_000, numPartitions=3).select(F.col("id").alias("o"), (F.col("id") % 3).alias("g"))
+    got = running_sums(df, ["g"], ["o"], F.lit(1), "s", most_rows=1000).withColumn("task", F.spark_partition_id()).cache()
+    assert got.filter("s <> o div 3 + 1").count() == 0 and got.count() == 40_000
+    assert got.groupBy("task").count().agg(F.max("count")).first()[0] <= 5000
+
+
 def test_quantiles_within_rank_error(spark):
     df = spark.range(10_000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("v"))
     for r in quantiles.approximate(df, ["g"], "v", [0.1, 0.5, 0.99], 0.01).collect():
