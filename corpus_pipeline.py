@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, language_id, mixing, near_dup, packing
-from tidemark.llm._spark import cut, forget, passing
+from tidemark.llm._spark import cut, forget, passing, perhaps_in
 
 
 def name(c: str) -> Column:
@@ -19,7 +19,10 @@ def name(c: str) -> Column:
 
 
 def without(docs: DataFrame, dropped: DataFrame, on: list[str]) -> DataFrame:
-    return docs.join(cut(dropped.select(*on).distinct()), on, "left_anti")
+    """The rows of docs whose `on` (never null) is not in dropped. Only rows that a bitmap takes for dropped ones are shuffled, not all texts."""
+    dropped = cut(dropped.select(*on).distinct())
+    marked, perhaps = perhaps_in(docs, dropped, on)
+    return marked.filter(~perhaps).unionByName(marked.filter(perhaps).join(dropped, on, "left_anti")).select(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

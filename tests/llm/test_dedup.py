@@ -232,3 +232,18 @@ def test_long_row_is_cut_into_segments(monkeypatch):
         return found
 
     assert places(1 << 22) == places(700) and len(places(700)) == 3000 - 39
+
+
+def test_rows_that_need_not_be_shuffled_are_told_by_a_bitmap(spark):
+    from tidemark.llm._spark import perhaps_in
+
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 5 > 0, F.col("id").cast("string")).alias("k"))
+    few = df.filter("id % 7 = 0").localCheckpoint()
+    for most in (4096, 3):  # three bitmaps are too few for one in 64, but no row of few may be missed
+        got, perhaps = perhaps_in(df, few, ["id", "k"], most)
+        assert got.columns == ["id", "k", "_perhaps"] and got.count() == 30_000
+        assert got.filter(perhaps).filter("id % 7 = 0").count() == few.count()
+        if most == 4096:
+            assert got.filter(perhaps).filter("id % 7 > 0").count() < 30_000 / 30
+    nothing, perhaps = perhaps_in(df, few.filter("id < 0"), ["id", "k"])
+    assert nothing.filter(~perhaps).count() == 30_000

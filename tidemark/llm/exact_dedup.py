@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import cut
+from ._spark import cut, perhaps_in
 
 BUCKETS = 1 << 20
 PROBES = 16
@@ -58,8 +58,9 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     unsettled = cut(light.groupBy("n_bytes", "probe").agg(F.count("*").alias("alike")).filter("alike > 1").drop("alike"))  # a table of its own, so that Spark can split the join's hot keys
     open_rows = cut(light.join(unsettled, ["n_bytes", "probe"]).select("doc_id", "text_sha256").distinct())
+    marked, perhaps = perhaps_in(whole.withColumn("text_sha256", F.sha2("bytes", 256)), open_rows, ["doc_id", "text_sha256"])
     texts = (
-        whole.withColumn("text_sha256", F.sha2("bytes", 256)).alias("t")
+        marked.filter(perhaps).alias("t")
         .join(open_rows.hint("merge").alias("o"), F.col("t.doc_id").eqNullSafe(F.col("o.doc_id")) & (F.col("t.text_sha256") == F.col("o.text_sha256")))
         .select("t.doc_id", "t.text_sha256", "bytes", F.greatest(F.lit(1), F.ceil(F.col("n_bytes") / block_bytes)).cast("int").alias("n_blocks"))
     )

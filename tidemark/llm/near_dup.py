@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._spark import cut, runs
+from ._spark import cut, perhaps_in, runs
 from ._text import BASE, mixed, shingle_rows
 
 M = (1 << 64) - 1
@@ -174,8 +174,9 @@ def jaccard_join(
         .select("gid", F.least("part", "other").alias("bi"), F.greatest("part", "other").alias("bj"), "band", "rep", "part")
     )
     groups = cut(listed.unionByName(large))
-    reps = same.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", "first.doc_id", "first.th").hint("merge")
-    d, r = docs.alias("d"), reps.alias("r")
+    reps = cut(same.join(groups.select("rep").distinct(), "rep", "left_semi").select("rep", "first.doc_id", "first.th"))
+    marked, perhaps = perhaps_in(docs, reps, ["doc_id", "th"])
+    d, r = marked.filter(perhaps).alias("d"), reps.hint("merge").alias("r")
     texts = d.join(r, F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.th") == F.col("r.th"))).select("rep", "text").dropDuplicates(["rep"])
     verified = cut(
         groups.join(same.select("rep", "copies", "bands"), "rep").join(texts, "rep")
