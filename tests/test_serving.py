@@ -170,3 +170,25 @@ def test_answers_do_not_depend_on_batches(spark, tmp_path):
     assert got[2, 10**9] == dict(whole("finjoin", "k", "flag", "Queryable", rows=ROWS[:400]).answer([]))
     assert got[3, 10**9] == dict(whole("chain_sample", "k", "v", "Queryable", "5", "100", rows=ROWS[:400]).answer([]))
     assert set(got[1, 10**9]) == {f"s{k}_0.5" for k in range(9)}
+
+
+def test_all_segments_and_times_are_served(spark, sf, tmp_path):
+    """A user with 1206 segments, and a month that 300 months follow."""
+    import duckdb
+    from oracle import same
+
+    from tidemark import catalog
+
+    for name in ("events", "orders"):
+        copies = spark.read.parquet(f"{sf}/{name}.parquet").crossJoin(spark.range(6).select(F.col("id").alias("copy")))
+        if name == "events":
+            copies = copies.withColumns({"event_id": F.col("event_id") + F.col("copy") * 1_000_000, "user_id": F.lit(1).cast("long")})
+        else:
+            copies = copies.withColumns({"o_orderkey": F.col("o_orderkey") + F.col("copy") * 10_000_000, "o_orderdate": (F.col("o_orderdate") + F.make_interval(F.col("copy") * 7)).cast("timestamp")})
+        copies.drop("copy").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    duck = duckdb.connect()
+    for name in ("events", "orders"):
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert duck.execute("SELECT count(*) FILTER (event_type = 'purchase') > 1000 FROM events").fetchone()[0]
+    assert duck.execute("SELECT count(DISTINCT strftime(o_orderdate, '%Y-%m')) > 300 FROM orders WHERE o_orderdate > '1995-04-01'").fetchone()[0]
+    same(spark, duck, tmp_path, catalog.queries()["served_requests"], catalog.oracle_sql()["served_requests"])
