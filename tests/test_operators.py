@@ -538,3 +538,38 @@ def test_elements_of_a_part_are_packed(spark):
     assert len(rows) == 2
     found = sorted((r["at"], r["field a"]) for row in rows for r in unpacked([bytes(row["block"])]).to_pylist())
     assert found == [(i, None if i == 5 else str(i)) for i in range(3000)]
+
+
+def test_windows_that_are_alike_are_shuffled_a_few_times_and_told_together(spark, monkeypatch, tmp_path):
+    """1500 windows, 1000 of them copies of ten and 300 of one: in a third of the copies that each cell's blocks took, and in less than half the bytes that pairs in any order take."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(211, 6)) / 4
+    x = base[[*(k % 10 for k in range(1000)), *[10] * 300, *range(11, 211)]]
+    users = rng.permutation(1500)
+    names = ["re1", "im1", *"abcd"]
+    windows = spark.createDataFrame(
+        [(int(u), int(u) % 2, int(u) % 7, *v.tolist()) for u, v in zip(users, x)], f"user long, w long, minute long, {', '.join(f'{n} double' for n in names)}"
+    ).withColumn("x", F.array(*names))
+    met, grouped = [], blocks.grouped
+    monkeypatch.setattr(blocks, "grouped", lambda *a: met.append(grouped(*a)) or met[-1])
+
+    def near(least, equal, apart):
+        s = np.round(series.closeness(x, x), 6)
+        ok = (s >= least) & (users[:, None] < users[None])
+        if equal:
+            ok &= users[:, None] % 2 == users[None] % 2
+        if apart is not None:
+            ok &= abs(users[:, None] % 7 - users[None] % 7) <= apart
+        i, j = np.nonzero(ok)
+        return sorted(zip(users[i].tolist(), users[j].tolist(), s[i, j].tolist()))
+
+    for least, equal, band in ((0.7, ("w",), None), (0.7, (), ("minute", 2)), (0.98, (), None), (0.6, (), None)):
+        found = series.grid_pairs(windows, "user", "x", least, series.closeness, equal=equal, band=band)
+        assert sorted((r.a_user, r.b_user, r["corr"]) for r in found.collect()) == near(least, equal, band and band[1])
+        assert met[-1].count() <= 16 * 1500  # MOST copies in each of four or eight cells before
+    size = lambda df, name: (df.coalesce(1).write.parquet(f"{tmp_path}/{name}"), sum(f.stat().st_size for f in (tmp_path / name).iterdir()))[1]
+    found = found.localCheckpoint()
+    assert 2 * size(found, "told") < size(found.orderBy(F.rand(1)), "any order")
+    named = windows.withColumn("user", F.concat(F.lit("u"), F.col("user")))
+    got = {(r.a_user, r.b_user) for r in series.grid_pairs(named, "user", "x", 0.7, series.closeness, equal=("w",)).collect()}
+    assert got == {tuple(sorted((f"u{a}", f"u{b}"))) for a, b, _ in near(0.7, ("w",), None)}
