@@ -131,3 +131,50 @@ def test_only_windows_of_the_same_number_are_compared(monkeypatch):
     rows = np.array([f"n{i}" for i in range(60)], object), np.arange(60) // 3, np.zeros((60, 2))
     found = [f for f in digests.Cell("k", 0, 5, 0.5)._pairs(rows, rows, True)]
     assert sum(map(len, found)) == 60 and sum(seen) == 20 * 9
+
+
+def test_windows_that_meet_are_told_once_whatever_blocks_they_are_in(spark, monkeypatch):
+    """One cell in two batches: windows at home and visitors, of two numbers, half of them copies, in blocks of 40 at least."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        held = None
+        exists, get = lambda self: self.held is not None, lambda self: self.held
+
+        def update(self, value):
+            self.held = value
+
+    monkeypatch.setattr(digests, "LEAST", 40)
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(900, 6)) / 4
+    v[::2] = v[rng.integers(0, 9, 450) * 2]
+    names, w, home = [f"s{k % 700}" for k in range(900)], np.where(np.arange(900) % 3, 65, 1), np.arange(900) % 5 > 0
+    cell = digests.Cell("k", 0, 1 << 40, 0.7, packed=True)
+    cell.live, met = State(), []
+    for low, high in ((0, 500), (500, 900)):
+        frame = pd.DataFrame({"name": names[low:high], "w": w[low:high], "home": home[low:high], "v": list(v[low:high])})
+        met += list(cell.handleInputRows((0, 0, 1), iter([frame]), None))
+    meetings = spark.createDataFrame([tuple(None if x is None else bytearray(x) for x in r) for r in pd.concat(met).values.tolist()], "a binary, b binary")
+    assert 100 < len(met) < 300
+    got = sorted((r.a, r.a_w, r.b, r.b_w, r.bound) for r in digests.told(meetings, 0.7).collect())
+    bound, want = np.round(1 - ((v[:, None] - v[None]) ** 2).sum(2), 6), []
+    for i in range(900):
+        for j in range(i + 1, 900):
+            if w[i] == w[j] and names[i] != names[j] and (home[i] or home[j]) and bound[i, j] >= 0.7:
+                a, b = sorted([names[i], names[j]], key=lambda s: (len(s), s))
+                want.append((a, w[i], b, w[j], bound[i, j]))
+    assert len(got) > 20_000 and got == sorted(want)
+
+
+def test_a_stream_writes_the_windows_that_meet_and_not_their_pairs(spark, tmp_path, monkeypatch):
+    from tidemark.queries import series as queries
+
+    rows = [(k, f"2024-01-01 00:{k // 1200:02}:00", k % 1200, R.gauss(0, 1)) for k in range(1200 * 16)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).withColumn("event_type", F.lit("view"))
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    wrote, finished = [], queries.finished
+    monkeypatch.setattr(queries, "finished", lambda stream: wrote.append(finished(stream)) or wrote[-1])
+    got = {tuple(r)[:3] for r in queries.dft_stream_pairs(spark, str(tmp_path)).collect()}
+    assert got == {tuple(r)[:3] for r in queries.dft_corr_pairs(spark, str(tmp_path)).collect()} and len(got) > 100_000
+    assert wrote[0].count() < 300
